@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("ranklab.plans.reg_eval",)
+MODULES = ("ranklab.plans.reg_eval", "ranklab.plans.reg_data")
 
 
 def _gather():
