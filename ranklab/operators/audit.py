@@ -67,7 +67,7 @@ def foreign_references(conv: DataFrame, trusted: Sequence[str] = DEFAULT_TRUSTED
                          .alias("block"))
     imports = blocks.select("conv_id", "turn",
                             F.explode(F.regexp_extract_all("block", F.lit(IMPORT_PATTERN), 1)).alias("package"))
-    alias_rx = r"(?<![A-Za-z0-9_.])(" + "|".join(COMMON_ALIASES) + r")\."
+    alias_rx = r"(?:^|[^A-Za-z0-9_.])(" + "|".join(COMMON_ALIASES) + r")\."
     alias_map = F.create_map(*[x for kv in COMMON_ALIASES.items() for x in (F.lit(kv[0]), F.lit(kv[1]))])
     aliases = blocks.select("conv_id", "turn",
                             F.explode(F.regexp_extract_all("block", F.lit(alias_rx), 1)).alias("alias")) \

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("ranklab.plans.reg_eval", "ranklab.plans.reg_data")
+MODULES = ("ranklab.plans.reg_eval", "ranklab.plans.reg_data", "ranklab.plans.reg_scoring")
 
 
 def _gather():
