@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("ranklab.plans.reg_eval", "ranklab.plans.reg_data", "ranklab.plans.reg_scoring")
+MODULES = ("ranklab.plans.reg_eval", "ranklab.plans.reg_data", "ranklab.plans.reg_scoring",
+           "ranklab.plans.reg_models")
 
 
 def _gather():
