@@ -8,9 +8,9 @@ Scale notes
 -----------
 * Global positional cuts (temporal, random) never run an un-partitioned
   window over the data. ``positional_segments`` counts rows per bucket of the
-  ordering key (partial aggregation), turns the bucket counts into exact
-  offsets with a distributed prefix sum, and sorts only the rows of the at
-  most ``len(cuts)`` buckets that a cut falls into.
+  ordering key (partial aggregation into at most 65,536 buckets), turns the
+  bucket counts into exact offsets, and orders only the rows of the at most
+  ``len(cuts)`` buckets that a cut falls into.
 * Per-user splits use a window partitioned by user. ``leave_last_n`` keeps
   ``row_number() <= n`` so Spark plans a WindowGroupLimit that prunes every
   user (including a hot one) to n rows before the shuffle.
@@ -65,58 +65,82 @@ def cumulative_before(df: DataFrame, order_cols: Sequence, weight: str | None =
             .drop("_w", "_mid", "_part", "_local", "_off"))
 
 
+MAX_BUCKETS = 1 << 16
+EDGE_LOCAL_MAX = 2_000_000
+
+
+def time_bucket(df: DataFrame, ts_col: str, n_buckets: int = MAX_BUCKETS) -> Column:
+    """Monotone bucket of a numeric time column with at most ``n_buckets`` values
+    (equal-width over [min, max]; one small aggregation)."""
+    lo, hi = df.agg(F.min(ts_col), F.max(ts_col)).first()
+    if lo is None:
+        return F.lit(0).cast("long")
+    width = max(1, -(-(int(hi) - int(lo) + 1) // n_buckets))
+    return F.expr(f"(`{ts_col}` - {int(lo)}) div {width}")
+
+
 def positional_segments(df: DataFrame, order_cols: Sequence, bucket: Column,
                         cuts_fn: Callable[[int], list[int]], out: str = "_seg") -> tuple[DataFrame, int]:
-    """Segment index of every row = number of cut positions <= its 0-based position.
-
-    ``bucket`` must be non-decreasing along ``order_cols`` (e.g. the timestamp
-    itself, or a hash prefix when ordering by the hash). ``cuts_fn(n)`` turns
-    the row count into ascending cut positions. Returns (frame, n).
+    """Segment index of every row = number of cut positions <= its 0-based position
+    in the total order ``order_cols``.
+
+    ``bucket`` must be non-decreasing along ``order_cols`` and take at most
+    ``MAX_BUCKETS`` values (a hash prefix, or ``time_bucket``). One partial
+    aggregation yields the per-bucket counts - a table bounded by
+    construction, so it comes back to the driver - from which every bucket's
+    first position is known. Rows of buckets that lie wholly inside one
+    segment get their segment from comparisons with the boundary buckets; only
+    the rows of the (at most ``len(cuts)``) buckets a cut falls into are
+    ordered: by a window over that bounded, counted set when it is small,
+    else by the distributed ``cumulative_before``. ``cuts_fn(n)`` turns the
+    row count into ascending cut positions. Returns (frame, n).
     """
-    hist = df.groupBy(bucket.alias("_b")).agg(F.count(F.lit(1)).alias("_c"))
-    hist = cumulative_before(hist, ["_b"], weight="_c")
-    n = hist.agg(F.coalesce(F.sum("_c"), F.lit(0))).first()[0]
-    cuts = [c for c in cuts_fn(int(n))]
-    inner_cuts = [c for c in cuts if 0 < c < n]
-    located = []
-    if inner_cuts:
-        cond = None
-        for c in inner_cuts:
-            x = (F.col("_before") <= c) & (F.col("_before") + F.col("_c") > c)
-            cond = x if cond is None else (cond | x)
-        rows = hist.filter(cond).select("_b", "_c", "_before").collect()  # at most len(cuts) rows
-        for c in inner_cuts:
-            r = next(r for r in rows if r["_before"] <= c < r["_before"] + r["_c"])
-            located.append((c, r["_b"], r["_before"], r["_c"]))
-    b = bucket
-    # Cuts at or below 0 put every row above them; cuts at or beyond n none.
+    rows = df.groupBy(bucket.alias("_b")).agg(F.count(F.lit(1)).alias("_c")).limit(MAX_BUCKETS + 1).collect()
+    if len(rows) > MAX_BUCKETS:
+        raise ValueError(f"bucket expression must take at most {MAX_BUCKETS} values")
+    if any(r["_b"] is None for r in rows):
+        raise ValueError("ordering columns must not be null")
+    rows.sort(key=lambda r: r["_b"])
+    hist, before = [], 0
+    for r in rows:
+        hist.append((r["_b"], before, r["_c"]))
+        before += r["_c"]
+    n = before
+    cuts = [int(c) for c in cuts_fn(int(n))]
+    located = []  # (cut, bucket, first position of bucket, bucket count)
+    for c in cuts:
+        if 0 < c < n:
+            located.append(next((c, bk, bf, cnt) for bk, bf, cnt in hist if bf <= c < bf + cnt))
     base = sum(1 for c in cuts if c <= 0)
-    straddle = sorted({(bk, before) for (c, bk, before, _) in located if c > before})
+    b = bucket
     seg_plain = F.lit(base)
-    for (c, bk, before, _) in located:
-        above = (b > F.lit(bk)) | ((b == F.lit(bk)) & F.lit(c == before))
+    for c, bk, bf, _ in located:
+        above = (b > F.lit(bk)) | ((b == F.lit(bk)) & F.lit(c == bf))
         seg_plain = seg_plain + above.cast("int")
-    straddle_keys = [bk for bk, _ in straddle]
-    if not straddle_keys:
+    straddle = sorted({(bk, bf, cnt) for c, bk, bf, cnt in located if c > bf})
+    if not straddle:
         return df.withColumn(out, seg_plain), n
-    is_edge = b.isin(straddle_keys)
+    keys = [bk for bk, _, _ in straddle]
+    is_edge = b.isin(keys)
     plain = df.filter(~is_edge).withColumn(out, seg_plain)
     edge = df.filter(is_edge).withColumn("_eb", b)
-    edge = cumulative_before(edge, ["_eb", *order_cols], out="_pos_sub")
-    # Map the position among edge rows to the global position: a chained CASE
-    # over the (at most len(cuts)) straddled buckets.
-    case = None
-    sub_start = 0
-    for bk, before in straddle:
-        cnt = next(cc for (_, kk, bb, cc) in located if kk == bk)
+    n_edge = sum(cnt for _, _, cnt in straddle)
+    order = [F.col("_eb"), *_ordered(order_cols)]
+    if n_edge <= EDGE_LOCAL_MAX:
+        # Bounded by the counted histogram: a single ordered window is safe here.
+        edge = edge.withColumn("_pos_sub", F.row_number().over(Window.orderBy(*order)) - 1)
+    else:
+        edge = cumulative_before(edge, ["_eb", *order_cols], out="_pos_sub")
+    # Position among edge rows -> global position: CASE over the straddled buckets.
+    case, sub_start = None, 0
+    for bk, bf, cnt in straddle:
         cond = F.col("_eb") == F.lit(bk)
-        case = F.when(cond, F.lit(before - sub_start)) if case is None else case.when(cond, F.lit(before - sub_start))
+        case = F.when(cond, F.lit(bf - sub_start)) if case is None else case.when(cond, F.lit(bf - sub_start))
         sub_start += cnt
     gpos = F.col("_pos_sub") + case
     seg_edge = F.lit(base)
-    for (c, bk, before, _) in located:
-        seg_edge = seg_edge + (F.when(F.col("_eb") > F.lit(bk), 1)
-                               .when(F.col("_eb") < F.lit(bk), 0)
+    for c, bk, bf, _ in located:
+        seg_edge = seg_edge + (F.when(F.col("_eb") > F.lit(bk), 1).when(F.col("_eb") < F.lit(bk), 0)
                                .otherwise((gpos >= c).cast("int")))
     edge = edge.withColumn(out, seg_edge).drop("_eb", "_pos_sub")
     return plain.unionByName(edge), n
@@ -155,7 +179,7 @@ def temporal_split(df: DataFrame, valid_fraction: float = 0.1, test_fraction: fl
         n_train, n_valid, _ = _sizes(n, valid_fraction, test_fraction)
         return [n_train, n_train + n_valid]
 
-    out, _ = positional_segments(df, [timestamp_col, *tiebreak], F.col(timestamp_col), cuts)
+    out, _ = positional_segments(df, [timestamp_col, *tiebreak], time_bucket(df, timestamp_col), cuts)
     return out.withColumn("split", _label(F.col("_seg"))).drop("_seg")
 
 
