@@ -25,7 +25,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ranklab.session import cut_lineage
 from ranklab.operators.split import cumulative_before
 
 RANKING_METRICS = ("precision", "recall", "map", "ndcg", "mrr")
@@ -96,24 +95,34 @@ def ranking_metrics(logged: DataFrame, ranks: DataFrame, ks: Sequence[int],
             ]
         tot = per.agg(*aggs)
     else:
-        wi_rank = Window.partitionBy("INSTANCE").orderBy(F.col("RANK").asc_nulls_last()) \
-            .rangeBetween(Window.unboundedPreceding, Window.currentRow)
-        wi_ideal = Window.partitionBy("INSTANCE").orderBy(F.col("REWARD").desc(), F.col("ITEM_ID"))
-        jj = (j.withColumn("_cumhit", F.sum(F.when(rel & rank.isNotNull(), 1).otherwise(0)).over(wi_rank))
-              .withColumn("_ideal_pos", F.row_number().over(wi_ideal)))
-        aggs = [F.count_if(rel).alias("_npos")]
+        # Skew-safe general path: nothing below holds more than max(k) rows
+        # per instance in one window, whatever an instance's size.
+        maxk = max(ks)
+        npos = j.groupBy("INSTANCE").agg(F.count_if(rel).alias("_npos"))  # partial aggregation
+        # Ideal DCG: the instance's top max(k) positive rewards (WindowGroupLimit prunes per task).
+        wi = Window.partitionBy("INSTANCE").orderBy(F.col("REWARD").desc(), F.col("ITEM_ID"))
+        ideal = (logged.filter(F.col("REWARD") > 0).withColumn("_ip", F.row_number().over(wi))
+                 .filter(F.col("_ip") <= maxk)
+                 .groupBy("INSTANCE").agg(*[F.sum(F.when(F.col("_ip") <= k, F.col("REWARD") / _log2(F.col("_ip") + 1))
+                                                  .otherwise(0.0)).alias(f"_idcg_{k}") for k in ks]))
+        # Ranked rows pre-aggregated to one row per (instance, rank) <= max(k) rows per instance.
+        per_rank = (j.filter(rank.isNotNull() & (rank <= maxk)).groupBy("INSTANCE", "RANK")
+                    .agg(F.count_if(rel).alias("_h"), F.sum(F.col("REWARD")).alias("_r")))
+        wr = Window.partitionBy("INSTANCE").orderBy("RANK").rowsBetween(Window.unboundedPreceding, 0)
+        per_rank = per_rank.withColumn("_cum", F.sum("_h").over(wr))
+        aggs = []
         for k in ks:
-            hit = rel & rank.isNotNull() & (rank <= k)
+            within = F.col("RANK") <= k
             aggs += [
-                F.count_if(hit).alias(f"_hits_{k}"),
-                F.sum(F.when(hit, F.col("_cumhit") / rank).otherwise(0.0)).alias(f"_apn_{k}"),
-                F.sum(F.when(rank.isNotNull() & (rank <= k), F.col("REWARD") / _log2(rank + 1)).otherwise(0.0))
-                .alias(f"_dcg_{k}"),
-                F.sum(F.when((F.col("_ideal_pos") <= k) & (F.col("REWARD") > 0),
-                             F.col("REWARD") / _log2(F.col("_ideal_pos") + 1)).otherwise(0.0)).alias(f"_idcg_{k}"),
-                F.min(F.when(hit, rank)).alias(f"_first_{k}"),
+                F.sum(F.when(within, F.col("_h")).otherwise(0)).alias(f"_hits_{k}"),
+                F.sum(F.when(within, F.col("_h") * F.col("_cum") / F.col("RANK")).otherwise(0.0)).alias(f"_apn_{k}"),
+                F.sum(F.when(within, F.col("_r") / _log2(F.col("RANK") + 1)).otherwise(0.0)).alias(f"_dcg_{k}"),
+                F.min(F.when(within & (F.col("_h") > 0), F.col("RANK"))).alias(f"_first_{k}"),
             ]
-        inst = jj.groupBy("INSTANCE").agg(*aggs)
+        ranked = per_rank.groupBy("INSTANCE").agg(*aggs)
+        inst = npos.join(ideal, "INSTANCE", "left").join(ranked, "INSTANCE", "left")
+        inst = inst.fillna(0, subset=[f"_hits_{k}" for k in ks]).fillna(
+            0.0, subset=[c for k in ks for c in (f"_apn_{k}", f"_dcg_{k}", f"_idcg_{k}")])
         aggs2 = [F.count(F.lit(1)).alias("_n"), F.count_if(F.col("_npos") > 0).alias("_ninst_pos")]
         for k in ks:
             h = F.col(f"_hits_{k}")

@@ -89,11 +89,14 @@ def transition_scores(seq_long: DataFrame, user_col: str = "USER_ID", item_col:
     sequence models' truncation). Output (prev_item, next_item, n, prob).
     """
     part = [user_col] + ([session_col] if session_col else [])
-    w = Window.partitionBy(*part).orderBy(*[F.col(c) for c in order_cols])
-    s = seq_long.withColumn("_next", F.lead(item_col).over(w))
+    s = seq_long
     if max_len:
+        # Trim each history to its last max_len events first (WindowGroupLimit,
+        # pruned per task), so the lead() window never sees more than max_len rows.
         wr = Window.partitionBy(*part).orderBy(*[F.col(c).desc() for c in order_cols])
         s = s.withColumn("_rrev", F.row_number().over(wr)).filter(F.col("_rrev") <= max_len)
+    w = Window.partitionBy(*part).orderBy(*[F.col(c) for c in order_cols])
+    s = s.withColumn("_next", F.lead(item_col).over(w))
     pairs = s.filter(F.col("_next").isNotNull()).groupBy(F.col(item_col).alias("prev_item"),
                                                          F.col("_next").alias("next_item")).agg(
         F.count(F.lit(1)).alias("n"))

@@ -11,9 +11,10 @@ Scale notes
   ordering key (partial aggregation into at most 65,536 buckets), turns the
   bucket counts into exact offsets, and orders only the rows of the at most
   ``len(cuts)`` buckets that a cut falls into.
-* Per-user splits use a window partitioned by user. ``leave_last_n`` keeps
-  ``row_number() <= n`` so Spark plans a WindowGroupLimit that prunes every
-  user (including a hot one) to n rows before the shuffle.
+* Per-user splits never put a whole user's history in one task:
+  ``leave_last_n`` keeps ``row_number() <= n`` (a WindowGroupLimit that prunes
+  every user, including a hot one, to n rows per task before the shuffle);
+  ``random_split_per_user`` works on (user, hash bucket) groups.
 """
 
 from __future__ import annotations
@@ -209,37 +210,70 @@ def leave_last_n_per_user(df: DataFrame, n_valid: int = 1, n_test: int = 1, user
 
     Users with at most n_valid + n_test rows stay wholly in train (reported by
     ``split_info`` as users without a hold-out).
+
+    Skew-safe: the per-user tail is ``row_number() <= n_valid + n_test`` (a
+    WindowGroupLimit, so every task keeps at most that many rows per user),
+    row counts come from a partial aggregation, and the two per-user
+    thresholds (the n_test-th and the (n_valid+n_test)-th latest key) join
+    back on the user - one row per user, which AQE's skew-join handling can
+    split against a hot user's rows.
     """
     if n_valid < 0 or n_test < 0 or n_valid + n_test == 0:
         raise ValueError("n_valid and n_test must be >= 0 and not both 0")
     if timestamp_col not in df.columns:
         raise ValueError(f"leave_last_n_per_user needs the timestamp column {timestamp_col!r}")
     k = n_valid + n_test
-    order = [F.col(timestamp_col).desc(), *[F.col(c).desc() for c in tiebreak]]
-    w = Window.partitionBy(user_col).orderBy(*order)
-    cnt = Window.partitionBy(user_col)
-    ranked = df.withColumn("_rn", F.row_number().over(w)).withColumn("_n", F.count(F.lit(1)).over(cnt))
-    lab = (F.when((F.col("_n") > k) & (F.col("_rn") <= n_test), "test")
-           .when((F.col("_n") > k) & (F.col("_rn") <= k), "valid").otherwise("train"))
-    return ranked.withColumn("split", lab).drop("_rn", "_n")
+    key_cols = [timestamp_col, *tiebreak]
+    key = F.struct(*[F.col(c) for c in key_cols])
+    w = Window.partitionBy(user_col).orderBy(*[F.col(c).desc() for c in key_cols])
+    tail = df.select(user_col, *key_cols).withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= k)
+    thr = tail.groupBy(user_col).agg(
+        F.max(F.when(F.col("_rn") == n_test, key)).alias("_thr_test"),
+        F.max(F.when(F.col("_rn") == k, key)).alias("_thr_hold"))
+    counts = df.groupBy(user_col).agg(F.count(F.lit(1)).alias("_n"))
+    thr = thr.join(counts, user_col).filter(F.col("_n") > k).drop("_n")
+    j = df.join(thr, user_col, "left")
+    is_test = (key >= F.col("_thr_test")) if n_test > 0 else F.lit(False)
+    lab = (F.when(F.col("_thr_hold").isNull(), "train").when(is_test, "test")
+           .when(key >= F.col("_thr_hold"), "valid").otherwise("train"))
+    return j.withColumn("split", lab).drop("_thr_test", "_thr_hold")
 
 
 def random_split_per_user(df: DataFrame, valid_fraction: float = 0.1, test_fraction: float = 0.1,
                           random_state: int = 42, user_col: str = "USER_ID",
                           key_cols: Sequence[str] | None = None) -> DataFrame:
     """Per user, rows ordered by md5(seed|key); first floor(cnt*valid) -> valid,
-    next floor(cnt*test) -> test, the rest (always >= 1 row) -> train."""
+    next floor(cnt*test) -> test, the rest (always >= 1 row) -> train.
+
+    Skew-safe: rows are counted per (user, 4-hex-digit hash bucket) - at most
+    65,536 histogram rows per user, so the per-user prefix sum runs over a
+    bounded group - and join back on (user, bucket), which spreads a hot user
+    over 65,536 keys. Only rows of buckets that a cut falls into are ordered,
+    within (user, bucket) groups of about n_user/65,536 rows.
+    """
     _check_fractions(valid_fraction, test_fraction)
     key_cols = list(key_cols or df.columns)
-    h = seeded_hash(random_state, *key_cols)
-    w = Window.partitionBy(user_col).orderBy(h, *[F.col(c) for c in key_cols])
-    cnt = Window.partitionBy(user_col)
-    n = F.count(F.lit(1)).over(cnt)
-    nv = F.floor(n * F.lit(float(valid_fraction))).cast("long")
-    nt = F.floor(n * F.lit(float(test_fraction))).cast("long")
-    rn = F.row_number().over(w)
-    lab = F.when(rn <= nv, "valid").when(rn <= nv + nt, "test").otherwise("train")
-    return df.withColumn("split", lab)
+    d = df.withColumn("_h", seeded_hash(random_state, *key_cols)).withColumn("_b", F.substring("_h", 1, 4))
+    hist = d.groupBy(user_col, "_b").agg(F.count(F.lit(1)).alias("_c"))
+    before = Window.partitionBy(user_col).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    hist = (hist.withColumn("_bf", F.coalesce(F.sum("_c").over(before), F.lit(0)))
+            .withColumn("_n", F.sum("_c").over(Window.partitionBy(user_col))))
+    nv = F.floor(F.col("_n") * F.lit(float(valid_fraction))).cast("long")
+    nt = F.floor(F.col("_n") * F.lit(float(test_fraction))).cast("long")
+    hist = hist.withColumn("_nv", nv).withColumn("_nvt", nv + nt)
+    bf, end = F.col("_bf"), F.col("_bf") + F.col("_c")
+    straddle = ((bf < F.col("_nv")) & (F.col("_nv") < end)) | ((bf < F.col("_nvt")) & (F.col("_nvt") < end))
+    hist = hist.withColumn("_edge", straddle).drop("_c", "_n")
+    j = d.join(hist, [user_col, "_b"])
+
+    def label(pos):
+        return F.when(pos < F.col("_nv"), "valid").when(pos < F.col("_nvt"), "test").otherwise("train")
+
+    plain = j.filter(~F.col("_edge")).withColumn("split", label(F.col("_bf")))
+    wi = Window.partitionBy(user_col, "_b").orderBy("_h", *[F.col(c) for c in key_cols])
+    edge = j.filter(F.col("_edge")).withColumn("split", label(F.col("_bf") + F.row_number().over(wi) - 1))
+    drop = ["_h", "_b", "_bf", "_nv", "_nvt", "_edge"]
+    return plain.drop(*drop).unionByName(edge.drop(*drop))
 
 
 def leave_n_users_out(df: DataFrame, n_valid_users: int, n_test_users: int, random_state: int = 42,
