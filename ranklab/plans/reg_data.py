@@ -449,3 +449,66 @@ def q_join_items(spark, sf):
     g = j.groupBy("brand").agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("ITEM_ID").alias("n_items"),
                                F.round(F.avg("retailprice"), 6).alias("avg_price"))
     return g.withColumn("_k", F.lit(1)).join(n_unmatched.withColumn("_k", F.lit(1)), "_k").drop("_k")
+
+
+# ------------------------------------------------------------------ more column operators
+
+@register("binarize_revenue", f"""
+WITH {V.INTER}
+SELECT USER_ID, ITEM_ID, CAST(OUTCOME_revenue >= CAST(50000 AS DOUBLE) AS DOUBLE) AS OUTCOME, {V.INTER_KEY}
+FROM inter""")
+def q_binarize(spark, sf):
+    inter = T.interactions(spark, sf)
+    out = rs.binarize(inter, "OUTCOME_revenue", 50000.0, out="OUTCOME")
+    return out.select("USER_ID", "ITEM_ID", "OUTCOME", *T.INTER_TIEBREAK)
+
+
+@register("numeric_text_flags_customer", """
+SELECT count(TRY_CAST(CAST(c_nationkey AS VARCHAR) AS DOUBLE)) = count(c_nationkey) AND count(c_nationkey) > 0 AS nation_text,
+       count(TRY_CAST(c_mktsegment AS DOUBLE)) = count(c_mktsegment) AND count(c_mktsegment) > 0 AS c_mktsegment,
+       count(TRY_CAST(CAST(c_acctbal AS VARCHAR) AS DOUBLE)) = count(c_acctbal) AND count(c_acctbal) > 0 AS acct_text
+FROM customer""")
+def q_numeric_text(spark, sf):
+    c = T.table(spark, sf, "customer").select(F.col("c_nationkey").cast("string").alias("nation_text"),
+                                             "c_mktsegment", F.col("c_acctbal").cast("string").alias("acct_text"))
+    return rs.numeric_text_flags(c, ["nation_text", "c_mktsegment", "acct_text"])
+
+
+def _shape_sql(view: str, two_item_columns: str) -> str:
+    cte = two_item_columns  # schema fact: the view has >= 2 ITEM_* columns
+    return f"""SELECT '{view}' AS view, CASE
+      WHEN (SELECT max(c) FROM (SELECT count(*) AS c FROM {view} GROUP BY USER_ID)) > 1 THEN 'long'
+      WHEN {cte} THEN 'wide_already'
+      ELSE 'single_row_per_user' END AS shape"""
+
+
+@register("source_shapes", f"""
+WITH {V.INTER}, {V.LAB}, {V.CLS}
+{_shape_sql('inter', 'FALSE')}
+UNION ALL {_shape_sql('lab', 'TRUE')}
+UNION ALL {_shape_sql('cls', 'FALSE')}""")
+def q_shapes(spark, sf):
+    views = {"inter": T.interactions(spark, sf), "lab": T.labelled_docs(spark, sf), "cls": T.customer_classes(spark, sf)}
+    rows = [(k, rs.detect_source_shape(v)) for k, v in views.items()]
+    return spark.createDataFrame(rows, "view string, shape string")
+
+
+@register("large_table_flags", "\nUNION ALL\n".join(
+    f"SELECT '{t}' AS table_name, count(*) > 100000 AS is_large FROM {t}" for t in
+    ("lineitem", "orders", "customer", "events", "documents")))
+def q_large(spark, sf):
+    rows = [(t, pf.is_large(T.table(spark, sf, t))) for t in ("lineitem", "orders", "customer", "events", "documents")]
+    return spark.createDataFrame(rows, "table_name string, is_large boolean")
+
+
+@register("transform_priorities_wide", f"""
+WITH {V.PRIO}
+SELECT USER_ID,
+  {', '.join(f"coalesce(max(CASE WHEN ITEM_ID = '{p}' THEN OUTCOME END), 0) AS \"ITEM_{p}\"" for p in _PRIOS)},
+  arg_min("TIMESTAMP", ("TIMESTAMP", o_orderkey)) AS "TIMESTAMP",
+  arg_min(o_orderkey, ("TIMESTAMP", o_orderkey)) AS o_orderkey
+FROM prio GROUP BY USER_ID""")
+def q_transform_prio_wide(spark, sf):
+    df, _ = transform(T.priorities(spark, sf), "wide_multioutput", user_id_column="USER_ID", item_id_column="ITEM_ID",
+                      outcome_column="OUTCOME", order_cols=["TIMESTAMP", "o_orderkey"], with_report=False)
+    return df

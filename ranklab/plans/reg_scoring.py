@@ -376,3 +376,55 @@ SELECT c.conv_id, CAST(count_if(len(regexp_extract_all(c.text, '{au.FENCE_PATTER
 FROM conversations c LEFT JOIN fc USING (conv_id) GROUP BY c.conv_id""")
 def q_foreign(spark, sf):
     return au.foreign_reference_counts(T.table(spark, sf, "conversations"))
+
+
+# ------------------------------------------------------------------ wide regime, propensities
+
+@register("ranking_metrics_wide_labels", f"""
+WITH {V.LAB},
+lg AS (SELECT USER_ID AS inst, 'quality' AS ITEM_ID, ITEM_quality AS reward FROM lab
+       UNION ALL SELECT USER_ID, 'toxic', ITEM_toxic FROM lab),
+pop AS (SELECT ITEM_ID, avg(reward) AS score FROM lg GROUP BY ITEM_ID),
+top AS (SELECT ITEM_ID, row_number() OVER (ORDER BY score DESC, ITEM_ID) AS rank FROM pop),
+j AS (SELECT lg.*, t.rank FROM lg LEFT JOIN top t USING (ITEM_ID)),
+jj AS (SELECT *, sum(CASE WHEN reward > 0 THEN 1 ELSE 0 END) OVER (
+             PARTITION BY inst ORDER BY rank RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cumhit,
+          row_number() OVER (PARTITION BY inst ORDER BY reward DESC, ITEM_ID) AS ideal_pos FROM j),
+ks AS (SELECT unnest([1, 2]) AS k),
+per AS (SELECT inst, k, count_if(reward > 0) AS npos, count_if(reward > 0 AND rank <= k) AS hits,
+          sum(CASE WHEN reward > 0 AND rank <= k THEN cumhit / rank ELSE 0 END) AS apn,
+          sum(CASE WHEN rank <= k THEN reward / log2(rank + 1) ELSE 0 END) AS dcg,
+          sum(CASE WHEN ideal_pos <= k AND reward > 0 THEN reward / log2(ideal_pos + 1) ELSE 0 END) AS idcg,
+          min(CASE WHEN reward > 0 AND rank <= k THEN rank END) AS first_
+        FROM jj, ks GROUP BY inst, k),
+agg AS (SELECT k, sum(hits / k) / count(*) AS precision,
+          sum(CASE WHEN npos > 0 THEN hits / npos ELSE 0 END) / count_if(npos > 0) AS recall,
+          sum(CASE WHEN hits > 0 THEN apn / hits ELSE 0 END) / count(*) AS map,
+          sum(CASE WHEN idcg > 0 THEN dcg / idcg ELSE 0 END) / count(*) AS ndcg,
+          sum(coalesce(1 / first_, 0)) / count(*) AS mrr
+        FROM per GROUP BY k)
+SELECT 'precision' AS metric, CAST(k AS BIGINT) AS k, round(precision, 6) AS value FROM agg
+UNION ALL SELECT 'recall', k, round(recall, 6) FROM agg
+UNION ALL SELECT 'map', k, round(map, 6) FROM agg
+UNION ALL SELECT 'ndcg', k, round(ndcg, 6) FROM agg
+UNION ALL SELECT 'mrr', k, round(mrr, 6) FROM agg""")
+def q_rank_wide(spark, sf):
+    lab = T.labelled_docs(spark, sf)
+    logged = mt.logged_wide(lab, ["ITEM_quality", "ITEM_toxic"])
+    pop = logged.groupBy("ITEM_ID").agg(F.avg("REWARD").alias("score"))
+    res = mt.ranking_metrics(logged, sc.top_k_global(pop, 2), [1, 2])
+    return res.select("metric", "k", r6("value"))
+
+
+@register("empirical_propensity_by_segment", f"""
+WITH {V.INTER}, {V.USERS},
+j AS (SELECT segment, ITEM_ID FROM inter JOIN users USING (USER_ID)),
+c AS (SELECT segment, ITEM_ID, count(*) AS n FROM j GROUP BY segment, ITEM_ID)
+SELECT segment, count(*) AS n_actions, round(max(n / s), 6) AS max_propensity, round(sum(n / s), 6) AS total
+FROM (SELECT *, sum(n) OVER (PARTITION BY segment) AS s FROM c) GROUP BY segment""")
+def q_propensity(spark, sf):
+    j = T.interactions(spark, sf).join(T.users(spark, sf), "USER_ID").select("segment", "ITEM_ID")
+    p = op.empirical_propensity(j, ["segment"]).select("segment", "ITEM_ID", "PROPENSITY").distinct()
+    return p.groupBy("segment").agg(F.count(F.lit(1)).alias("n_actions"),
+                                    F.round(F.max("PROPENSITY"), 6).alias("max_propensity"),
+                                    F.round(F.sum("PROPENSITY"), 6).alias("total"))
