@@ -108,7 +108,8 @@ def profile_interactions(df: DataFrame, user_col: str | None = None, item_col: s
         if isinstance(dt, (T.TimestampType, T.TimestampNTZType, T.DateType)):
             parsed = t.cast("timestamp_ntz")
         elif isinstance(dt, NUMERIC):
-            parsed = F.timestamp_seconds(t).cast("timestamp_ntz")
+            # epoch seconds -> wall-clock UTC, independent of the session time zone
+            parsed = F.timestamp_add("SECOND", t.cast("long"), F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'"))
         else:
             parsed = F.try_to_timestamp(t.cast("string")).cast("timestamp_ntz")
         aggs += [F.min(parsed).alias("min_ts"), F.max(parsed).alias("max_ts")]
