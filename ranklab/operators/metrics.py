@@ -145,6 +145,48 @@ def ranking_metrics(logged: DataFrame, ranks: DataFrame, ks: Sequence[int],
     return tot.select(F.explode(F.array(*cols)).alias("r")).select("r.metric", "r.k", "r.value")
 
 
+def ranking_metrics_by_model(logged: DataFrame, tops: dict, ks: Sequence[int]) -> DataFrame:
+    """Single-item instances, several user-independent rankings, ONE pass over ``logged``.
+
+    The models' top-K lists (K rows each) are pivoted into one small table
+    ``ITEM_ID -> rank per model`` and broadcast - its size is bounded by the
+    sum of the Ks - so evaluating M models costs one scan of the logged rows,
+    not M. Output (model_id, metric, k, value); same definitions as
+    ``ranking_metrics``.
+    """
+    ks = sorted(set(int(k) for k in ks))
+    names = list(tops)
+    long = None
+    for name in names:
+        t = tops[name].select("ITEM_ID", F.col("rank").cast("long").alias("rank"), F.lit(name).alias("_m"))
+        long = t if long is None else long.unionByName(t)
+    wide = long.groupBy("ITEM_ID").agg(*[F.max(F.when(F.col("_m") == m, F.col("rank"))).alias(f"_r{i}")
+                                         for i, m in enumerate(names)])
+    j = logged.join(F.broadcast(wide), "ITEM_ID", "left")
+    rel = F.col("REWARD") > 0
+    aggs = [F.count(F.lit(1)).alias("_n"), F.count_if(rel).alias("_npos")]
+    for i, _ in enumerate(names):
+        rank = F.col(f"_r{i}")
+        for k in ks:
+            hit = rel & rank.isNotNull() & (rank <= k)
+            aggs += [F.count_if(hit).alias(f"h{i}_{k}"),
+                     F.sum(F.when(hit, 1.0 / rank).otherwise(0.0)).alias(f"rr{i}_{k}"),
+                     F.sum(F.when(hit, 1.0 / _log2(rank + 1)).otherwise(0.0)).alias(f"g{i}_{k}")]
+    tot = j.agg(*aggs)
+    cols = []
+    for i, name in enumerate(names):
+        for k in ks:
+            n, npos = F.col("_n"), F.col("_npos")
+            vals = {"precision": F.col(f"h{i}_{k}") / (n * k), "recall": F.col(f"h{i}_{k}") / npos,
+                    "map": F.col(f"rr{i}_{k}") / n, "ndcg": F.col(f"g{i}_{k}") / n, "mrr": F.col(f"rr{i}_{k}") / n}
+            for m in RANKING_METRICS:
+                denom = npos if m == "recall" else n
+                cols.append(F.struct(F.lit(name).alias("model_id"), F.lit(m).alias("metric"),
+                                     F.lit(k).cast("long").alias("k"),
+                                     F.when(denom > 0, vals[m]).alias("value")))
+    return tot.select(F.explode(F.array(*cols)).alias("r")).select("r.*")
+
+
 def average_reward_at_k(logged: DataFrame, ranks: DataFrame, ks: Sequence[int]) -> DataFrame:
     """Mean logged reward of the recommended top-k entries (unlogged entries count 0).
 

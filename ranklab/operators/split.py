@@ -80,21 +80,23 @@ def time_bucket(df: DataFrame, ts_col: str, n_buckets: int = MAX_BUCKETS) -> Col
     return F.expr(f"(`{ts_col}` - {int(lo)}) div {width}")
 
 
-def positional_segments(df: DataFrame, order_cols: Sequence, bucket: Column,
+def positional_segments(df: DataFrame, order_cols: Sequence[str], bucket: Column,
                         cuts_fn: Callable[[int], list[int]], out: str = "_seg") -> tuple[DataFrame, int]:
     """Segment index of every row = number of cut positions <= its 0-based position
-    in the total order ``order_cols``.
+    in the total order ``order_cols`` (column names whose values are unique together).
 
     ``bucket`` must be non-decreasing along ``order_cols`` and take at most
     ``MAX_BUCKETS`` values (a hash prefix, or ``time_bucket``). One partial
     aggregation yields the per-bucket counts - a table bounded by
     construction, so it comes back to the driver - from which every bucket's
-    first position is known. Rows of buckets that lie wholly inside one
-    segment get their segment from comparisons with the boundary buckets; only
-    the rows of the (at most ``len(cuts)``) buckets a cut falls into are
-    ordered: by a window over that bounded, counted set when it is small,
-    else by the distributed ``cumulative_before``. ``cuts_fn(n)`` turns the
-    row count into ascending cut positions. Returns (frame, n).
+    first position is known. For each cut that falls inside a bucket, one
+    more job orders only that bucket's rows (a window over the counted,
+    bounded group, or the distributed ``cumulative_before`` when the bucket is
+    large, e.g. one hot timestamp) and returns the single row at the cut. The
+    segment of every row is then one projection: comparisons of its ordering
+    key with those few threshold keys - no union, no second scan.
+    ``cuts_fn(n)`` turns the row count into ascending cut positions.
+    Returns (frame, n).
     """
     rows = df.groupBy(bucket.alias("_b")).agg(F.count(F.lit(1)).alias("_c")).limit(MAX_BUCKETS + 1).collect()
     if len(rows) > MAX_BUCKETS:
@@ -112,39 +114,33 @@ def positional_segments(df: DataFrame, order_cols: Sequence, bucket: Column,
     for c in cuts:
         if 0 < c < n:
             located.append(next((c, bk, bf, cnt) for bk, bf, cnt in hist if bf <= c < bf + cnt))
-    base = sum(1 for c in cuts if c <= 0)
-    b = bucket
-    seg_plain = F.lit(base)
+    # Threshold keys: the ordering key of the row at each cut that lies inside a bucket.
+    thresholds = {}
+    inner = [(c, bk, c - bf, cnt) for c, bk, bf, cnt in located if c > bf]
+    order = _ordered(order_cols)
+    for bk in sorted({bk for _, bk, _, _ in inner}):
+        wanted = {c: p for c, b2, p, _ in inner if b2 == bk}
+        cnt = next(cnt for _, b2, _, cnt in inner if b2 == bk)
+        rows_b = df.filter(bucket == F.lit(bk)).select(*order_cols)
+        if cnt <= EDGE_LOCAL_MAX:
+            # One bucket, counted above: a bounded group for a single ordered window.
+            pos = rows_b.withColumn("_p", F.row_number().over(Window.orderBy(*order)) - 1)
+        else:
+            pos = cumulative_before(rows_b, order_cols, out="_p")
+        got = {r["_p"]: r for r in pos.filter(F.col("_p").isin(list(wanted.values()))).collect()}
+        for c, p in wanted.items():
+            thresholds[c] = got[p]
+    types = {f.name: f.dataType for f in df.schema.fields}
+    key = F.struct(*[F.col(c) for c in order_cols])
+    seg = F.lit(sum(1 for c in cuts if c <= 0))
     for c, bk, bf, _ in located:
-        above = (b > F.lit(bk)) | ((b == F.lit(bk)) & F.lit(c == bf))
-        seg_plain = seg_plain + above.cast("int")
-    straddle = sorted({(bk, bf, cnt) for c, bk, bf, cnt in located if c > bf})
-    if not straddle:
-        return df.withColumn(out, seg_plain), n
-    keys = [bk for bk, _, _ in straddle]
-    is_edge = b.isin(keys)
-    plain = df.filter(~is_edge).withColumn(out, seg_plain)
-    edge = df.filter(is_edge).withColumn("_eb", b)
-    n_edge = sum(cnt for _, _, cnt in straddle)
-    order = [F.col("_eb"), *_ordered(order_cols)]
-    if n_edge <= EDGE_LOCAL_MAX:
-        # Bounded by the counted histogram: a single ordered window is safe here.
-        edge = edge.withColumn("_pos_sub", F.row_number().over(Window.orderBy(*order)) - 1)
-    else:
-        edge = cumulative_before(edge, ["_eb", *order_cols], out="_pos_sub")
-    # Position among edge rows -> global position: CASE over the straddled buckets.
-    case, sub_start = None, 0
-    for bk, bf, cnt in straddle:
-        cond = F.col("_eb") == F.lit(bk)
-        case = F.when(cond, F.lit(bf - sub_start)) if case is None else case.when(cond, F.lit(bf - sub_start))
-        sub_start += cnt
-    gpos = F.col("_pos_sub") + case
-    seg_edge = F.lit(base)
-    for c, bk, bf, _ in located:
-        seg_edge = seg_edge + (F.when(F.col("_eb") > F.lit(bk), 1).when(F.col("_eb") < F.lit(bk), 0)
-                               .otherwise((gpos >= c).cast("int")))
-    edge = edge.withColumn(out, seg_edge).drop("_eb", "_pos_sub")
-    return plain.unionByName(edge), n
+        if c == bf:
+            above = bucket >= F.lit(bk)
+        else:
+            thr = F.struct(*[F.lit(thresholds[c][name]).cast(types[name]).alias(name) for name in order_cols])
+            above = key >= thr
+        seg = seg + above.cast("int")
+    return df.withColumn(out, seg), n
 
 
 def _label(seg: Column) -> Column:

@@ -4,8 +4,6 @@ validation rows -> leaderboard."""
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,25 +13,22 @@ from ranklab.operators import scoring as sc
 from ranklab.operators.split import temporal_split
 from ranklab.sources import tables
 
-BASELINES = {
-    "popularity": sc.item_mean_scores,
-    "most_interacted": lambda train: sc.item_count_scores(train),
-}
-
 
 def baseline_results(spark: SparkSession, sf_dir: str, k: int = 10, valid_fraction: float = 0.1,
                      test_fraction: float = 0.1) -> DataFrame:
+    """Two user-independent scorers from ONE aggregation over train (mean outcome
+    and interaction count per item), evaluated together in ONE pass over the
+    validation rows."""
     inter = tables.interactions(spark, sf_dir)
     sp = temporal_split(inter, valid_fraction, test_fraction, "TIMESTAMP", tables.INTER_TIEBREAK)
     train = sp.filter(F.col("split") == "train")
     valid = sp.filter(F.col("split") == "valid")
+    stats = train.groupBy("ITEM_ID").agg(F.avg("OUTCOME").alias("popularity"),
+                                         F.count(F.lit(1)).cast("double").alias("most_interacted"))
+    tops = {m: sc.top_k_global(stats.select("ITEM_ID", F.col(m).alias("score")), k)
+            for m in ("popularity", "most_interacted")}
     logged = mt.logged_per_row(valid, tables.INTER_TIEBREAK)
-    parts = []
-    for name, fit in BASELINES.items():
-        top = sc.top_k_global(fit(train), k)
-        parts.append(mt.ranking_metrics(logged, top, [k], single_item_instances=True)
-                     .withColumn("model_id", F.lit(name)))
-    return reduce(DataFrame.unionByName, parts)
+    return mt.ranking_metrics_by_model(logged, tops, [k])
 
 
 def flagship(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:
