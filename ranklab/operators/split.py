@@ -118,31 +118,47 @@ def positional_segments(df: DataFrame, order_cols: Sequence[str], bucket: Column
     thresholds = {}
     inner = [(c, bk, c - bf, cnt) for c, bk, bf, cnt in located if c > bf]
     order = _ordered(order_cols)
-    for bk in sorted({bk for _, bk, _, _ in inner}):
-        wanted = {c: p for c, b2, p, _ in inner if b2 == bk}
-        cnt = next(cnt for _, b2, _, cnt in inner if b2 == bk)
-        rows_b = df.filter(bucket == F.lit(bk)).select(*order_cols)
-        if cnt <= EDGE_LOCAL_MAX:
-            # One bucket, counted above: a bounded group for a single ordered window.
-            pos = rows_b.withColumn("_p", F.row_number().over(Window.orderBy(*order)) - 1)
-        else:
-            pos = cumulative_before(rows_b, order_cols, out="_p")
+    small = sorted({bk for _, bk, _, cnt in inner if cnt <= EDGE_LOCAL_MAX})
+    if small:
+        # All small straddled buckets in ONE job; each is one counted, bounded window group.
+        rows_b = df.filter(bucket.isin(small)).select(bucket.alias("_eb"), *order_cols)
+        pos = rows_b.withColumn("_p", F.row_number().over(Window.partitionBy("_eb").orderBy(*order)) - 1)
+        cond = None
+        for c, bk, p_in, cnt in inner:
+            if bk in small:
+                x = (F.col("_eb") == F.lit(bk)) & (F.col("_p") == p_in)
+                cond = x if cond is None else (cond | x)
+        got = {(r["_eb"], r["_p"]): r for r in pos.filter(cond).collect()}  # <= len(cuts) rows
+        for c, bk, p_in, _ in inner:
+            if bk in small:
+                thresholds[c] = got[(bk, p_in)]
+    for bk in sorted({bk for _, bk, _, cnt in inner if cnt > EDGE_LOCAL_MAX}):
+        # A huge bucket (e.g. one hot timestamp): distributed prefix sum over it alone.
+        pos = cumulative_before(df.filter(bucket == F.lit(bk)).select(*order_cols), order_cols, out="_p")
+        wanted = {c: p_in for c, b2, p_in, _ in inner if b2 == bk}
         got = {r["_p"]: r for r in pos.filter(F.col("_p").isin(list(wanted.values()))).collect()}
-        for c, p in wanted.items():
-            thresholds[c] = got[p]
+        for c, p_in in wanted.items():
+            thresholds[c] = got[p_in]
     types = {f.name: f.dataType for f in df.schema.fields}
-    key = F.struct(*[F.col(c) for c in order_cols])
     seg = F.lit(sum(1 for c in cuts if c <= 0))
     for c, bk, bf, _ in located:
         if c == bf:
             above = bucket >= F.lit(bk)
         else:
-            thr = F.struct(*[F.lit(thresholds[c][name]).cast(types[name]).alias(name) for name in order_cols])
-            above = key >= thr
+            thr = [(F.col(name), F.lit(thresholds[c][name]).cast(types[name])) for name in order_cols]
+            above = (bucket > F.lit(bk)) | ((bucket == F.lit(bk)) & _lex_ge(thr))
         seg = seg + above.cast("int")
     return df.withColumn(out, seg), n
 
 
+def _lex_ge(pairs) -> Column:
+    """(a1, a2, ...) >= (b1, b2, ...) lexicographically, as plain comparisons."""
+    (a, b), rest = pairs[0], pairs[1:]
+    if not rest:
+        return a >= b
+    return (a > b) | ((a == b) & _lex_ge(rest))
+
+
 def _label(seg: Column) -> Column:
     return F.when(seg == 0, "train").when(seg == 1, "valid").otherwise("test")
 
