@@ -14,6 +14,7 @@ import dataclasses
 import time
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import FMClassifier, GBTClassifier, LogisticRegression
 from pyspark.ml.feature import FeatureHasher, StringIndexer, VectorAssembler
@@ -99,7 +100,16 @@ def fit_universal(train: DataFrame, numeric: Sequence[str], categorical: Sequenc
         est = FMClassifier(**kw) if task == "classification" else FMRegressor(**kw)
     else:
         raise ValueError(f"unknown universal family {family!r}")
-    return Pipeline(stages=[feats, est]).fit(train)
+    # Feature stages fitted once; the assembled vectors are persisted for the
+    # estimator's many passes (each boosting round / SGD epoch re-reads them)
+    # instead of recomputing the joins behind ``train`` every time.
+    fe = feats.fit(train)
+    vec = fe.transform(train).select("features", label).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        model = est.fit(vec)
+    finally:
+        vec.unpersist()
+    return PipelineModel(stages=[fe, model])
 
 
 def score_pairs(model: PipelineModel, pairs: DataFrame, task: str = "classification") -> DataFrame:

@@ -13,6 +13,7 @@ from ranklab.operators import split as sp
 from ranklab.operators import stats as st
 from ranklab.plans import sql_views as V
 from ranklab.plans import sweep as sw
+from ranklab.session import materialize
 from ranklab.sources import tables as T
 
 QUERIES = {}
@@ -33,8 +34,10 @@ def r6(c):
 
 
 def _split(spark, sf):
+    """Temporal split written once (partitioned by split) before the multi-pass fits."""
     s = sp.temporal_split(T.interactions(spark, sf), 0.1, 0.1, "TIMESTAMP", T.INTER_TIEBREAK)
-    return s.filter(F.col("split") == "train"), s.filter(F.col("split") == "valid")
+    s = materialize(s, "temporal-split", partition_by=("split",))
+    return s.filter(F.col("split") == "train").drop("split"), s.filter(F.col("split") == "valid").drop("split")
 
 
 def _features(df, spark, sf):

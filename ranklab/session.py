@@ -65,3 +65,21 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` to the reliable checkpoint folder (survives executor loss)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def materialize(df: DataFrame, name: str, partition_by: tuple = ()) -> DataFrame:
+    """Write ``df`` once as Parquet under the reliable checkpoint folder and read it back.
+
+    Used before multi-pass work (model fits, several consumers of one split):
+    later passes read the written table - with partition pruning when
+    ``partition_by`` is given - instead of recomputing the lineage, and a lost
+    executor costs a re-read, not a recomputation.
+    """
+    import uuid
+    root = ensure_checkpoint_dir(df.sparkSession)
+    path = os.path.join(root, f"{name}-{uuid.uuid4().hex}")
+    w = df.write.mode("errorifexists")
+    if partition_by:
+        w = w.partitionBy(*partition_by)
+    w.parquet(path)
+    return df.sparkSession.read.parquet(path)
