@@ -25,7 +25,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ranklab.operators.split import cumulative_before
+from ranklab.operators.split import prefix_sums
 
 RANKING_METRICS = ("precision", "recall", "map", "ndcg", "mrr")
 NON_K_METRICS = ("roc_auc", "pr_auc", "rmse", "mae", "expected_reward")
@@ -239,11 +239,13 @@ def _auc_from_hist(hist: DataFrame, group_cols: Sequence[str]) -> DataFrame:
         h = (hist.withColumn("nb", F.coalesce(F.sum("q").over(asc), F.lit(0)))
              .withColumn("tp", F.sum("p").over(desc)).withColumn("fp", F.sum("q").over(desc)))
     else:
-        # Global: distributed prefix sums over the distinct-score table.
-        h = cumulative_before(hist, ["score"], weight="q", out="nb")
-        h = cumulative_before(h.withColumn("_neg", -F.col("score")), ["_neg"], weight="p", out="_tpb")
-        h = cumulative_before(h, ["_neg"], weight="q", out="_fpb").drop("_neg")
-        h = h.withColumn("tp", F.col("_tpb") + F.col("p")).withColumn("fp", F.col("_fpb") + F.col("q"))
+        # Global: one distributed pass of prefix sums over the distinct-score
+        # table gives positives and negatives strictly below each score; the
+        # counts at or above it are the totals minus those.
+        tot = hist.agg(F.sum("p"), F.sum("q")).first()  # two scalars
+        P, N = int(tot[0] or 0), int(tot[1] or 0)
+        h = prefix_sums(hist, ["score"], {"_pb": "p", "nb": "q"})
+        h = h.withColumn("tp", F.lit(P) - F.col("_pb")).withColumn("fp", F.lit(N) - F.col("nb"))
     agg = h.groupBy(*g).agg(
         F.sum("p").alias("P"), F.sum("q").alias("N"),
         F.sum(F.col("p") * (F.col("nb") + F.col("q") / 2.0)).alias("_u"),

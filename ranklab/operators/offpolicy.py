@@ -18,7 +18,7 @@ Estimators (``avg`` over logged rows):
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 REQUIRED = ("INSTANCE", "ITEM_ID", "REWARD", "PROPENSITY")
@@ -26,16 +26,21 @@ ESTIMATORS = ("replay_match", "IPS", "SNIPS", "direct_method", "DR", "policy_wei
 
 
 def empirical_propensity(logged: DataFrame, segment_cols=(), item_col: str = "ITEM_ID") -> DataFrame:
-    """E22 helper: b(a|segment) = share of action a among the segment's logged rows."""
+    """E22 helper: b(a|segment) = share of action a among the segment's logged rows.
+
+    Counts per (segment, action) and per segment are partial aggregations; the
+    per-segment totals join back on the segment key (a constant key when
+    there is no segment - a one-row side, no extra job).
+    """
     seg = list(segment_cols)
     counts = logged.groupBy(*seg, item_col).agg(F.count(F.lit(1)).alias("_na"))
-    tot = (F.sum("_na").over(Window.partitionBy(*seg)) if seg else None)
-    if tot is None:
-        total = logged.count()
-        counts = counts.withColumn("PROPENSITY", F.col("_na") / F.lit(float(total)))
-    else:
-        counts = counts.withColumn("PROPENSITY", F.col("_na") / tot)
-    return logged.join(counts.drop("_na"), [*seg, item_col], "left")
+    totals = logged.groupBy(*seg).agg(F.count(F.lit(1)).alias("_ns"))
+    if not seg:
+        counts, totals, seg = counts.withColumn("_k", F.lit(1)), totals.withColumn("_k", F.lit(1)), ["_k"]
+    prop = counts.join(totals, seg).select(*[c for c in seg if c != "_k"], item_col,
+                                           (F.col("_na") / F.col("_ns")).alias("PROPENSITY"))
+    keys = [c for c in seg if c != "_k"] + [item_col]
+    return logged.join(prop, keys, "left")
 
 
 def check_inputs(logged: DataFrame, needs_propensity: bool = True) -> None:
@@ -47,27 +52,37 @@ def check_inputs(logged: DataFrame, needs_propensity: bool = True) -> None:
                          "logging propensities); use empirical_propensity() to estimate b(a|x)")
 
 
-def off_policy_estimates(logged: DataFrame, top1: DataFrame, q: DataFrame, epsilon: float = 0.1,
-                         user_based: bool = False) -> DataFrame:
+def off_policy_estimates(logged: DataFrame, q: DataFrame, epsilon: float = 0.1,
+                         top1: DataFrame | None = None) -> DataFrame:
     """All six estimators in one aggregation -> (metric, value).
 
-    ``top1``: (ITEM_ID) single row for a user-independent policy, or
-    (USER_ID, ITEM_ID) per user. ``q``: (ITEM_ID, q) expected reward model;
-    unseen actions get q = 0. |A| is the number of actions in ``q``.
+    ``q``: (ITEM_ID, q) expected-reward model; unseen actions get q = 0 and |A|
+    is the number of actions in ``q``. ``top1``: the policy's greedy action,
+    (USER_ID, ITEM_ID) per user or a one-row (ITEM_ID); when None the policy is greedy on ``q``
+    itself (one global action). The q statistics (|A|, mean q and, for the
+    global policy, the argmax with ties by item id) come from one aggregation.
     """
     check_inputs(logged)
     eps = float(epsilon)
-    n_actions = q.count()
-    q_mean = q.agg(F.avg("q")).first()[0] or 0.0
+    stats = q.agg(F.count(F.lit(1)).alias("n"), F.avg("q").alias("m"),
+                  F.min_by(F.struct("ITEM_ID", "q"), F.struct((-F.col("q")).alias("nq"), "ITEM_ID")).alias("top")
+                  ).first()
+    n_actions, q_mean = stats["n"], stats["m"] or 0.0
     qq = q.select("ITEM_ID", "q")
-    if user_based:
+    if top1 is not None and "USER_ID" not in top1.columns:
+        # A global policy given as a one-row table.
+        item = top1.select("ITEM_ID").first()[0]
+        qtop = q.filter(F.col("ITEM_ID") == F.lit(item)).select("q").first()
+        stats = {"top": {"ITEM_ID": item, "q": qtop[0] if qtop else 0.0}, "n": n_actions, "m": q_mean}
+        top1 = None
+    if top1 is not None:
         t = top1.select("USER_ID", F.col("ITEM_ID").alias("_top"))
-        j = logged.join(t, "USER_ID", "left")
+        j = logged.join(t, "USER_ID", "left").join(
+            qq.select(F.col("ITEM_ID").alias("_top"), F.col("q").alias("_qtop")), "_top", "left")
     else:
-        top_item = top1.select("ITEM_ID").first()[0]
-        j = logged.withColumn("_top", F.lit(top_item))
-    j = (j.join(qq, "ITEM_ID", "left").withColumn("_q", F.coalesce(F.col("q"), F.lit(0.0))).drop("q")
-         .join(qq.select(F.col("ITEM_ID").alias("_top"), F.col("q").alias("_qtop")), "_top", "left"))
+        j = logged.withColumn("_top", F.lit(stats["top"]["ITEM_ID"])).withColumn(
+            "_qtop", F.lit(float(stats["top"]["q"])))
+    j = j.join(qq, "ITEM_ID", "left").withColumn("_q", F.coalesce(F.col("q"), F.lit(0.0))).drop("q")
     match = (F.col("ITEM_ID") == F.col("_top"))
     pi = F.when(match, F.lit(1 - eps)).otherwise(F.lit(0.0)) + F.lit(eps / n_actions)
     w = pi / F.col("PROPENSITY")

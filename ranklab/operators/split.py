@@ -66,6 +66,27 @@ def cumulative_before(df: DataFrame, order_cols: Sequence, weight: str | None =
             .drop("_w", "_mid", "_part", "_local", "_off"))
 
 
+def prefix_sums(df: DataFrame, order_cols: Sequence, weights: dict) -> DataFrame:
+    """Several exclusive running sums in ONE distributed pass: for each
+    ``out -> weight column`` pair, the sum of the weight over all rows before
+    each row in the total order ``order_cols`` (one sort, one checkpoint, one
+    per-partition offset table bounded by the partition count)."""
+    names = list(weights)
+    s = df.withColumns({f"_w{i}": F.col(weights[n]).cast("long") for i, n in enumerate(names)})
+    s = s.orderBy(*_ordered(order_cols)).withColumn("_mid", F.monotonically_increasing_id())
+    s = cut_lineage(s).withColumn("_part", F.shiftright("_mid", 33))
+    wl = Window.partitionBy("_part").orderBy("_mid").rowsBetween(Window.unboundedPreceding, -1)
+    local = s.withColumns({f"_l{i}": F.coalesce(F.sum(f"_w{i}").over(wl), F.lit(0)) for i in range(len(names))})
+    tot = s.groupBy("_part").agg(*[F.sum(f"_w{i}").alias(f"_t{i}") for i in range(len(names))])
+    wo = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
+    offsets = tot.select("_part", *[F.coalesce(F.sum(f"_t{i}").over(wo), F.lit(0)).alias(f"_o{i}")
+                                    for i in range(len(names))])
+    out = local.join(F.broadcast(offsets), "_part").withColumns(
+        {n: (F.col(f"_o{i}") + F.col(f"_l{i}")).cast("long") for i, n in enumerate(names)})
+    tmp = [f"_{x}{i}" for i in range(len(names)) for x in ("w", "l", "o")]
+    return out.drop("_mid", "_part", *tmp)
+
+
 MAX_BUCKETS = 1 << 16
 EDGE_LOCAL_MAX = 2_000_000
 

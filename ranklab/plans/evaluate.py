@@ -144,7 +144,7 @@ def evaluate(model_id: str, scores: Scores, logged: DataFrame, evaluator: str =
     else:
         top1 = topk.filter(F.col("rank") == 1)
         q = items.withColumnRenamed("score", "q") if items is not None else None
-        est = op.off_policy_estimates(logged, top1, q, epsilon, user_based="USER_ID" in top1.columns)
+        est = op.off_policy_estimates(logged, q, epsilon, top1=top1)
         parts.append(est.filter(F.col("metric") == evaluator).select(
             "metric", F.lit(None).cast("long").alias("k"), "value"))
     out = reduce(DataFrame.unionByName, parts)

@@ -119,7 +119,7 @@ def test_snips_equals_ips_when_weights_are_one(spark):
                                    "INSTANCE string, USER_ID string, ITEM_ID string, REWARD double, PROPENSITY double")
     q = spark.createDataFrame([(f"i{j}", 0.5) for j in range(4)], "ITEM_ID string, q double")
     top1 = spark.createDataFrame([("i0",)], "ITEM_ID string")
-    got = {r["metric"]: r["value"] for r in op.off_policy_estimates(logged, top1, q, epsilon=1.0).collect()}
+    got = {r["metric"]: r["value"] for r in op.off_policy_estimates(logged, q, epsilon=1.0, top1=top1).collect()}
     assert got["IPS"] == pytest.approx(got["SNIPS"]) == pytest.approx(0.5)
     assert got["direct_method"] == pytest.approx(0.5)
 
