@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ranklab.functions.columns import seeded_hash
+from ranklab.operators.ordered import with_neighbors
 
 MAX_BROADCAST_ROWS = 1_000_000
 
@@ -95,8 +96,14 @@ def transition_scores(seq_long: DataFrame, user_col: str = "USER_ID", item_col:
         # pruned per task), so the lead() window never sees more than max_len rows.
         wr = Window.partitionBy(*part).orderBy(*[F.col(c).desc() for c in order_cols])
         s = s.withColumn("_rrev", F.row_number().over(wr)).filter(F.col("_rrev") <= max_len)
-    w = Window.partitionBy(*part).orderBy(*[F.col(c) for c in order_cols])
-    s = s.withColumn("_next", F.lead(item_col).over(w))
+        w = Window.partitionBy(*part).orderBy(*[F.col(c) for c in order_cols])
+        s = s.withColumn("_next", F.lead(item_col).over(w))
+    else:
+        # Whole histories: next event from range pieces (a hot user spans many tasks).
+        vals = [item_col] + ([session_col] if session_col else [])
+        s = with_neighbors(s, [user_col], list(order_cols), vals, "next", prefix="_n_")
+        same = (F.col("_n_" + session_col) == F.col(session_col)) if session_col else F.lit(True)
+        s = s.withColumn("_next", F.when(same, F.col("_n_" + item_col)))
     pairs = s.filter(F.col("_next").isNotNull()).groupBy(F.col(item_col).alias("prev_item"),
                                                          F.col("_next").alias("next_item")).agg(
         F.count(F.lit(1)).alias("n"))
