@@ -200,3 +200,43 @@ def q_markov(spark, sf):
     held = s.filter(F.col("split") == "test").withColumn("OUTCOME", F.lit(1.0))
     res = mt.ranking_metrics(mt.logged_per_row(held, ["event_id"]), ranks, [1, 3], single_item_instances=True)
     return res.select("metric", "k", r6("value"))
+
+
+@register("sweep_leaderboard_interactions")
+def q_sweep(spark, sf):
+    """L7-L16 end to end: eligibility on the data profile, then a concurrent,
+    failure-isolated sweep of three Spark ML methods on one written split,
+    ranked by ROC AUC on the validation pairs (each method scores the pairs
+    it can score - no user x item product)."""
+    train, valid = _split(spark, sf)
+    prof = pf.bundle_profile(train, T.users(spark, sf), T.items(spark, sf)).first().asDict()
+    prof["has_timestamps"] = True
+    requested = sw.resolve_methods("long_interactions", [
+        {"short_name": "gbt_universal", "estimator": "gbt", "params": {"n_estimators": 10, "max_depth": 3}},
+        {"short_name": "als_universal", "estimator_type": "embedding", "estimator": "als",
+         "params": {"n_factors": 8, "epochs": 5}},
+        {"short_name": "fm_universal", "estimator_type": "embedding", "estimator": "fm",
+         "params": {"embedding_dim": 4, "epochs": 2}},
+    ])
+    methods = [m for m in requested if sw.is_compatible(m)[0] and sw.eligible(m, prof)[0]]
+    ft, fv = _features(train, spark, sf), _features(valid, spark, sf)
+
+    def fit_eval(m):
+        if m["estimator"] == "als":
+            h = ln.fit_als(train, rank=m["params"]["n_factors"], max_iter=m["params"]["epochs"])
+            pairs = fv.join(h.extras["umap"], "USER_ID").join(h.extras["imap"], "ITEM_ID")
+            scored = h.model.transform(pairs).withColumnRenamed("prediction", "score")
+        else:
+            model = ln.fit_universal(ft, NUMERIC if m["estimator"] == "gbt" else ["acctbal", "retailprice"],
+                                     CATEGORICAL if m["estimator"] == "gbt" else [], m["estimator"],
+                                     params=m["params"])
+            scored = ln.score_pairs(model, fv)
+        auc = mt.classification_metrics(scored, "OUTCOME", "score").first()["roc_auc"]
+        return {"roc_auc": auc}
+
+    rows = sw.sweep(methods, fit_eval, bundle_id=f"inter:{sf}", primary_metric="roc_auc", max_workers=3,
+                    keep_top_k=2)
+    out = [(r["model_id"], r["status"], r["position"], r["keep"],
+            None if r.get("metrics", {}).get("roc_auc") is None else round(r["metrics"]["roc_auc"], 6))
+           for r in rows]
+    return spark.createDataFrame(out, "model_id string, status string, position int, keep boolean, roc_auc double")
