@@ -25,6 +25,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ranklab.operators.ordered import range_pieces, with_running_sums
 from ranklab.operators.split import prefix_sums
 
 RANKING_METRICS = ("precision", "recall", "map", "ndcg", "mrr")
@@ -234,10 +235,15 @@ def _auc_from_hist(hist: DataFrame, group_cols: Sequence[str]) -> DataFrame:
     """
     g = list(group_cols)
     if g:
-        asc = Window.partitionBy(*g).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-        desc = Window.partitionBy(*g).orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, 0)
-        h = (hist.withColumn("nb", F.coalesce(F.sum("q").over(asc), F.lit(0)))
-             .withColumn("tp", F.sum("p").over(desc)).withColumn("fp", F.sum("q").over(desc)))
+        # Per group: running sums along the score order from range pieces, so a
+        # hot group with many distinct scores is spread over many tasks.
+        pieces = range_pieces(hist, g, ["score"])
+        h = with_running_sums(pieces, g, ["score"], {"_cp": "p", "_cq": "q"})
+        tot = hist.groupBy(*g).agg(F.sum("p").alias("_P"), F.sum("q").alias("_N"))  # one row per group
+        h = h.join(tot, g).withColumns({
+            "nb": F.col("_cq") - F.col("q"),
+            "tp": F.col("_P") - F.col("_cp") + F.col("p"),
+            "fp": F.col("_N") - F.col("_cq") + F.col("q")}).drop("_rp", "_cp", "_cq", "_P", "_N")
     else:
         # Global: one distributed pass of prefix sums over the distinct-score
         # table gives positives and negatives strictly below each score; the

@@ -60,16 +60,24 @@ def with_neighbors(df: DataFrame, group_cols: Sequence[str], order_cols: Sequenc
     return out.drop("_edge", "_nb")
 
 
-def with_running_sum(s: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str], value_col: str,
-                     out: str) -> DataFrame:
-    """Inclusive running sum of ``value_col`` along each group's order, on a frame
-    that carries ``_rp`` from ``range_pieces``: in-piece running sum plus the
-    totals of the group's earlier pieces."""
+def with_running_sums(s: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str], sums: dict) -> DataFrame:
+    """Inclusive running sums ``out -> value column`` along each group's order, on
+    a frame that carries ``_rp`` from ``range_pieces``: in-piece running sums
+    plus the totals of the group's earlier pieces (one per-piece table, one join)."""
     order = [F.col(c) for c in order_cols]
+    names = list(sums)
     w = Window.partitionBy("_rp", *group_cols).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    s = s.withColumn("_loc", F.sum(value_col).over(w))
-    per_piece = s.groupBy("_rp", *group_cols).agg(F.sum(value_col).alias("_pt"))
+    s = s.withColumns({f"_loc{i}": F.sum(sums[n]).over(w) for i, n in enumerate(names)})
+    per_piece = s.groupBy("_rp", *group_cols).agg(*[F.sum(sums[n]).alias(f"_pt{i}") for i, n in enumerate(names)])
     wp = Window.partitionBy(*group_cols).orderBy("_rp").rowsBetween(Window.unboundedPreceding, -1)
-    per_piece = per_piece.select("_rp", *group_cols, F.coalesce(F.sum("_pt").over(wp), F.lit(0)).alias("_off"))
-    return (s.join(per_piece, ["_rp", *group_cols], "left")
-            .withColumn(out, (F.col("_off") + F.col("_loc")).cast("long")).drop("_loc", "_off"))
+    per_piece = per_piece.select("_rp", *group_cols, *[F.coalesce(F.sum(f"_pt{i}").over(wp), F.lit(0)).alias(f"_off{i}")
+                                                       for i in range(len(names))])
+    out = s.join(per_piece, ["_rp", *group_cols], "left")
+    out = out.withColumns({n: (F.col(f"_off{i}") + F.col(f"_loc{i}")) for i, n in enumerate(names)})
+    return out.drop(*[f"_{x}{i}" for i in range(len(names)) for x in ("loc", "off")])
+
+
+def with_running_sum(s: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str], value_col: str,
+                     out: str) -> DataFrame:
+    """One inclusive running sum (see ``with_running_sums``), as a long."""
+    return with_running_sums(s, group_cols, order_cols, {out: value_col}).withColumn(out, F.col(out).cast("long"))
