@@ -240,3 +240,26 @@ def q_sweep(spark, sf):
             None if r.get("metrics", {}).get("roc_auc") is None else round(r["metrics"]["roc_auc"], 6))
            for r in rows]
     return spark.createDataFrame(out, "model_id string, status string, position int, keep boolean, roc_auc double")
+
+
+@register("search_trials_als")
+def q_search(spark, sf):
+    """Quasi-random (Halton) search over ALS factors, epochs and regularisation;
+    trials fitted in parallel on one written split, ranked by NDCG@10 (best first)."""
+    train, valid = _split(spark, sf)
+    logged = mt.logged_per_row(valid, T.INTER_TIEBREAK)
+
+    def fit_eval(m):
+        p = m["params"]
+        h = ln.fit_als(train, rank=int(p["n_factors"]), max_iter=int(p["epochs"]), reg=float(p["reg"]))
+        res = mt.ranking_metrics(logged, ln.als_top_k(h, valid, 10), [10], single_item_instances=True)
+        return {f"{r['metric']}@10": r["value"] for r in res.collect()}
+
+    base = sw.resolve_methods("long_interactions", "als_universal")[0]
+    space = {"n_factors": ("int", 4, 16, {"step": 4}), "epochs": ("int", 2, 5, {}),
+             "reg": ("float", 0.01, 1.0, {"log": True})}
+    trials = sw.search(base, space, fit_eval, n_trials=3, sampler="qmc", metric="ndcg@10", max_workers=3)
+    rows = [(t["trial"], int(t["params"]["n_factors"]), int(t["params"]["epochs"]), round(t["params"]["reg"], 6),
+             None if t["value"] is None else round(t["value"], 6), t["status"], i + 1) for i, t in enumerate(trials)]
+    return spark.createDataFrame(rows, "trial int, n_factors int, epochs int, reg double, ndcg_at_10 double, "
+                                       "status string, position int")
