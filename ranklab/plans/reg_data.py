@@ -512,3 +512,15 @@ def q_transform_prio_wide(spark, sf):
     df, _ = transform(T.priorities(spark, sf), "wide_multioutput", user_id_column="USER_ID", item_id_column="ITEM_ID",
                       outcome_column="OUTCOME", order_cols=["TIMESTAMP", "o_orderkey"], with_report=False)
     return df
+
+
+@register("transform_lineitem_selected_features", """
+SELECT CAST(l_orderkey AS VARCHAR) AS USER_ID, CAST(l_partkey AS VARCHAR) AS ITEM_ID, l_quantity AS OUTCOME,
+       l_tax, l_returnflag, l_linestatus
+FROM lineitem""")
+def q_transform_select(spark, sf):
+    """T9 + R21: long contract plus regex feature selection (other columns dropped at the scan)."""
+    df, _ = transform(T.table(spark, sf, "lineitem"), "long_interactions", user_id_column="l_orderkey",
+                      item_id_column="l_partkey", outcome_column="l_quantity",
+                      feature_pattern=r"l_(tax|returnflag|linestatus)", with_report=False)
+    return df
