@@ -5,8 +5,6 @@ Nothing here collects data to the driver except one-row summaries.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T

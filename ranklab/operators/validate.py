@@ -6,8 +6,6 @@ or semi joins that stop at the first witness where possible.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
