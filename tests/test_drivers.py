@@ -88,3 +88,17 @@ def test_streaming_ingest(spark):
     out = spark.read.parquet(sink)
     r = out.first()
     assert r["USER_ID"] == "1" and r["OUTCOME"] == 1.0 and r["TIMESTAMP"] == 1704067200
+
+
+def test_streaming_ingest_resumes_exactly_once(spark):
+    d = tempfile.mkdtemp(prefix="ranklab-stream2-")
+    src, sink, ckpt = os.path.join(d, "in"), os.path.join(d, "out"), os.path.join(d, "ckpt")
+    schema = "uid long, iid long, rew long, ts string"
+    mapping = {"uid": "USER_ID", "iid": "ITEM_ID", "rew": "OUTCOME", "ts": "TIMESTAMP"}
+    spark.createDataFrame([(1, 10, 1, "2024-01-01 00:00:00")], schema).write.parquet(os.path.join(src, "b1"))
+    first = spark.createDataFrame([], schema).schema
+    start_ingest(spark, os.path.join(src, "*"), first, sink, mapping, checkpoint_dir=ckpt).awaitTermination(120)
+    spark.createDataFrame([(2, 20, 0, "2024-01-02 00:00:00")], schema).write.parquet(os.path.join(src, "b2"))
+    start_ingest(spark, os.path.join(src, "*"), first, sink, mapping, checkpoint_dir=ckpt).awaitTermination(120)
+    got = sorted(r["USER_ID"] for r in spark.read.parquet(sink).collect())
+    assert got == ["1", "2"]  # the restarted job appended only the new file
