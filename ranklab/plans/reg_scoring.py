@@ -427,3 +427,38 @@ def q_propensity(spark, sf):
     return p.groupBy("segment").agg(F.count(F.lit(1)).alias("n_actions"),
                                     F.round(F.max("PROPENSITY"), 6).alias("max_propensity"),
                                     F.round(F.sum("PROPENSITY"), 6).alias("total"))
+
+
+@register("evaluate_driver_popularity", f"""
+WITH {_SP}, {_POP},
+top AS (SELECT ITEM_ID, row_number() OVER (ORDER BY score DESC, ITEM_ID) AS rank FROM pop QUALIFY rank <= 10),
+v AS (SELECT * FROM sp WHERE split = 'valid'),
+j AS (SELECT v.OUTCOME AS reward, t.rank FROM v LEFT JOIN top t USING (ITEM_ID)),
+m AS (SELECT
+  sum(CASE WHEN reward > 0 AND rank <= 5 THEN CAST(1 AS DOUBLE) / 5 ELSE 0 END) / count(*) AS p5,
+  sum(CASE WHEN reward > 0 AND rank <= 10 THEN CAST(1 AS DOUBLE) / 10 ELSE 0 END) / count(*) AS p10,
+  sum(CASE WHEN reward > 0 AND rank <= 5 THEN 1 / log2(rank + 1) ELSE 0 END) / count(*) AS n5,
+  sum(CASE WHEN reward > 0 AND rank <= 10 THEN 1 / log2(rank + 1) ELSE 0 END) / count(*) AS n10 FROM j),
+scored AS (SELECT v.OUTCOME AS label, p.score FROM v JOIN pop p USING (ITEM_ID)),
+auc AS ({_auc_sql(None)}),
+pi AS (SELECT ITEM_ID, exp(score - (SELECT max(score) FROM pop))
+                       / (SELECT sum(exp(score - (SELECT max(score) FROM pop))) FROM pop) AS pi FROM pop)
+SELECT 'popularity' AS model_id, 'precision@5' AS metric_key, round(p5, 6) AS value FROM m
+UNION ALL SELECT 'popularity', 'precision@10', round(p10, 6) FROM m
+UNION ALL SELECT 'popularity', 'ndcg@5', round(n5, 6) FROM m
+UNION ALL SELECT 'popularity', 'ndcg@10', round(n10, 6) FROM m
+UNION ALL SELECT 'popularity', 'roc_auc', roc_auc FROM auc
+UNION ALL SELECT 'popularity', 'expected_reward', round(avg(coalesce(pi.pi, 0) * v.OUTCOME), 6)
+          FROM v LEFT JOIN pi USING (ITEM_ID)""")
+def q_eval_driver(spark, sf):
+    """E13-E15, E23 through the evaluation driver: one long result table keyed name@k."""
+    from ranklab.plans import evaluate as ev
+    train, valid = _temporal(spark, sf)
+    pop = sc.item_mean_scores(train)
+    logged = mt.logged_per_row(valid, T.INTER_TIEBREAK)
+    pairs = valid.select("USER_ID", "ITEM_ID").distinct().join(pop, "ITEM_ID")  # scores of the logged pairs only
+    res = ev.evaluate("popularity", ev.Scores(topk=sc.top_k_global(pop, 10), pair_scores=pairs, item_scores=pop),
+                      logged, metrics=["NDCG_at_k", "precision_at_k", "roc_auc", "expected_reward"], k_values=[5, 10],
+                      bundle_version=hash((sf, "temporal", 0.1, 0.1)), single_item_instances=True, refresh_scores=True)
+    key = F.when(F.col("k").isNull(), F.col("metric")).otherwise(F.concat_ws("@", "metric", F.col("k").cast("string")))
+    return res.select("model_id", key.alias("metric_key"), r6("value"))
