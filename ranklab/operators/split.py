@@ -241,8 +241,8 @@ def leave_last_n_per_user(df: DataFrame, n_valid: int = 1, n_test: int = 1, user
                           timestamp_col: str = "TIMESTAMP", tiebreak: Sequence[str] = ()) -> DataFrame:
     """Per user, the last n_test rows -> test, the n_valid before -> valid.
 
-    Users with at most n_valid + n_test rows stay wholly in train (reported by
-    ``split_info`` as users without a hold-out).
+    Users with at most n_valid + n_test rows stay wholly in train (counted by
+    ``holdout_report`` as users without a hold-out).
 
     Skew-safe: the per-user tail is ``row_number() <= n_valid + n_test`` (a
     WindowGroupLimit, so every task keeps at most that many rows per user),
@@ -352,6 +352,15 @@ def split_info(split_df: DataFrame, timestamp_col: str | None = "TIMESTAMP") ->
     return split_df.groupBy("split").agg(*aggs)
 
 
+def holdout_report(split_df: DataFrame, user_col: str = "USER_ID") -> DataFrame:
+    """Users that kept every row in train (too short for a hold-out) versus
+    users with held-out rows - one partial aggregation per user, then one row."""
+    per_user = split_df.groupBy(user_col).agg(F.bool_and(F.col("split") == "train").alias("_train_only"))
+    return per_user.agg(F.count(F.lit(1)).alias("n_users"),
+                        F.count_if(F.col("_train_only")).alias("n_users_without_holdout"),
+                        F.count_if(~F.col("_train_only")).alias("n_users_with_holdout"))
+
+
 def check_not_degenerate(split_df: DataFrame, user_col: str = "USER_ID", want_valid: bool = True) -> dict:
     """Refuse a split whose requested valid part is empty; explain one-row users."""
     counts = {r["split"]: r["n_rows"] for r in split_info(split_df, None).collect()}  # <= 3 rows

@@ -60,6 +60,13 @@ def test_leave_last_n(spark):
     assert out[10] == "train" and out[11] == "train"  # too short for a hold-out
 
 
+def test_holdout_report_counts_short_users(spark):
+    df = spark.createDataFrame([("a", i, i) for i in range(5)] + [("b", 0, 10), ("b", 1, 11)],
+                               "USER_ID string, TIMESTAMP long, rid long")
+    r = sp.holdout_report(sp.leave_last_n_per_user(df, 1, 1, tiebreak=["rid"])).first()
+    assert (r["n_users"], r["n_users_without_holdout"], r["n_users_with_holdout"]) == (2, 1, 1)
+
+
 def test_random_per_user_keeps_every_user_in_train(spark):
     data, df = _frame(spark, n=300)
     s = sp.random_split_per_user(df, 0.2, 0.2, 1, key_cols=["rid"])

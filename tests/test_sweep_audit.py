@@ -140,3 +140,16 @@ def test_model_registry_roundtrip(spark):
     with pytest.raises(rg.RegistryError):
         rg.validate_model_name("../etc")
     assert os.path.isdir(os.path.join(root, "m1", "model"))
+
+
+def test_search_ranks_saves_and_picks_best(spark):
+    base = {"short_name": "m", "estimator": "gbt", "params": {"x": 0}}
+    space = {"x": ("int", 0, 10, {})}
+    trials = sw.search(base, space, lambda m: {"score": -abs(m["params"]["x"] - 7)}, n_trials=6,
+                       sampler="random", metric="score", seed=3)
+    values = [t["value"] for t in trials]
+    assert values == sorted(values, reverse=True)
+    best = sw.best_method(base, trials)
+    assert best["params"]["x"] == trials[0]["params"]["x"] and best["short_name"] == "m_best"
+    saved = sw.save_trials(spark, trials, os.path.join(tempfile.mkdtemp(prefix="ranklab-trials-"), "t"))
+    assert saved.count() == 6 and saved.orderBy("position").first()["trial"] == trials[0]["trial"]
