@@ -107,3 +107,19 @@ def test_cumulative_before_weighted(spark):
     df = spark.createDataFrame([(k, w) for k, w in [(3, 5), (1, 2), (2, 7), (9, 1)]], "k long, w long")
     out = {r["k"]: r["_before"] for r in sp.cumulative_before(df.repartition(3), ["k"], weight="w").collect()}
     assert out == {1: 0, 2: 2, 3: 9, 9: 14}
+
+
+def test_random_per_user_matches_brute_force_with_hot_user(spark):
+    rnd = random.Random(8)
+    data = [(i, "hot" if rnd.random() < 0.34 else f"u{rnd.randint(0, 15)}", 0) for i in range(900)]
+    df = spark.createDataFrame(data, "rid long, USER_ID string, TIMESTAMP long")
+    out = {r["rid"]: r["split"] for r in sp.random_split_per_user(df, 0.2, 0.1, 4, key_cols=["rid"]).collect()}
+    by_user = {}
+    for rid, u, _ in data:
+        by_user.setdefault(u, []).append(rid)
+    for u, rids in by_user.items():
+        order = sorted(rids, key=lambda r: (hashlib.md5(f"4|{r}".encode()).hexdigest(), r))
+        n = len(order)
+        nv, nt = int(n * 0.2), int(n * 0.1)
+        for p, rid in enumerate(order):
+            assert out[rid] == ("valid" if p < nv else "test" if p < nv + nt else "train")
