@@ -1 +1 @@
-"""ranklab package."""
+"""ranklab: recommender-system data work on Spark (profile, reshape, split, train, score, evaluate)."""

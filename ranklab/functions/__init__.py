@@ -1 +1 @@
-"""ranklab package."""
+"""Column expressions and column-name rules shared by the operators."""

@@ -1 +1 @@
-"""ranklab package."""
+"""Row-level operators: profiling, validation, reshapes, splits, scoring, metrics, learners, audits."""

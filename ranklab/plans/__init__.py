@@ -1 +1 @@
-"""ranklab package."""
+"""Contracts, the transform / bundle / evaluate drivers, sweeps, and the registered checks."""

@@ -1 +1 @@
-"""ranklab package."""
+"""Structured Streaming ingest."""
