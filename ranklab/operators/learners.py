@@ -163,6 +163,49 @@ def independent_linear(train: DataFrame, feature: str, item_col: str = "ITEM_ID"
                                        F.regr_count(y, x).alias("n"))
 
 
+MAX_ITEMS_FOR_SEPARATE_FITS = 64
+
+
+def independent_classifiers(train: DataFrame, numeric: Sequence[str], item_col: str = "ITEM_ID",
+                            label: str = "OUTCOME", max_items: int = MAX_ITEMS_FOR_SEPARATE_FITS,
+                            max_workers: int = 4) -> dict:
+    """Independent scorer for a bounded item set: one logistic regression per item,
+    fitted concurrently from driver threads on one shared, persisted feature table.
+
+    The item list is read with ``limit(max_items + 1)``; above the bound, use
+    ``independent_linear`` (one grouped aggregation for any number of items).
+    Returns {item: PipelineModel}.
+    """
+    import concurrent.futures as cf
+    items = [r[0] for r in train.select(item_col).distinct().limit(max_items + 1).collect()]
+    if len(items) > max_items:
+        raise ValueError(f"more than {max_items} items: use independent_linear for per-item models at this size")
+    fe = VectorAssembler(inputCols=list(numeric), outputCol="features", handleInvalid="keep")
+    vec = fe.transform(train).select(item_col, "features", F.col(label).cast("double").alias("label")) \
+        .persist(StorageLevel.MEMORY_AND_DISK)
+
+    def fit(item):
+        part = vec.filter(F.col(item_col) == F.lit(item))
+        return item, LogisticRegression(featuresCol="features", labelCol="label", maxIter=50).fit(part)
+
+    try:
+        with cf.ThreadPoolExecutor(max_workers=max_workers) as pool:
+            models = dict(pool.map(fit, sorted(items)))
+    finally:
+        vec.unpersist()
+    return {item: PipelineModel(stages=[fe, m]) for item, m in models.items()}
+
+
+def score_independent(models: dict, df: DataFrame, item_col: str = "ITEM_ID") -> DataFrame:
+    """Score each row with its own item's model (rows of unknown items are dropped)."""
+    parts = [positive_probability(m.transform(df.filter(F.col(item_col) == F.lit(item))))
+             for item, m in models.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 # ----------------------------------------------------------------- M4, M5, M6, M7
 
 

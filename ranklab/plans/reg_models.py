@@ -263,3 +263,14 @@ def q_search(spark, sf):
              None if t["value"] is None else round(t["value"], 6), t["status"], i + 1) for i, t in enumerate(trials)]
     return spark.createDataFrame(rows, "trial int, n_factors int, epochs int, reg double, ndcg_at_10 double, "
                                        "status string, position int")
+
+
+@register("independent_classifiers_priorities")
+def q_independent_classifiers(spark, sf):
+    """M3 (bounded item set): one logistic regression per order priority on customer
+    features, fitted concurrently; per-item AUC of the big-order flag."""
+    prio = T.priorities(spark, sf).join(T.users(spark, sf), "USER_ID")
+    models = ln.independent_classifiers(prio, ["acctbal", "nation"])
+    scored = ln.score_independent(models, prio)
+    return mt.classification_metrics(scored, "OUTCOME", "score", ["ITEM_ID"]).select(
+        "ITEM_ID", r6("roc_auc"), "n_pos", "n_neg")

@@ -80,3 +80,11 @@ def test_goal_conditioned_scores_use_goal(spark, inter):
     m = ln.fit_goal_conditioned(d, ["f_user"], ["OUTCOME_rev"], params={"n_estimators": 2, "max_depth": 2})
     s = ln.score_with_goals(m, d, {"OUTCOME_rev": 30.0})
     assert s.select("OUTCOME_rev").distinct().collect()[0][0] == 30.0
+
+
+def test_independent_classifiers_bounded(spark, inter):
+    models = ln.independent_classifiers(inter, ["f_user", "f_item"], max_items=30)
+    assert len(models) == 25
+    assert ln.score_independent(models, inter).count() == inter.count()
+    with pytest.raises(ValueError, match="independent_linear"):
+        ln.independent_classifiers(inter, ["f_user"], max_items=3)
