@@ -524,3 +524,21 @@ def q_transform_select(spark, sf):
                       item_id_column="l_partkey", outcome_column="l_quantity",
                       feature_pattern=r"l_(tax|returnflag|linestatus)", with_report=False)
     return df
+
+
+@register("holdout_report_events", f"""
+WITH {V.EV},
+r AS (SELECT *, row_number() OVER (PARTITION BY USER_ID ORDER BY "TIMESTAMP" DESC, event_id DESC) AS rn,
+             count(*) OVER (PARTITION BY USER_ID) AS n FROM ev),
+s AS (SELECT *, CASE WHEN n > 65 AND rn <= 5 THEN 'test' WHEN n > 65 AND rn <= 65 THEN 'valid' ELSE 'train' END
+             AS split FROM r),
+u AS (SELECT USER_ID, bool_and(split = 'train') AS train_only, count(*) AS n_rows FROM s GROUP BY USER_ID)
+SELECT count(*) AS n_users, CAST(count_if(train_only) AS BIGINT) AS n_users_without_holdout,
+       CAST(count_if(NOT train_only) AS BIGINT) AS n_users_with_holdout, max(n_rows) AS max_rows_per_user
+FROM u""")
+def q_holdout(spark, sf):
+    """X2 + X7/X8: who got a hold-out (users with at most 65 events keep all of them in train)."""
+    s = sp.leave_last_n_per_user(T.events(spark, sf), n_valid=60, n_test=5, tiebreak=["event_id"])
+    rep = sp.holdout_report(s)
+    mx = s.groupBy("USER_ID").count().agg(F.max("count").alias("max_rows_per_user"))
+    return rep.withColumn("_k", F.lit(1)).join(mx.withColumn("_k", F.lit(1)), "_k").drop("_k")
