@@ -92,13 +92,21 @@ EDGE_LOCAL_MAX = 2_000_000
 
 
 def time_bucket(df: DataFrame, ts_col: str, n_buckets: int = MAX_BUCKETS) -> Column:
-    """Monotone bucket of a numeric time column with at most ``n_buckets`` values
-    (equal-width over [min, max]; one small aggregation)."""
-    lo, hi = df.agg(F.min(ts_col), F.max(ts_col)).first()
+    """Monotone bucket of a time column with at most ``n_buckets`` values
+    (equal-width over [min, max]; one small aggregation). Numeric columns are
+    taken as epoch values; timestamp and date columns as wall-clock microseconds."""
+    from pyspark.sql import types as T
+    dt = df.schema[ts_col].dataType
+    if isinstance(dt, (T.TimestampType, T.TimestampNTZType, T.DateType)):
+        val = (f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', "
+               f"CAST(`{ts_col}` AS TIMESTAMP_NTZ))")
+    else:
+        val = f"CAST(`{ts_col}` AS BIGINT)"
+    lo, hi = df.agg(F.min(F.expr(val)), F.max(F.expr(val))).first()
     if lo is None:
         return F.lit(0).cast("long")
     width = max(1, -(-(int(hi) - int(lo) + 1) // n_buckets))
-    return F.expr(f"(`{ts_col}` - {int(lo)}) div {width}")
+    return F.expr(f"({val} - {int(lo)}) div {width}")
 
 
 def positional_segments(df: DataFrame, order_cols: Sequence[str], bucket: Column,

@@ -123,3 +123,13 @@ def test_random_per_user_matches_brute_force_with_hot_user(spark):
         nv, nt = int(n * 0.2), int(n * 0.1)
         for p, rid in enumerate(order):
             assert out[rid] == ("valid" if p < nv else "test" if p < nv + nt else "train")
+
+
+def test_temporal_split_on_timestamp_column(spark):
+    from pyspark.sql import functions as F
+    data, df = _frame(spark, n=300)
+    ts = df.withColumn("TIMESTAMP", F.timestamp_add("SECOND", F.col("TIMESTAMP"),
+                                                    F.expr("TIMESTAMP_NTZ'2024-01-01 00:00:00'")))
+    a = {r["rid"]: r["split"] for r in sp.temporal_split(df, 0.2, 0.2, "TIMESTAMP", ["rid"]).collect()}
+    b = {r["rid"]: r["split"] for r in sp.temporal_split(ts, 0.2, 0.2, "TIMESTAMP", ["rid"]).collect()}
+    assert a == b
