@@ -50,8 +50,15 @@ def top_k_per_user(scores: DataFrame, k: int, user_col: str = "USER_ID", item_co
     return scores.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def restrict_candidates(scores: DataFrame, candidates: DataFrame, item_col: str = "ITEM_ID") -> DataFrame:
-    """Keep only candidate items (semi join; the candidate list is broadcast when proven small)."""
+def restrict_candidates(scores: DataFrame, candidates: DataFrame, item_col: str = "ITEM_ID",
+                        scorer_type: str = "universal") -> DataFrame:
+    """Keep only candidate items (semi join; the candidate list is broadcast when proven small).
+
+    Refused for multi-output scorers: their targets are fixed columns, not a
+    candidate set of items.
+    """
+    if scorer_type == "multioutput":
+        raise ValueError("candidate restriction is not supported for multi-output scorers")
     return scores.join(checked_broadcast(candidates.select(item_col).distinct()), item_col, "left_semi")
 
 

@@ -147,6 +147,8 @@ def test_top_k_per_user_and_candidates(spark):
     assert top == {("a", 1): "x", ("a", 2): "y", ("b", 1): "x"}
     cand = spark.createDataFrame([("z",)], "ITEM_ID string")
     assert [r["ITEM_ID"] for r in sc.restrict_candidates(s, cand).collect()] == ["z"]
+    with pytest.raises(ValueError, match="multi-output"):
+        sc.restrict_candidates(s, cand, scorer_type="multioutput")
 
 
 def test_transitions(spark):
