@@ -17,6 +17,8 @@ from pyspark.ml.recommendation import ALSModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ranklab.session import path_exists
+
 # Fixed value: allowed model names.
 NAME_PATTERN = r"^[A-Za-z0-9][A-Za-z0-9_.-]{0,127}$"
 
@@ -37,9 +39,7 @@ def _dir(root: str, name: str) -> str:
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+    return path_exists(spark, path)
 
 
 def save_model(spark: SparkSession, root: str, name: str, model, kind: str, config: dict | None = None,

@@ -153,3 +153,14 @@ def test_search_ranks_saves_and_picks_best(spark):
     assert best["params"]["x"] == trials[0]["params"]["x"] and best["short_name"] == "m_best"
     saved = sw.save_trials(spark, trials, os.path.join(tempfile.mkdtemp(prefix="ranklab-trials-"), "t"))
     assert saved.count() == 6 and saved.orderBy("position").first()["trial"] == trials[0]["trial"]
+
+
+def test_persistent_results_table_skips_done_methods(spark):
+    path = os.path.join(tempfile.mkdtemp(prefix="ranklab-results-"), "results")
+    methods = [{"short_name": n, "estimator": "gbt", "params": {"tag": n}} for n in ("a", "b", "c")]
+    assert len(sw.pending_methods(spark, methods, "b1", path)) == 3
+    rows = sw.sweep(methods[:2], lambda m: {"ndcg@10": 0.1} if m["short_name"] == "a" else {}, "b1")
+    sw.record_results(spark, rows, "b1", path)
+    left = sorted(m["short_name"] for m in sw.pending_methods(spark, methods, "b1", path))
+    assert left == ["b", "c"]  # 'b' had empty metrics -> re-evaluated
+    assert len(sw.pending_methods(spark, methods, "other_bundle", path)) == 3
