@@ -17,3 +17,10 @@ def test_queries_run_at_smoke_scale(spark):
     qs = E.queries()
     for name in cheap:
         assert qs[name](spark, E.SMOKE_DIR).count() >= 0
+
+
+def test_entry_schema_is_stable(spark):
+    df = E.entry(spark)
+    assert df.dtypes == [("model_id", "string"), ("precision_at_10", "double"), ("recall_at_10", "double"),
+                         ("map_at_10", "double"), ("ndcg_at_10", "double"), ("mrr_at_10", "double"),
+                         ("rank", "bigint")]
