@@ -102,3 +102,27 @@ def test_streaming_ingest_resumes_exactly_once(spark):
     start_ingest(spark, os.path.join(src, "*"), first, sink, mapping, checkpoint_dir=ckpt).awaitTermination(120)
     got = sorted(r["USER_ID"] for r in spark.read.parquet(sink).collect())
     assert got == ["1", "2"]  # the restarted job appended only the new file
+
+
+@pytest.mark.parametrize("error_type,message,category", [
+    ("TargetError", "ITEM_x is single-class in train", "single_class_target"),
+    ("ContractViolation", "REWARD must be binary 0/1; 3 rows are not", "non_binary_target"),
+    ("ContractViolation", "interactions and users share no USER_ID", "user_id_overlap_zero"),
+    ("ValueError", "pass per_label=True (one row per target)", "missing_decision"),
+    ("ValueError", "recommender 'bandits' does not accept scorer 'multiclass'", "capability_mismatch"),
+    ("EvaluatorMetricMismatch", "metrics ['rmse'] only compose with evaluator 'simple'", "evaluator_metric_mismatch"),
+    ("ValueError", "off-policy evaluation needs columns ['PROPENSITY']", "evaluator_needs_eval_kwargs"),
+    ("ContractViolation", "long_interactions: missing required columns ['OUTCOME']", "schema_mismatch"),
+    ("ValueError", "wide_multioutput needs at least 2 targets, found []", "wide_multioutput_underspecified"),
+    ("Py4JJavaError", "java.lang.OutOfMemoryError: GC overhead limit exceeded", "oom"),
+    ("Py4JJavaError", "ExecutorLostFailure (executor 7 exited)", "executor_lost"),
+    ("RuntimeError", "loss is NaN after 3 iterations", "numerical_instability"),
+    ("ModuleNotFoundError", "No module named 'xgboost'", "missing_dependency"),
+    ("TimestampParseError", "2 value(s) in 'date' could not be parsed as timestamps", "timestamp_parse"),
+    ("DegenerateSplit", "validation split is empty ({'train': 20})", "degenerate_split"),
+    ("TimeoutError", "fit timed out", "timeout"),
+    ("KeyError", "'something odd'", "unknown"),
+])
+def test_failure_registry_patterns(spark, error_type, message, category):
+    log = spark.createDataFrame([("m", 1, error_type, message)], "model_id string, ts long, error_type string, message string")
+    assert dg.classify_failures(log).first()["category"] == category
