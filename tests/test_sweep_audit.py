@@ -164,3 +164,14 @@ def test_persistent_results_table_skips_done_methods(spark):
     left = sorted(m["short_name"] for m in sw.pending_methods(spark, methods, "b1", path))
     assert left == ["b", "c"]  # 'b' had empty metrics -> re-evaluated
     assert len(sw.pending_methods(spark, methods, "other_bundle", path)) == 3
+
+
+def test_url_audit_scoping(spark):
+    rows = [(1, 0, "user", "see https://a.org/x"), (2, 0, "user", "hi"), (2, 1, "assistant", "try https://a.org/x"),
+            (3, 0, "assistant", "go to https://b.org/y"), (3, 1, "user", "thanks for https://b.org/y")]
+    conv = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = sorted((r["conv_id"], r["url"]) for r in au.novel_urls(conv).collect())
+    # conv 2: the user URL from conv 1 does not count; conv 3: the user typed it only after the assistant
+    assert got == [(2, "https://a.org/x"), (3, "https://b.org/y")]
+    counts = {r["conv_id"]: (r["n_urls"], r["n_novel_urls"]) for r in au.novel_url_counts(conv).collect()}
+    assert counts == {1: (1, 0), 2: (1, 1), 3: (2, 1)}
