@@ -156,3 +156,14 @@ def test_transitions(spark):
                                "USER_ID string, ITEM_ID string, TIMESTAMP long")
     got = {(r["prev_item"], r["next_item"]): r["prob"] for r in sc.transition_scores(df).collect()}
     assert got == {("x", "y"): 0.5, ("x", "z"): 0.5, ("y", "x"): 1.0}
+
+
+def test_goal_values_methods(spark):
+    df = spark.createDataFrame([(float(v),) for v in range(11)], "OUTCOME_r double")
+    assert st.goal_values(df, ["OUTCOME_r"], "mean_scalarization") == {"OUTCOME_r": 5.0}
+    assert st.goal_values(df, ["OUTCOME_r"], "percentile_value", p=0.9) == {"OUTCOME_r": pytest.approx(9.0)}
+    assert st.goal_values(df, ["OUTCOME_r"], "predefined_value", predefined={"OUTCOME_r": 3}) == {"OUTCOME_r": 3.0}
+    with pytest.raises(ValueError, match="missing"):
+        st.goal_values(df, ["OUTCOME_r"], "predefined_value", predefined={})
+    with pytest.raises(ValueError):
+        st.goal_values(df, ["OUTCOME_r"], "nope")
