@@ -162,3 +162,23 @@ def test_bundle_merges_users_into_wide(spark):
     users = spark.createDataFrame([("a", 5)], "USER_ID string, age long")
     b = bd.create_bundle(wide, users=users)
     assert "age" in b.interactions.columns and b.dataset_type == "interaction_multioutput"
+
+
+def test_resplit_makes_a_new_bundle_version(spark):
+    from pyspark.sql import functions as F
+    from ranklab.operators import split as sp
+    inter = spark.createDataFrame([("u1", f"i{i}", float(i % 2), i) for i in range(10)],
+                                  "USER_ID string, ITEM_ID string, OUTCOME double, TIMESTAMP long")
+    b = bd.create_bundle(inter)
+    b2 = b.with_splits(sp.temporal_split(inter, 0.2, 0.2, "TIMESTAMP", ["ITEM_ID"]))
+    assert b2.version != b.version and b.valid is None
+    assert (b2.interactions.count(), b2.valid.count(), b2.test.count()) == (6, 2, 2)
+    assert "split" not in b2.valid.columns and b2.test.agg(F.min("TIMESTAMP")).first()[0] == 8
+
+
+@pytest.mark.parametrize("profile,strategy", [
+    ({"has_timestamps": True}, "temporal"), ({"sequential": True}, "leave_last_n_per_user"),
+    ({"cold_start": True}, "leave_n_users_out"), ({}, "random_split_per_user")])
+def test_split_recommendation(profile, strategy):
+    from ranklab.operators import split as sp
+    assert sp.recommend_strategy(profile) == strategy
