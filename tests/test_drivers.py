@@ -126,3 +126,18 @@ def test_streaming_ingest_resumes_exactly_once(spark):
 def test_failure_registry_patterns(spark, error_type, message, category):
     log = spark.createDataFrame([("m", 1, error_type, message)], "model_id string, ts long, error_type string, message string")
     assert dg.classify_failures(log).first()["category"] == category
+
+
+def test_evaluate_driver_off_policy_branch(spark):
+    from ranklab.operators import offpolicy as op
+    logged = spark.createDataFrame([(str(i), f"u{i % 3}", f"i{i % 4}", float(i % 2), 0.25) for i in range(40)],
+                                   "INSTANCE string, USER_ID string, ITEM_ID string, REWARD double, PROPENSITY double")
+    items = spark.createDataFrame([(f"i{j}", 0.1 * j) for j in range(4)], "ITEM_ID string, score double")
+    topk = spark.createDataFrame([("i3", 1), ("i2", 2)], "ITEM_ID string, rank long")
+    res = ev.evaluate("pop", ev.Scores(topk=topk, item_scores=items), logged, evaluator="SNIPS",
+                      metrics=["average_reward_at_k"], k_values=[1], epsilon=0.2).collect()
+    want = {r["metric"]: r["value"] for r in op.off_policy_estimates(
+        logged, items.withColumnRenamed("score", "q"), 0.2, top1=topk.filter("rank = 1")).collect()}
+    assert [(r["metric"], r["k"]) for r in res] == [("SNIPS", None)]
+    assert res[0]["value"] == pytest.approx(want["SNIPS"])
+    ev.release("pop")
