@@ -175,3 +175,16 @@ def test_url_audit_scoping(spark):
     assert got == [(2, "https://a.org/x"), (3, "https://b.org/y")]
     counts = {r["conv_id"]: (r["n_urls"], r["n_novel_urls"]) for r in au.novel_url_counts(conv).collect()}
     assert counts == {1: (1, 0), 2: (1, 1), 3: (2, 1)}
+
+
+def test_leaderboard_direction_and_missing_last(spark):
+    res = spark.createDataFrame([("a", "rmse", None, 2.0), ("b", "rmse", None, 1.0), ("c", "ndcg", 10, 0.3),
+                                 ("a", "ndcg", 10, 0.5)], "model_id string, metric string, k long, value double")
+    board = lb.leaderboard(res, "rmse").collect()
+    assert [r["model_id"] for r in board] == ["b", "a", "c"]  # ascending loss, model without rmse last
+    board = lb.leaderboard(res, "NDCG@10").collect()
+    assert [r["model_id"] for r in board] == ["a", "c", "b"]
+    rows = spark.createDataFrame([("x", "ok", 0.2), ("y", "error", None), ("z", "cached", 0.4), ("w", "ok", None)],
+                                 "model_id string, status string, m double")
+    order = lb.sweep_order(rows, "m").orderBy("position").collect()
+    assert [r["model_id"] for r in order] == ["z", "x", "w", "y"] and order[0]["is_winner"]
