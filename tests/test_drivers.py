@@ -141,3 +141,12 @@ def test_evaluate_driver_off_policy_branch(spark):
     assert [(r["metric"], r["k"]) for r in res] == [("SNIPS", None)]
     assert res[0]["value"] == pytest.approx(want["SNIPS"])
     ev.release("pop")
+
+
+def test_sql_and_json_sources(spark):
+    spark.createDataFrame([(1, "a"), (2, "b")], "id long, v string").createOrReplaceTempView("ranklab_src")
+    assert ingest.from_sql(spark, "SELECT count(*) AS n FROM ranklab_src").first()["n"] == 2
+    d = tempfile.mkdtemp(prefix="ranklab-json-")
+    spark.createDataFrame([(1, "a")], "id long, v string").write.json(os.path.join(d, "j"))
+    back = ingest.read_table(spark, os.path.join(d, "j"), fmt="json", schema="id long, v string")
+    assert back.collect()[0]["v"] == "a"
