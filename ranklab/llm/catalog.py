@@ -6,7 +6,7 @@ import importlib
 
 from ranklab.llm import common
 
-MODULES = ("mixing", "warc")
+MODULES = ("simhash", "mixing", "warc")
 
 
 def load() -> tuple[dict, dict]:
