@@ -1 +1,8 @@
 """Training-data operators: extraction, de-duplication, filtering, mixing, archives."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Task functions travel with their code, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

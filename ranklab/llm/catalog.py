@@ -6,7 +6,7 @@ import importlib
 
 from ranklab.llm import common
 
-MODULES = ("simhash", "mixing", "warc")
+MODULES = ("simhash", "mixing", "substrings", "warc")
 
 
 def load() -> tuple[dict, dict]:

@@ -38,6 +38,9 @@ class Rolling:
         self.pow = np.ones(1, np.uint64)
         self.inv = np.ones(1, np.uint64)
 
+    def __reduce__(self):
+        return Rolling, (self.base,)
+
     @staticmethod
     def _powers(x: int, size: int) -> np.ndarray:
         steps = np.full(size, x, np.uint64)
