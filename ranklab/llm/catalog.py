@@ -6,7 +6,7 @@ import importlib
 
 from ranklab.llm import common
 
-MODULES = ("simhash", "decontaminate", "mixing", "substrings", "warc")
+MODULES = ("simhash", "decontaminate", "toxicity", "vectors", "mixing", "substrings", "warc")
 
 
 def load() -> tuple[dict, dict]:
