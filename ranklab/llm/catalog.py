@@ -6,7 +6,7 @@ import importlib
 
 from ranklab.llm import common
 
-MODULES = ("simhash", "decontaminate", "importance", "toxicity", "vectors", "mixing", "substrings", "warc")
+MODULES = ("simhash", "decontaminate", "importance", "toxicity", "vectors", "threads", "mixing", "substrings", "warc")
 
 
 def load() -> tuple[dict, dict]:
