@@ -42,7 +42,7 @@ TREES, DEPTH, RATE, BINS, LEAF_L2 = 60, 3, 0.2, 32, 1.0
 SECOND_PERSON = ("you your yours yourself yourselves ya u ur tu te toi ton ta tes vous votre vos du dich dir dein deine deinen "
                  "deiner ihr euch euer sie ihnen ti tus usted ustedes vosotros vuestro vuestra os")
 # Signs that stand for letters.
-LEET = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"}
+LEET = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"}
 
 FEATURES = ("log_words", "hits", "density", "weight", "top", "distinct", "second_person", "nearness", "min_distance",
             "capitals", "caps_words", "exclaims", "punctuation", "obfuscated", "stretched")
@@ -142,16 +142,17 @@ def slice_features(s: Slice, lexicon: Lexicon, person: np.ndarray) -> np.ndarray
     size = np.maximum(np.diff(s.offsets), 1)
     inside = np.concatenate(([0], np.cumsum(upper, dtype=np.int64)))
     caps = (inside[w.ends] - inside[w.starts] >= 2) & (inside[w.ends] - inside[w.starts] == w.ends - w.starts)
-    # a sign between letters, and a letter three times in a row
-    odd = np.zeros(len(s.buf), bool)
-    odd[1:-1] = (SIGN | PUNCT)[s.buf[1:-1]] & LETTER[s.buf[:-2]] & LETTER[s.buf[2:]] if len(s.buf) > 2 else False
+    # words of letters and signs that stand for letters, and a letter three times in a row
+    inside = np.concatenate(([0], np.cumsum(SIGN[s.buf], dtype=np.int64)))
+    signs = inside[w.ends] - inside[w.starts]
+    odd = (signs > 0) & (signs < w.ends - w.starts)
     thrice = np.zeros(len(s.buf), bool)
     thrice[2:] = LETTER[s.buf[2:]] & (s.buf[2:] == s.buf[1:-1]) & (s.buf[1:-1] == s.buf[:-2])
     return np.column_stack((
         np.log1p(w.n_words), hits, hits / n, sums / n, top, np.bincount(different, minlength=n_rows),
         np.bincount(row[mark], minlength=n_rows) / n, nearness, closest, _per_row(upper, s.offsets) / letters,
         np.bincount(row[caps], minlength=n_rows) / n, _per_row((s.buf == 0x21) | (s.buf == 0x3F), s.offsets) / size,
-        _per_row(PUNCT[s.buf], s.offsets) / size, _per_row(odd, s.offsets) / n, _per_row(thrice, s.offsets) / n)).astype(float)
+        _per_row(PUNCT[s.buf], s.offsets) / size, np.bincount(row[odd], minlength=n_rows) / n, _per_row(thrice, s.offsets) / n)).astype(float)
 
 
 # ------------------------------------------------------------------ trees and calibration
