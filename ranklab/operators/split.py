@@ -88,7 +88,6 @@ def prefix_sums(df: DataFrame, order_cols: Sequence, weights: dict) -> DataFrame
 
 
 MAX_BUCKETS = 1 << 16
-EDGE_LOCAL_MAX = 2_000_000
 
 
 def time_bucket(df: DataFrame, ts_col: str, n_buckets: int = MAX_BUCKETS) -> Column:
@@ -109,21 +108,37 @@ def time_bucket(df: DataFrame, ts_col: str, n_buckets: int = MAX_BUCKETS) -> Col
     return F.expr(f"({val} - {int(lo)}) div {width}")
 
 
+def _content(df: DataFrame) -> Column:
+    """Hash of a whole row: the last ordering key, so that only equal rows tie (map columns cannot be hashed and are left out)."""
+    from pyspark.sql import types as T
+    return F.xxhash64(*[F.col(f.name) for f in df.schema.fields if not isinstance(f.dataType, T.MapType)])
+
+
+def _literal(values, fields) -> Column:
+    return F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(values, fields)])
+
+
+def _numbered_copies(df: DataFrame, out: str = "_copy") -> DataFrame:
+    """Equal rows numbered from 0: one counted row each, spread out again (so no task holds or sorts the copies)."""
+    return df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_copies")).withColumn(
+        out, F.explode(F.sequence(F.lit(0), F.col("_copies") - 1))).drop("_copies")
+
+
 def positional_segments(df: DataFrame, order_cols: Sequence[str], bucket: Column,
                         cuts_fn: Callable[[int], list[int]], out: str = "_seg") -> tuple[DataFrame, int]:
-    """Segment index of every row = number of cut positions <= its 0-based position
-    in the total order ``order_cols`` (column names whose values are unique together).
+    """Segment index of every row = number of cut positions <= its 0-based position in the order ``order_cols``, then row content.
 
     ``bucket`` must be non-decreasing along ``order_cols`` and take at most
     ``MAX_BUCKETS`` values (a hash prefix, or ``time_bucket``). One partial
     aggregation yields the per-bucket counts - a table bounded by
     construction, so it comes back to the driver - from which every bucket's
-    first position is known. For each cut that falls inside a bucket, one
-    more job orders only that bucket's rows (a window over the counted,
-    bounded group, or the distributed ``cumulative_before`` when the bucket is
-    large, e.g. one hot timestamp) and returns the single row at the cut. The
+    first position is known. The rows of the buckets that a cut falls into (and no others) are ordered by one
+    distributed prefix count, which gives the row at each cut. The
     segment of every row is then one projection: comparisons of its ordering
-    key with those few threshold keys - no union, no second scan.
+    key (null first, as in the sort) with those few threshold keys.
+
+    Cuts are positional through ties: rows of equal key are told apart by their content, and where equal
+    rows straddle a cut, as many of them as belong there go to either side.
     ``cuts_fn(n)`` turns the row count into ascending cut positions.
     Returns (frame, n).
     """
@@ -139,53 +154,46 @@ def positional_segments(df: DataFrame, order_cols: Sequence[str], bucket: Column
         before += r["_c"]
     n = before
     cuts = [int(c) for c in cuts_fn(int(n))]
-    located = []  # (cut, bucket, first position of bucket, bucket count)
-    for c in cuts:
-        if 0 < c < n:
-            located.append(next((c, bk, bf, cnt) for bk, bf, cnt in hist if bf <= c < bf + cnt))
-    # Threshold keys: the ordering key of the row at each cut that lies inside a bucket.
-    thresholds = {}
-    inner = [(c, bk, c - bf, cnt) for c, bk, bf, cnt in located if c > bf]
-    order = _ordered(order_cols)
-    small = sorted({bk for _, bk, _, cnt in inner if cnt <= EDGE_LOCAL_MAX})
-    if small:
-        # All small straddled buckets in ONE job; each is one counted, bounded window group.
-        rows_b = df.filter(bucket.isin(small)).select(bucket.alias("_eb"), *order_cols)
-        pos = rows_b.withColumn("_p", F.row_number().over(Window.partitionBy("_eb").orderBy(*order)) - 1)
-        cond = None
-        for c, bk, p_in, cnt in inner:
-            if bk in small:
-                x = (F.col("_eb") == F.lit(bk)) & (F.col("_p") == p_in)
-                cond = x if cond is None else (cond | x)
-        got = {(r["_eb"], r["_p"]): r for r in pos.filter(cond).collect()}  # <= len(cuts) rows
-        for c, bk, p_in, _ in inner:
-            if bk in small:
-                thresholds[c] = got[(bk, p_in)]
-    for bk in sorted({bk for _, bk, _, cnt in inner if cnt > EDGE_LOCAL_MAX}):
-        # A huge bucket (e.g. one hot timestamp): distributed prefix sum over it alone.
-        pos = cumulative_before(df.filter(bucket == F.lit(bk)).select(*order_cols), order_cols, out="_p")
-        wanted = {c: p_in for c, b2, p_in, _ in inner if b2 == bk}
-        got = {r["_p"]: r for r in pos.filter(F.col("_p").isin(list(wanted.values()))).collect()}
-        for c, p_in in wanted.items():
-            thresholds[c] = got[p_in]
-    types = {f.name: f.dataType for f in df.schema.fields}
+    located = [next((c, bk, bf, cnt) for bk, bf, cnt in hist if bf <= c < bf + cnt) for c in cuts if 0 < c < n]
+    d = df.withColumns({"_bk": bucket, "_tie": _content(df)})
+    names = [*order_cols, "_tie"]
+    fields = [d.schema[c] for c in names]
+    key = F.struct(*[F.col(c) for c in names])
+    edge, first = [], {}
+    for bk in sorted({bk for c, bk, bf, _ in located if c > bf}):
+        first[bk] = sum(cnt for b, _, cnt in hist if b in edge)  # first position of the bucket among the edge rows
+        edge.append(bk)
+    thresholds = {}  # cut -> (key at the cut, rows of the same key before the cut)
+    if edge:
+        pos = cumulative_before(d.filter(F.col("_bk").isin(edge)).select("_bk", *names), ["_bk", *names], out="_p")
+        at = {c: first[bk] + c - bf for c, bk, bf, _ in located if c > bf}
+        got = {r["_p"]: tuple(r[x] for x in names) for r in pos.filter(F.col("_p").isin(list(at.values()))).collect()}
+        starts = pos.agg(*[F.min(F.when(F.struct(*names) == _literal(got[p], fields), F.col("_p"))).alias(f"s{c}") for c, p in at.items()]).first()
+        thresholds = {c: (got[p], p - starts[f"s{c}"]) for c, p in at.items()}
     seg = F.lit(sum(1 for c in cuts if c <= 0))
+    split_keys: dict = {}
     for c, bk, bf, _ in located:
+        b = F.col("_bk")
         if c == bf:
-            above = bucket >= F.lit(bk)
+            above = b >= F.lit(bk)
         else:
-            thr = [(F.col(name), F.lit(thresholds[c][name]).cast(types[name])) for name in order_cols]
-            above = (bucket > F.lit(bk)) | ((bucket == F.lit(bk)) & _lex_ge(thr))
+            values, ahead = thresholds[c]
+            thr = _literal(values, fields)
+            if ahead:
+                split_keys.setdefault(values, []).append(ahead)
+            above = (b > F.lit(bk)) | ((b == F.lit(bk)) & ((key > thr) if ahead else (key >= thr)))
         seg = seg + above.cast("int")
-    return df.withColumn(out, seg), n
-
-
-def _lex_ge(pairs) -> Column:
-    """(a1, a2, ...) >= (b1, b2, ...) lexicographically, as plain comparisons."""
-    (a, b), rest = pairs[0], pairs[1:]
-    if not rest:
-        return a >= b
-    return (a > b) | ((a == b) & _lex_ge(rest))
+    d = d.withColumn(out, seg)
+    if split_keys:  # equal rows on both sides of a cut
+        same = F.lit(False)
+        extra = F.lit(0)
+        for values, aheads in split_keys.items():
+            eq = key == _literal(values, fields)
+            same = same | eq
+            extra = extra + F.when(eq, sum((F.col("_copy") >= a).cast("int") for a in aheads)).otherwise(0)
+        equal = _numbered_copies(d.filter(same)).withColumn(out, F.col(out) + extra).drop("_copy")
+        d = d.filter(~same).unionByName(equal)
+    return d.drop("_bk", "_tie"), n
 
 
 def _label(seg: Column) -> Column:
@@ -210,8 +218,8 @@ def temporal_split(df: DataFrame, valid_fraction: float = 0.1, test_fraction: fl
                    timestamp_col: str = "TIMESTAMP", tiebreak: Sequence[str] = ()) -> DataFrame:
     """Latest floor(n*test) rows -> test, the floor(n*valid) before -> valid, rest train.
 
-    The cut is positional even through equal timestamps; ``tiebreak`` columns
-    (which together with the timestamp must be unique) decide ties.
+    The cut is positional even through equal timestamps: ``tiebreak`` columns decide ties (null first), then
+    the rows' content; equal rows are divided by number.
     """
     _check_fractions(valid_fraction, test_fraction)
     if timestamp_col not in df.columns:
@@ -264,20 +272,33 @@ def leave_last_n_per_user(df: DataFrame, n_valid: int = 1, n_test: int = 1, user
     if timestamp_col not in df.columns:
         raise ValueError(f"leave_last_n_per_user needs the timestamp column {timestamp_col!r}")
     k = n_valid + n_test
-    key_cols = [timestamp_col, *tiebreak]
+    key_cols = [timestamp_col, *tiebreak, "_tie"]
+    d = df.withColumn("_tie", _content(df))
     key = F.struct(*[F.col(c) for c in key_cols])
-    w = Window.partitionBy(user_col).orderBy(*[F.col(c).desc() for c in key_cols])
-    tail = df.select(user_col, *key_cols).withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= k)
+    w = Window.partitionBy(user_col).orderBy(*[F.col(c).desc_nulls_last() for c in key_cols])
+    tail = d.select(user_col, *key_cols).withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= k)
     thr = tail.groupBy(user_col).agg(
         F.max(F.when(F.col("_rn") == n_test, key)).alias("_thr_test"),
-        F.max(F.when(F.col("_rn") == k, key)).alias("_thr_hold"))
-    counts = df.groupBy(user_col).agg(F.count(F.lit(1)).alias("_n"))
-    thr = thr.join(counts, user_col).filter(F.col("_n") > k).drop("_n")
-    j = df.join(thr, user_col, "left")
-    is_test = (key >= F.col("_thr_test")) if n_test > 0 else F.lit(False)
-    lab = (F.when(F.col("_thr_hold").isNull(), "train").when(is_test, "test")
-           .when(key >= F.col("_thr_hold"), "valid").otherwise("train"))
-    return j.withColumn("split", lab).drop("_thr_test", "_thr_hold")
+        F.max(F.when(F.col("_rn") == k, key)).alias("_thr_hold"), F.collect_list(F.struct("_rn", key.alias("key"))).alias("_tail"))
+    # of the rows equal to a threshold, so many belong above it
+    def above(t, m):
+        return F.size(F.filter("_tail", lambda x: (x["key"] == F.col(t)) & (x["_rn"] <= m)))
+    quota = [above("_thr_test", n_test), above("_thr_hold", k)]
+    thr = thr.select(F.col(user_col).alias("_user"), "_thr_test", "_thr_hold", quota[0].alias("_q_test"), quota[1].alias("_q_hold"))
+    counts = df.groupBy(F.col(user_col).alias("_user")).agg(F.count(F.lit(1)).alias("_n"))
+    thr = thr.join(counts, thr["_user"].eqNullSafe(counts["_user"])).filter(F.col("_n") > k).drop(counts["_user"]).drop("_n")
+    j = d.join(thr, F.col(user_col).eqNullSafe(F.col("_user")), "left").drop("_user")
+    at_test, at_hold = F.coalesce(key == F.col("_thr_test"), F.lit(False)), F.coalesce(key == F.col("_thr_hold"), F.lit(False))
+    lab = (F.when(F.col("_thr_hold").isNull(), "train").when(F.coalesce(key > F.col("_thr_test"), F.lit(False)), "test")
+           .when(key > F.col("_thr_hold"), "valid").otherwise("train"))
+    plain = j.filter(~(at_test | at_hold)).withColumn("split", lab)
+    # rows at a threshold: usually one a user; copies of one row are numbered and divided
+    edge = _numbered_copies(j.filter(at_test | at_hold))
+    edge = edge.withColumn("split", F.when(at_test & (F.col("_copy") < F.col("_q_test")), "test")
+                           .when(at_hold & (F.col("_copy") < F.col("_q_hold")), "valid")
+                           .when(at_test & (key > F.col("_thr_hold")), "valid").otherwise("train"))
+    temp = ["_tie", "_thr_test", "_thr_hold", "_q_test", "_q_hold"]
+    return plain.drop(*temp).unionByName(edge.drop("_copy", *temp))
 
 
 def random_split_per_user(df: DataFrame, valid_fraction: float = 0.1, test_fraction: float = 0.1,
@@ -321,19 +342,17 @@ def leave_n_users_out(df: DataFrame, n_valid_users: int, n_test_users: int, rand
                       user_col: str = "USER_ID") -> DataFrame:
     """Whole users held out; users ordered by md5(seed|user), first n_valid -> valid, next n_test -> test.
 
-    The chosen users are a ``limit`` of the distinct-user table, so the table
-    that is broadcast back holds exactly n_valid + n_test rows.
+    Users are cut by position in the hash order, distributed like ``random_split``; the held-out users
+    join back on the user, and Spark picks the join by their size.
     """
     if n_valid_users < 0 or n_test_users < 0 or n_valid_users + n_test_users == 0:
         raise ValueError("n_valid_users and n_test_users must be >= 0 and not both 0")
-    k = n_valid_users + n_test_users
-    uh = seeded_hash(random_state, user_col)
-    chosen = (df.select(user_col).distinct().withColumn("_h", uh)
-              .orderBy("_h", user_col).limit(k)
-              .withColumn("_r", F.row_number().over(Window.orderBy("_h", user_col)))  # k rows only
-              .select(user_col, F.when(F.col("_r") <= n_valid_users, "valid").otherwise("test").alias("_held")))
-    return (df.join(F.broadcast(chosen), user_col, "left")
-            .withColumn("split", F.coalesce(F.col("_held"), F.lit("train"))).drop("_held"))
+    users = df.select(user_col).distinct().withColumn("_h", seeded_hash(random_state, user_col))
+    seg, _ = positional_segments(users, ["_h", user_col], F.substring("_h", 1, 4), lambda n: [n_valid_users, n_valid_users + n_test_users])
+    chosen = seg.filter(F.col("_seg") < 2).select(
+        F.col(user_col).alias("_user"), F.when(F.col("_seg") == 0, "valid").otherwise("test").alias("_held"))
+    return (df.join(chosen, F.col(user_col).eqNullSafe(F.col("_user")), "left")
+            .withColumn("split", F.coalesce(F.col("_held"), F.lit("train"))).drop("_held", "_user"))
 
 
 STRATEGIES = {
@@ -345,11 +364,18 @@ STRATEGIES = {
 }
 
 
-def split(df: DataFrame, strategy: str, **params) -> DataFrame:
-    """X6 dispatcher with argument guards."""
+def split(df: DataFrame, strategy: str, check: bool = True, **params) -> DataFrame:
+    """X6 dispatcher with argument guards; raises ``DegenerateSplit`` where the requested validation part is empty.
+
+    ``check=False`` leaves the guard (one aggregation) to the caller.
+    """
     if strategy not in STRATEGIES:
         raise ValueError(f"unknown split strategy {strategy!r}; choose one of {sorted(STRATEGIES)}")
-    return STRATEGIES[strategy](df, **params)
+    out = STRATEGIES[strategy](df, **params)
+    if check:
+        asked = next((params[k] for k in ("valid_fraction", "n_valid", "n_valid_users") if k in params), 1)
+        check_not_degenerate(out, params.get("user_col", "USER_ID"), want_valid=asked > 0)
+    return out
 
 
 def split_info(split_df: DataFrame, timestamp_col: str | None = "TIMESTAMP") -> DataFrame:

@@ -20,9 +20,7 @@ def _frame(spark, n=500, hot_share=0.34, seed=3):
     return data, spark.createDataFrame(data, "rid long, USER_ID string, TIMESTAMP long")
 
 
-@pytest.mark.parametrize("edge_local_max", [sp.EDGE_LOCAL_MAX, 0])
-def test_temporal_matches_brute_force(spark, monkeypatch, edge_local_max):
-    monkeypatch.setattr(sp, "EDGE_LOCAL_MAX", edge_local_max)  # 0 forces the distributed edge path
+def test_temporal_matches_brute_force(spark):
     data, df = _frame(spark)
     out = {r["rid"]: r["split"] for r in sp.temporal_split(df, 0.2, 0.3, "TIMESTAMP", ["rid"]).collect()}
     n = len(data)
