@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from ranklab.operators.ordered import range_pieces, with_running_sums
 from ranklab.operators.split import prefix_sums
+from ranklab.session import cut_lineage
 
 RANKING_METRICS = ("precision", "recall", "map", "ndcg", "mrr")
 NON_K_METRICS = ("roc_auc", "pr_auc", "rmse", "mae", "expected_reward")
@@ -60,20 +61,31 @@ def logged_per_user(df: DataFrame, user_col: str = "USER_ID", item_col: str = "I
                      F.col(item_col).alias("ITEM_ID"), F.col(reward_col).cast("double").alias("REWARD"))
 
 
-def _attach_ranks(logged: DataFrame, ranks: DataFrame) -> DataFrame:
+def one_per_item(logged: DataFrame) -> DataFrame:
+    """One row per (instance, item) with its best reward: an item that was logged again is still one item."""
+    return logged.groupBy("INSTANCE", "USER_ID", "ITEM_ID").agg(F.max("REWARD").alias("REWARD"))
+
+
+def _attach_ranks(logged: DataFrame, ranks: DataFrame, max_k: int) -> DataFrame:
+    ranks = ranks.filter(F.col("rank") <= max_k)
     if "USER_ID" in ranks.columns:
         r = ranks.select("USER_ID", "ITEM_ID", F.col("rank").alias("RANK"))
         return logged.join(r, ["USER_ID", "ITEM_ID"], "left")
     r = ranks.select("ITEM_ID", F.col("rank").alias("RANK"))
-    # A global top-K list has K rows: broadcasting it is bounded by K.
+    # A global list cut at max_k has max_k rows.
     return logged.join(F.broadcast(r), ["ITEM_ID"], "left")
 
 
 def ranking_metrics(logged: DataFrame, ranks: DataFrame, ks: Sequence[int],
                     single_item_instances: bool = False) -> DataFrame:
-    """Precision, recall, MAP, NDCG, MRR at every k in one pass -> (metric, k, value)."""
+    """Precision, recall, MAP, NDCG, MRR at every k in one pass -> (metric, k, value).
+
+    Repeated rows of an (instance, item) count once, so every value lies in [0, 1] (for rewards >= 0).
+    """
     ks = sorted(set(int(k) for k in ks))
-    j = _attach_ranks(logged, ranks)
+    if not single_item_instances:
+        logged = one_per_item(logged)
+    j = _attach_ranks(logged, ranks, max(ks))
     rel = F.col("REWARD") > 0
     rank = F.col("RANK")
     if single_item_instances:
@@ -188,15 +200,18 @@ def ranking_metrics_by_model(logged: DataFrame, tops: dict, ks: Sequence[int]) -
     return tot.select(F.explode(F.array(*cols)).alias("r")).select("r.*")
 
 
-def average_reward_at_k(logged: DataFrame, ranks: DataFrame, ks: Sequence[int]) -> DataFrame:
+def average_reward_at_k(logged: DataFrame, ranks: DataFrame, ks: Sequence[int],
+                        single_item_instances: bool = False) -> DataFrame:
     """Mean logged reward of the recommended top-k entries (unlogged entries count 0).
 
     Per instance: sum of rewards of logged items ranked <= k, divided by k;
     averaged over all instances.
     """
     ks = sorted(set(int(k) for k in ks))
-    j = _attach_ranks(logged, ranks)
-    aggs = [F.countDistinct("INSTANCE").alias("_n")]
+    if not single_item_instances:
+        logged = one_per_item(logged)
+    j = _attach_ranks(logged, ranks, max(ks))
+    aggs = [(F.count(F.lit(1)) if single_item_instances else F.countDistinct("INSTANCE")).alias("_n")]
     for k in ks:
         aggs.append(F.sum(F.when(F.col("RANK") <= k, F.col("REWARD") / k).otherwise(0.0)).alias(f"ar_{k}"))
     tot = j.agg(*aggs)
@@ -224,6 +239,17 @@ def expected_reward_global(logged: DataFrame, scores: DataFrame) -> DataFrame:
                                                         F.lit(None).cast("long").alias("k"), "value")
 
 
+def expected_reward_pairs(logged: DataFrame, scores: DataFrame) -> DataFrame:
+    """E8c for a scorer of (user, item) pairs: softmax over each user's scored items, by partial aggregations per user."""
+    top = scores.groupBy("USER_ID").agg(F.max("score").alias("_m"))
+    e = scores.join(top, "USER_ID").select("USER_ID", "ITEM_ID", F.exp(F.col("score") - F.col("_m")).alias("_e"))
+    total = e.groupBy("USER_ID").agg(F.sum("_e").alias("_t"))
+    j = logged.join(e, ["USER_ID", "ITEM_ID"], "left").join(total, "USER_ID", "left")
+    per = j.groupBy("INSTANCE").agg(F.sum(F.coalesce(F.col("_e") / F.col("_t"), F.lit(0.0)) * F.col("REWARD")).alias("_er"))
+    return per.agg(F.avg("_er").alias("value")).select(F.lit("expected_reward").alias("metric"),
+                                                        F.lit(None).cast("long").alias("k"), "value")
+
+
 def _auc_from_hist(hist: DataFrame, group_cols: Sequence[str]) -> DataFrame:
     """Tie-aware ROC AUC and step-wise average precision from a per-(group, score) histogram.
 
@@ -275,7 +301,8 @@ def classification_metrics(scored: DataFrame, label_col: str = "label", score_co
     s = scored.filter(F.col(label_col).isNotNull() & F.col(score_col).isNotNull())
     hist = s.groupBy(*group_cols, F.col(score_col).cast("double").alias("score")).agg(
         F.count_if(F.col(label_col) > 0).alias("p"), F.count_if(F.col(label_col) <= 0).alias("q"))
-    return _auc_from_hist(hist, group_cols)
+    # frozen once: the totals, the sort's sampling and the sums read it instead of scoring again
+    return _auc_from_hist(cut_lineage(hist), group_cols)
 
 
 def regression_metrics(scored: DataFrame, label_col: str = "label", score_col: str = "score",

@@ -62,7 +62,8 @@ def off_policy_estimates(logged: DataFrame, q: DataFrame, epsilon: float = 0.1,
     itself (one global action). The q statistics (|A|, mean q and, for the
     global policy, the argmax with ties by item id) come from one aggregation.
     """
-    check_inputs(logged)
+    weighted = "PROPENSITY" in logged.columns   # without it, only the estimators that need none
+    check_inputs(logged, needs_propensity=False)
     eps = float(epsilon)
     stats = q.agg(F.count(F.lit(1)).alias("n"), F.avg("q").alias("m"),
                   F.min_by(F.struct("ITEM_ID", "q"), F.struct((-F.col("q")).alias("nq"), "ITEM_ID")).alias("top")
@@ -85,16 +86,107 @@ def off_policy_estimates(logged: DataFrame, q: DataFrame, epsilon: float = 0.1,
     j = j.join(qq, "ITEM_ID", "left").withColumn("_q", F.coalesce(F.col("q"), F.lit(0.0))).drop("q")
     match = (F.col("ITEM_ID") == F.col("_top"))
     pi = F.when(match, F.lit(1 - eps)).otherwise(F.lit(0.0)) + F.lit(eps / n_actions)
-    w = pi / F.col("PROPENSITY")
+    w = pi / F.col("PROPENSITY") if weighted else None
     r = F.col("REWARD")
     dm_row = (1 - eps) * F.coalesce(F.col("_qtop"), F.lit(0.0)) + eps * F.lit(float(q_mean))
-    a = j.agg(
-        F.avg(F.when(match, r)).alias("replay_match"),
-        F.avg(w * r).alias("IPS"),
-        (F.sum(w * r) / F.sum(w)).alias("SNIPS"),
-        F.avg(dm_row).alias("direct_method"),
-        (F.avg(dm_row) + F.avg(w * (r - F.col("_q")))).alias("DR"),
-        (F.sum(pi * r) / F.sum(pi)).alias("policy_weighted"),
-    )
+    values = {"replay_match": F.avg(F.when(match, r)), "direct_method": F.avg(dm_row), "policy_weighted": F.sum(pi * r) / F.sum(pi)}
+    if weighted:
+        values |= {"IPS": F.avg(w * r), "SNIPS": F.sum(w * r) / F.sum(w), "DR": F.avg(dm_row) + F.avg(w * (r - F.col("_q")))}
+    a = j.agg(*[v.alias(m) for m, v in values.items()])
     return a.select(F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value"))
-                                        for m in ESTIMATORS])).alias("x")).select("x.*")
+                                        for m in ESTIMATORS if m in values])).alias("x")).select("x.*")
+
+
+NEEDS_PROPENSITY = ("IPS", "SNIPS", "DR")
+NEEDS_REWARD_MODEL = ("direct_method", "DR")
+
+#: What a hit at a rank is worth, per metric name; the last two take the reward itself, the others count positives.
+GAINS = {
+    "precision_at_k": lambda rank, k: F.lit(1.0 / k), "recall_at_k": lambda rank, k: F.lit(1.0),
+    "MAP_at_k": lambda rank, k: 1.0 / rank, "MRR_at_k": lambda rank, k: 1.0 / rank,
+    "NDCG_at_k": lambda rank, k: 1.0 / F.log2(rank.cast("double") + 1),
+    "average_reward_at_k": lambda rank, k: F.lit(1.0 / k), "expected_reward": lambda rank, k: F.lit(1.0),
+}
+BY_REWARD = ("average_reward_at_k", "expected_reward")
+
+
+def off_policy_metrics(logged: DataFrame, ranks: DataFrame, evaluator: str, metrics, ks, epsilon: float = 0.1,
+                       q: DataFrame | None = None) -> DataFrame:
+    """Estimates of ranking metrics under the policy, from logged actions -> (metric, k, value).
+
+    The policy plays one of its top k with (1 - eps) / k each and any of the |A| actions with eps / |A|. An action a
+    at rank j <= k is worth ``gain(j) * v`` with v = [reward > 0] (the reward itself for the reward metrics), 0 below k;
+    ``expected_reward`` is the reward of any action under k = 1. Then, with w = pi / propensity and value m:
+
+    replay_match avg(m) over rows that the policy would show; IPS avg(w m); SNIPS sum(w m) / sum(w);
+    policy_weighted sum(pi m) / sum(pi); direct_method the sum over actions of pi m with the reward model q in place of v;
+    DR direct_method + avg(w (m - m_q)). ``ranks`` and ``q`` may be global or per user. One pass over ``logged``.
+    """
+    need = ["INSTANCE", "ITEM_ID", "REWARD", *(["PROPENSITY"] if evaluator in NEEDS_PROPENSITY else [])]
+    missing = [c for c in need if c not in logged.columns]
+    if missing:
+        raise ValueError(f"off-policy evaluation needs columns {missing} (logged items, rewards, "
+                         "logging propensities); use empirical_propensity() to estimate b(a|x)")
+    if q is None and evaluator in NEEDS_REWARD_MODEL:
+        raise ValueError(f"evaluator {evaluator!r} needs a reward model q (item or pair scores)")
+    asked = [(m, int(k)) for m in metrics if m != "expected_reward" for k in ks] + [(m, None) for m in metrics if m == "expected_reward"]
+    max_k = max([k for _, k in asked if k] + [1])
+    eps = float(epsilon)
+    ranks = ranks.filter(F.col("rank") <= max_k)
+    who = ["USER_ID"] if "USER_ID" in ranks.columns else []
+    own = ["USER_ID"] if q is not None and "USER_ID" in q.columns else []
+    j = logged.join(ranks.select(*who, "ITEM_ID", F.col("rank").alias("_rank")), [*who, "ITEM_ID"], "left")
+    if q is None:
+        actions = logged.select("ITEM_ID").union(ranks.select("ITEM_ID")).distinct().count()
+        j = j.withColumns({"_q": F.lit(0.0), "_n": F.lit(actions), "_mean": F.lit(0.0)})
+    else:
+        j = j.join(q.select(*own, "ITEM_ID", F.col("q").alias("_q")), [*own, "ITEM_ID"], "left").fillna(0.0, ["_q"])
+        stats = q.groupBy(*own).agg(F.count(F.lit(1)).alias("_n"), F.avg("q").alias("_mean"))
+        if own:
+            j = j.join(stats, own, "left").fillna(1, ["_n"]).fillna(0.0, ["_mean"])
+        else:
+            one = stats.first()   # two scalars
+            j = j.withColumns({"_n": F.lit(one["_n"] or 1), "_mean": F.lit(float(one["_mean"] or 0.0))})
+    plan = {}
+
+    def play(rank, k):
+        return F.when(rank <= k, F.lit((1 - eps) / k)).otherwise(0.0) + F.lit(eps) / F.col("_n")
+
+    if evaluator in NEEDS_REWARD_MODEL:
+        # per user (or once): the top-k actions' values under q
+        keys = sorted({*who, *own})
+        top = ranks.join(q.select(*own, "ITEM_ID", "q"), [*[c for c in own if c in who], "ITEM_ID"], "left").fillna(0.0, ["q"])
+        sums = [F.sum(F.when(F.col("rank") <= (k or 1), GAINS[m](F.col("rank"), k or 1) * F.col("q")).otherwise(0.0)).alias(f"_t{i}")
+                for i, (m, k) in enumerate(asked)]
+        if keys:
+            j = j.join(top.groupBy(*keys).agg(*sums), keys, "left")
+        else:
+            row = top.agg(*sums).first()   # a number a metric
+            j = j.withColumns({f"_t{i}": F.lit(float(row[f"_t{i}"] or 0.0)) for i in range(len(asked))})
+    for i, (m, k) in enumerate(asked):
+        rank, kk = F.col("_rank"), k or 1
+        shown = rank.isNotNull() & (rank <= kk)
+        v = F.col("REWARD") if m in BY_REWARD else (F.col("REWARD") > 0).cast("double")
+        if m == "expected_reward":
+            value, model = v, F.col("_q")
+        else:
+            gain = GAINS[m](rank, kk)
+            value, model = F.when(shown, gain * v).otherwise(0.0), F.when(shown, gain * F.col("_q")).otherwise(0.0)
+        pi = play(F.coalesce(rank, F.lit(1 << 40)), kk)
+        if evaluator == "replay_match":
+            plan[i] = F.avg(F.when(shown, value))
+        elif evaluator == "policy_weighted":
+            plan[i] = F.sum(pi * value) / F.sum(pi)
+        elif evaluator in NEEDS_PROPENSITY[:2]:
+            w = pi / F.col("PROPENSITY")
+            plan[i] = F.avg(w * value) if evaluator == "IPS" else F.sum(w * value) / F.sum(w)
+        else:
+            t = F.coalesce(F.col(f"_t{i}"), F.lit(0.0))
+            dm = (1 - eps) * t + eps * F.col("_mean") if m == "expected_reward" else t * (F.lit((1 - eps) / kk) + F.lit(eps) / F.col("_n"))
+            plan[i] = F.avg(dm)
+            if evaluator == "DR":
+                plan[i] = plan[i] + F.avg(pi / F.col("PROPENSITY") * (value - model))
+    a = j.agg(*[c.alias(f"v{i}") for i, c in plan.items()])
+    out = [F.struct(F.lit(m).alias("metric"), F.lit(k).cast("long").alias("k"), F.col(f"v{i}").cast("double").alias("value"))
+           for i, (m, k) in enumerate(asked)]
+    return a.select(F.explode(F.array(*out)).alias("x")).select("x.*")

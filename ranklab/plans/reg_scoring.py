@@ -5,7 +5,9 @@ exploration, and conversation audits."""
 from __future__ import annotations
 
 import sys
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ranklab.operators import audit as au
@@ -16,6 +18,7 @@ from ranklab.operators import scoring as sc
 from ranklab.operators import split as sp
 from ranklab.operators import stats as st
 from ranklab.plans import sql_views as V
+from ranklab.session import cut_lineage
 from ranklab.sources import tables as T
 
 QUERIES = {}
@@ -49,7 +52,7 @@ _POP = "pop AS (SELECT ITEM_ID, avg(OUTCOME) AS score FROM sp WHERE split = 'tra
 @register("ranking_metrics_per_user", f"""
 WITH {_SP}, {_POP},
 top AS (SELECT ITEM_ID, row_number() OVER (ORDER BY score DESC, ITEM_ID) AS rank FROM pop QUALIFY rank <= 20),
-lg AS (SELECT USER_ID AS inst, ITEM_ID, OUTCOME AS reward FROM sp WHERE split = 'valid'),
+lg AS (SELECT USER_ID AS inst, ITEM_ID, max(OUTCOME) AS reward FROM sp WHERE split = 'valid' GROUP BY USER_ID, ITEM_ID),
 j AS (SELECT lg.*, t.rank FROM lg LEFT JOIN top t USING (ITEM_ID)),
 jj AS (SELECT *,
          sum(CASE WHEN reward > 0 AND rank IS NOT NULL THEN 1 ELSE 0 END) OVER (
@@ -94,7 +97,9 @@ _AUC_SQL = """
   {groupby}"""
 
 
-def _auc_sql(group: str | None) -> str:
+def _auc_sql(group: str | None, digits: int = 6) -> str:
+    if digits != 6:
+        return _auc_sql(group).replace(", 6) AS", f", {digits}) AS")
     if group:
         return _AUC_SQL.format(g=f"{group},", pg=group, groupby=f"GROUP BY {group}")
     return _AUC_SQL.format(g="", pg="NULL", groupby="")
@@ -211,6 +216,96 @@ def q_offpolicy(spark, sf):
     return res.select("metric", r6("value"))
 
 
+_ESTIMATES = {
+    "replay_match": "avg(CASE WHEN shown THEN m END)", "IPS": "avg(pi / prop * m)", "SNIPS": "sum(pi / prop * m) / sum(pi / prop)",
+    "policy_weighted": "sum(pi * m) / sum(pi)", "direct_method": "avg(dm)", "DR": "avg(dm) + avg(pi / prop * (m - mq))"}
+
+
+@register("off_policy_at_k_popularity", f"""
+WITH {_SP}, {_POP},
+top AS (SELECT ITEM_ID, score AS q, row_number() OVER (ORDER BY score DESC, ITEM_ID) AS rank FROM pop QUALIFY rank <= 200),
+v AS (SELECT * FROM sp WHERE split = 'valid'),
+b AS (SELECT ITEM_ID, count(*) / (SELECT count(*) FROM v) AS prop FROM v GROUP BY ITEM_ID),
+n AS (SELECT CAST(0.1 AS DOUBLE) / count(*) AS explore FROM pop),
+ks AS (SELECT unnest([20, 200]) AS k),
+g AS (SELECT 'NDCG_at_k' AS metric, rank, 1 / log2(rank + 1) AS gain, k, q FROM top, ks WHERE rank <= k
+      UNION ALL SELECT 'precision_at_k', rank, CAST(1 AS DOUBLE) / k, k, q FROM top, ks WHERE rank <= k),
+d AS (SELECT metric, k, sum(gain * q) * (CAST(0.9 AS DOUBLE) / k + (SELECT explore FROM n)) AS dm FROM g GROUP BY metric, k),
+j AS (SELECT d.metric, d.k, d.dm, b.prop, g.rank IS NOT NULL AS shown,
+        CASE WHEN g.rank IS NOT NULL AND v.OUTCOME > 0 THEN gain ELSE 0 END AS m, coalesce(gain * t.q, 0) AS mq,
+        CASE WHEN g.rank IS NOT NULL THEN CAST(0.9 AS DOUBLE) / d.k ELSE 0 END + (SELECT explore FROM n) AS pi
+      FROM v JOIN b USING (ITEM_ID) CROSS JOIN d LEFT JOIN top t USING (ITEM_ID)
+        LEFT JOIN g ON g.metric = d.metric AND g.k = d.k AND g.rank = t.rank)
+""" + " UNION ALL ".join(f"SELECT '{e}' AS evaluator, CASE metric WHEN 'NDCG_at_k' THEN 'ndcg' ELSE 'precision' END AS metric, "
+                         f"CAST(k AS BIGINT) AS k, round({x}, 6) AS value FROM j GROUP BY metric, k" for e, x in _ESTIMATES.items()))
+def q_offpolicy_at_k(spark, sf):
+    """E16-E21 through the evaluation driver: every estimator at two ks."""
+    from ranklab.plans import evaluate as ev
+    train, valid = _temporal(spark, sf)
+    pop = cut_lineage(sc.item_mean_scores(train))
+    logged = cut_lineage(op.empirical_propensity(mt.logged_per_row(valid, T.INTER_TIEBREAK)))
+    scores = ev.Scores(topk=sc.top_k_global(pop, 200), item_scores=pop)
+    parts = [ev.evaluate("popularity", scores, logged, e, ["NDCG_at_k", "precision_at_k"], [20, 200]).withColumn("evaluator", F.lit(e))
+             for e in _ESTIMATES]
+    return reduce(DataFrame.unionByName, parts).select("evaluator", "metric", "k", r6("value"))
+
+
+@register("evaluate_per_label_labels", f"""
+WITH {V.LAB},
+scored AS (SELECT 'quality' AS label_name, ITEM_quality AS label, CAST(n_chars AS DOUBLE) AS score FROM lab
+           UNION ALL SELECT 'toxic', ITEM_toxic, CAST(n_chars AS DOUBLE) FROM lab),
+per AS ({_auc_sql('label_name', 15)})
+SELECT 'roc_auc' AS metric, label_name AS label, round(roc_auc, 6) AS value FROM per
+UNION ALL SELECT 'pr_auc', label_name, round(pr_auc, 6) FROM per
+UNION ALL SELECT 'roc_auc', NULL, round(avg(roc_auc), 6) FROM per
+UNION ALL SELECT 'pr_auc', NULL, round(avg(pr_auc), 6) FROM per
+UNION ALL SELECT 'rmse', label_name, round(sqrt(avg((score - label) * (score - label))), 6) FROM scored GROUP BY label_name
+UNION ALL SELECT 'rmse', NULL, round(avg(x), 6) FROM (SELECT sqrt(avg((score - label) * (score - label))) AS x FROM scored GROUP BY label_name)""")
+def q_eval_per_label(spark, sf):
+    """E10 through the evaluation driver: per-label values and their mean, the logged table built from the wide slice."""
+    from ranklab.plans import evaluate as ev
+    lab = T.labelled_docs(spark, sf)
+    pairs = lab.select("USER_ID", F.explode(F.array(F.lit("quality"), F.lit("toxic"))).alias("ITEM_ID"), F.col("n_chars").cast("double").alias("score"))
+    res = ev.evaluate("length", ev.Scores(pair_scores=pairs), metrics=["roc_auc", "pr_auc", "rmse"], contract="wide_multioutput",
+                      per_label=True, frame=lab)
+    return res.select("metric", "label", r6("value"))
+
+
+@register("evaluate_per_item_priorities", f"""
+WITH {V.PRIO},
+scored AS (SELECT p.ITEM_ID, p.OUTCOME AS label, CAST(s.n AS DOUBLE) AS score FROM prio p
+           JOIN (SELECT USER_ID, ITEM_ID, count(*) AS n FROM prio GROUP BY USER_ID, ITEM_ID) s USING (USER_ID, ITEM_ID)),
+per AS ({_auc_sql('ITEM_ID', 15)})
+SELECT 'roc_auc' AS metric, ITEM_ID AS label, round(roc_auc, 6) AS value FROM per UNION ALL SELECT 'roc_auc', NULL, round(avg(roc_auc), 6) FROM per""")
+def q_eval_per_item(spark, sf):
+    """E9/E10 on long data through the evaluation driver."""
+    from ranklab.plans import evaluate as ev
+    prio = T.priorities(spark, sf)
+    pairs = prio.groupBy("USER_ID", "ITEM_ID").agg(F.count(F.lit(1)).cast("double").alias("score"))
+    res = ev.evaluate("history", ev.Scores(pair_scores=pairs), metrics=["roc_auc"], per_label=True, frame=prio)
+    return res.select("metric", "label", r6("value"))
+
+
+@register("evaluate_depths_popularity", f"""
+WITH {_SP}, {_POP},
+top AS (SELECT ITEM_ID, row_number() OVER (ORDER BY score DESC, ITEM_ID) AS rank FROM pop QUALIFY rank <= 500),
+j AS (SELECT v.OUTCOME AS reward, t.rank FROM sp v LEFT JOIN top t USING (ITEM_ID) WHERE v.split = 'valid')
+SELECT CAST(d AS BIGINT) AS depth, CAST(500 AS BIGINT) AS k,
+       round(count_if(reward > 0 AND rank <= d) / count_if(reward > 0), 6) AS value
+FROM j, (SELECT unnest([10, 500]) AS d) GROUP BY d""")
+def q_eval_depths(spark, sf):
+    """Two evaluations of one model through one cache; the deeper list is not served from the shorter one."""
+    from ranklab.plans import evaluate as ev
+    train, valid = _temporal(spark, sf)
+    pop = cut_lineage(sc.item_mean_scores(train))
+    logged = cut_lineage(mt.logged_per_row(valid, T.INTER_TIEBREAK))
+    with ev.ScoreCache() as cache:
+        parts = [ev.evaluate("popularity", ev.Scores(topk=sc.top_k_global(pop, d)), logged, metrics=["recall_at_k"], k_values=[500],
+                             single_item_instances=True, cache=cache).select(F.lit(d).cast("long").alias("depth"), "k", r6("value"))
+                 for d in (10, 500)]
+        return cut_lineage(parts[0].unionByName(parts[1]))
+
+
 # ------------------------------------------------------------------ scoring
 
 _HIST = "hist AS (SELECT USER_ID, ITEM_ID, CAST(count(*) AS DOUBLE) AS score FROM inter GROUP BY USER_ID, ITEM_ID)"
@@ -459,6 +554,6 @@ def q_eval_driver(spark, sf):
     pairs = valid.select("USER_ID", "ITEM_ID").distinct().join(pop, "ITEM_ID")  # scores of the logged pairs only
     res = ev.evaluate("popularity", ev.Scores(topk=sc.top_k_global(pop, 10), pair_scores=pairs, item_scores=pop),
                       logged, metrics=["NDCG_at_k", "precision_at_k", "roc_auc", "expected_reward"], k_values=[5, 10],
-                      bundle_version=hash((sf, "temporal", 0.1, 0.1)), single_item_instances=True, refresh_scores=True)
+                      single_item_instances=True)
     key = F.when(F.col("k").isNull(), F.col("metric")).otherwise(F.concat_ws("@", "metric", F.col("k").cast("string")))
     return res.select("model_id", key.alias("metric_key"), r6("value"))

@@ -48,7 +48,6 @@ def test_evaluate_driver(spark):
                       metrics=["precision_at_k", "roc_auc", "rmse"], k_values=[1, 2], single_item_instances=True)
     got = {(r["metric"], r["k"]): r["value"] for r in res.collect()}
     assert got[("precision", 1)] == pytest.approx(1 / 3) and got[("roc_auc", None)] == 1.0
-    ev.release("pop")
 
 
 def test_validation_fallback(spark):
@@ -128,19 +127,87 @@ def test_failure_registry_patterns(spark, error_type, message, category):
     assert dg.classify_failures(log).first()["category"] == category
 
 
-def test_evaluate_driver_off_policy_branch(spark):
-    from ranklab.operators import offpolicy as op
+def _logged(spark):
     logged = spark.createDataFrame([(str(i), f"u{i % 3}", f"i{i % 4}", float(i % 2), 0.25) for i in range(40)],
                                    "INSTANCE string, USER_ID string, ITEM_ID string, REWARD double, PROPENSITY double")
     items = spark.createDataFrame([(f"i{j}", 0.1 * j) for j in range(4)], "ITEM_ID string, score double")
-    topk = spark.createDataFrame([("i3", 1), ("i2", 2)], "ITEM_ID string, rank long")
-    res = ev.evaluate("pop", ev.Scores(topk=topk, item_scores=items), logged, evaluator="SNIPS",
-                      metrics=["average_reward_at_k"], k_values=[1], epsilon=0.2).collect()
+    return logged, items, spark.createDataFrame([("i3", 1), ("i2", 2)], "ITEM_ID string, rank long")
+
+
+@pytest.mark.parametrize("evaluator", ["replay_match", "IPS", "SNIPS", "policy_weighted", "direct_method", "DR"])
+def test_off_policy_driver_answers_each_metric_at_each_k(spark, evaluator):
+    from ranklab.operators import offpolicy as op
+    logged, items, topk = _logged(spark)
+    res = ev.evaluate("pop", ev.Scores(topk=topk, item_scores=items), logged, evaluator=evaluator,
+                      metrics=["average_reward_at_k", "NDCG_at_k", "expected_reward"], k_values=[1, 2], epsilon=0.2).collect()
+    got = {(r["metric"], r["k"]): r["value"] for r in res}
+    assert set(got) == {(m, k) for m in ("average_reward", "ndcg") for k in (1, 2)} | {("expected_reward", None)}
     want = {r["metric"]: r["value"] for r in op.off_policy_estimates(
         logged, items.withColumnRenamed("score", "q"), 0.2, top1=topk.filter("rank = 1")).collect()}
-    assert [(r["metric"], r["k"]) for r in res] == [("SNIPS", None)]
-    assert res[0]["value"] == pytest.approx(want["SNIPS"])
-    ev.release("pop")
+    if evaluator != "replay_match":
+        assert got["expected_reward", None] == pytest.approx(want[evaluator])
+    rank, q, n = {"i3": 1, "i2": 2}, {f"i{j}": .1 * j for j in range(4)}, 4
+    rows = [(r["ITEM_ID"], r["REWARD"], r["PROPENSITY"]) for r in logged.collect()]
+    k = 2
+    gain = {i: (1 / k if evaluator else 0) for i in rank}
+
+    def m(i, v):
+        return gain[i] * v if i in rank else 0.0
+
+    def pi(i):
+        return (0.8 / k if i in rank else 0) + 0.2 / n
+    dm = sum(pi(i) * gain[i] * q[i] for i in rank)
+    by_hand = {
+        "replay_match": sum(m(i, r) for i, r, _ in rows if i in rank) / sum(i in rank for i, _, _ in rows),
+        "IPS": sum(pi(i) / p * m(i, r) for i, r, p in rows) / 40,
+        "SNIPS": sum(pi(i) / p * m(i, r) for i, r, p in rows) / sum(pi(i) / p for i, _, p in rows),
+        "policy_weighted": sum(pi(i) * m(i, r) for i, r, _ in rows) / sum(pi(i) for i, _, _ in rows),
+        "direct_method": dm, "DR": dm + sum(pi(i) / p * (m(i, r) - m(i, q[i])) for i, r, p in rows) / 40}
+    assert got["average_reward", 2] == pytest.approx(by_hand[evaluator])
+
+
+def test_off_policy_with_scores_per_user(spark):
+    logged, _, _ = _logged(spark)
+    pairs = spark.createDataFrame([(f"u{u}", f"i{i}", .1 * i + .2 * u) for u in range(3) for i in range(4)], "USER_ID string, ITEM_ID string, score double")
+    topk = spark.createDataFrame([(f"u{u}", f"i{u}", 1) for u in range(3)], "USER_ID string, ITEM_ID string, rank long")
+    res = ev.evaluate("m", ev.Scores(topk=topk, pair_scores=pairs), logged, "direct_method", ["expected_reward", "precision_at_k"], [1], epsilon=0.0).collect()
+    share = [sum(i % 3 == u for i in range(40)) / 40 for u in range(3)]
+    want = sum(share[u] * (.1 * u + .2 * u) for u in range(3))
+    assert {r["metric"]: pytest.approx(r["value"]) for r in res} == {"expected_reward": want, "precision": want}
+
+
+def test_requests_are_answered_or_refused(spark):
+    logged, items, topk = _logged(spark)
+    bare = logged.drop("PROPENSITY")
+    sc = ev.Scores(topk=topk, item_scores=items)
+    assert ev.evaluate("m", sc, bare, "replay_match", ["precision_at_k"], [1]).count() == 1
+    auc = ev.evaluate("m", sc, bare, "replay_match", ["roc_auc"]).collect()
+    assert [(r["metric"], r["value"]) for r in auc] == [("roc_auc", None)]     # one item, one class: i3 always pays
+    for evaluator, scores, frame, metric in (("IPS", sc, bare, "precision_at_k"), ("DR", ev.Scores(topk=topk), logged, "precision_at_k"),
+                                             ("simple", ev.Scores(topk=topk), logged, "expected_reward"), ("simple", ev.Scores(), logged, "recall_at_k"),
+                                             ("simple", ev.Scores(topk=topk), logged, "rmse")):
+        with pytest.raises(ValueError):
+            ev.evaluate("m", scores, frame, evaluator, [metric], [1])
+    with pytest.raises(ValueError):
+        ev.evaluate("m", sc)
+
+
+def test_a_deeper_list_is_not_served_from_the_cache(spark):
+    logged, items, topk = _logged(spark)
+    with ev.ScoreCache() as cache:
+        values = [ev.evaluate("m", ev.Scores(topk=topk.filter(f"rank <= {d}")), logged, metrics=["recall_at_k"], k_values=[5],
+                              single_item_instances=True, cache=cache).first()["value"] for d in (1, 2)]
+        assert values == [0.5, 0.5] or values[1] >= values[0]
+        assert len(cache._held) == 2
+    assert not cache._held
+
+
+def test_repeated_items_keep_metrics_in_bounds(spark):
+    from ranklab.operators import metrics as mt
+    logged = spark.createDataFrame([("u", "u", "a", 1.0)] * 12 + [("u", "u", "b", 0.0)], "INSTANCE string, USER_ID string, ITEM_ID string, REWARD double")
+    top = spark.createDataFrame([("a", 1), ("b", 2)], "ITEM_ID string, rank long")
+    got = {r["metric"]: r["value"] for r in mt.ranking_metrics(logged, top, [10]).collect()}
+    assert got == {"precision": 0.1, "recall": 1.0, "map": 1.0, "ndcg": 1.0, "mrr": 1.0}
 
 
 def test_sql_and_json_sources(spark):
