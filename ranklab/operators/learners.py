@@ -4,8 +4,7 @@ Every fit runs distributed inside Spark ML. Feature building stays in the
 DataFrame API: ids that ALS needs as integers are indexed with an exact
 distributed prefix sum (no driver-side label array), low-cardinality
 categoricals go through StringIndexer, and user/item ids for tabular models
-are hashed (FeatureHasher) so the feature width never depends on the number
-of users or items.
+are hashed (FeatureHasher) into a width that follows their distinct count.
 """
 
 from __future__ import annotations
@@ -14,6 +13,8 @@ import dataclasses
 import time
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import FMClassifier, GBTClassifier, LogisticRegression
@@ -25,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ranklab.operators.split import cumulative_before
+from ranklab.session import cut_lineage
 
 
 @dataclasses.dataclass
@@ -50,23 +52,37 @@ def index_ids(df: DataFrame, col: str, out: str = "idx") -> DataFrame:
     return cumulative_before(d, [col], out=out).select(col, F.col(out).cast("int").alias(out))
 
 
+def hash_width(df: DataFrame, cols: Sequence[str]) -> int:
+    """Hash buckets for id columns: a power of two of at least twice their distinct values (one approximate count)."""
+    if not cols:
+        return 1
+    n = sum(df.agg(*[F.approx_count_distinct(c) for c in cols]).first())
+    return 1 << max(10, (2 * int(n)).bit_length())
+
+
 def tabular_features(df: DataFrame, numeric: Sequence[str] = (), categorical: Sequence[str] = (),
-                     hashed: Sequence[str] = ("USER_ID", "ITEM_ID"), num_hash_features: int = 1 << 12,
+                     hashed: Sequence[str] = ("USER_ID", "ITEM_ID"), num_hash_features: int | None = None,
                      out: str = "features") -> Pipeline:
-    """Pipeline: StringIndexer for low-cardinality categoricals, FeatureHasher for
-    id columns, VectorAssembler for everything."""
+    """Pipeline: one StringIndexer for all low-cardinality categoricals, FeatureHasher for
+    id columns (as wide as their distinct values ask for), VectorAssembler for everything."""
     stages, cols = [], list(numeric)
-    for c in categorical:
-        stages.append(StringIndexer(inputCol=c, outputCol=f"{c}__ix", handleInvalid="keep"))
-        cols.append(f"{c}__ix")
+    if categorical:
+        indexed = [f"{c}__ix" for c in categorical]
+        stages.append(StringIndexer(inputCols=list(categorical), outputCols=indexed, handleInvalid="keep"))
+        cols += indexed
     if hashed:
-        stages.append(FeatureHasher(inputCols=list(hashed), outputCol="_hashed", numFeatures=num_hash_features,
+        stages.append(FeatureHasher(inputCols=list(hashed), outputCol="_hashed", numFeatures=num_hash_features or hash_width(df, hashed),
                                     categoricalCols=list(hashed)))
         cols.append("_hashed")
     stages.append(VectorAssembler(inputCols=cols, outputCol=out, handleInvalid="keep"))
     return Pipeline(stages=stages)
 
 
+def bins_for(features: PipelineModel, least: int = 32) -> int:
+    """Tree bins that hold every level of the fitted categorical indexers."""
+    return max([least, *(len(labels) + 1 for st in features.stages if hasattr(st, "labelsArray") for labels in st.labelsArray)])
+
+
 def positive_probability(pred: DataFrame, out: str = "score") -> DataFrame:
     """Probability of class 1 from a Spark ML classifier output."""
     return pred.withColumn(out, vector_to_array("probability")[1])
@@ -78,7 +94,7 @@ def positive_probability(pred: DataFrame, out: str = "score") -> DataFrame:
 def fit_universal(train: DataFrame, numeric: Sequence[str], categorical: Sequence[str] = (),
                   family: str = "gbt", task: str = "classification", label: str = "OUTCOME",
                   params: dict | None = None, hashed: Sequence[str] = ("USER_ID", "ITEM_ID"),
-                  num_hash_features: int = 1 << 12, seed: int = 42) -> PipelineModel:
+                  num_hash_features: int | None = None, seed: int = 42) -> PipelineModel:
     """One model over user ⊕ item ⊕ feature rows.
 
     family 'gbt': GBTClassifier/GBTRegressor (maxIter = n_estimators,
@@ -89,10 +105,14 @@ def fit_universal(train: DataFrame, numeric: Sequence[str], categorical: Sequenc
     p = dict(params or {})
     feats = tabular_features(train, numeric, categorical, hashed if family == "fm" else (),
                              num_hash_features)
+    # Feature stages fitted once; the assembled vectors are persisted for the
+    # estimator's many passes (each boosting round / SGD epoch re-reads them)
+    # instead of recomputing the joins behind ``train`` every time.
+    fe = feats.fit(train)
     if family == "gbt":
         kw = dict(featuresCol="features", labelCol=label, maxIter=int(p.get("n_estimators", 50)),
                   maxDepth=int(p.get("max_depth", 4)), stepSize=float(p.get("learning_rate", 0.1)), seed=seed,
-                  maxBins=int(p.get("max_bins", 32)))
+                  maxBins=int(p.get("max_bins", bins_for(fe))))
         est = GBTClassifier(**kw) if task == "classification" else GBTRegressor(**kw)
     elif family == "fm":
         kw = dict(featuresCol="features", labelCol=label, factorSize=int(p.get("embedding_dim", 8)),
@@ -100,10 +120,6 @@ def fit_universal(train: DataFrame, numeric: Sequence[str], categorical: Sequenc
         est = FMClassifier(**kw) if task == "classification" else FMRegressor(**kw)
     else:
         raise ValueError(f"unknown universal family {family!r}")
-    # Feature stages fitted once; the assembled vectors are persisted for the
-    # estimator's many passes (each boosting round / SGD epoch re-reads them)
-    # instead of recomputing the joins behind ``train`` every time.
-    fe = feats.fit(train)
     vec = fe.transform(train).select("features", label).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         model = est.fit(vec)
@@ -128,8 +144,8 @@ def fit_als(train: DataFrame, rank: int = 16, max_iter: int = 5, reg: float = 0.
     """Matrix factorisation with Spark's blocked ALS (no per-user Python loop,
     so the reference's 500K-user / 5M-row exclusion does not apply)."""
     t0 = time.time()
-    umap = index_ids(train, "USER_ID", "u")
-    imap = index_ids(train, "ITEM_ID", "i")
+    umap = cut_lineage(index_ids(train, "USER_ID", "u"))
+    imap = cut_lineage(index_ids(train, "ITEM_ID", "i"))
     data = train.join(umap, "USER_ID").join(imap, "ITEM_ID").select("u", "i", F.col(rating).cast("float").alias("r"))
     als = ALS(rank=rank, maxIter=max_iter, regParam=reg, implicitPrefs=implicit, alpha=alpha, userCol="u",
               itemCol="i", ratingCol="r", coldStartStrategy="drop", seed=seed, nonnegative=False)
@@ -151,6 +167,12 @@ def als_top_k(h: ModelHandle, users: DataFrame, k: int) -> DataFrame:
     return ex.join(umap, "u").join(imap, "i").select("USER_ID", "ITEM_ID", "score", "rank")
 
 
+def als_pair_scores(h: ModelHandle, pairs: DataFrame) -> DataFrame:
+    """(USER_ID, ITEM_ID, score) of the pairs whose user and item ALS knows."""
+    p = pairs.select("USER_ID", "ITEM_ID").distinct().join(h.extras["umap"], "USER_ID").join(h.extras["imap"], "ITEM_ID")
+    return h.model.transform(p).select("USER_ID", "ITEM_ID", F.col("prediction").cast("double").alias("score"))
+
+
 # ----------------------------------------------------------------- M3: independent per-item models
 
 
@@ -163,47 +185,58 @@ def independent_linear(train: DataFrame, feature: str, item_col: str = "ITEM_ID"
                                        F.regr_count(y, x).alias("n"))
 
 
-MAX_ITEMS_FOR_SEPARATE_FITS = 64
+def _newton():
+    """Newton step per row: solve (hessian + ridge) d = gradient for small systems given as flat arrays."""
+    @F.pandas_udf("array<double>")
+    def step(beta: pd.Series, grad: pd.Series, hess: pd.Series) -> pd.Series:
+        out = []
+        for b, g, h in zip(beta, grad, hess):
+            b, g = np.array(b, float), np.array(g, float)
+            h = np.array(h, float).reshape(len(g), len(g)) + 1e-6 * np.eye(len(g))
+            d = np.linalg.solve(h, g)
+            out.append((b + d * min(1.0, 5.0 / max(1e-9, np.abs(d).max()))).tolist())
+        return pd.Series(out)
+    return step("beta", "grad", "hess")
 
 
-def independent_classifiers(train: DataFrame, numeric: Sequence[str], item_col: str = "ITEM_ID",
-                            label: str = "OUTCOME", max_items: int = MAX_ITEMS_FOR_SEPARATE_FITS,
-                            max_workers: int = 4) -> dict:
-    """Independent scorer for a bounded item set: one logistic regression per item,
-    fitted concurrently from driver threads on one shared, persisted feature table.
+def independent_classifiers(train: DataFrame, numeric: Sequence[str], item_col: str = "ITEM_ID", label: str = "OUTCOME",
+                            rounds: int = 8, ridge: float = 1e-3) -> DataFrame:
+    """Independent scorer: one logistic regression per item, all items in one pass a round, for any number of items.
 
-    The item list is read with ``limit(max_items + 1)``; above the bound, use
-    ``independent_linear`` (one grouped aggregation for any number of items).
-    Returns {item: PipelineModel}.
+    Newton's method: each round joins the items' coefficients, sums gradient and Hessian by item (partial aggregation, so a hot item spreads
+    over tasks), and solves one small system per item. Returns (item, beta): intercept, then one coefficient a
+    standardised feature, with the scaling in ``mean`` / ``sd``.
     """
-    import concurrent.futures as cf
-    items = [r[0] for r in train.select(item_col).distinct().limit(max_items + 1).collect()]
-    if len(items) > max_items:
-        raise ValueError(f"more than {max_items} items: use independent_linear for per-item models at this size")
-    fe = VectorAssembler(inputCols=list(numeric), outputCol="features", handleInvalid="keep")
-    vec = fe.transform(train).select(item_col, "features", F.col(label).cast("double").alias("label")) \
-        .persist(StorageLevel.MEMORY_AND_DISK)
-
-    def fit(item):
-        part = vec.filter(F.col(item_col) == F.lit(item))
-        return item, LogisticRegression(featuresCol="features", labelCol="label", maxIter=50).fit(part)
-
-    try:
-        with cf.ThreadPoolExecutor(max_workers=max_workers) as pool:
-            models = dict(pool.map(fit, sorted(items)))
-    finally:
-        vec.unpersist()
-    return {item: PipelineModel(stages=[fe, m]) for item, m in models.items()}
-
-
-def score_independent(models: dict, df: DataFrame, item_col: str = "ITEM_ID") -> DataFrame:
-    """Score each row with its own item's model (rows of unknown items are dropped)."""
-    parts = [positive_probability(m.transform(df.filter(F.col(item_col) == F.lit(item))))
-             for item, m in models.items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    y = (F.col(label).cast("double") > 0).cast("double")
+    d = train.select(F.col(item_col).alias("item"), y.alias("y"), *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(f"x{i}")
+                                                                    for i, c in enumerate(numeric)]).filter("item is not null and y is not null")
+    m = len(numeric)
+    scale = d.agg(*[F.avg(f"x{i}") for i in range(m)], *[F.stddev_pop(f"x{i}") for i in range(m)]).first() if m else ()
+    mean, sd = [float(v or 0) for v in scale[:m]], [float(v) if v else 1.0 for v in scale[m:]]
+    x = [F.lit(1.0), *[(F.col(f"x{i}") - mean[i]) / sd[i] for i in range(m)]]
+    d = cut_lineage(d.select("item", "y", *[c.alias(f"z{i}") for i, c in enumerate(x)]))
+    x = [F.col(f"z{i}") for i in range(m + 1)]
+    beta = d.select("item").distinct().withColumn("beta", F.array(*[F.lit(0.0)] * (m + 1)))
+    for _ in range(rounds):
+        j = d.join(beta, "item")
+        p = 1 / (1 + F.exp(-sum((x[i] * F.col("beta")[i] for i in range(m + 1)), F.lit(0.0))))
+        j = j.withColumns({"_e": F.col("y") - p, "_w": p * (1 - p)})
+        sums = j.groupBy("item").agg(F.first("beta").alias("beta"), *[F.sum(F.col("_e") * x[i]).alias(f"g{i}") for i in range(m + 1)],
+                                     *[F.sum(F.col("_w") * x[i] * x[k]).alias(f"h{i}_{k}") for i in range(m + 1) for k in range(i, m + 1)])
+        grad = F.array(*[F.col(f"g{i}") - ridge * F.col("beta")[i] for i in range(m + 1)])
+        hess = F.array(*[F.col(f"h{min(i, k)}_{max(i, k)}") + (ridge if i == k else 0.0) for i in range(m + 1) for k in range(m + 1)])
+        beta = cut_lineage(sums.select("item", "beta", grad.alias("grad"), hess.alias("hess")).withColumn("beta", _newton()).select("item", "beta"))
+    consts = F.array(*[F.lit(v) for v in mean]).cast("array<double>"), F.array(*[F.lit(v) for v in sd]).cast("array<double>")
+    return beta.select(F.col("item").alias(item_col), "beta", consts[0].alias("mean"), consts[1].alias("sd"))
+
+
+def score_independent(models: DataFrame, df: DataFrame, numeric: Sequence[str], item_col: str = "ITEM_ID") -> DataFrame:
+    """Score each row with its own item's model: one join; rows of items without a model stay, with a null score."""
+    j = df.join(models, item_col, "left")
+    z = F.col("beta")[0]
+    for i, c in enumerate(numeric):
+        z = z + F.col("beta")[i + 1] * (F.coalesce(F.col(c).cast("double"), F.lit(0.0)) - F.col("mean")[i]) / F.col("sd")[i]
+    return j.withColumn("score", 1 / (1 + F.exp(-z))).drop("beta", "mean", "sd")
 
 
 # ----------------------------------------------------------------- M4, M5, M6, M7
@@ -219,45 +252,58 @@ def fit_multiclass(df: DataFrame, numeric: Sequence[str], categorical: Sequence[
     return Pipeline(stages=[lab, feats, lr]).fit(df)
 
 
+def constant_targets(df: DataFrame, targets: Sequence[str]) -> dict:
+    """M7: {target: its only value} of the targets that never vary (nulls aside), in one aggregation; 0.0 for all-null ones."""
+    row = df.agg(*[f(t).alias(f"{n}{i}") for i, t in enumerate(targets) for n, f in (("lo", F.min), ("hi", F.max))]).first()
+    return {t: float(row[f"lo{i}"] or 0.0) for i, t in enumerate(targets) if row[f"lo{i}"] == row[f"hi{i}"]}
+
+
 def fit_multioutput(df: DataFrame, targets: Sequence[str], numeric: Sequence[str], categorical: Sequence[str] = (),
                     task: str = "classification", params: dict | None = None, manifest: dict | None = None,
-                    seed: int = 42) -> dict:
+                    on_degenerate: str = "constant", seed: int = 42) -> dict:
     """One head per ``ITEM_*`` target on one shared assembled vector (the feature
-    pipeline is fitted once and the vectors are cached for all heads).
-    ``manifest`` {target: constant} turns single-class targets into constant
-    predictors instead of fits (M7)."""
+    pipeline is fitted once and the vectors are persisted for all heads).
+
+    Targets that never vary are found here (or given as ``manifest`` {target: constant}); ``on_degenerate`` 'constant' predicts
+    their value, 'raise' refuses (M7).
+    """
+    if on_degenerate not in ("constant", "raise"):
+        raise ValueError("on_degenerate must be 'constant' or 'raise'")
     p = dict(params or {})
+    constants = dict(manifest) if manifest is not None else constant_targets(df, targets)
+    if constants and on_degenerate == "raise":
+        raise ValueError(f"single-class targets: {sorted(constants)}")
     fe = tabular_features(df, numeric, categorical, hashed=()).fit(df)
-    vec = fe.transform(df).select("features", *targets).cache()
+    vec = fe.transform(df).select("features", *targets).persist(StorageLevel.MEMORY_AND_DISK)
     heads = {}
-    for t in targets:
-        if manifest and t in manifest:
-            heads[t] = ("constant", float(manifest[t]))
-            continue
-        kw = dict(featuresCol="features", labelCol=t, maxIter=int(p.get("n_estimators", 20)),
-                  maxDepth=int(p.get("max_depth", 3)), seed=seed)
-        est = GBTClassifier(**kw) if task == "classification" else GBTRegressor(**kw)
-        heads[t] = ("model", est.fit(vec.filter(F.col(t).isNotNull())))
-    vec.unpersist()
+    try:
+        for i, t in enumerate(targets):
+            if t in constants:
+                heads[t] = ("constant", float(constants[t]))
+                continue
+            kw = dict(featuresCol="features", labelCol=t, maxIter=int(p.get("n_estimators", 20)), predictionCol=f"_p{i}",
+                      maxDepth=int(p.get("max_depth", 3)), maxBins=bins_for(fe), seed=seed)
+            est = (GBTClassifier(**kw).setRawPredictionCol(f"_r{i}").setProbabilityCol(f"_s{i}") if task == "classification"
+                   else GBTRegressor(**kw))
+            heads[t] = ("model", est.fit(vec.filter(F.col(t).isNotNull())))
+    finally:
+        vec.unpersist()
     return {"features": fe, "heads": heads, "task": task}
 
 
 def score_multioutput(fitted: dict, df: DataFrame, id_col: str = "USER_ID") -> DataFrame:
-    """Long scores (id, target, score) for every head."""
-    base = fitted["features"].transform(df)
-    parts = []
-    for t, (kind, m) in fitted["heads"].items():
+    """Long scores (id, target, score) for every head: the heads run in one chain over one scan, then unpivot."""
+    d = fitted["features"].transform(df).select(id_col, "features")
+    pairs = []
+    for i, (t, (kind, m)) in enumerate(fitted["heads"].items()):
         if kind == "constant":
-            s = base.select(id_col, F.lit(t).alias("target"), F.lit(m).alias("score"))
-        else:
-            pred = m.transform(base)  # each head adds its own default output columns to `base`
-            sc = vector_to_array("probability")[1] if fitted["task"] == "classification" else F.col("prediction")
-            s = pred.select(id_col, F.lit(t).alias("target"), sc.alias("score"))
-        parts.append(s)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+            pairs.append((t, F.lit(m)))
+            continue
+        d = m.transform(d)
+        names = {n: m.getOrDefault(n) for n in ("predictionCol", "probabilityCol") if m.hasParam(n)}
+        pairs.append((t, vector_to_array(names["probabilityCol"])[1] if fitted["task"] == "classification" else F.col(names["predictionCol"])))
+    rows = F.array(*[F.struct(F.lit(t).alias("target"), c.cast("double").alias("score")) for t, c in pairs])
+    return d.select(id_col, F.explode(rows).alias("x")).select(id_col, "x.*")
 
 
 # ----------------------------------------------------------------- M18-M20: uplift
@@ -278,6 +324,18 @@ def uplift_t_learner(df: DataFrame, numeric: Sequence[str], treatment: str, labe
     return p0.withColumn("uplift", F.col("mu1") - F.col("mu0"))
 
 
+def fit_uplift(df: DataFrame, numeric: Sequence[str], treatment: str, label: str = "OUTCOME") -> tuple:
+    """The T-learner's two models (treated, control), to score other rows with ``score_uplift``."""
+    t = F.col(treatment).cast("boolean")
+    return _lin(df.filter(t), numeric, label), _lin(df.filter(~t), numeric, label)
+
+
+def score_uplift(models: tuple, df: DataFrame) -> DataFrame:
+    p1 = models[0].transform(df).withColumnRenamed("prediction", "mu1").drop("features")
+    p0 = models[1].transform(p1).withColumnRenamed("prediction", "mu0").drop("features")
+    return p0.withColumn("score", F.col("mu1") - F.col("mu0"))
+
+
 def uplift_s_learner(df: DataFrame, numeric: Sequence[str], treatment: str, label: str = "OUTCOME") -> DataFrame:
     """One model with the treatment flag as a feature; score with the flag set to 1 and 0."""
     d = df.withColumn("_t", F.col(treatment).cast("double"))
@@ -290,17 +348,20 @@ def uplift_s_learner(df: DataFrame, numeric: Sequence[str], treatment: str, labe
 def uplift_x_learner(df: DataFrame, numeric: Sequence[str], treatment: str, label: str = "OUTCOME") -> DataFrame:
     """X-learner (Kuenzel et al. 2019): imputed effects D1 = y - mu0(x) on treated,
     D0 = mu1(x) - y on control, second-stage regressors tau1, tau0, and
-    tau = g tau0 + (1-g) tau1 with g = propensity of treatment."""
+    tau = g(x) tau0 + (1-g(x)) tau1 with g = fitted propensity of treatment (logistic regression)."""
     t = F.col(treatment).cast("boolean")
     base = uplift_t_learner(df, numeric, treatment, label)
     d1 = base.filter(t).withColumn("_d", F.col(label) - F.col("mu0"))
     d0 = base.filter(~t).withColumn("_d", F.col("mu1") - F.col(label))
     tau1 = _lin(d1.drop("features"), numeric, "_d")
     tau0 = _lin(d0.drop("features"), numeric, "_d")
-    g = df.agg(F.avg(t.cast("double"))).first()[0]
+    prop = Pipeline(stages=[VectorAssembler(inputCols=list(numeric), outputCol="features", handleInvalid="keep"), LogisticRegression(
+        featuresCol="features", labelCol="_t", regParam=0.01, predictionCol="_pp", probabilityCol="_pr", rawPredictionCol="_pw")]).fit(
+            df.withColumn("_t", t.cast("double")))
     s = tau1.transform(base).withColumnRenamed("prediction", "tau1").drop("features")
     s = tau0.transform(s).withColumnRenamed("prediction", "tau0").drop("features")
-    return s.withColumn("uplift", F.lit(g) * F.col("tau0") + F.lit(1 - g) * F.col("tau1"))
+    s = prop.transform(s).withColumn("propensity", vector_to_array("_pr")[1]).drop("features", "_pp", "_pr", "_pw")
+    return s.withColumn("uplift", F.col("propensity") * F.col("tau0") + (1 - F.col("propensity")) * F.col("tau1"))
 
 
 # ----------------------------------------------------------------- M22: goal-conditioned
@@ -316,31 +377,3 @@ def score_with_goals(model: PipelineModel, df: DataFrame, goals: dict) -> DataFr
     """At inference every goal column is set to its goal value (mean / percentile / predefined)."""
     d = df.withColumns({c: F.lit(float(v)) for c, v in goals.items()})
     return positive_probability(model.transform(d))
-
-
-# ----------------------------------------------------------------- M14: train driver
-
-
-def train(method: dict, train_df: DataFrame, numeric: Sequence[str] = (), categorical: Sequence[str] = ()) -> ModelHandle:
-    """Fit one method config and time it. ``method`` keys: short_name,
-    estimator ('gbt' | 'fm' | 'als' | 'markov'), task, params."""
-    est = method.get("estimator", "gbt")
-    task = method.get("task", "classification")
-    params = method.get("params", {})
-    t0 = time.time()
-    if est in ("gbt", "fm"):
-        model = fit_universal(train_df, numeric, categorical, est, task, params=params)
-        kind = "pipeline"
-    elif est == "als":
-        h = fit_als(train_df, rank=int(params.get("n_factors", 16)), max_iter=int(params.get("epochs", 5)))
-        h.model_id = method.get("short_name", "als")
-        h.config = method
-        return h
-    elif est == "markov":
-        from ranklab.operators.scoring import transition_scores
-        model = transition_scores(train_df, max_len=params.get("max_len")).cache()
-        model.count()
-        kind = "transitions"
-    else:
-        raise ValueError(f"unknown estimator {est!r}")
-    return ModelHandle(method.get("short_name", est), method, model, time.time() - t0, kind)

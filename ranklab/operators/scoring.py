@@ -16,25 +16,11 @@ from pyspark.sql import functions as F
 from ranklab.functions.columns import seeded_hash
 from ranklab.operators.ordered import with_neighbors
 
-MAX_BROADCAST_ROWS = 1_000_000
-
-
-def checked_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS, what: str = "table") -> DataFrame:
-    """Broadcast hint only after proving the row count is bounded; otherwise leave it to the planner."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
 def item_mean_scores(train: DataFrame, item_col: str = "ITEM_ID", outcome_col: str = "OUTCOME") -> DataFrame:
     """Mean outcome per item (the reward model / popularity-by-rate baseline)."""
     return train.groupBy(item_col).agg(F.avg(outcome_col).alias("score"))
 
 
-def item_count_scores(train: DataFrame, item_col: str = "ITEM_ID") -> DataFrame:
-    """Interaction count per item (most-popular baseline)."""
-    return train.groupBy(item_col).agg(F.count(F.lit(1)).cast("double").alias("score"))
-
-
 def top_k_global(scores: DataFrame, k: int, item_col: str = "ITEM_ID", score_col: str = "score") -> DataFrame:
     """Top-k items of a user-independent scorer, ties by item id. Returns k rows (item, score, rank)."""
     top = scores.orderBy(F.col(score_col).desc(), F.col(item_col)).limit(k)  # TakeOrderedAndProject
@@ -52,14 +38,14 @@ def top_k_per_user(scores: DataFrame, k: int, user_col: str = "USER_ID", item_co
 
 def restrict_candidates(scores: DataFrame, candidates: DataFrame, item_col: str = "ITEM_ID",
                         scorer_type: str = "universal") -> DataFrame:
-    """Keep only candidate items (semi join; the candidate list is broadcast when proven small).
+    """Keep only candidate items (semi join; Spark picks broadcast or shuffle by the list's size).
 
     Refused for multi-output scorers: their targets are fixed columns, not a
     candidate set of items.
     """
     if scorer_type == "multioutput":
         raise ValueError("candidate restriction is not supported for multi-output scorers")
-    return scores.join(checked_broadcast(candidates.select(item_col).distinct()), item_col, "left_semi")
+    return scores.join(candidates.select(item_col), item_col, "left_semi")
 
 
 def dot_scores(left: DataFrame, right: DataFrame, on: str | Sequence[str], left_vec: str, right_vec: str,
@@ -89,33 +75,41 @@ def centroid_scores(emb: DataFrame, id_col: str = "vec_id", vec_col: str = "embe
 
 def transition_scores(seq_long: DataFrame, user_col: str = "USER_ID", item_col: str = "ITEM_ID",
                       order_cols: Sequence[str] = ("TIMESTAMP",), max_len: int | None = None,
-                      session_col: str | None = None) -> DataFrame:
-    """First-order next-item probabilities P(next | prev) from ordered histories.
+                      session_col: str | None = None, across_weight: float = 0.0) -> DataFrame:
+    """First-order next-item probabilities P(next | prev) from ordered, whole histories.
 
-    ``lead()`` over each user's (or session's) time order gives the pairs;
-    ``max_len`` keeps only the last ``max_len`` events of each history (the
-    sequence models' truncation). Output (prev_item, next_item, n, prob).
+    The next event comes from range pieces, so a hot user spans many tasks. With ``session_col``, a pair inside one session
+    counts 1 and a pair over a session border ``across_weight`` (the back-off between sessions; 0 leaves it out). ``max_len`` is an option
+    of the caller: it keeps only the last events of each history. Output (prev_item, next_item, n, prob).
     """
     part = [user_col] + ([session_col] if session_col else [])
     s = seq_long
     if max_len:
-        # Trim each history to its last max_len events first (WindowGroupLimit,
-        # pruned per task), so the lead() window never sees more than max_len rows.
-        wr = Window.partitionBy(*part).orderBy(*[F.col(c).desc() for c in order_cols])
-        s = s.withColumn("_rrev", F.row_number().over(wr)).filter(F.col("_rrev") <= max_len)
-        w = Window.partitionBy(*part).orderBy(*[F.col(c) for c in order_cols])
-        s = s.withColumn("_next", F.lead(item_col).over(w))
-    else:
-        # Whole histories: next event from range pieces (a hot user spans many tasks).
-        vals = [item_col] + ([session_col] if session_col else [])
-        s = with_neighbors(s, [user_col], list(order_cols), vals, "next", prefix="_n_")
-        same = (F.col("_n_" + session_col) == F.col(session_col)) if session_col else F.lit(True)
-        s = s.withColumn("_next", F.when(same, F.col("_n_" + item_col)))
-    pairs = s.filter(F.col("_next").isNotNull()).groupBy(F.col(item_col).alias("prev_item"),
-                                                         F.col("_next").alias("next_item")).agg(
-        F.count(F.lit(1)).alias("n"))
-    tot = Window.partitionBy("prev_item")
-    return pairs.withColumn("prob", F.col("n") / F.sum("n").over(tot))
+        wr = Window.partitionBy(*part).orderBy(*[F.col(c).desc() for c in order_cols])  # WindowGroupLimit, pruned per task
+        s = s.withColumn("_rrev", F.row_number().over(wr)).filter(F.col("_rrev") <= max_len).drop("_rrev")
+    vals = [item_col] + ([session_col] if session_col else [])
+    s = with_neighbors(s, [user_col], list(order_cols), vals, "next", prefix="_n_").withColumnRenamed("_n_" + item_col, "_next")
+    weight = F.lit(1)
+    if session_col:
+        same = F.col("_n_" + session_col) == F.col(session_col)
+        weight = F.when(same, F.lit(1.0)).otherwise(F.lit(float(across_weight))) if across_weight else same.cast("int")
+    s = s.filter(F.col("_next").isNotNull()).withColumn("_wt", weight).filter(F.col("_wt") > 0)
+    pairs = s.groupBy(F.col(item_col).alias("prev_item"), F.col("_next").alias("next_item")).agg(F.sum("_wt").alias("n"))
+    # totals by partial aggregation and a join: the successors of a popular item never meet in one task
+    totals = pairs.groupBy(F.col("prev_item").alias("_prev")).agg(F.sum("n").alias("_t"))
+    return pairs.join(totals, F.col("prev_item") == F.col("_prev")).select("prev_item", "next_item", "n", (F.col("n") / F.col("_t")).alias("prob"))
+
+
+def next_items(histories: DataFrame, transitions: DataFrame, k: int, user_col: str = "USER_ID", item_col: str = "ITEM_ID",
+               order_cols: Sequence[str] = ("TIMESTAMP",)) -> DataFrame:
+    """Top-k next items per user from the user's last event: (user, item, score, rank).
+
+    The score depends on the previous item alone, so its successors are cut to the top k before the join with the users.
+    """
+    best = top_k_per_user(transitions, k, user_col="prev_item", item_col="next_item", score_col="prob")
+    key = F.struct(*[F.col(c) for c in [*order_cols, item_col]])
+    last = histories.groupBy(user_col).agg(F.max_by(F.col(item_col), key).alias("prev_item"))
+    return last.join(best, "prev_item").select(user_col, F.col("next_item").alias(item_col), F.col("prob").alias("score"), "rank")
 
 
 def observed_uplift(df: DataFrame, segment_col: str, treatment_col: str, outcome_col: str = "OUTCOME") -> DataFrame:

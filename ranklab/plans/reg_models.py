@@ -12,6 +12,7 @@ from ranklab.operators import scoring as sc
 from ranklab.operators import split as sp
 from ranklab.operators import stats as st
 from ranklab.plans import sql_views as V
+from ranklab.plans import methods as me
 from ranklab.plans import sweep as sw
 from ranklab.session import materialize
 from ranklab.sources import tables as T
@@ -55,14 +56,12 @@ WITH {V.INTER}, {V.USERS}
 SELECT ITEM_ID, round(regr_slope(OUTCOME, acctbal / 1000), 6) + 0.0 AS slope,
        round(regr_intercept(OUTCOME, acctbal / 1000), 6) + 0.0 AS intercept,
        CAST(regr_count(OUTCOME, acctbal / 1000) AS BIGINT) AS n
-FROM inter JOIN users USING (USER_ID) GROUP BY ITEM_ID HAVING count(DISTINCT acctbal) >= 2""")
+FROM inter JOIN users USING (USER_ID) GROUP BY ITEM_ID""")
 def q_independent(spark, sf):
     j = T.interactions(spark, sf).join(T.users(spark, sf), "USER_ID") \
         .withColumn("acctbal_k", F.col("acctbal") / 1000.0)
     m = ln.independent_linear(j, "acctbal_k")
-    ok = j.groupBy("ITEM_ID").agg(F.countDistinct("acctbal").alias("_nx")).filter(F.col("_nx") >= 2)
-    return m.join(ok, "ITEM_ID", "left_semi").select("ITEM_ID", r6("slope"), r6("intercept"),
-                                                     F.col("n").cast("long").alias("n"))
+    return m.select("ITEM_ID", r6("slope"), r6("intercept"), F.col("n").cast("long").alias("n"))
 
 
 _METHODS = ("gbt_universal", "als_universal", "fm_universal", "markov_sequential")
@@ -85,15 +84,35 @@ k AS (SELECT m.method, t.tier,
       FROM m CROSS JOIN t)
 SELECT method, kept, CASE WHEN kept THEN method || '_' || tier END AS sized_name, tier FROM k""")
 def q_eligibility(spark, sf):
-    inter = T.interactions(spark, sf)
-    prof = pf.bundle_profile(inter, T.users(spark, sf), T.items(spark, sf)).first().asDict()
-    methods = [m for m in sw.AUTO_SWEEPS["long_with_timestamp"] if m["short_name"] in _METHODS]
-    tier = sw.scale_tier(prof["n_rows"])["name"]
-    rows = []
-    for m in methods:
-        ok, _ = sw.eligible(m, prof)
-        rows.append((m["short_name"], ok, sw.resize(m, prof)["short_name"] if ok else None, tier))
-    return spark.createDataFrame(rows, "method string, kept boolean, sized_name string, tier string")
+    prof = pf.bundle_profile(T.interactions(spark, sf), T.users(spark, sf), T.items(spark, sf))
+    methods = me.as_table(spark, [m for m in me.AUTO_SWEEPS["long_with_timestamp"] if m["short_name"] in _METHODS])
+    return me.advice(methods, prof).select(F.col("short_name").alias("method"), "kept", "sized_name", "tier")
+
+
+@register("method_capability", """
+WITH rs(r, s) AS (VALUES ('ranking', 'universal'), ('ranking', 'multiclass'), ('ranking', 'multioutput'), ('ranking', 'independent'),
+  ('bandits', 'universal'), ('bandits', 'independent'), ('uplift', 'universal'), ('uplift', 'independent'), ('gcsl', 'universal'),
+  ('gcsl', 'independent'), ('sequential', 'sequential'), ('hierarchical_sequential', 'hierarchical')),
+se(s, e) AS (VALUES ('universal', 'tabular'), ('universal', 'embedding'), ('independent', 'tabular'), ('multiclass', 'tabular'),
+  ('multioutput', 'tabular'), ('sequential', 'sequential'), ('hierarchical', 'sequential')),
+cap AS (SELECT r, s, e FROM rs JOIN se USING (s)),
+cand AS (SELECT r, s, e, (SELECT count(*) FROM lineitem) AS n FROM (SELECT DISTINCT r FROM rs), (SELECT DISTINCT s FROM se), (SELECT DISTINCT e FROM se))
+SELECT c.r AS recommender_type, c.s AS scorer_type, c.e AS estimator_type, cap.r IS NOT NULL AS fits,
+       CASE WHEN cap.r IS NOT NULL THEN NULL
+            WHEN rs.r IS NULL THEN concat('recommender ', chr(39), c.r, chr(39), ' does not accept scorer ', chr(39), c.s, chr(39))
+            ELSE concat('scorer ', chr(39), c.s, chr(39), ' does not accept estimator family ', chr(39), c.e, chr(39)) END AS reason,
+       CAST(c.n AS BIGINT) AS n_rows
+FROM cand c LEFT JOIN cap USING (r, s, e) LEFT JOIN rs USING (r, s)""")
+def q_capability(spark, sf):
+    """Every triple against the capability table, beside the size of the data it would train on."""
+    cap = me.capability(spark)
+    axes = [cap.select(c).distinct() for c in me.TRIPLE]
+    cand = axes[0].crossJoin(axes[1]).crossJoin(axes[2])   # fixed tables of a few names each
+    cand = cand.select(F.concat_ws("/", *me.TRIPLE).alias("short_name"), *me.TRIPLE)
+    good = me.compatible(cand).select(*me.TRIPLE, F.lit(True).alias("fits"), F.lit(None).cast("string").alias("reason"))
+    bad = cand.join(me.incompatible(cand), "short_name").select(*me.TRIPLE, F.lit(False).alias("fits"), "reason")
+    n = T.table(spark, sf, "lineitem").agg(F.count(F.lit(1)).alias("n_rows"))
+    return good.unionByName(bad).crossJoin(F.broadcast(n))   # one row
 
 
 # ------------------------------------------------------------------ fitted models (rows-only)
@@ -191,12 +210,8 @@ def q_markov(spark, sf):
     ev = T.events(spark, sf)
     s = sp.leave_last_n_per_user(ev, n_valid=0, n_test=1, tiebreak=["event_id"])
     train = s.filter(F.col("split") == "train")
-    trans = sc.transition_scores(train, order_cols=("TIMESTAMP", "event_id"), max_len=30)
-    last_train = sc.top_k_per_user(train.withColumn("score", F.col("TIMESTAMP").cast("double")), 1) \
-        .select("USER_ID", F.col("ITEM_ID").alias("prev_item"))
-    cand = last_train.join(trans, "prev_item").select("USER_ID", F.col("next_item").alias("ITEM_ID"),
-                                                      F.col("prob").alias("score"))
-    ranks = sc.top_k_per_user(cand, 3)
+    order = ("TIMESTAMP", "event_id")
+    ranks = sc.next_items(train, sc.transition_scores(train, order_cols=order), 3, order_cols=order)
     held = s.filter(F.col("split") == "test").withColumn("OUTCOME", F.lit(1.0))
     res = mt.ranking_metrics(mt.logged_per_row(held, ["event_id"]), ranks, [1, 3], single_item_instances=True)
     return res.select("metric", "k", r6("value"))
@@ -209,33 +224,34 @@ def q_sweep(spark, sf):
     ranked by ROC AUC on the validation pairs (each method scores the pairs
     it can score - no user x item product)."""
     train, valid = _split(spark, sf)
-    prof = pf.bundle_profile(train, T.users(spark, sf), T.items(spark, sf)).first().asDict()
-    prof["has_timestamps"] = True
-    requested = sw.resolve_methods("long_interactions", [
+    requested = me.resolve("long_interactions", [
         {"short_name": "gbt_universal", "estimator": "gbt", "params": {"n_estimators": 10, "max_depth": 3}},
         {"short_name": "als_universal", "estimator_type": "embedding", "estimator": "als",
          "params": {"n_factors": 8, "epochs": 5}},
         {"short_name": "fm_universal", "estimator_type": "embedding", "estimator": "fm",
          "params": {"embedding_dim": 4, "epochs": 2}},
     ])
-    methods = [m for m in requested if sw.is_compatible(m)[0] and sw.eligible(m, prof)[0]]
+    fits = {r["short_name"] for r in me.compatible(me.as_table(spark, requested)).collect()}
     ft, fv = _features(train, spark, sf), _features(valid, spark, sf)
+    n_logged = valid.count()
 
     def fit_eval(m):
         if m["estimator"] == "als":
             h = ln.fit_als(train, rank=m["params"]["n_factors"], max_iter=m["params"]["epochs"])
-            pairs = fv.join(h.extras["umap"], "USER_ID").join(h.extras["imap"], "ITEM_ID")
-            scored = h.model.transform(pairs).withColumnRenamed("prediction", "score")
+            # pairs that ALS does not know score 0, so that every method is judged on the same rows
+            scored = valid.join(ln.als_pair_scores(h, valid), ["USER_ID", "ITEM_ID"], "left").fillna(0.0, ["score"])
         else:
             model = ln.fit_universal(ft, NUMERIC if m["estimator"] == "gbt" else ["acctbal", "retailprice"],
                                      CATEGORICAL if m["estimator"] == "gbt" else [], m["estimator"],
                                      params=m["params"])
             scored = ln.score_pairs(model, fv)
-        auc = mt.classification_metrics(scored, "OUTCOME", "score").first()["roc_auc"]
-        return {"roc_auc": auc}
+        r = mt.classification_metrics(scored, "OUTCOME", "score").first()
+        if r["n_pos"] + r["n_neg"] != n_logged:
+            raise RuntimeError("methods must be judged on the same rows")
+        return {"roc_auc": r["roc_auc"]}
 
-    rows = sw.sweep(methods, fit_eval, bundle_id=f"inter:{sf}", primary_metric="roc_auc", max_workers=3,
-                    keep_top_k=2)
+    rows = sw.sweep([m for m in requested if m["short_name"] in fits], fit_eval, bundle_id=f"inter:{sf}", primary_metric="roc_auc",
+                    max_workers=3, keep_top_k=2)
     out = [(r["model_id"], r["status"], r["position"], r["keep"],
             None if r.get("metrics", {}).get("roc_auc") is None else round(r["metrics"]["roc_auc"], 6))
            for r in rows]
@@ -255,7 +271,7 @@ def q_search(spark, sf):
         res = mt.ranking_metrics(logged, ln.als_top_k(h, valid, 10), [10], single_item_instances=True)
         return {f"{r['metric']}@10": r["value"] for r in res.collect()}
 
-    base = sw.resolve_methods("long_interactions", "als_universal")[0]
+    base = me.resolve("long_interactions", "als_universal")[0]
     space = {"n_factors": ("int", 4, 16, {"step": 4}), "epochs": ("int", 2, 5, {}),
              "reg": ("float", 0.01, 1.0, {"log": True})}
     trials = sw.search(base, space, fit_eval, n_trials=3, sampler="qmc", metric="ndcg@10", max_workers=3)
@@ -267,10 +283,10 @@ def q_search(spark, sf):
 
 @register("independent_classifiers_priorities")
 def q_independent_classifiers(spark, sf):
-    """M3 (bounded item set): one logistic regression per order priority on customer
-    features, fitted concurrently; per-item AUC of the big-order flag."""
+    """M3: one logistic regression per order priority on customer features, all fitted in the
+    same passes; per-item AUC of the big-order flag."""
     prio = T.priorities(spark, sf).join(T.users(spark, sf), "USER_ID")
     models = ln.independent_classifiers(prio, ["acctbal", "nation"])
-    scored = ln.score_independent(models, prio)
+    scored = ln.score_independent(models, prio, ["acctbal", "nation"])
     return mt.classification_metrics(scored, "OUTCOME", "score", ["ITEM_ID"]).select(
         "ITEM_ID", r6("roc_auc"), "n_pos", "n_neg")

@@ -351,13 +351,11 @@ def q_embeddings(spark, sf):
 
 @register("transitions_events", f"""
 WITH {V.EV},
-r AS (SELECT *, lead(ITEM_ID) OVER (PARTITION BY USER_ID ORDER BY "TIMESTAMP", event_id) AS nxt,
-             row_number() OVER (PARTITION BY USER_ID ORDER BY "TIMESTAMP" DESC, event_id DESC) AS rrev FROM ev),
-p AS (SELECT ITEM_ID AS prev_item, nxt AS next_item, count(*) AS n FROM r WHERE rrev <= 30 AND nxt IS NOT NULL
-      GROUP BY ITEM_ID, nxt)
+r AS (SELECT *, lead(ITEM_ID) OVER (PARTITION BY USER_ID ORDER BY "TIMESTAMP", event_id) AS nxt FROM ev),
+p AS (SELECT ITEM_ID AS prev_item, nxt AS next_item, count(*) AS n FROM r WHERE nxt IS NOT NULL GROUP BY ITEM_ID, nxt)
 SELECT prev_item, next_item, n, round(n / sum(n) OVER (PARTITION BY prev_item), 6) AS prob FROM p""")
 def q_transitions(spark, sf):
-    t = sc.transition_scores(T.events(spark, sf), order_cols=("TIMESTAMP", "event_id"), max_len=30)
+    t = sc.transition_scores(T.events(spark, sf), order_cols=("TIMESTAMP", "event_id"))
     return t.select("prev_item", "next_item", "n", r6("prob"))
 
 

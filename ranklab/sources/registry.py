@@ -17,6 +17,7 @@ from pyspark.ml.recommendation import ALSModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ranklab.operators.learners import ModelHandle
 from ranklab.session import path_exists
 
 # Fixed value: allowed model names.
@@ -48,7 +49,12 @@ def save_model(spark: SparkSession, root: str, name: str, model, kind: str, conf
     d = _dir(root, name)
     if _exists(spark, d):
         raise RegistryError(f"model {name!r} already exists; choose another name")
+    maps = {}
+    if hasattr(model, "extras") and hasattr(model, "model"):   # a handle: the id maps are stored with the model
+        maps, model = model.extras, model.model
     model.write().save(os.path.join(d, "model"))
+    for part, frame in maps.items():
+        frame.write.parquet(os.path.join(d, part))
     seen, merged = set(), []
     for t in tags:
         if t not in seen:
@@ -74,12 +80,16 @@ def list_models(spark: SparkSession, root: str, tag_filter=(), recommender_type:
 
 
 def load_model(spark: SparkSession, root: str, name: str):
-    """Both parts must exist; returns (model, metadata row)."""
+    """Both parts must exist; returns (model, metadata row). An ALS model comes back as a handle with its
+    id maps, ready for top-k in USER_ID / ITEM_ID."""
     d = _dir(root, name)
     if not _exists(spark, os.path.join(d, "model")) or not _exists(spark, os.path.join(d, "meta")):
         raise RegistryError(f"model {name!r} is missing its model or metadata part")
     schema = ("name string, kind string, recommender_type string, config string, metrics map<string,double>, "
               "tags array<string>, saved_at double")
     meta = spark.read.schema(schema).json(os.path.join(d, "meta")).first()
-    loader = ALSModel if meta["kind"] == "als" else PipelineModel
-    return loader.load(os.path.join(d, "model")), meta
+    if meta["kind"] != "als":
+        return PipelineModel.load(os.path.join(d, "model")), meta
+    model = ALSModel.load(os.path.join(d, "model"))
+    maps = {p: spark.read.parquet(os.path.join(d, p)) for p in ("umap", "imap") if _exists(spark, os.path.join(d, p))}
+    return (ModelHandle(name, json.loads(meta["config"]), model, 0.0, "als", maps) if maps else model), meta

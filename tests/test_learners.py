@@ -82,9 +82,18 @@ def test_goal_conditioned_scores_use_goal(spark, inter):
     assert s.select("OUTCOME_rev").distinct().collect()[0][0] == 30.0
 
 
-def test_independent_classifiers_bounded(spark, inter):
-    models = ln.independent_classifiers(inter, ["f_user", "f_item"], max_items=30)
-    assert len(models) == 25
-    assert ln.score_independent(models, inter).count() == inter.count()
-    with pytest.raises(ValueError, match="independent_linear"):
-        ln.independent_classifiers(inter, ["f_user"], max_items=3)
+def test_independent_classifiers_match_spark_ml(spark, inter):
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import VectorAssembler
+    cols = ["f_user"]
+    models = ln.independent_classifiers(inter, cols, rounds=20, ridge=1e-6)
+    assert models.count() == 25
+    scored = ln.score_independent(models, inter.unionByName(inter.limit(1).withColumn("ITEM_ID", F.lit("unknown"))), cols)
+    assert scored.count() == inter.count() + 1 and scored.filter("score is null").count() == 1
+    item = "i3"
+    part = VectorAssembler(inputCols=cols, outputCol="v").transform(inter.filter(F.col("ITEM_ID") == item))
+    assert part.select("OUTCOME").distinct().count() == 2
+    m = LogisticRegression(featuresCol="v", labelCol="OUTCOME", tol=1e-10, maxIter=200).fit(part)
+    want = sorted(r["probability"][1] for r in m.transform(part).collect())
+    got = sorted(r["score"] for r in scored.filter(F.col("ITEM_ID") == item).collect())
+    assert got == pytest.approx(want, abs=0.02)

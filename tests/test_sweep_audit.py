@@ -6,44 +6,68 @@ import pytest
 from ranklab.functions import names
 from ranklab.operators import audit as au
 from ranklab.operators import leaderboard as lb
+from ranklab.plans import methods as me
 from ranklab.plans import sweep as sw
 from ranklab.sources import registry as rg
 
 
-@pytest.mark.parametrize("n,tier", [(100, "tiny"), (50_000, "small"), (500_000, "medium"), (5_000_000, "large")])
-def test_tiers(n, tier):
-    assert sw.scale_tier(n)["name"] == tier
+def _profile(spark, **kw):
+    full = {"n_rows": None, "sparsity": None, "target_type": "binary", "has_timestamps": None, **kw}
+    return spark.createDataFrame([tuple(full.values())], "n_rows long, sparsity double, target_type string, has_timestamps boolean")
 
 
-def test_tiny_profile_drops_embedding_methods():
-    prof = {"n_rows": 500, "sparsity": 0.99, "target_type": "binary", "has_timestamps": True,
-            "has_user_features": True, "has_item_features": True}
-    kept, dropped = sw.data_aware(sw.AUTO_SWEEPS["long_with_timestamp"], prof)
+def _advice(spark, contract, **profile):
+    methods = me.AUTO_SWEEPS[contract]
+    rows = me.advice(me.as_table(spark, methods), _profile(spark, **profile))
+    return {r["short_name"]: r for r in rows.collect()}, me.apply_advice(methods, rows)
+
+
+@pytest.mark.parametrize("n,tier", [(100, "tiny"), (4_999, "tiny"), (5_000, "small"), (50_000, "small"), (500_000, "medium"), (5_000_000, "large")])
+def test_tiers(spark, n, tier):
+    rows, _ = _advice(spark, "long_multi_reward", n_rows=n)
+    assert rows["gbt_universal"]["tier"] == tier and rows["gbt_universal"]["sized_name"] == f"gbt_universal_{tier}"
+
+
+def test_tiny_profile_drops_embedding_methods(spark):
+    _, (kept, dropped) = _advice(spark, "long_with_timestamp", n_rows=500, sparsity=0.99, has_timestamps=True)
     assert [m["short_name"] for m in kept] == ["gbt_universal_tiny"]
-    assert all(d["reason"] for d in dropped)
+    assert len(dropped) == 3 and all(d["reason"] for d in dropped)
 
 
-@pytest.mark.parametrize("sparsity", [0.99, 0.90])
-def test_sparse_profile_keeps_als(sparsity):
-    prof = {"n_rows": 50_000, "sparsity": sparsity, "target_type": "binary"}
-    ok, _ = sw.eligible(sw.EMBEDDING_METHODS[0], prof)
-    assert ok
+@pytest.mark.parametrize("sparsity,keep", [(0.99, True), (0.90, True), (0.5, False)])
+def test_sparsity_decides_on_als(spark, sparsity, keep):
+    rows, _ = _advice(spark, "long_interactions", n_rows=50_000, sparsity=sparsity)
+    assert rows["als_universal"]["kept"] == keep
+    assert keep or "sparsity" in rows["als_universal"]["reason"]
 
 
-def test_dense_profile_drops_als():
-    ok, why = sw.eligible(sw.EMBEDDING_METHODS[0], {"n_rows": 50_000, "sparsity": 0.5, "target_type": "binary"})
-    assert not ok and "sparsity" in why
+def test_continuous_swaps_to_regression(spark):
+    _, (kept, _) = _advice(spark, "long_multi_reward", n_rows=200, target_type="continuous")
+    assert kept[0]["task"] == "regression" and kept[0]["params"]["n_estimators"] == 30 and kept[0]["params"]["learning_rate"] == 0.1
+    rows, _ = _advice(spark, "wide_multioutput", n_rows=9_000, target_type="continuous")
+    assert [r["kept"] for r in rows.values()] == [False, True]
 
 
-def test_continuous_swaps_to_regression():
-    m = sw.resize(sw.AUTO_SWEEPS["long_interactions"][0], {"n_rows": 200, "target_type": "continuous"})
-    assert m["task"] == "regression" and m["params"]["n_estimators"] == 30
+def test_capability(spark):
+    t = spark.createDataFrame([("a", "ranking", "universal", "embedding"), ("b", "bandits", "multiclass", "tabular"),
+                               ("c", "ranking", "independent", "embedding"), ("d", "nobody", "universal", "tabular")],
+                              "short_name string, recommender_type string, scorer_type string, estimator_type string")
+    assert [r["short_name"] for r in me.compatible(t).collect()] == ["a"]
+    why = {r["short_name"]: r["reason"] for r in me.incompatible(t).collect()}
+    assert set(why) == {"b", "c", "d"} and "'multiclass'" in why["b"] and "family 'embedding'" in why["c"] and "'nobody'" in why["d"]
 
 
-def test_capability():
-    assert sw.is_compatible({"recommender_type": "ranking", "scorer_type": "universal", "estimator_type": "embedding"})[0]
-    ok, why = sw.is_compatible({"recommender_type": "bandits", "scorer_type": "multiclass", "estimator_type": "tabular"})
-    assert not ok and "multiclass" in why
+def test_broad_and_resolve(spark):
+    names = [m["short_name"] for m in me.resolve("long_interactions", "broad", spark=spark)]
+    assert names == sorted(f"{r}_{s}_tabular" for r in ("ranking", "bandits", "uplift", "gcsl") for s in ("universal", "independent"))
+    uplift = next(m for m in me.resolve("long_interactions", "broad", spark=spark) if m["recommender_type"] == "uplift")
+    assert uplift["params"]["control_item_id"] == "control"
+    assert len(me.resolve("wide_multioutput", "broad", spark=spark)) == 5
+    assert me.resolve("long_interactions", {"estimator": "fm", "estimator_type": "embedding"})[0]["estimator"] == "fm"
+    for bad in ("nothing", "all"):
+        with pytest.raises(ValueError):
+            me.resolve("long_interactions", bad)
+    assert me.menu(spark, "long_interactions").count() == 3
 
 
 def test_config_hash_ignores_short_name():
@@ -87,6 +111,57 @@ def test_sweep_is_idempotent_and_isolates_failures():
     assert calls == ["bad"] and {r["status"] for r in rows} == {"cached", "error"}
 
 
+@pytest.mark.parametrize("spelling", ["NDCG_at_10", "NDCG_at_k@10", "ndcg@10", "NDCG@10", "ndcg_10"])
+def test_sweep_ranks_by_value_in_any_spelling(spelling):
+    score = {"a": 0.1, "z": 0.9}
+    methods = [{"short_name": n, "params": {"tag": n}} for n in score]
+    rows = sw.sweep(methods, lambda m: {"ndcg@10": score[m["short_name"]], "expected_reward": -score[m["short_name"]]}, "b", spelling)
+    assert [r["model_id"] for r in rows] == ["z", "a"]
+    rows = sw.sweep(methods, lambda m: {"expected_reward": score[m["short_name"]]}, "b", "expected_reward")
+    assert [r["model_id"] for r in rows] == ["z", "a"]
+    rows = sw.sweep(methods, lambda m: {"rmse": score[m["short_name"]]}, "b", "rmse")
+    assert [r["model_id"] for r in rows] == ["a", "z"]
+    with pytest.raises(ValueError, match="primary metric"):
+        sw.sweep(methods, lambda m: {"rmse": 1.0}, "b", spelling)
+
+
+def test_sweep_failures_are_classified_recorded_and_winners_kept(spark):
+    kept, freed = [], []
+
+    def fit_eval(m):
+        if m["short_name"] == "bad":
+            raise ValueError("REWARD must be binary 0/1; 3 rows are not")
+        return {"roc_auc": {"a": .5, "b": .7}[m["short_name"]]}, m["short_name"]
+
+    methods = [{"short_name": n, "params": {"tag": n}} for n in ("a", "b", "bad")]
+    rows = sw.sweep(methods, fit_eval, "x", "roc_auc", keep_top_k=1, save=lambda r, m: kept.append(m), release=lambda r, m: freed.append(m))
+    assert kept == ["b"] and freed == ["a"] and rows[2]["category"] == "non_binary_target"
+    path = os.path.join(tempfile.mkdtemp(prefix="ranklab-failures-"), "f")
+    sw.record_failures(spark, rows, path)
+    sw.record_failures(spark, rows, path)
+    log = spark.read.parquet(path)
+    assert sw.dominant_failure(log) == "non_binary_target"
+    assert au.last_failure_per_model(log).first()["message"].startswith("REWARD")
+    assert au.retries_per_model(log).first()["retry_allowed"]
+    with pytest.raises(RuntimeError, match="non_binary_target"):
+        sw.sweep(methods[2:], fit_eval, "x", "roc_auc")
+
+
+def test_trials_cover_the_grid_and_every_axis():
+    space = {f"a{i:02d}": ("float", 0.0, 1.0, {}) for i in range(14)}
+    pts = sw.trial_table(space, 16, "qmc")
+    axes = [tuple(p[n] for p in pts) for n in sorted(space)]
+    assert len(set(axes)) == 14
+    full = sw.trial_table(sw.SEARCH_SPACES["gbt"], 0, "grid")
+    assert len(full) == 27 and len({t["learning_rate"] for t in full}) == 3
+    with pytest.raises(ValueError, match="27"):
+        sw.trial_table(sw.SEARCH_SPACES["gbt"], 8, "grid")
+    with pytest.raises(ValueError, match="validation"):
+        sw.search({"short_name": "m"}, {}, None, has_validation=False)
+    best = sw.search({"short_name": "m", "params": {}}, {"x": ("int", 0, 9, {})}, lambda m: {"rmse": m["params"]["x"]}, metric="rmse", retrain=lambda m: m["params"])
+    assert best[0]["value"] == min(t["value"] for t in best) and best[0]["model"] == best[0]["params"]
+
+
 def test_trials_are_deterministic():
     space = sw.SEARCH_SPACES["gbt"]
     assert sw.trial_table(space, 5, "random", 1) == sw.trial_table(space, 5, "random", 1)
