@@ -34,14 +34,36 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once as Parquet to the shared folder and read back: later passes read it, columns and filters are pushed down,
+    and a lost executor costs a read."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def in_tasks(fn, schema: str, *args):
+#: Arrow batches hold this much at most, so that a task's memory does not depend on the rows' size.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2000, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batch limits to ``BATCH`` where they are higher."""
+    for key, most in BATCH.items():
+        now = spark.conf.get(key).rstrip("bB")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
+
+
+def in_tasks(fn, schema, *args):
     """``df.transform(in_tasks(fn, schema, ...))``: apply ``fn(batch, ...)`` -> iterable of
     Arrow batches to each Arrow batch of a frame."""
     def step(df: DataFrame) -> DataFrame:
+        bounded_batches(df.sparkSession)
+
         def run(batches):
             for batch in batches:
                 if batch.num_rows:

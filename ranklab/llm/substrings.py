@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ranklab.llm.common import in_tasks, register, shuffle_partitions, table
+from ranklab.llm.common import in_tasks, register, shuffle_partitions, table, written
 from ranklab.llm.words import Rolling, Slice, slices, sliding_min
 from ranklab.session import cut_lineage
 
@@ -43,7 +43,7 @@ WINDOW = 50
 INNER = 16
 HOT_KEY = 2000
 SHARD_KEYS = 1 << 20          # stretches a shard is planned for
-CELLS = 1 << 23               # cells of each of a shard's two sketch rows
+CELLS = 1 << 22               # cells of each of a shard's two sketch rows
 NO_ID = (1 << 63) - 1
 
 _INNER_HASH = Rolling(0xD1342543DE82EF95)
@@ -129,7 +129,7 @@ def _partition_sketches(cells: int):
                 keys = np.frombuffer(found.as_py(), STRETCH)["key"].copy()
                 sketch.setdefault(shard, []).append(keys)
                 size += len(keys)
-                if size > 4_000_000:
+                if size > 1_000_000:
                     yield flush()
                     size = 0
         if sketch:
@@ -253,7 +253,7 @@ def _by_key(batches):
              pa.array(n.astype(np.int32))], ["row", "id", "at", "n"])
     for batch in batches:
         for r in zip(*[batch.column(c).to_pylist() for c in ("key", "row", "id", "at", "hashes")]):
-            if size > 500_000 and r[0] != held[-1][0]:
+            if size > 200_000 and r[0] != held[-1][0]:
                 yield resolve(held)
                 held, size = [], 0
             held.append(r)
@@ -276,8 +276,8 @@ def later_windows(keyed_docs: DataFrame, window: int = WINDOW, inner: int = INNE
     """(row, id, at, n): ``n`` windows from word ``at`` on whose words also start in a document with a smaller id."""
     found = repeated_stretches(keyed_docs, window, inner, shard_keys, cells)
     want = found.groupBy("row", "id").agg(F.collect_list(F.struct("at", "est")).alias("want"))
-    hashed = keyed_docs.join(want, ["row", "id"]).transform(
-        in_tasks(_window_hashes, "key long, row long, id long, at int, hashes binary, est long", window, inner))
+    hashed = written(keyed_docs.join(want, ["row", "id"]).transform(
+        in_tasks(_window_hashes, "key long, row long, id long, at int, hashes binary, est long", window, inner)), "windows")
     n = shuffle_partitions(keyed_docs.sparkSession)
     usual = hashed.filter(F.col("est") <= hot_key).drop("est").repartition(n, "key").sortWithinPartitions("key") \
         .mapInArrow(_by_key, "row long, id long, at int, n int")
