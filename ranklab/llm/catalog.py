@@ -6,10 +6,13 @@ import importlib
 
 from ranklab.llm import common
 
-MODULES = ("simhash", "decontaminate", "importance", "toxicity", "vectors", "threads", "mixing", "substrings", "warc")
+MODULES = ("extract", "simhash", "decontaminate", "importance", "toxicity", "vectors", "threads", "mixing",
+           "substrings", "warc")
 
 
 def load() -> tuple[dict, dict]:
+    import corpus_pipeline
+
     for name in MODULES:
         importlib.import_module(f"ranklab.llm.{name}")
-    return dict(common.QUERIES), dict(common.ORACLE)
+    return common.QUERIES | {"pipeline": corpus_pipeline.run}, dict(common.ORACLE)

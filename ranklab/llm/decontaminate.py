@@ -147,6 +147,15 @@ def contaminated(n_hit, n_words) -> F.Column:
     return (n_hit > 0) & (20 * n_hit >= n_words)
 
 
+def without_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
+                         item_text: str = "text", window: int = WINDOW) -> DataFrame:
+    """``docs`` with all columns, without the documents that the contamination rule rejects."""
+    c = contamination(docs, items, id_col, text_col, item_col, item_text, window)
+    bad = c.filter(contaminated(F.col("n_hit"), F.col("n_words"))).select(F.col("row").alias("_bad_row"), F.col("id").alias("_bad_id"))
+    d = docs.withColumn("_row", F.xxhash64(F.col(id_col), F.col(text_col)))
+    return d.join(bad, (F.col("_row") == F.col("_bad_row")) & F.col(id_col).eqNullSafe(F.col("_bad_id")), "left_anti").drop("_row")
+
+
 def proximity_matches(docs: DataFrame, items: DataFrame, span: int = 50, rarest: int = 3, id_col: str = "doc_id", text_col: str = "text",
                       item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, item_id, pos): places where the item's ``rarest`` least frequent distinct terms all stand, in any

@@ -146,13 +146,15 @@ def slice_fingerprints(s: Slice, width: int) -> np.ndarray:
 
 def _fingerprints(batch, width: int):
     out = [slice_fingerprints(s, width) for s in slices(batch.column("text"), lower=True)]
-    yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.concatenate(out).view(np.int64))], ["doc_id", "fp"])
+    yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), pa.array(np.concatenate(out).view(np.int64))],
+                                     ["doc_id", "row", "fp"])
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE_WORDS) -> DataFrame:
-    """(doc_id, fp): one row per document, the fingerprint as a signed long."""
-    d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return d.transform(in_tasks(_fingerprints, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, fp long", width))
+    """(doc_id, row, fp): one row per document, the fingerprint as a signed long; ``row`` is a hash of id and text."""
+    d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"),
+                    F.xxhash64(F.col(id_col), F.col(text_col)).alias("row"))
+    return d.transform(in_tasks(_fingerprints, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, row long, fp long", width))
 
 
 def parts_for(n: int) -> int:
@@ -221,15 +223,30 @@ def near_edges(fps: DataFrame, radius: int = RADIUS, parts: int | None = None, t
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE_WORDS,
                     radius: int = RADIUS) -> DataFrame:
-    """(doc_id, fp, component_id): the smallest doc_id that a document reaches over links."""
+    """(doc_id, row, fp, component_id, kept): the smallest doc_id that a document reaches over links, and whether the document
+    stands for its group (the smallest id, null last; of one id, the smallest ``row``; equal rows alike)."""
     d = cut_lineage(fingerprints(docs, id_col, text_col, width))
-    low = d.groupBy("fp").agg(F.min("doc_id").alias("low"))
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
+    low = d.groupBy("fp").agg(best.alias("low"))
     groups = components(near_edges(low.select("fp"), radius))
     linked = groups.join(low, groups["node"] == low["fp"]).select("fp", "component", "low")
     least = linked.groupBy("component").agg(F.min("low").alias("least"))
     linked = linked.join(least, "component").select("fp", "least")
-    ids = low.join(linked, "fp", "left").select("fp", F.coalesce("least", "low").alias("component_id"))
-    return d.join(ids, "fp").select("doc_id", "fp", "component_id")
+    ids = low.join(linked, "fp", "left").select("fp", F.coalesce("least", "low").alias("least"))
+    # a written table: both sides of the join are then shuffled, so that Spark can split a hot fingerprint's rows
+    found = d.join(cut_lineage(ids), "fp")
+    kept = F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("row") == F.col("least.row"))
+    return found.select("doc_id", "row", "fp", F.col("least.doc_id").alias("component_id"), kept.alias("kept"))
+
+
+def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE_WORDS,
+                            radius: int = RADIUS) -> DataFrame:
+    """One document of each group, with all its columns."""
+    keep = near_duplicates(docs, id_col, text_col, width, radius).filter("kept").select(
+        F.col("doc_id").alias("_keep_id"), F.col("row").alias("_keep_row")).distinct()
+    d = docs.withColumn("_keep_row", F.xxhash64(F.col(id_col), F.col(text_col)))
+    j = d.join(keep.withColumnRenamed("_keep_row", "_row2"), (F.col("_keep_row") == F.col("_row2")) & F.col(id_col).eqNullSafe(F.col("_keep_id")))
+    return j.dropDuplicates(["_keep_row", "_keep_id"]).select(*docs.columns)
 
 
 def as_hex(fp) -> F.Column:
