@@ -33,17 +33,3 @@ def seeded_hash(seed, *keys) -> Column:
     engine that has md5, so random splits are reproducible and checkable.
     """
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[col(k).cast("string") for k in keys]))
-
-
-def try_double(c) -> Column:
-    return col(c).try_cast("double")
-
-
-def is_numeric_text(c) -> Column:
-    """Aggregate: TRUE when every non-null value parses as a number (and there is one)."""
-    c = col(c)
-    return (F.count(c.cast("string").try_cast("double")) == F.count(c)) & (F.count(c) > 0)
-
-
-def round6(c) -> Column:
-    return F.round(col(c).cast("double"), 6)

@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 # URL pattern and the trailing punctuation stripped from a match.
 URL_PATTERN = r"https?://\S+"
-URL_TRAILING = ".,;:!?)>]}\"'"
 
 # Fenced python block languages and common bare aliases.
 FENCE_PATTERN = r"(?is)```(?:python|py|py3|ipython|jupyter)?\s*\n(.*?)```"

@@ -29,18 +29,15 @@ def empirical_propensity(logged: DataFrame, segment_cols=(), item_col: str = "IT
     """E22 helper: b(a|segment) = share of action a among the segment's logged rows.
 
     Counts per (segment, action) and per segment are partial aggregations; the
-    per-segment totals join back on the segment key (a constant key when
-    there is no segment - a one-row side, no extra job).
+    per-segment totals join back on the segment key (without segments, one row is
+    broadcast to all counts).
     """
     seg = list(segment_cols)
     counts = logged.groupBy(*seg, item_col).agg(F.count(F.lit(1)).alias("_na"))
     totals = logged.groupBy(*seg).agg(F.count(F.lit(1)).alias("_ns"))
-    if not seg:
-        counts, totals, seg = counts.withColumn("_k", F.lit(1)), totals.withColumn("_k", F.lit(1)), ["_k"]
-    prop = counts.join(totals, seg).select(*[c for c in seg if c != "_k"], item_col,
-                                           (F.col("_na") / F.col("_ns")).alias("PROPENSITY"))
-    keys = [c for c in seg if c != "_k"] + [item_col]
-    return logged.join(prop, keys, "left")
+    both = counts.join(totals, seg) if seg else counts.crossJoin(F.broadcast(totals))   # without segments, one row of totals
+    prop = both.select(*seg, item_col, (F.col("_na") / F.col("_ns")).alias("PROPENSITY"))
+    return logged.join(prop, [*seg, item_col], "left")
 
 
 def check_inputs(logged: DataFrame, needs_propensity: bool = True) -> None:

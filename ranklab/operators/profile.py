@@ -43,9 +43,9 @@ def column_summary(df: DataFrame, n_samples: int = 5, approx: bool = False) -> D
         return counts
     vals = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(f"`{c}`").cast("string").alias("v"))
                                          for c in df.columns])).alias("r")).select("r.*")
-    vals = vals.filter(F.col("v").isNotNull()).distinct()
     w = Window.partitionBy("name").orderBy("v")
-    samples = (vals.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n_samples)
+    # the rank limit prunes in each task, so only a few rows a column are made distinct
+    samples = (vals.filter(F.col("v").isNotNull()).withColumn("_rn", F.dense_rank().over(w)).filter(F.col("_rn") <= n_samples).distinct()
                .groupBy("name").agg(F.sort_array(F.collect_list("v")).alias("sample_values")))
     return counts.join(samples, "name", "left")
 
@@ -168,11 +168,16 @@ def bundle_profile(inter: DataFrame, users: DataFrame | None = None, items: Data
     )
 
 
-def is_large(df: DataFrame, threshold: int = LARGE_TABLE_ROWS) -> bool:
-    """Does the table exceed ``threshold`` rows? Reads at most threshold+1 rows."""
-    return df.limit(threshold + 1).count() > threshold
+def large_flags(tables: dict, threshold: int = LARGE_TABLE_ROWS) -> DataFrame:
+    """(table_name, n_rows, is_large) of several tables, one count each (Parquet footers answer it)."""
+    parts = [df.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(n).alias("table_name"), "n_rows") for n, df in tables.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.withColumn("is_large", F.col("n_rows") > threshold)
 
 
-def require_decision_for_large(df: DataFrame, decided: bool | None, threshold: int = LARGE_TABLE_ROWS) -> None:
-    if decided is None and is_large(df, threshold):
-        raise ValueError(f"table has more than {threshold:,} rows; pass an explicit decision (e.g. large_ok=True)")
+def require_decision_for_large(n_rows: int, decided: bool | None, threshold: int = LARGE_TABLE_ROWS) -> None:
+    """P12 guard on a profile's row count: larger tables need an explicit decision."""
+    if decided is None and n_rows > threshold:
+        raise ValueError(f"table has {n_rows:,} rows, over {threshold:,}: an explicit decision is needed (e.g. large_ok=True)")

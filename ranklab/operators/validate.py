@@ -28,44 +28,31 @@ class ContractViolation(ValueError):
     pass
 
 
+#: V2: the Spark types that a required type accepts; a type not listed accepts all.
+ACCEPTS = {"str": (T.StringType,), "float": FRACTIONAL + INTEGRAL, "double": FRACTIONAL + INTEGRAL, "int": INTEGRAL, "bool": (T.BooleanType,)}
+
+
 def dtype_matches(required: str, dt: T.DataType) -> bool:
     """V2: str; float/double accept integers; int; bool; unknown passes."""
-    if required == "str":
-        return isinstance(dt, T.StringType)
-    if required in ("float", "double"):
-        return isinstance(dt, FRACTIONAL + INTEGRAL)
-    if required == "int":
-        return isinstance(dt, INTEGRAL)
-    if required == "bool":
-        return isinstance(dt, T.BooleanType)
-    return True
+    return isinstance(dt, ACCEPTS.get(required, (T.DataType,)))
 
 
 def validate_schema(df: DataFrame, file_type: str = "interactions", is_training: bool = True) -> dict:
-    """V1 + V3: missing columns, wrong dtypes, extra columns, rename suggestions, valid flag."""
-    key = "interactions_inference" if (file_type == "interactions" and not is_training) else file_type
-    if key not in REQUIRED:
-        raise ValueError(f"unknown file_type {file_type!r}")
-    req = REQUIRED[key]
-    cols = df.columns
-    missing, wrong = [], []
-    for name, typ in req:
-        if name in cols:
-            dt = df.schema[name].dataType
-            if not dtype_matches(typ, dt):
-                wrong.append({"column": name, "expected": typ, "actual": dt.simpleString()})
-        else:
-            missing.append(name)
-    req_names = {n for n, _ in req}
-    return {
-        "valid": not missing and not wrong,
-        "file_type": file_type,
-        "is_training": is_training,
-        "missing_columns": missing,
-        "wrong_dtypes": wrong,
-        "suggested_column_mapping": names.suggest_renames(missing, cols),
-        "extra_columns": [c for c in cols if c not in req_names],
+    """V1 + V3: the difference between a table's schema and a file type's: missing columns, wrong dtypes, extra columns, rename
+    suggestions, and whether it is valid."""
+    view = file_type if is_training or file_type != "interactions" else "interactions_inference"
+    if view not in REQUIRED:
+        raise ValueError(f"unknown file_type {file_type!r}; known: {sorted(REQUIRED)}")
+    wanted, has = dict(REQUIRED[view]), {f.name: f.dataType for f in df.schema.fields}
+    diff = {
+        "missing_columns": [c for c in wanted if c not in has],
+        "wrong_dtypes": [{"column": c, "expected": t, "actual": has[c].simpleString()} for c, t in wanted.items()
+                         if c in has and not dtype_matches(t, has[c])],
+        "extra_columns": [c for c in has if c not in wanted],
     }
+    return {"file_type": file_type, "is_training": is_training, **diff,
+            "suggested_column_mapping": names.suggest_renames(diff["missing_columns"], df.columns),
+            "valid": not (diff["missing_columns"] or diff["wrong_dtypes"])}
 
 
 def duplicate_keys(df: DataFrame, key: str = "USER_ID") -> DataFrame:
@@ -86,7 +73,7 @@ def validate_contract(df: DataFrame, contract: str) -> None:
     if missing:
         raise ContractViolation(f"{contract}: missing required columns {missing}")
     if contract == "wide_multioutput":
-        targets = [c for c in cols if c.startswith("ITEM_")]
+        targets = [c for c in cols if c.startswith("ITEM_") and c != "ITEM_ID"]
         if len(targets) < 2:
             raise ContractViolation(f"wide_multioutput needs at least 2 ITEM_* targets, found {targets}")
     if contract == "prebuilt_sequences":
@@ -141,8 +128,7 @@ def binary_reward_report(df: DataFrame, reward_col: str = "REWARD", n_samples: i
     n_bad = df.agg(F.count_if(bad).alias("n_bad"))
     samples = (df.filter(bad).select(r.alias("v")).distinct().orderBy("v").limit(n_samples)
                .agg(F.sort_array(F.collect_list("v")).alias("samples")))
-    # Both sides have exactly one row; join them on a constant key.
-    return n_bad.withColumn("_k", F.lit(1)).join(samples.withColumn("_k", F.lit(1)), "_k").drop("_k")
+    return n_bad.crossJoin(F.broadcast(samples))   # one row beside one row
 
 
 def check_binary_rewards(df: DataFrame, reward_col: str = "REWARD") -> None:

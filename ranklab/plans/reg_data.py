@@ -493,12 +493,13 @@ def q_shapes(spark, sf):
     return spark.createDataFrame(rows, "view string, shape string")
 
 
+_SIZED = ("lineitem", "orders", "customer", "events", "documents")
+
+
 @register("large_table_flags", "\nUNION ALL\n".join(
-    f"SELECT '{t}' AS table_name, count(*) > 100000 AS is_large FROM {t}" for t in
-    ("lineitem", "orders", "customer", "events", "documents")))
+    f"SELECT '{t}' AS table_name, count(*) AS n_rows, count(*) > 100000 AS is_large FROM {t}" for t in _SIZED))
 def q_large(spark, sf):
-    rows = [(t, pf.is_large(T.table(spark, sf, t))) for t in ("lineitem", "orders", "customer", "events", "documents")]
-    return spark.createDataFrame(rows, "table_name string, is_large boolean")
+    return pf.large_flags({t: T.table(spark, sf, t) for t in _SIZED})
 
 
 @register("transform_priorities_wide", f"""

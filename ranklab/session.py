@@ -7,7 +7,9 @@ absent, which is the case in local tests.
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -47,8 +49,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the reliable checkpoint folder, setting one only when unset.
 
     On a cluster ``spark.checkpoint.dir`` names a shared folder and is used
-    as is. Only when nothing is configured (local tests) a fresh folder
-    under the system temp dir is created.
+    as is. Only when nothing is configured and the master is local (tests) a fresh folder
+    under the system temp dir is created, and deleted when the process ends; on a cluster an unset folder is an
+    error, as machines do not share their temp folders.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -56,7 +59,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         configured = tempfile.mkdtemp(prefix="ranklab-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
+        atexit.register(shutil.rmtree, configured, ignore_errors=True)
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
 
@@ -82,9 +88,22 @@ def materialize(df: DataFrame, name: str, partition_by: tuple = ()) -> DataFrame
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.parquet(path)
+    _WRITTEN.append(path)
     return df.sparkSession.read.parquet(path)
 
 
+_WRITTEN: list[str] = []
+
+
+def drop_materialized(spark: SparkSession) -> int:
+    """Delete the tables that ``materialize`` wrote in this process, through Hadoop's FileSystem; returns their number."""
+    n = len(_WRITTEN)
+    while _WRITTEN:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    return n
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Existence check through Hadoop's FileSystem (works for any scheme the cluster mounts)."""
     jvm = spark.sparkContext._jvm

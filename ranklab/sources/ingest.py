@@ -7,6 +7,7 @@ write onto the path being read.
 from __future__ import annotations
 
 import os
+from urllib.parse import urlsplit
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
@@ -63,12 +64,23 @@ def from_sql(spark: SparkSession, query: str) -> DataFrame:
     return spark.sql(query)
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The full URI of a path under the session's file systems."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    uri = urlsplit(fs.makeQualified(p).toString())
+    return f"{uri.scheme}://{uri.netloc}{os.path.normpath(uri.path)}"
+
+
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", source_paths: Sequence[str] = (),
                 partition_by: Sequence[str] = (), mode: str = "errorifexists") -> str:
-    """S4 + S5 (+ S7 with ``partition_by=['split']``): write, refusing in-place writes."""
-    target = os.path.abspath(path)
-    if any(os.path.abspath(p) == target for p in source_paths):
-        raise InPlaceWrite("output path must differ from the input path; writes are never in place")
+    """S4 + S5 (+ S7 with ``partition_by=['split']``): write, refusing in-place writes: a target that is a source, or lies
+    inside one, or holds one, with paths compared as the file system qualifies them (scheme, authority, ``..``)."""
+    target = qualified(df.sparkSession, path)
+    for p in source_paths:
+        source = qualified(df.sparkSession, p)
+        if (target + "/").startswith(source + "/") or (source + "/").startswith(target + "/"):
+            raise InPlaceWrite(f"refusing to write {path} over its input {p}: choose another folder")
     w = df.write.mode(mode)
     if partition_by:
         w = w.partitionBy(*partition_by)

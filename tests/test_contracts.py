@@ -74,7 +74,7 @@ def test_wide_to_long_explicit(spark):
 
 def test_rename_and_melt_conflict(spark):
     df = spark.createDataFrame([("u1", "x", 1)], "uid string, iid string, click long")
-    with pytest.raises(ValueError, match="not both"):
+    with pytest.raises(ValueError, match="give one of them"):
         transform(df, "long_interactions", user_id_column="uid", item_id_column="iid", target_columns=["click"])
 
 
