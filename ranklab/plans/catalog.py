@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 MODULES = ("ranklab.plans.reg_eval", "ranklab.plans.reg_data", "ranklab.plans.reg_scoring",
-           "ranklab.plans.reg_models")
+           "ranklab.plans.reg_models", "ranklab.plans.reg_rules")
 
 
 def _gather():

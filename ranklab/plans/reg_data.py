@@ -11,25 +11,13 @@ from ranklab.operators import split as sp
 from ranklab.operators import validate as vd
 from ranklab.plans import bundle as bd
 from ranklab.plans import sql_views as V
+from ranklab.plans.registering import r6, registry
 from ranklab.plans.transform import transform
 from ranklab.sources import tables as T
 
-QUERIES = {}
-ORACLE = {}
+QUERIES, ORACLE, register = registry()
 
 
-def register(name, sql=None):
-    def deco(fn):
-        QUERIES[name] = fn
-        if sql is not None:
-            ORACLE[name] = sql
-        return fn
-    return deco
-
-
-def r6(c):
-    return F.round(F.col(c).cast("double"), 6).alias(c)
-
 
 # ------------------------------------------------------------------ profile
 

@@ -3,19 +3,10 @@
 from __future__ import annotations
 
 from ranklab.plans import sql_views as V
+from ranklab.plans.registering import registry
 from ranklab.plans.flagship import flagship
 
-QUERIES = {}
-ORACLE = {}
-
-
-def register(name, sql=None):
-    def deco(fn):
-        QUERIES[name] = fn
-        if sql is not None:
-            ORACLE[name] = sql
-        return fn
-    return deco
+QUERIES, ORACLE, register = registry()
 
 
 _METRIC_SQL = """

@@ -12,27 +12,15 @@ from ranklab.operators import scoring as sc
 from ranklab.operators import split as sp
 from ranklab.operators import stats as st
 from ranklab.plans import sql_views as V
+from ranklab.plans.registering import r6, registry
 from ranklab.plans import methods as me
 from ranklab.plans import sweep as sw
 from ranklab.session import materialize
 from ranklab.sources import tables as T
 
-QUERIES = {}
-ORACLE = {}
+QUERIES, ORACLE, register = registry()
 
 
-def register(name, sql=None):
-    def deco(fn):
-        QUERIES[name] = fn
-        if sql is not None:
-            ORACLE[name] = sql
-        return fn
-    return deco
-
-
-def r6(c):
-    return F.round(F.col(c).cast("double"), 6).alias(c)
-
 
 def _split(spark, sf):
     """Temporal split written once (partitioned by split) before the multi-pass fits."""
