@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ranklab.operators import leaderboard as lb
 from ranklab.operators import metrics as mt
 from ranklab.operators import scoring as sc
-from ranklab.operators.split import temporal_split
+from ranklab.plans.registering import temporal_parts
 from ranklab.sources import tables
 
 
@@ -19,10 +19,7 @@ def baseline_results(spark: SparkSession, sf_dir: str, k: int = 10, valid_fracti
     """Two user-independent scorers from ONE aggregation over train (mean outcome
     and interaction count per item), evaluated together in ONE pass over the
     validation rows."""
-    inter = tables.interactions(spark, sf_dir)
-    sp = temporal_split(inter, valid_fraction, test_fraction, "TIMESTAMP", tables.INTER_TIEBREAK)
-    train = sp.filter(F.col("split") == "train")
-    valid = sp.filter(F.col("split") == "valid")
+    train, valid = temporal_parts(spark, sf_dir, valid_fraction, test_fraction)
     stats = train.groupBy("ITEM_ID").agg(F.avg("OUTCOME").alias("popularity"),
                                          F.count(F.lit(1)).cast("double").alias("most_interacted"))
     tops = {m: sc.top_k_global(stats.select("ITEM_ID", F.col(m).alias("score")), k)

@@ -12,23 +12,15 @@ from ranklab.operators import scoring as sc
 from ranklab.operators import split as sp
 from ranklab.operators import stats as st
 from ranklab.plans import sql_views as V
-from ranklab.plans.registering import r6, registry
+from ranklab.plans.registering import r6, registry, temporal_parts
 from ranklab.plans import methods as me
 from ranklab.plans import sweep as sw
-from ranklab.session import materialize
 from ranklab.sources import tables as T
 
 QUERIES, ORACLE, register = registry()
 
 
 
-def _split(spark, sf):
-    """Temporal split written once (partitioned by split) before the multi-pass fits."""
-    s = sp.temporal_split(T.interactions(spark, sf), 0.1, 0.1, "TIMESTAMP", T.INTER_TIEBREAK)
-    s = materialize(s, "temporal-split", partition_by=("split",))
-    return s.filter(F.col("split") == "train").drop("split"), s.filter(F.col("split") == "valid").drop("split")
-
-
 def _features(df, spark, sf):
     return df.join(T.users(spark, sf), "USER_ID", "left").join(T.items(spark, sf), "ITEM_ID", "left")
 
@@ -108,7 +100,7 @@ def q_capability(spark, sf):
 @register("als_ranking_metrics")
 def q_als(spark, sf):
     """M9 + M15/M16: ALS on train, top-10 per validation user, per-row ranking metrics."""
-    train, valid = _split(spark, sf)
+    train, valid = temporal_parts(spark, sf)
     h = ln.fit_als(train, rank=8, max_iter=5, reg=0.1)
     top = ln.als_top_k(h, valid, 10)
     res = mt.ranking_metrics(mt.logged_per_row(valid, T.INTER_TIEBREAK), top, [10], single_item_instances=True)
@@ -118,7 +110,7 @@ def q_als(spark, sf):
 @register("gbt_universal_auc")
 def q_gbt(spark, sf):
     """M1: GBT classifier over user and item features; scored on the validation pairs."""
-    train, valid = _split(spark, sf)
+    train, valid = temporal_parts(spark, sf)
     m = ln.fit_universal(_features(train, spark, sf), NUMERIC, CATEGORICAL, "gbt",
                          params={"n_estimators": 10, "max_depth": 3})
     scored = ln.score_pairs(m, _features(valid, spark, sf))
@@ -128,7 +120,7 @@ def q_gbt(spark, sf):
 @register("gbt_regressor_revenue")
 def q_gbt_reg(spark, sf):
     """M2: GBT regressor on the continuous revenue outcome."""
-    train, valid = _split(spark, sf)
+    train, valid = temporal_parts(spark, sf)
     m = ln.fit_universal(_features(train, spark, sf), NUMERIC, CATEGORICAL, "gbt", "regression",
                          label="OUTCOME_revenue", params={"n_estimators": 10, "max_depth": 3})
     scored = ln.score_pairs(m, _features(valid, spark, sf), "regression")
@@ -138,7 +130,7 @@ def q_gbt_reg(spark, sf):
 @register("fm_universal_auc")
 def q_fm(spark, sf):
     """Factorization machine on hashed user/item ids plus features."""
-    train, valid = _split(spark, sf)
+    train, valid = temporal_parts(spark, sf)
     m = ln.fit_universal(_features(train, spark, sf), ["acctbal", "retailprice"], [], "fm",
                          params={"embedding_dim": 4, "epochs": 2})
     scored = ln.score_pairs(m, _features(valid, spark, sf))
@@ -183,7 +175,7 @@ def q_uplift_learners(spark, sf):
 @register("goal_conditioned_scores")
 def q_gcsl(spark, sf):
     """Revenue as a goal feature at fit time; scored at the 90th-percentile goal."""
-    train, valid = _split(spark, sf)
+    train, valid = temporal_parts(spark, sf)
     ft = _features(train, spark, sf)
     m = ln.fit_goal_conditioned(ft, NUMERIC, ["OUTCOME_revenue"], params={"n_estimators": 5, "max_depth": 3})
     goal = st.goal_values(train, ["OUTCOME_revenue"], "percentile_value", p=0.9)
@@ -211,7 +203,7 @@ def q_sweep(spark, sf):
     failure-isolated sweep of three Spark ML methods on one written split,
     ranked by ROC AUC on the validation pairs (each method scores the pairs
     it can score - no user x item product)."""
-    train, valid = _split(spark, sf)
+    train, valid = temporal_parts(spark, sf)
     requested = me.resolve("long_interactions", [
         {"short_name": "gbt_universal", "estimator": "gbt", "params": {"n_estimators": 10, "max_depth": 3}},
         {"short_name": "als_universal", "estimator_type": "embedding", "estimator": "als",
@@ -250,7 +242,7 @@ def q_sweep(spark, sf):
 def q_search(spark, sf):
     """Quasi-random (Halton) search over ALS factors, epochs and regularisation;
     trials fitted in parallel on one written split, ranked by NDCG@10 (best first)."""
-    train, valid = _split(spark, sf)
+    train, valid = temporal_parts(spark, sf)
     logged = mt.logged_per_row(valid, T.INTER_TIEBREAK)
 
     def fit_eval(m):

@@ -18,7 +18,7 @@ from ranklab.operators import scoring as sc
 from ranklab.operators import split as sp
 from ranklab.operators import stats as st
 from ranklab.plans import sql_views as V
-from ranklab.plans.registering import r6, registry
+from ranklab.plans.registering import r6, registry, temporal_parts
 from ranklab.session import cut_lineage
 from ranklab.sources import tables as T
 
@@ -26,11 +26,6 @@ QUERIES, ORACLE, register = registry()
 
 
 
-def _temporal(spark, sf):
-    s = sp.temporal_split(T.interactions(spark, sf), 0.1, 0.1, "TIMESTAMP", T.INTER_TIEBREAK)
-    return s.filter(F.col("split") == "train"), s.filter(F.col("split") == "valid")
-
-
 _SP = f"{V.INTER},\n{V.temporal_split_sql('inter', V.INTER_ORDER)}"
 _POP = "pop AS (SELECT ITEM_ID, avg(OUTCOME) AS score FROM sp WHERE split = 'train' GROUP BY ITEM_ID)"
 
@@ -65,7 +60,7 @@ UNION ALL SELECT 'map', k, round(map, 6) FROM agg
 UNION ALL SELECT 'ndcg', k, round(ndcg, 6) FROM agg
 UNION ALL SELECT 'mrr', k, round(mrr, 6) FROM agg""")
 def q_rank_per_user(spark, sf):
-    train, valid = _temporal(spark, sf)
+    train, valid = temporal_parts(spark, sf)
     top = sc.top_k_global(sc.item_mean_scores(train), 20)
     res = mt.ranking_metrics(mt.logged_per_user(valid), top, [5, 10, 20])
     return res.select("metric", "k", r6("value"))
@@ -98,7 +93,7 @@ WITH {_SP}, {_POP},
 scored AS (SELECT v.OUTCOME AS label, p.score FROM sp v JOIN pop p USING (ITEM_ID) WHERE v.split = 'valid')
 {_auc_sql(None)}""")
 def q_auc(spark, sf):
-    train, valid = _temporal(spark, sf)
+    train, valid = temporal_parts(spark, sf)
     scored = valid.join(sc.item_mean_scores(train), "ITEM_ID")
     m = mt.classification_metrics(scored, "OUTCOME", "score")
     return m.select(r6("roc_auc"), r6("pr_auc"), "n_pos", "n_neg")
@@ -146,7 +141,7 @@ SELECT round(sqrt(avg((score - OUTCOME_revenue) * (score - OUTCOME_revenue))), 6
        round(avg(abs(score - OUTCOME_revenue)), 6) AS mae, count(*) AS n
 FROM sp v JOIN m USING (ITEM_ID) WHERE v.split = 'valid'""")
 def q_regression(spark, sf):
-    train, valid = _temporal(spark, sf)
+    train, valid = temporal_parts(spark, sf)
     m = train.groupBy("ITEM_ID").agg(F.avg("OUTCOME_revenue").alias("score"))
     r = mt.regression_metrics(valid.join(m, "ITEM_ID"), "OUTCOME_revenue", "score")
     return r.select(r6("rmse"), r6("mae"), "n")
@@ -167,7 +162,7 @@ SELECT 'average_reward@10', round(sum(CASE WHEN rank <= 10 THEN reward / 10 ELSE
 UNION ALL
 SELECT 'expected_reward', round(avg(coalesce(pi.pi, 0) * v.OUTCOME), 6) FROM v LEFT JOIN pi USING (ITEM_ID)""")
 def q_rewards(spark, sf):
-    train, valid = _temporal(spark, sf)
+    train, valid = temporal_parts(spark, sf)
     pop = sc.item_mean_scores(train)
     logged = mt.logged_per_row(valid, T.INTER_TIEBREAK)
     a = mt.average_reward_at_k(logged, sc.top_k_global(pop, 10), [5, 10])
@@ -197,7 +192,7 @@ UNION ALL SELECT 'direct_method', round(dmv, 6) FROM a
 UNION ALL SELECT 'DR', round(dr, 6) FROM a
 UNION ALL SELECT 'policy_weighted', round(pw, 6) FROM a""")
 def q_offpolicy(spark, sf):
-    train, valid = _temporal(spark, sf)
+    train, valid = temporal_parts(spark, sf)
     q = sc.item_mean_scores(train).withColumnRenamed("score", "q")
     logged = op.empirical_propensity(mt.logged_per_row(valid, T.INTER_TIEBREAK))
     res = op.off_policy_estimates(logged, q, epsilon=0.1)  # greedy on q, ties by item id
@@ -229,7 +224,7 @@ j AS (SELECT d.metric, d.k, d.dm, b.prop, g.rank IS NOT NULL AS shown,
 def q_offpolicy_at_k(spark, sf):
     """E16-E21 through the evaluation driver: every estimator at two ks."""
     from ranklab.plans import evaluate as ev
-    train, valid = _temporal(spark, sf)
+    train, valid = temporal_parts(spark, sf)
     pop = cut_lineage(sc.item_mean_scores(train))
     logged = cut_lineage(op.empirical_propensity(mt.logged_per_row(valid, T.INTER_TIEBREAK)))
     scores = ev.Scores(topk=sc.top_k_global(pop, 200), item_scores=pop)
@@ -284,7 +279,7 @@ FROM j, (SELECT unnest([10, 500]) AS d) GROUP BY d""")
 def q_eval_depths(spark, sf):
     """Two evaluations of one model through one cache; the deeper list is not served from the shorter one."""
     from ranklab.plans import evaluate as ev
-    train, valid = _temporal(spark, sf)
+    train, valid = temporal_parts(spark, sf)
     pop = cut_lineage(sc.item_mean_scores(train))
     logged = cut_lineage(mt.logged_per_row(valid, T.INTER_TIEBREAK))
     with ev.ScoreCache() as cache:
@@ -534,7 +529,7 @@ UNION ALL SELECT 'popularity', 'expected_reward', round(avg(coalesce(pi.pi, 0) *
 def q_eval_driver(spark, sf):
     """E13-E15, E23 through the evaluation driver: one long result table keyed name@k."""
     from ranklab.plans import evaluate as ev
-    train, valid = _temporal(spark, sf)
+    train, valid = temporal_parts(spark, sf)
     pop = sc.item_mean_scores(train)
     logged = mt.logged_per_row(valid, T.INTER_TIEBREAK)
     pairs = valid.select("USER_ID", "ITEM_ID").distinct().join(pop, "ITEM_ID")  # scores of the logged pairs only

@@ -4,6 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ranklab.operators.split import temporal_split
+from ranklab.session import materialize
+from ranklab.sources import tables as T
+
 
 def registry():
     """(queries, oracle SQL, decorator that registers a query under a name with its SQL)."""
@@ -21,3 +25,11 @@ def registry():
 
 def r6(c):
     return F.round(F.col(c).cast("double"), 6).alias(c)
+
+
+def temporal_parts(spark, sf_dir, valid: float = 0.1, test: float = 0.1):
+    """(train, valid) of the interactions' temporal split. The split is written once, partitioned by ``split``: every pass of a metric
+    or a fit reads its part instead of the join and the split behind it."""
+    s = temporal_split(T.interactions(spark, sf_dir), valid, test, "TIMESTAMP", T.INTER_TIEBREAK)
+    s = materialize(s, "temporal-split", partition_by=("split",))
+    return tuple(s.filter(F.col("split") == part).drop("split") for part in ("train", "valid"))
