@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ranklab.operators import metrics as mt
 from ranklab.operators import offpolicy as op
+from ranklab.operators.validate import check_binary_rewards, require_per_label_decision
 
 # Evaluators and metric names.
 EVALUATORS = ("simple", "replay_match", "IPS", "DR", "direct_method", "SNIPS", "policy_weighted")
@@ -174,18 +175,22 @@ def evaluate(model_id: str, scores: Scores, logged: DataFrame | None = None, eva
              metrics: Sequence[str] = ("NDCG_at_k", "MAP_at_k", "precision_at_k", "recall_at_k"),
              k_values: Sequence[int] = (10,), contract: str = "long_interactions", per_label: bool | None = False,
              epsilon: float = 0.1, single_item_instances: bool = False, frame: DataFrame | None = None,
-             scorer_type: str | None = None, cache: ScoreCache | None = None) -> DataFrame:
+             scorer_type: str | None = None, cache: ScoreCache | None = None, binary_rewards: bool = False) -> DataFrame:
     """(model_id, metric, k, label, value) for every requested metric, at every k where it has one.
 
     ``logged`` is (INSTANCE, USER_ID, ITEM_ID, REWARD[, PROPENSITY]); without it, it is built from the evaluation slice ``frame`` by the
     contract's regime. Off-policy evaluators estimate the same metrics under the policy (see ``off_policy_metrics``).
-    A request that cannot be answered raises; none is skipped.
+    A request that cannot be answered raises; none is skipped. ``per_label=None`` leaves the choice open and is refused where it matters
+    (V7); ``binary_rewards`` refuses rewards other than 0 and 1 (V6).
     """
     check_request(evaluator, metrics, contract, per_label)
+    require_per_label_decision(contract, "classification" if set(metrics) & set(CLASSIFICATION) else "other", per_label)
     if logged is None:
         if frame is None:
             raise ValueError("pass logged, or frame (the evaluation slice) to build it from")
         logged, single_item_instances = logged_table(frame, contract, scorer_type)
+    if binary_rewards:
+        check_binary_rewards(logged)
     if cache is not None:
         scores = Scores(**{k: cache.get(model_id, k, getattr(scores, k)) for k in ("topk", "pair_scores", "item_scores")})
     at_k = [m for m in metrics if m in RANKING_METRICS]
