@@ -90,13 +90,15 @@ def _auc_sql(group: str | None, digits: int = 6) -> str:
 
 @register("classification_auc_popularity", f"""
 WITH {_SP}, {_POP},
-scored AS (SELECT v.OUTCOME AS label, p.score FROM sp v JOIN pop p USING (ITEM_ID) WHERE v.split = 'valid')
-{_auc_sql(None)}""")
+scored AS (SELECT v.OUTCOME AS label, p.score FROM sp v JOIN pop p USING (ITEM_ID) WHERE v.split = 'valid'),
+a AS ({_auc_sql(None)})
+SELECT a.*, (SELECT count(*) FROM sp WHERE split = 'valid') AS n_logged FROM a""")
 def q_auc(spark, sf):
     train, valid = temporal_parts(spark, sf)
     scored = valid.join(sc.item_mean_scores(train), "ITEM_ID")
     m = mt.classification_metrics(scored, "OUTCOME", "score")
-    return m.select(r6("roc_auc"), r6("pr_auc"), "n_pos", "n_neg")
+    # n_logged beside n_pos + n_neg tells how many logged rows have no score (cold items)
+    return m.select(r6("roc_auc"), r6("pr_auc"), "n_pos", "n_neg", F.lit(valid.count()).cast("long").alias("n_logged"))
 
 
 @register("per_item_auc_priorities", f"""
@@ -138,13 +140,14 @@ def q_per_label(spark, sf):
 WITH {_SP},
 m AS (SELECT ITEM_ID, avg(OUTCOME_revenue) AS score FROM sp WHERE split = 'train' GROUP BY ITEM_ID)
 SELECT round(sqrt(avg((score - OUTCOME_revenue) * (score - OUTCOME_revenue))), 6) AS rmse,
-       round(avg(abs(score - OUTCOME_revenue)), 6) AS mae, count(*) AS n
+       round(avg(abs(score - OUTCOME_revenue)), 6) AS mae, count(*) AS n,
+       (SELECT count(*) FROM sp WHERE split = 'valid') AS n_logged
 FROM sp v JOIN m USING (ITEM_ID) WHERE v.split = 'valid'""")
 def q_regression(spark, sf):
     train, valid = temporal_parts(spark, sf)
     m = train.groupBy("ITEM_ID").agg(F.avg("OUTCOME_revenue").alias("score"))
     r = mt.regression_metrics(valid.join(m, "ITEM_ID"), "OUTCOME_revenue", "score")
-    return r.select(r6("rmse"), r6("mae"), "n")
+    return r.select(r6("rmse"), r6("mae"), "n", F.lit(valid.count()).cast("long").alias("n_logged"))
 
 
 @register("reward_metrics_popularity", f"""
