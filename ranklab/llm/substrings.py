@@ -42,8 +42,8 @@ from ranklab.session import cut_lineage
 WINDOW = 50
 INNER = 16
 HOT_KEY = 2000
-SHARD_KEYS = 1 << 20          # stretches a shard is planned for
-CELLS = 1 << 22               # cells of each of a shard's two sketch rows
+SHARD_KEYS = 1 << 18          # stretches a shard is planned for
+CELLS = 1 << 20               # cells of each of a shard's two sketch rows
 NO_ID = (1 << 63) - 1
 
 _INNER_HASH = Rolling(0xD1342543DE82EF95)
@@ -284,7 +284,8 @@ def later_windows(keyed_docs: DataFrame, window: int = WINDOW, inner: int = INNE
     hot = hashed.filter(F.col("est") > hot_key).drop("est").transform(
         in_tasks(_unpacked, "key long, row long, id long, at int, hash long"))
     least = hot.groupBy("key", "hash").agg(F.min("id").alias("least"))
-    hot = hot.join(least, ["key", "hash"]).filter("id > least").select("row", "id", "at", F.lit(1).alias("n"))
+    # a written table: both sides of the join are then shuffled, so that Spark can split a hot window's rows
+    hot = hot.join(cut_lineage(least), ["key", "hash"]).filter("id > least").select("row", "id", "at", F.lit(1).alias("n"))
     return usual.unionByName(hot)
 
 
