@@ -42,3 +42,38 @@ def test_without_target_the_sample_is_uniform(spark):
     half = np.mean([r["doc_id"] % 2 for r in got if r["selected"] and r["doc_id"] is not None])
     assert 0.35 < half < 0.65
     assert im.resample(d.limit(0), y).count() == 0
+
+
+def test_query_equals_plain_models(spark):
+    """Weights and ranks against dictionaries of hashed n-grams."""
+    from ranklab.llm.toxicity import held_out
+    from ranklab.llm.words import code_of
+
+    def mix(x):
+        m = (1 << 64) - 1
+        x = (x ^ (x >> 31)) * 0x9E3779B97F4A7C15 & m
+        x = (x ^ (x >> 29)) * 0xBF58476D1CE4E5B9 & m
+        return x ^ (x >> 32)
+
+    def grams(text):
+        c = [code_of(w.lower()) for w in (text or "").encode().split()]
+        return [x % im.BUCKETS for x in c] + [mix((a * 0x9E3779B97F4A7C15 + b) & ((1 << 64) - 1)) % im.BUCKETS for a, b in zip(c, c[1:])]
+    d, y = frames(spark)
+    held = {r["doc_id"] for r in d.filter(held_out(d["doc_id"])).collect()}
+    good = {r["doc_id"] for r in y.collect() if r["quality"] == 1} - held - {r["doc_id"] for r in y.collect() if r["quality"] != 1} - {None}
+    docs = d.collect()
+    raw, target = {}, {}
+    for r in docs:
+        for b in grams(r["text"]):
+            raw[b] = raw.get(b, 0) + 1
+            if r["doc_id"] in good:
+                target[b] = target.get(b, 0) + 1
+
+    def log_p(model, b):
+        return math.log((model.get(b, 0) + im.SMOOTHING) / (sum(model.values()) + im.SMOOTHING * im.BUCKETS))
+    got = im.resample(d, y).collect()
+    want = sorted((r["doc_id"] or -1, len(grams(r["text"])), round(im.SHARPNESS * sum(log_p(target, b) - log_p(raw, b) for b in grams(r["text"])) / max(1, len(grams(r["text"]))), 6))
+                  for r in docs)
+    assert sorted((r["doc_id"] or -1, r["n_grams"], round(r["log_weight"], 6)) for r in got) == want
+    keys = sorted((r["gumbel_key"] for r in got), reverse=True)
+    assert all(r["gumbel_key"] == keys[r["rank"] - 1] for r in got) and {r["selected"] for r in got if r["rank"] <= 202} == {True}

@@ -1,3 +1,8 @@
+import random
+import re
+
+import pytest
+
 from ranklab.llm import threads as th
 
 CONV = [
@@ -44,3 +49,83 @@ def test_long_reply_chain_and_empty(spark):
     g = got(spark, rows)
     assert {r["root_turn"] for r in g.values()} == {0} and [g[1, i + 1]["turn"] for i in range(40)] == list(range(40))
     assert got(spark, []) == {}
+
+
+def _level(line):
+    m = re.match(r"^((?:[ \t]{0,3}>)*)", line)
+    return m[1].count(">"), line[m.end():]
+
+
+def _norm(text):
+    return re.sub(r"\s+", " ", text.lower()).strip(" ")
+
+
+def brute(rows):
+    """(conv, turn) -> (parent turn, position, linked passages), unique turns in each conversation."""
+    out = {}
+    for conv in {r[0] for r in rows}:
+        msgs = sorted((r[1], r[3]) for r in rows if r[0] == conv)
+        own, parent, linked = {}, {}, {}
+        for turn, text in msgs:
+            lines = [_level(x) for x in re.split(r"\r?\n", text)]
+            mine = [x for i, (lv, x) in enumerate(lines) if lv == 0 and not (
+                re.search(th.ATTRIBUTION, x) and i + 1 < len(lines) and lines[i + 1][0] > 0)]
+            passages, last = [], None
+            for lv, x in lines:
+                if lv != last:
+                    passages.append((lv, []))
+                passages[-1][1].append(x)
+                last = lv
+            votes, n = {}, 0
+            for lv, part in passages:
+                if lv == 0:
+                    continue
+                units = ([" ".join(part)] if len(part) > 1 else []) + part
+                found = {}
+                for u in {_norm(u) for u in units if len(_norm(u)) >= th.MIN_CHARS}:
+                    hits = [t for t in own if t < turn and u in own[t]]
+                    if hits:
+                        found[max(hits)] = max(found.get(max(hits), 0), len(u))
+                n += bool(found)
+                if lv == 1:
+                    for t, c in found.items():
+                        votes[t] = votes.get(t, 0) + c
+            linked[turn] = n
+            if votes:
+                parent[turn] = max(votes, key=lambda t: (votes[t], t))
+            whole = "\n".join(mine)
+            own[turn] = {_norm(u) for u in [whole, *re.split(r"\n\s*\n", whole), *mine] if len(_norm(u)) >= th.MIN_CHARS}
+
+        def root(t):
+            while t in parent:
+                t = parent[t]
+            return t
+        order = sorted((root(t), t) for t, _ in msgs)
+        for t, _ in msgs:
+            out[conv, t] = (parent.get(t), order.index((root(t), t)) + 1, linked[t])
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_query_equals_brute_force(spark, seed):
+    r = random.Random(seed)
+    pool = [f"Sentence number {i} about {w}." for i, w in enumerate("rain snow wind sun fog hail storm heat".split())] + ["short", ""]
+    rows = []
+    for conv in range(4):
+        texts = []
+        for turn in range(25):
+            parts = []
+            if texts and r.random() < .7:
+                for _ in range(r.randint(1, 2)):
+                    quoted = r.choice(texts).split("\n")
+                    a = r.randrange(len(quoted))
+                    mark = r.choice(["> ", ">", " > "])
+                    if r.random() < .3:
+                        parts.append("Anna wrote:")
+                    parts += [mark + x.upper() if r.random() < .2 else mark + x for x in quoted[a:a + r.randint(1, 4)]]
+                    parts += [r.choice(pool)] * r.randint(0, 1)
+            parts += r.choices(pool, k=r.randint(0, 3))
+            texts.append("\n".join(parts))
+            rows.append((conv, turn, r.choice(["user", "assistant"]), texts[-1]))
+    g = {(c, x["turn"]): (x["parent_turn"], p, x["n_linked"]) for (c, p), x in got(spark, rows).items()}
+    assert g == brute(rows)
