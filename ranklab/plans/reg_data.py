@@ -436,7 +436,7 @@ def q_join_items(spark, sf):
     n_unmatched = bd.unmatched_users(inter, T.users(spark, sf)).agg(F.count(F.lit(1)).alias("n_unmatched_users"))
     g = j.groupBy("brand").agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("ITEM_ID").alias("n_items"),
                                F.round(F.avg("retailprice"), 6).alias("avg_price"))
-    return g.withColumn("_k", F.lit(1)).join(n_unmatched.withColumn("_k", F.lit(1)), "_k").drop("_k")
+    return g.crossJoin(F.broadcast(n_unmatched))   # one row
 
 
 # ------------------------------------------------------------------ more column operators
@@ -530,4 +530,4 @@ def q_holdout(spark, sf):
     s = sp.leave_last_n_per_user(T.events(spark, sf), n_valid=60, n_test=5, tiebreak=["event_id"])
     rep = sp.holdout_report(s)
     mx = s.groupBy("USER_ID").count().agg(F.max("count").alias("max_rows_per_user"))
-    return rep.withColumn("_k", F.lit(1)).join(mx.withColumn("_k", F.lit(1)), "_k").drop("_k")
+    return rep.crossJoin(F.broadcast(mx))   # one row beside one row
