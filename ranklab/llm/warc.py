@@ -135,7 +135,8 @@ def write_archives(pages: DataFrame, path: str, segment_bytes: int = SEGMENT_BYT
                      F.coalesce(F.octet_length("html"), F.lit(0)).alias("n"))
     first = p.filter(F.col("n") >= min_shared).groupBy("digest").agg(
         F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", "url")).alias("to"))
-    j = p.join(first, "digest", "left")
+    # a written table: both sides of the join are then shuffled, so that Spark can split a hot payload's rows
+    j = p.join(cut_lineage(first), "digest", "left")
     kind = F.when(F.col("to").isNull() | F.col("page_id").eqNullSafe(F.col("to.page_id")), "response").otherwise("revisit")
     rows = j.select("page_id", "url", F.when(kind == "response", F.col("html")).alias("html"), "digest", kind.alias("kind"),
                     F.col("to.page_id").alias("to_id"), F.col("to.url").alias("to_url"))
