@@ -92,7 +92,8 @@ def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
         last = now
         # large star: every larger neighbour of a node links to the node's smallest neighbour
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # (a written table: both sides of the join are then shuffled, so that Spark can split a hot node's neighbours)
+        low = cut_lineage(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # small star: a node's smaller neighbours, and the node, link to the smallest of them
         low = large.groupBy("u").agg(F.min("v").alias("m"))
