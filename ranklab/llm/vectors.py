@@ -52,23 +52,29 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = ROUNDS, seed: int = 7)
 
 
 def _unit(batch):
-    """(rows x length) unit vectors of the batch's rows of each length: {length: (row numbers, matrix)}."""
+    """The batch's rows by length: {length: (row numbers, unit vectors, vectors as given)}."""
     col = batch.column("embedding")
     size = np.diff(col.offsets.to_numpy())
-    flat = col.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    flat = col.flatten().to_numpy(zero_copy_only=False)
     start = np.cumsum(size) - size
     out = {}
     for d in np.unique(size):
         i = np.flatnonzero(size == d)
         x = flat[start[i][:, None] + np.arange(d)]
-        x = x / np.abs(x).max(1)[:, None]  # no overflow in the norm
-        out[int(d)] = i, x / np.linalg.norm(x, axis=1)[:, None]
+        out[int(d)] = i, normed(x), x
     return out
 
 
+def normed(x: np.ndarray) -> np.ndarray:
+    """Unit rows in double precision."""
+    x = x.astype(np.float64)
+    x = x / np.abs(x).max(1)[:, None]  # no overflow in the norm
+    return x / np.linalg.norm(x, axis=1)[:, None]
+
+
 def _assign(batch, centres: dict, reach: float):
     label, g, n = (batch.column(c).to_numpy() for c in ("label", "g", "n"))
-    for d, (rows, x) in _unit(batch).items():
+    for d, (rows, x, given) in _unit(batch).items():
         c = centres.get(d)
         if c is None:  # a length that the sample does not hold: one cell
             c = np.eye(1, d)
@@ -80,7 +86,7 @@ def _assign(batch, centres: dict, reach: float):
         a, cell = np.nonzero(visit)
         who, cell = np.concatenate((np.arange(len(x)), a)), np.concatenate((home, cell))
         at_home = np.arange(len(who)) < len(x)
-        raw = pa.FixedSizeBinaryArray.from_buffers(pa.binary(8 * d), len(who), [None, pa.py_buffer(np.ascontiguousarray(x[who]))])
+        raw = pa.FixedSizeBinaryArray.from_buffers(pa.binary(given.itemsize * d), len(who), [None, pa.py_buffer(np.ascontiguousarray(given[who]))])
         yield pa.RecordBatch.from_arrays(
             [pa.array(label[rows[who]], pa.int64()), pa.array(np.full(len(who), d, np.int32)), pa.array(cell.astype(np.int32)),
              pa.array(at_home), pa.array(g[rows[who]]), pa.array(n[rows[who]]), raw.cast(pa.binary())],
@@ -102,8 +108,9 @@ def _blocks(batch):
 def _links(batch, threshold: float):
     out = []
     for r in batch.to_pylist():
-        a, b = np.frombuffer(r["vs"]).reshape(-1, r["dim"]), np.frombuffer(r["vs2"]).reshape(-1, r["dim"])
         ga, gb, na, nb = (np.frombuffer(r[c], np.int64) for c in ("gs", "gs2", "ns", "ns2"))
+        kind = np.float32 if len(r["vs"]) == 4 * len(ga) * r["dim"] else np.float64
+        a, b = (normed(np.frombuffer(r[c], kind).reshape(-1, r["dim"])) for c in ("vs", "vs2"))
         linked = a @ b.T >= threshold
         same = r["home"] and r["first"] == r["first2"]
         if same:
@@ -133,12 +140,14 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     ok = usable(F.col("embedding"), F.col("label"))
     one = v.filter(ok).groupBy("label", "embedding").agg(F.min("vec_id").alias("low"), F.count(F.lit(1)).alias("n"))
     one = cut_lineage(one.withColumn("g", F.monotonically_increasing_id()))
-    sizes = {r["d"]: r["k"] for r in one.groupBy(F.size("embedding").alias("d")).agg(F.count(F.lit(1)).alias("k")).orderBy(F.desc("k")).limit(16).collect()}
+    # the largest label of each length sets the number of cells: enough to keep cells small, few enough that visits stay rare
+    sizes = one.groupBy(F.size("embedding").alias("d"), "label").agg(F.count(F.lit(1)).alias("k")).groupBy("d").agg(F.max("k").alias("k"))
+    sizes = {r["d"]: r["k"] for r in sizes.orderBy(F.desc("k"), "d").limit(16).collect()}
     centres = {}
     for d, k in sizes.items():
         rows = one.filter(F.size("embedding") == d).orderBy(F.xxhash64("embedding")).limit(sample).select("embedding", "g")
         batch = pa.Table.from_pandas(rows.toPandas()).combine_chunks().to_batches()[0]
-        centres[d] = spherical_kmeans(_unit(batch)[d][1], cells or min(MAX_CELLS, max(1, round(math.sqrt(k) / 4))))
+        centres[d] = spherical_kmeans(_unit(batch)[d][1], cells or min(MAX_CELLS, max(1, round(math.sqrt(k) / 16))))
     near = one.select("label", "g", "n", "embedding").transform(in_tasks(
         _assign, "label long, dim int, cell int, home boolean, g long, n long, v binary", centres, math.sqrt(2 - 2 * threshold)))
     order = ["label", "dim", "cell", "home", "g"]
