@@ -56,20 +56,34 @@ NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>
 PIECES = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
-class Block:
-    __slots__ = ("path", "parts", "linked", "in_link")
+class Memo(dict):
+    """A function with its latest results, at most ``most`` of them; it travels to tasks without them."""
 
-    def __init__(self, path):
-        self.path, self.parts, self.linked = path, [], 0
+    def __init__(self, fn, most: int):
+        super().__init__()
+        self.fn, self.most = fn, most
 
+    def __call__(self, *key):
+        value = self.get(key)
+        if value is None:
+            if len(self) >= self.most:
+                self.clear()
+            value = self[key] = self.fn(*key)
+        return value
 
-@functools.lru_cache(maxsize=4096)
-def _tokens(tag: str, attributes: str) -> tuple:
+    def __reduce__(self):
+        return Memo, (self.fn, self.most)
+
+
+def _step(tag: str, attributes: str) -> tuple:
     """A path step: the tag, and the words of its class, id and role."""
     named = " ".join(" ".join(x) for x in NAMED.findall(attributes)) if "=" in attributes else ""
     return tag, (tag, *dict.fromkeys("." + p.lower() for p in PIECES.findall(named)))
 
 
+_tokens = Memo(_step, 4096)
+
+
 def blocks(page: str) -> list[tuple[tuple, str, float]]:
     """(path, text, share of linked characters) of the page's leaf blocks in order."""
     out, stack, parts = [], [], []
@@ -158,14 +172,16 @@ def blocks(page: str) -> list[tuple[tuple, str, float]]:
 
 # ------------------------------------------------------------------ inputs
 
-@functools.lru_cache(maxsize=20_000)
-def _path_cells(path: tuple) -> tuple:
+def _cells(path: tuple) -> tuple:
     """Hashed cells of a path: every token, and the innermost tags by depth."""
     names = [t for step in path for t in step]
     names += [f"{i}:{step[0]}" for i, step in enumerate(reversed(path[-3:]))]
     return tuple(sorted({code_of(n.encode()) % PATH_BUCKETS for n in names}))
 
 
+_path_cells = Memo(_cells, 20_000)
+
+
 def inputs(sequence: list) -> np.ndarray:
     """(blocks, features) of one or more pages' blocks; positions are filled in by ``page_inputs``."""
     n = len(sequence)
