@@ -1,8 +1,8 @@
 """Operator 1: main text of web pages by a recurrent block labeller.
 
 Parsing (map-only, per page): markup becomes the sequence of leaf blocks, the text between borders of block-level elements, each
-with its tag path (tags, class and id words). Unclosed and misnested elements, cut pages and stray ``<`` are tolerated; scripts, styles, comments and the
-document's head are never text. Character references are decoded and white space inside a block (``<br>`` included) becomes one
+with its tag path (tags, class and id words). Unclosed and misnested elements, cut pages, stray ``<`` and stray quotes are tolerated; scripts, styles,
+comments, titles and the fallback text of iframes are never text, and nothing else is left out. Character references are decoded and white space inside a block (``<br>`` included) becomes one
 space.
 
 Labelling: a bidirectional LSTM (numpy) reads the whole page's sequence. A block's input is its hashed tag path, its hashed words and a few
@@ -49,9 +49,13 @@ CLOSES = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl
 CLOSES = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in CLOSES.items()}
 NOT_IN_P = BLOCK - frozenset("button label option optgroup select textarea".split())
 
+# What stands in a tag after its name. Only a quote after = opens a value; one that holds < or > must end where a value can end, or the quote
+# is a stray one. Possessive: every character is passed once.
+VALUE_END = r"""(?=[\s>]|/\s*>|[a-z][\w:-]*\s*=\s*["']|\Z)"""
+INSIDE = rf"""(?:[^<>=]++|=\s*+(?:"[^"<>]*+"|'[^'<>]*+'|"[^"]*+"{VALUE_END}|'[^']*+'{VALUE_END})?+)*+"""
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|title|iframe|object|math)\b[^>]*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"<]*\"|'[^'<]*'|[\"'])*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)|</[^>]*>", re.S | re.I)
+    rf"""<!--.*?(?:-->|\Z)|<(script|style|title|iframe)(?=[\s>]|/(?!>)){INSIDE}(?<![\s"']/)>.*?(?:</\1(?=[\s/>])[^>]*(?:>|\Z)|\Z)"""
+    rf"""|<(/?)([a-z][a-z0-9:-]*+)({INSIDE})(?:(>)|\Z|(?=<))|<[!?][^>]*(?:>|\Z)|</[^>]*>""", re.S | re.I)
 NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 PIECES = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
@@ -128,6 +132,9 @@ def blocks(page: str) -> list[tuple[tuple, str, float]]:
         tag = m[3]
         if tag is None:
             continue
+        if not m[5] and at < len(page):        # a < that opens no tag
+            add(m[0])
+            continue
         tag = tag.lower()
         if m[2]:
             for i in range(len(stack) - 1, -1, -1):

@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 
 from ranklab.llm import extract as ex
@@ -18,6 +20,32 @@ def test_blocks_tolerate_markup():
     assert ex.blocks("<nav class='top-menu'><a href=x>Home</a></nav>")[0][0][0] == ("nav", ".top", ".menu")
 
 
+def test_nothing_else_is_left_out():
+    assert texts("<p>one <svg class='i'/> two</p><p>three <math/></p><p>four</p>") == ["one two", "three", "four"]
+    assert texts("<article><p><object data=x>one</p><p>two</p></article><p>three") == ["one", "two", "three"]
+    assert texts("<object-viewer>one</object-viewer><title-bar>two</title-bar><p>three") == ["onetwo", "three"]
+    assert texts("<p>a <math><mi>x</mi><mo>=</mo><mn>1</mn></math> b <object>c</object><noscript>d</noscript></p>") == ["a x=1 b cd"]
+    assert texts("<svg><title>no</title><style>no</style><text>yes</text></svg><title>no</title><iframe src=x>no</iframe><p>end") == ["yes", "end"]
+    assert texts("<script src='x'/><iframe src='x'/><title/><p>kept") == ["kept"]
+    assert texts("<script src=/a/>no</script foo><STYLE\n>no</Style ><p>kept") == ["kept"]
+
+
+def test_quotes_in_tags():
+    assert texts("""<p title="a < b">x<i data-h='<p class="q">no</p>'>y</i></p>""") == ["xy"]
+    assert texts("""<p title="a < b"class="c">x</p><p title="1 > 0" hidden/>y""") == ["x", "y"]
+    assert texts("""<p title='it's'>one</p><p alt="5" tall">two</p><p ">three</p>""") == ["one", "two", "three"]
+    assert texts("""<p><a href="x>one</a> "two" <a href="y">three</a></p>""") == ['one "two" three']
+    assert texts("1 <b and c <p>x") == ["1 <b and c", "x"]
+
+
+def test_tags_take_linear_time():
+    for part in ("""<a x="<a " """, "<a x='", '<a x="<', "<iframe ", "<a \"'", '=""<b ="'):
+        start = time.process_time()
+        ex.blocks("<p>" + part * 40_000 + "<p>end")
+        ex.blocks("<p " + part * 40_000)
+        assert time.process_time() - start < 10
+
+
 def test_links_share():
     assert [k for _, _, k in ex.blocks("<p><a>all</a></p><p>no<a>ne</a></p>")] == [1.0, 0.5]
 
