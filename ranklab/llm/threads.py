@@ -28,7 +28,7 @@ from ranklab.session import cut_lineage
 
 MARKERS = r"^((?:[ \t]{0,3}>)*)"
 ATTRIBUTION = r"(?i)(^\s*(on|am|le|el)\b.*|^.*)\b(wrote|schrieb|écrit|escribió)\s*:\s*$"
-MIN_CHARS = 8              # shorter passages and lines say too little to link by
+MIN_CHARS = 1              # every text that is not empty links; votes count characters, so long matches win
 
 
 def level_of(line) -> F.Column:

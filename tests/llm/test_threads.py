@@ -129,3 +129,32 @@ def test_query_equals_brute_force(spark, seed):
             rows.append((conv, turn, r.choice(["user", "assistant"]), texts[-1]))
     g = {(c, x["turn"]): (x["parent_turn"], p, x["n_linked"]) for (c, p), x in got(spark, rows).items()}
     assert g == brute(rows)
+
+
+SHORT = ["Yes.", "Why?", "No", "k", "Ok thanks", "好的。", "为什么？", "はい", "A longer line that is quoted.", "", "  "]
+
+
+def test_short_messages_are_linked(spark):
+    rows = [(1, 0, "user", "Yes."), (1, 1, "assistant", "好的。"), (1, 2, "user", "> Yes.\nWhy?"), (1, 3, "assistant", "> 好的。\nk"),
+            (1, 4, "user", "> > Yes.\n> WHY?\nno"), (1, 5, "assistant", ">\n> \nempty quote"), (1, 6, "user", "> k\n\n> A longer line\nx"),
+            (1, 7, "assistant", "A longer line"), (1, 8, "user", "> k\n> A longer line\ny")]
+    g = {r["turn"]: r for r in got(spark, rows).values()}
+    assert [g[t]["parent_turn"] for t in range(9)] == [None, None, 0, 1, 2, None, 3, None, 7]
+    assert [g[t]["root_turn"] for t in range(9)] == [0, 1, 0, 1, 0, 5, 1, 7, 7]
+    assert [g[t]["n_linked"] for t in range(9)] == [0, 0, 1, 1, 2, 0, 1, 0, 1]
+    assert [g[t]["position"] for t in (0, 2, 4, 1, 3, 6, 5, 7, 8)] == list(range(1, 10))
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_short_messages_equal_brute_force_without_threshold(spark, monkeypatch, seed):
+    r = random.Random(seed)
+    rows = []
+    for conv in range(3):
+        texts = []
+        for turn in range(20):
+            quoted = [f"{r.choice(['>', '> ', '> > '])}{x}" for x in r.choice(texts).split("\n")[:2]] if texts and r.random() < .8 else []
+            texts.append("\n".join(quoted + r.choices(SHORT, k=r.randint(0, 2))))
+            rows.append((conv, turn, "user", texts[-1]))
+    g = {(c, x["turn"]): (x["parent_turn"], p, x["n_linked"]) for (c, p), x in got(spark, rows).items()}
+    monkeypatch.setattr(th, "MIN_CHARS", 1)         # no threshold but the empty text
+    assert g == brute(rows)
