@@ -15,13 +15,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ranklab.llm import decontaminate, mixing, simhash, substrings, toxicity
-from ranklab.llm.common import shared_path, table
+from ranklab.llm.common import free_names, shared_path, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity score under one half."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.with_scores(docs, model, score_col="_toxicity").filter(F.col("_toxicity") < 0.5).drop("_toxicity")
+    score, = free_names(docs, "_toxicity")
+    return toxicity.with_scores(docs, model, score_col=score).filter(F.col(score) < 0.5).drop(score)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ranklab.llm.common import register, shared_path, shuffle_partitions, table
+from ranklab.llm.common import free_names, register, shared_path, shuffle_partitions, table
 from ranklab.session import cut_lineage
 
 WINDOW = 13
@@ -151,9 +151,10 @@ def without_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_i
                          item_text: str = "text", window: int = WINDOW) -> DataFrame:
     """``docs`` with all columns, without the documents that the contamination rule rejects."""
     c = contamination(docs, items, id_col, text_col, item_col, item_text, window)
-    bad = c.filter(contaminated(F.col("n_hit"), F.col("n_words"))).select(F.col("row").alias("_bad_row"), F.col("id").alias("_bad_id"))
-    d = docs.withColumn("_row", F.xxhash64(F.col(id_col), F.col(text_col)))
-    return d.join(bad, (F.col("_row") == F.col("_bad_row")) & F.col(id_col).eqNullSafe(F.col("_bad_id")), "left_anti").drop("_row")
+    row, bad_row, bad_id = free_names(docs, "_row", "_bad_row", "_bad_id")
+    bad = c.filter(contaminated(F.col("n_hit"), F.col("n_words"))).select(F.col("row").alias(bad_row), F.col("id").alias(bad_id))
+    d = docs.withColumn(row, F.xxhash64(F.col(id_col), F.col(text_col)))
+    return d.join(bad, (F.col(row) == F.col(bad_row)) & F.col(id_col).eqNullSafe(F.col(bad_id)), "left_anti").drop(row)
 
 
 def proximity_matches(docs: DataFrame, items: DataFrame, span: int = 50, rarest: int = 3, id_col: str = "doc_id", text_col: str = "text",

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ranklab.llm.common import components, in_tasks, link_labels, register, shuffle_partitions, table
+from ranklab.llm.common import components, free_names, in_tasks, link_labels, register, shuffle_partitions, table
 from ranklab.llm.words import Slice, slices
 from ranklab.session import cut_lineage
 
@@ -242,11 +242,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE_WORDS,
                             radius: int = RADIUS) -> DataFrame:
     """One document of each group, with all its columns."""
+    keep_id, keep_row, row = free_names(docs, "_keep_id", "_keep_row", "_row")
     keep = near_duplicates(docs, id_col, text_col, width, radius).filter("kept").select(
-        F.col("doc_id").alias("_keep_id"), F.col("row").alias("_keep_row")).distinct()
-    d = docs.withColumn("_keep_row", F.xxhash64(F.col(id_col), F.col(text_col)))
-    j = d.join(keep.withColumnRenamed("_keep_row", "_row2"), (F.col("_keep_row") == F.col("_row2")) & F.col(id_col).eqNullSafe(F.col("_keep_id")))
-    return j.dropDuplicates(["_keep_row", "_keep_id"]).select(*docs.columns)
+        F.col("doc_id").alias(keep_id), F.col("row").alias(keep_row)).distinct()
+    d = docs.withColumn(row, F.xxhash64(F.col(id_col), F.col(text_col)))
+    j = d.join(keep, (F.col(row) == F.col(keep_row)) & F.col(id_col).eqNullSafe(F.col(keep_id)))
+    return j.dropDuplicates([row, keep_id]).select(*docs.columns)
 
 
 def as_hex(fp) -> F.Column:

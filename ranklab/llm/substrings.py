@@ -323,30 +323,27 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def _rewritten(batch, window: int, text_col: str, size_col: str | None, names: list):
-    done = next(_kept(batch, window))
+    cols = batch.column("doc").flatten()
+    old = cols[names.index(text_col)]
+    done = next(_kept(pa.RecordBatch.from_arrays([batch.column("row"), batch.column("id"), batch.column("gone"), old], ["row", "id", "gone", "text"]), window))
     texts, removed = done.column("kept"), done.column("n_removed").to_pylist()
-    old = batch.column("text")
     new = pa.array([texts[i].as_py().decode("utf-8", "replace") if k else old[i].as_py() for i, k in enumerate(removed)], pa.string())
-    cols = [batch.column(n) for n in names]
     cols[names.index(text_col)] = new
     if size_col in names:
-        kept = batch.column(size_col)
+        kept = cols[names.index(size_col)]
         cols[names.index(size_col)] = pa.array([len(new[i].as_py()) if k else kept[i].as_py() for i, k in enumerate(removed)], kept.type)
     yield pa.RecordBatch.from_arrays(cols, names)
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size_col: str | None = "n_chars", window: int = WINDOW) -> DataFrame:
     """``docs`` with all columns; texts that lose words hold the kept words joined by one space (and their new length in ``size_col``),
-    other texts stay as they are."""
+    other texts stay as they are. The columns travel as one struct, so their names cannot clash."""
     k = keyed(docs, id_col, text_col)
     gone = later_windows(k, window).distinct().groupBy("row", "id").agg(F.collect_list(F.struct("at", "n")).alias("gone"))
-    d = docs.select(*docs.columns, *[c.alias(f"_{n}") for c, n in zip((
-        F.xxhash64(F.col(id_col), F.col(text_col)), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))), ("row", "id"))])
-    g = gone.withColumnsRenamed({"row": "_row2", "id": "_id2"})
-    j = d.join(g, (F.col("_row") == F.col("_row2")) & (F.col("_id") == F.col("_id2")), "left")
-    names = docs.columns
-    j = j.select(*names, *([] if text_col == "text" else [F.col(text_col).alias("text")]), F.col("_row").alias("row"), F.col("_id").alias("id"), "gone")
-    return j.transform(in_tasks(_rewritten, docs.schema, window, text_col, size_col, names))
+    d = docs.select(F.struct("*").alias("doc"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("row"),
+                    F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"))
+    j = d.join(gone, ["row", "id"], "left")
+    return j.transform(in_tasks(_rewritten, docs.schema, window, text_col, size_col, docs.columns))
 
 
 @register("op9_substring_dedup", r"""

@@ -107,3 +107,22 @@ def test_empty_documents(spark):
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
     assert cp.run(spark, sf).count() == 0
+
+
+def test_extra_columns_may_have_any_name(spark):
+    """Names of the stages' helper columns are no case apart: same mix, and each extra value stays with its document."""
+    docs, labels, items = corpus()
+    extra = ["id", "row", "gone", "text2", "doc", "kept", "score", "_row", "_ID", "_row2", "_keep_row", "_keep_id", "_bad_row", "_bad_id", "_toxicity", "toxic"]
+    sf = tempfile.mkdtemp(prefix="ranklab-pipeline-")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+    plain = spark.createDataFrame(docs[:60], SCHEMA)
+    wide = spark.createDataFrame([(*x, *[f"{n}:{x[0]}" for n in extra]) for x in docs[:60]], SCHEMA + "".join(f", `{n}` string" for n in extra))
+    for _, stage in cp.STAGES[:4]:
+        rows = stage(spark, wide, sf)
+        assert rows.columns == wide.columns
+        rows = rows.collect()
+        assert rows and all(tuple(r)[5:] == tuple(f"{n}:{r['doc_id']}" for n in extra) for r in rows)
+        assert sorted(tuple(r)[:5] for r in rows) == sorted(tuple(r) for r in stage(spark, plain, sf).collect())
+    wide.write.parquet(f"{sf}/documents.parquet")
+    assert cp.run(spark, sf).count() > 0
