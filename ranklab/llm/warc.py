@@ -38,6 +38,7 @@ SEGMENT_BYTES = 32 * 1024
 CHUNK_BYTES = 8 * 1024
 MIN_SHARED_BYTES = 100
 RECORDS_PER_FILE = 20_000
+PIECE = 1 << 16              # bytes of a file that are inflated at once
 HTTP_HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -145,20 +146,54 @@ def write_archives(pages: DataFrame, path: str, segment_bytes: int = SEGMENT_BYT
         .option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
 
 
-def parse(data: bytes):
-    """The records of one archive file: (headers, block) by Content-Length."""
+def inflated(data):
+    """The bytes of one archive file in pieces; a gzip file is inflated member by member."""
+    if data[:2] != b"\x1f\x8b":
+        yield from (data[i:i + PIECE] for i in range(0, len(data), PIECE))
+        return
     at = 0
     while at < len(data):
-        end = data.find(b"\r\n\r\n", at)
-        if end < 0 or not data.startswith(b"WARC/", at):
-            raise ValueError(f"no record at byte {at}")
+        if data[at:at + 2] != b"\x1f\x8b":
+            if bytes(data[at:]).strip(b"\0"):
+                raise ValueError(f"no gzip member at byte {at}")
+            return                                       # padding
+        member, feed = zlib.decompressobj(31), b""
+        while not member.eof:
+            if not feed:
+                feed = data[at:at + PIECE]
+                at += len(feed)
+                if not feed:
+                    raise ValueError("gzip member without end")
+            out = member.decompress(feed, 16 * PIECE)
+            feed = member.unconsumed_tail
+            if out:
+                yield out
+        at -= len(member.unused_data)
+
+
+def parse(data):
+    """The records of one archive file: (headers, block) by Content-Length. No more than a record and a piece is held inflated."""
+    feed, buf, at, done = inflated(data), bytearray(), 0, 0      # done: bytes of the file before buf
+    while True:
+        end = buf.find(b"\r\n\r\n", at)
+        while end < 0 and (piece := next(feed, None)) is not None:
+            del buf[:at]
+            done, at, seen = done + at, 0, len(buf)
+            buf += piece
+            end = buf.find(b"\r\n\r\n", max(0, seen - 3))
+        if at >= len(buf):
+            return
+        if end < 0 or not buf.startswith(b"WARC/", at):
+            raise ValueError(f"no record at byte {done + at}")
         head = {}
-        for line in data[at:end].split(b"\r\n")[1:]:
+        for line in bytes(buf[at:end]).split(b"\r\n")[1:]:
             k, _, v = line.partition(b":")
             head[k.strip().lower().decode()] = v.strip().decode("utf-8", "replace")
-        n = int(head["content-length"])
-        yield head, data[end + 4:end + 4 + n]
-        at = end + 4 + n + 4
+        stop = end + 4 + int(head["content-length"])
+        while len(buf) < stop + 4 and (piece := next(feed, None)) is not None:
+            buf += piece
+        yield head, bytes(buf[end + 4:stop])
+        at = stop + 4
 
 
 def _parsed(batch):
@@ -167,10 +202,7 @@ def _parsed(batch):
                         ("block", pa.binary())])
     rows, size = [], 0
     for data in batch.column("content"):
-        data = data.as_py()
-        if data[:2] == b"\x1f\x8b":
-            data = zlib.decompress(data, 47)
-        for h, block in parse(data):
+        for h, block in parse(memoryview(data.as_buffer()).cast("B")):
             seg = h.get("warc-segment-number")
             rows.append((h["warc-record-id"], h["warc-type"], h.get("x-page-id"), h.get("warc-refers-to"),
                          h.get("warc-segment-origin-id") or (h["warc-record-id"] if seg else None),

@@ -1,6 +1,8 @@
+import gzip
 import hashlib
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -80,3 +82,18 @@ def test_chunked_framing(n):
 def test_empty_table(spark):
     _, records = round_trip(spark, [])
     assert records.count() == 0
+
+
+def test_files_of_several_gzip_members(spark, monkeypatch):
+    monkeypatch.setattr(warc, "PIECE", 7)
+    raw = [warc._record([("WARC-Type", "response"), ("WARC-Record-ID", f"<urn:uuid:{k}>")], b"block \r\n\r\n %d " % k * (k * 50)) + b"\r\n\r\n" for k in range(6)]
+    want = list(warc.parse(b"".join(raw)))
+    assert [h["warc-record-id"] for h, _ in want] == [f"<urn:uuid:{k}>" for k in range(6)] and want[5][1] == b"block \r\n\r\n 5 " * 250
+    one_each = b"".join(gzip.compress(r) for r in raw)
+    assert list(warc.parse(one_each)) == list(warc.parse(one_each + bytes(20))) == want
+    assert list(warc.parse(gzip.compress(b"".join(raw)[:333]) + gzip.compress(b"".join(raw)[333:]))) == want
+    batch = pa.RecordBatch.from_arrays([pa.array([one_each, b"".join(raw)], pa.binary())], ["content"])
+    assert [r["record_id"] for b in warc._parsed(batch) for r in b.to_pylist()] == [f"<urn:uuid:{k}>" for k in range(6)] * 2
+    for broken in (one_each[:-4], one_each + b"x"):
+        with pytest.raises(ValueError):
+            list(warc.parse(broken))
