@@ -7,7 +7,7 @@ import importlib
 from ranklab.llm import common
 
 MODULES = ("extract", "simhash", "decontaminate", "importance", "toxicity", "vectors", "threads", "mixing",
-           "substrings", "warc", "merkle", "align")
+           "substrings", "warc", "merkle", "align", "licenses")
 
 
 def load() -> tuple[dict, dict]:

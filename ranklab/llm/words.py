@@ -79,11 +79,11 @@ class Slice:
     no bytes. No word reaches over the end of its row.
     """
 
-    def __init__(self, buf: np.ndarray, offsets: np.ndarray, lo: int, lower: bool = False):
+    def __init__(self, buf: np.ndarray, offsets: np.ndarray, lo: int, lower: bool = False, space: np.ndarray = _SPACE):
         self.lo, self.hi = lo, lo + len(offsets) - 1
         self.buf = _LOWER[buf] if lower else buf
         self.offsets = offsets
-        solid = ~_SPACE[buf]
+        solid = ~space[self.buf]
         edge = np.zeros(len(buf) + 1, bool)
         edge[offsets] = True
         begins = solid.copy()
@@ -130,8 +130,8 @@ def code_of(word: bytes) -> int:
     return int(_BYTES.spans(p, np.array([0]), np.array([len(b)]))[0])
 
 
-def slices(column: pa.Array, lower: bool = False, limit: int = SLICE_BYTES) -> Iterator[Slice]:
-    """The column's rows in order, in slices of whole rows."""
+def slices(column: pa.Array, lower: bool = False, limit: int = SLICE_BYTES, space: np.ndarray = _SPACE) -> Iterator[Slice]:
+    """The column's rows in order, in slices of whole rows; ``space`` tells for each byte, lower-cased if so wished, whether it separates words."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     n = len(column)
@@ -148,7 +148,7 @@ def slices(column: pa.Array, lower: bool = False, limit: int = SLICE_BYTES) -> I
     lo = 0
     while lo < n:
         hi = max(lo + 1, int(np.searchsorted(off, off[lo] + limit, side="right")) - 1)
-        yield Slice(data[off[lo]:off[hi]], off[lo:hi + 1] - off[lo], lo, lower)
+        yield Slice(data[off[lo]:off[hi]], off[lo:hi + 1] - off[lo], lo, lower, space)
         lo = hi
 
 
