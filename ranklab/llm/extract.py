@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from ranklab.llm.common import in_tasks, register, table
 from ranklab.llm.words import code_of, slices
 
-TRAIN_PAGES = 900
+TRAIN_PAGES = 1500
 EPOCHS = 9
 HIDDEN = 16
 PATH_BUCKETS = 192
@@ -55,7 +55,7 @@ VALUE_END = r"""(?=[\s>]|/\s*>|[a-z][\w:-]*\s*=\s*["']|\Z)"""
 INSIDE = rf"""(?:[^<>=]++|=\s*+(?:"[^"<>]*+"|'[^'<>]*+'|"[^"]*+"{VALUE_END}|'[^']*+'{VALUE_END})?+)*+"""
 TOKEN = re.compile(
     rf"""<!--.*?(?:-->|\Z)|<(script|style|title|iframe)(?=[\s>]|/(?!>)){INSIDE}(?<![\s"']/)>.*?(?:</\1(?=[\s/>])[^>]*(?:>|\Z)|\Z)"""
-    rf"""|<(/?)([a-z][a-z0-9:-]*+)({INSIDE})(?:(>)|\Z|(?=<))|<[!?][^>]*(?:>|\Z)|</[^>]*>""", re.S | re.I)
+    rf"""|<(/?)([a-z][a-z0-9:-]*+)({INSIDE})(?:(>)|\Z|(?=<))|<[!?][^>]*(?:>|\Z)|(</)""", re.S | re.I)
 NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 PIECES = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
@@ -85,15 +85,75 @@ def _step(tag: str, attributes: str) -> tuple:
     return tag, (tag, *dict.fromkeys("." + p.lower() for p in PIECES.findall(named)))
 
 
-_tokens = Memo(_step, 4096)
+def _mask(names: tuple) -> int:
+    out = 0
+    for n in names:
+        out |= 1 << code_of(n.encode()) % PATH_BUCKETS
+    return out
+
+
+_tokens, _masks = Memo(_step, 4096), Memo(_mask, 4096)
+
+
+class Path:
+    """A tag path as its last step and the path before it, with the hashed cells of all steps as bits: paths share their prefixes."""
+    __slots__ = ("before", "step", "mask")
+
+    def __init__(self, before: Path | None, step: tuple):
+        self.before, self.step = before, step
+        self.mask = (before.mask if before else 0) | _masks(step)
+
+    def last(self, n: int) -> list[tuple]:
+        """The ``n`` innermost steps, the innermost first."""
+        out, at = [], self
+        while at is not None and len(out) < n:
+            out.append(at.step)
+            at = at.before
+        return out
+
+    def __iter__(self):
+        return reversed(self.last(1 << 62))
+
+    def __getitem__(self, i):
+        return tuple(self)[i]
+
+
+class _Open:
+    """The open elements. Every question about the stack is answered from per-tag places, so none costs its depth."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, Path]] = []
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = []                     # places of block-level elements
+
+    def push(self, tag: str, step: tuple) -> None:
+        self.places.setdefault(tag, []).append(len(self.stack))
+        if tag in BLOCK:
+            self.blocks.append(len(self.stack))
+        self.stack.append((tag, Path(self.stack[-1][1] if self.stack else None, step)))
+
+    def pop(self) -> str:
+        tag, _ = self.stack.pop()
+        self.places[tag].pop()
+        if tag in BLOCK:
+            self.blocks.pop()
+        return tag
+
+    def innermost(self, tags) -> int:
+        """Place of the innermost open element of one of the ``tags``, or -1."""
+        return max((at[-1] for t in tags if (at := self.places.get(t))), default=-1)
+
+    def path(self) -> Path | None:
+        return self.stack[-1][1] if self.stack else None
 
 
-def blocks(page: str) -> list[tuple[tuple, str, float]]:
+def blocks(page: str) -> list[tuple[Path | tuple, str, float]]:
     """(path, text, share of linked characters) of the page's leaf blocks in order."""
-    out, stack, parts = [], [], []
+    out, parts = [], []
+    stack = _Open()
     linked = total = links = 0
-    path = None
-    at = 0
+    path: Path | tuple | None = None
+    at, last = 0, page.rfind(">")
 
     def flush():
         nonlocal linked, total, path
@@ -110,7 +170,7 @@ def blocks(page: str) -> list[tuple[tuple, str, float]]:
         if path is None:
             if text.isspace():
                 return
-            path = tuple(step for _, step in stack)
+            path = stack.path() or ()
         parts.append(text)
         total += len(text)
         if links:
@@ -118,17 +178,23 @@ def blocks(page: str) -> list[tuple[tuple, str, float]]:
 
     def pop_to(i):
         nonlocal links
-        for t, _ in stack[i:]:
+        while len(stack.stack) > i:
+            t = stack.pop()
             if t in BLOCK:
                 flush()
             elif t == "a":
                 links -= 1
-        del stack[i:]
 
-    for m in TOKEN.finditer(page):
+    while (m := TOKEN.search(page, at)) is not None:
         if m.start() > at:
             add(page[at:m.start()])
         at = m.end()
+        if m[6]:                               # an end without a name, up to the next >, if there is one
+            if at <= last:
+                at = page.index(">", at) + 1
+            else:
+                add(m[0])
+            continue
         tag = m[3]
         if tag is None:
             continue
@@ -137,13 +203,10 @@ def blocks(page: str) -> list[tuple[tuple, str, float]]:
             continue
         tag = tag.lower()
         if m[2]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    pop_to(i)
-                    break
-            else:
-                if tag in BLOCK:
-                    flush()
+            if (i := stack.innermost((tag,))) >= 0:
+                pop_to(i)
+            elif tag in BLOCK:
+                flush()
             continue
         if tag in VOID:
             if tag == "hr":
@@ -153,23 +216,14 @@ def blocks(page: str) -> list[tuple[tuple, str, float]]:
             continue
         if tag in BLOCK:
             flush()
-            if tag in NOT_IN_P:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == "p":
-                        pop_to(i)
-                        break
-                    if stack[i][0] in BLOCK:
-                        break
+            if tag in NOT_IN_P and stack.blocks and stack.stack[stack.blocks[-1]][0] == "p":
+                pop_to(stack.blocks[-1])
             if tag in CLOSES:
                 ends, scope = CLOSES[tag]
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] in scope:
-                        break
-                    if stack[i][0] in ends:
-                        pop_to(i)
-                        break
+                if (i := stack.innermost(ends)) > stack.innermost(scope):
+                    pop_to(i)
         if not m[4].rstrip().endswith("/") or tag in BLOCK or tag == "a":
-            stack.append(_tokens(tag, m[4]))
+            stack.push(*_tokens(tag, m[4]))
             links += tag == "a"
     if at < len(page):
         add(page[at:])
@@ -179,11 +233,10 @@ def blocks(page: str) -> list[tuple[tuple, str, float]]:
 
 # ------------------------------------------------------------------ inputs
 
-def _cells(path: tuple) -> tuple:
+def _cells(mask: int, tags: tuple) -> list[int]:
     """Hashed cells of a path: every token, and the innermost tags by depth."""
-    names = [t for step in path for t in step]
-    names += [f"{i}:{step[0]}" for i, step in enumerate(reversed(path[-3:]))]
-    return tuple(sorted({code_of(n.encode()) % PATH_BUCKETS for n in names}))
+    mask |= _mask(tuple(f"{i}:{t}" for i, t in enumerate(tags)))
+    return [i for i in range(PATH_BUCKETS) if mask >> i & 1]
 
 
 _path_cells = Memo(_cells, 20_000)
@@ -194,7 +247,8 @@ def inputs(sequence: list) -> np.ndarray:
     n = len(sequence)
     x = np.zeros((n, PATH_BUCKETS + WORD_BUCKETS + RATES), np.float32)
     for i, (path, _, _) in enumerate(sequence):
-        x[i, list(_path_cells(path))] = 1
+        if path:
+            x[i, _path_cells(path.mask, tuple(s[0] for s in path.last(3)))] = 1
     texts = pa.array([t for _, t, _ in sequence], pa.string())
     at = PATH_BUCKETS
     for s in slices(texts, lower=True):
@@ -217,16 +271,17 @@ def inputs(sequence: list) -> np.ndarray:
     return x
 
 
+def with_places(x: np.ndarray, k: np.ndarray, n) -> np.ndarray:
+    """``x`` with the positions ``k`` of its blocks on pages of ``n`` blocks."""
+    x[:, -4], x[:, -3], x[:, -2], x[:, -1] = k / np.maximum(1, n - 1), np.exp(-k / 3), np.exp(-(n - 1 - k) / 3), np.log1p(n) / 4
+    return x
+
+
 def page_inputs(pages: list[list]) -> list[np.ndarray]:
-    x = inputs([b for p in pages for b in p])
-    out, lo = [], 0
-    for p in pages:
-        part = x[lo:lo + len(p)]
-        k = np.arange(len(p))
-        part[:, -4], part[:, -3], part[:, -2], part[:, -1] = k / max(1, len(p) - 1), np.exp(-k / 3), np.exp(-(len(p) - 1 - k) / 3), np.log1p(len(p)) / 4
-        out.append(part)
-        lo += len(p)
-    return out
+    n = np.array([len(p) for p in pages])
+    lo = np.cumsum(n) - n
+    x = with_places(inputs([b for p in pages for b in p]), np.arange(n.sum()) - np.repeat(lo, n), np.repeat(n, n))
+    return [x[i:i + k] for i, k in zip(lo, n)]
 
 
 # ------------------------------------------------------------------ the network
@@ -322,21 +377,63 @@ def train(pages: list[np.ndarray], labels: list[np.ndarray], epochs: int = EPOCH
     return model
 
 
-def main_blocks(pages: list[list], model: list[np.ndarray], cells: int = 1 << 22) -> list[np.ndarray]:
-    """For each page's blocks: True where the block is main text. Pages of like length run together, ``cells`` inputs at most."""
+def _projected(pages: list[list], model: list[np.ndarray], chunk: int) -> np.ndarray:
+    """(blocks of all pages, 2, 4 * HIDDEN): what each block gives to the gates of both directions. Inputs are made ``chunk`` blocks at a
+    time, so that a page's inputs are never held whole."""
+    n = np.array([len(p) for p in pages])
+    k, n = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n), np.repeat(n, n)
+    every = [b for p in pages for b in p]
+    out = np.empty((len(every), 2, 4 * HIDDEN), np.float32)
+    for i in range(0, len(every), chunk):
+        x = with_places(inputs(every[i:i + chunk]), k[i:i + chunk], n[i:i + chunk])
+        out[i:i + chunk, 0], out[i:i + chunk, 1] = x @ model[0] + model[2], x @ model[3] + model[5]
+    return out
+
+
+def _both_ways(pre: np.ndarray, mask: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """Hidden states (steps, 2, pages, HIDDEN) of both directions run side by side; direction 1 reads ``pre`` from the end."""
+    steps, _, n, _ = pre.shape
+    h, c = np.zeros((2, n, HIDDEN), np.float32), np.zeros((2, n, HIDDEN), np.float32)
+    out = np.empty((steps, 2, n, HIDDEN), np.float32)
+    whole = mask.all()
+    for t in range(steps):
+        b = steps - 1 - t
+        z = h @ u
+        z[0] += pre[t, 0]
+        z[1] += pre[b, 1]
+        gates = _sigmoid(z[..., :3 * HIDDEN])
+        c2 = gates[..., HIDDEN:2 * HIDDEN] * c + gates[..., :HIDDEN] * np.tanh(z[..., 3 * HIDDEN:])
+        h2 = gates[..., 2 * HIDDEN:] * np.tanh(c2)
+        if whole:
+            h, c = h2, c2
+        else:
+            m = np.stack((mask[t], mask[b]))[..., None]
+            h, c = np.where(m, h2, h), np.where(m, c2, c)
+        out[t, 0], out[b, 1] = h[0], h[1]
+    return out
+
+
+def main_blocks(pages: list[list], model: list[np.ndarray], cells: int = 1 << 22, chunk: int = 8192) -> list[np.ndarray]:
+    """For each page's blocks: True where the block is main text. Pages of like length run together, ``cells`` gate inputs at most."""
     out = [np.zeros(0, bool)] * len(pages)
-    full = [i for i in range(len(pages)) if pages[i]]
-    if not full:
-        return out
-    x = dict(zip(full, page_inputs([pages[i] for i in full])))
-    order = sorted(full, key=lambda i: len(pages[i]))
+    order = sorted((i for i in range(len(pages)) if pages[i]), key=lambda i: len(pages[i]))
+    u = np.stack((model[1], model[4]))
     while order:
         longest = len(pages[order[-1]])
-        n = max(1, cells // (longest * x[order[-1]].shape[1]))
+        n = max(1, cells // (longest * 8 * HIDDEN))
         group, order = order[-n:], order[:-n]
-        z = _logits(model, *_stack([x[i] for i in group]))[0]
+        sizes = [len(pages[i]) for i in group]
+        flat = _projected([pages[i] for i in group], model, chunk)
+        pre, mask = np.zeros((longest, 2, len(group), 4 * HIDDEN), np.float32), np.zeros((longest, len(group)), bool)
+        at = 0
+        for j, k in enumerate(sizes):
+            pre[:k, :, j], mask[:k, j] = flat[at:at + k], True
+            at += k
+        del flat
+        h = _both_ways(pre, mask, u)
+        z = h[:, 0] @ model[6][:HIDDEN] + h[:, 1] @ model[6][HIDDEN:] + model[7]
         for j, i in enumerate(group):
-            out[i] = z[:len(pages[i]), j] > 0
+            out[i] = z[:sizes[j], j] > 0
     return out
 
 
@@ -369,7 +466,12 @@ class PageMaker:
     def __init__(self, seed: int):
         self.r = np.random.default_rng(seed)
         letters = ["an", "the", "on", "er", "st", "tion", "ou", "le", "ré", "en", "ver", "sch", "ción", "que", "os", "la", "in", "ed", "ü", "ñ"]
-        self.vocabulary = ["".join(self.r.choice(letters, self.r.integers(1, 5))) for _ in range(600)]
+        self.latin = ["".join(self.r.choice(letters, self.r.integers(1, 5))) for _ in range(600)]
+        # other scripts, by their ranges of code points; the last two are written without spaces
+        self.scripts = [(["".join(chr(c) for c in self.r.integers(lo, hi, self.r.integers(2, 10))) for _ in range(300)], gap, stop)
+                        for lo, hi, gap, stop in ((0x430, 0x450, " ", "."), (0x3B1, 0x3CA, " ", "."), (0x627, 0x64B, " ", "."), (0x5D0, 0x5EB, " ", "."),
+                                                  (0x905, 0x93A, " ", "।"), (0x3041, 0x3097, "", "。"), (0x4E00, 0x9FA6, "", "。"))]
+        self.vocabulary, self.gap, self.stop = self.latin, " ", "."
 
     def chance(self, p):
         return self.r.random() < p
@@ -378,10 +480,10 @@ class PageMaker:
         return xs[self.r.integers(len(xs))]
 
     def words(self, lo, hi):
-        return " ".join(self.pick(self.vocabulary) for _ in range(self.r.integers(lo, hi)))
+        return self.gap.join(self.pick(self.vocabulary) for _ in range(self.r.integers(lo, hi)))
 
     def prose(self, lo=1, hi=6):
-        return " ".join(self.words(4, 22).capitalize() + "." for _ in range(self.r.integers(lo, hi)))
+        return self.gap.join(self.words(4, 22).capitalize() + self.stop for _ in range(self.r.integers(lo, hi)))
 
     def attribute(self, kind):
         name = self.pick(PARTS[kind])
@@ -460,6 +562,9 @@ class PageMaker:
         return f"<div>{inner}</div>" if self.chance(.6) else inner
 
     def page(self):
+        self.vocabulary, self.gap, self.stop = self.pick(self.scripts) if self.chance(0.3) else (self.latin, " ", ".")
+        if self.chance(0.02):      # text without a tag
+            return MARK + self.prose(1, 9)
         before = [self.boiler(k) for k, p in (("notice", .25), ("header", .4), ("nav", .75), ("form", .2), ("ad", .4), ("side", .15)) if self.chance(p)]
         after = [self.boiler(k) for k, p in (("share", .25), ("ad", .15), ("comments", .4), ("side", .35), ("form", .15), ("nav", .1), ("notice", .1), ("footer", .8)) if self.chance(p)]
         if self.chance(0.3):

@@ -1,6 +1,7 @@
 import time
 
 import numpy as np
+import pytest
 
 from ranklab.llm import extract as ex
 
@@ -106,3 +107,30 @@ def test_query_on_pages(spark):
     assert got[2, None]["text"] == got[3, "u"]["text"] == ""
     assert got[4, "u"]["text"].count("Many words") >= 4990
     assert ex.main_text(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("page, n", [
+    ("<div>" * 200_000 + "a", 1), ("<b>" * 100_000 + "</i>" * 200_000 + "x", 1), ("<b>" * 30_000 + "<div></div>x" * 30_000, 30_000),
+    ("</1" * 100_000 + "x", 1), ("<ul>" + "<li><div>x" * 40_000, 40_000), ("<div>a" * 60_000, 60_000)])
+def test_time_is_linear_in_nesting_and_unmatched_tags(page, n):
+    began = time.time()
+    assert len(ex.blocks(page)) == n
+    assert time.time() - began < 20
+
+
+def test_deep_pages_are_labelled_in_bounded_pieces():
+    pages = [ex.blocks("<div>a" * 20_000), ex.blocks("<article><p>One. Two three.</p></article>")]
+    model = ex.fitted()
+    whole, cut = ex.main_blocks(pages, model), ex.main_blocks(pages, model, cells=1, chunk=100)
+    assert all((a == b).all() for a, b in zip(whole, cut))
+
+
+@pytest.mark.parametrize("texts", [
+    ["これは日本語の記事の最初の段落です。とても長い文章がここに続きます。", "二番目の段落にはもう少し短い文があります。", "三番目の段落です。天気がよいので散歩に出かけました。",
+     "四番目の段落では、友人と会って昼食を食べました。", "最後の段落です。家に帰って本を読みました。"],
+    ["这是文章的第一段，内容比较长，继续写下去。", "第二段比较短。", "第三段：天气很好，我们出去散步了。", "第四段我们吃了午饭。"],
+    ["Первый абзац статьи довольно длинный и продолжается.", "Второй короче.", "В третьем мы вышли на прогулку."],
+    ["plain text only without tags"]])
+def test_text_of_many_scripts_without_a_wrapper(texts):
+    page = "".join(f"<p>{x}</p>" for x in texts) if len(texts) > 1 else texts[0]
+    assert ex.main_blocks([ex.blocks(page)], ex.fitted())[0].all()
