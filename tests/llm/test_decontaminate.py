@@ -82,3 +82,38 @@ def test_proximity(spark):
     items = [(7, "gamma beta alpha"), (8, "zeta alpha")]
     got = dc.proximity_matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), span=10)
     assert {(r["doc_id"], r["item_id"]) for r in got.collect() if r["item_id"] == "7"} == {(1, "7"), (3, "7")}
+
+
+def near_brute(docs, items, span):
+    freq = {}
+    for _, t in docs:
+        for w in words(t):
+            freq[w] = freq.get(w, 0) + 1
+    out = set()
+    for item, t in items:
+        terms = set(words(t))
+        if not terms or not terms <= freq.keys():
+            continue
+        rarest = min(terms, key=lambda w: (freq[w], w))
+        for doc, text in docs:
+            w = words(text)
+            out |= {(doc, str(item)) for p, x in enumerate(w) if x == rarest and terms <= set(w[max(0, p - span):p + span + 1])}
+    return out
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_proximity_needs_all_terms(spark, seed):
+    docs, items = corpus(seed)
+    docs, items = [x for x in docs if x[0] is not None], [x for x in items if x[0] is not None]
+    items += [(50, "the unseenword of"), (51, "x9"), (52, "t1 t2 t3 t4 t5 t6")]
+    got = dc.proximity_matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), span=12)
+    assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == near_brute(docs, items, 12)
+
+
+def test_a_long_document_of_one_repeated_item(spark):
+    item = " ".join(f"w{k}" for k in range(13))
+    docs = [(1, " ".join([item] * 20_000)), (2, "a " * 200_000), (3, "clean text"), (4, "b a a b")]
+    items = [(1, item), (2, "a " * 300), (3, "a a")]
+    got = {r["id"]: (r["n_words"], r["n_hit"], r["item_ids"]) for r in dc.contamination(
+        spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {1: (260_000, 260_000, ["1"]), 2: (200_000, 200_000, ["2", "3"]), 3: (2, 0, []), 4: (4, 2, ["3"])}
