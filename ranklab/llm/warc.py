@@ -25,6 +25,7 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
+from collections.abc import Iterator
 from urllib.parse import quote
 
 import pyarrow as pa
@@ -37,7 +38,8 @@ from ranklab.session import cut_lineage
 SEGMENT_BYTES = 32 * 1024
 CHUNK_BYTES = 8 * 1024
 MIN_SHARED_BYTES = 100
-RECORDS_PER_FILE = 20_000
+FILE_BYTES = 128 << 20        # of an archive file, uncompressed: records are bounded, so their number bounds a file
+HEAD_BYTES = 2048             # headers of a record, about
 PIECE = 1 << 16              # bytes of a file that are inflated at once
 HTTP_HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -96,37 +98,60 @@ def _uri(url) -> str:
     return "" if url is None else re.sub(r"[\x00-\x20\x7f]", lambda m: quote(m[0]), url)
 
 
+def framed(payload: bytes, size: int, chunk: int = CHUNK_BYTES) -> Iterator[bytes]:
+    """The HTTP response block of a payload in parts of ``size`` bytes; only a part is built at a time."""
+    held, view = bytearray(HTTP_HEAD), memoryview(payload)
+    for i in range(0, len(payload), chunk):
+        part = view[i:i + chunk]
+        held += b"%x\r\n" % len(part)
+        held += part
+        held += b"\r\n"
+        while len(held) >= size:
+            yield bytes(held[:size])
+            del held[:size]
+    held += b"0\r\n\r\n"
+    yield from (bytes(held[i:i + size]) for i in range(0, len(held), size))
+
+
+def framed_bytes(n: int, chunk: int = CHUNK_BYTES) -> int:
+    """Length of the whole block of a payload of ``n`` bytes."""
+    whole, rest = divmod(n, chunk)
+    return len(HTTP_HEAD) + n + whole * (len(b"%x" % chunk) + 4) + (len(b"%x" % rest) + 4 if rest else 0) + 5
+
+
+def _row_records(row: dict, segment_bytes: int, date: str) -> Iterator[bytes]:
+    digest, page, url = row["digest"], row["page_id"], row["url"]
+    common = [("WARC-Date", date), ("WARC-Target-URI", _uri(url)), ("X-Page-Id", page), ("WARC-Payload-Digest", f"sha256:{digest}")]
+    name = record_id(page, url, digest)
+    if row["kind"] == "revisit":
+        to = record_id(row["to_id"], row["to_url"], digest)
+        yield _record([("WARC-Type", "revisit"), ("WARC-Record-ID", name), *common, ("WARC-Refers-To", to),
+                       ("WARC-Profile", PROFILE), ("Content-Type", "application/http; msgtype=response")], HTTP_HEAD)
+        return
+    payload = (row["html"] or "").encode("utf-8", "surrogatepass")
+    total = framed_bytes(len(payload))
+    last = -(-total // segment_bytes)
+    for k, part in enumerate(framed(payload, segment_bytes), 1):
+        if k == 1:
+            yield _record([("WARC-Type", "response"), ("WARC-Record-ID", name), *common,
+                           ("Content-Type", "application/http; msgtype=response"), ("WARC-Segment-Number", 1 if last > 1 else None)], part)
+        else:
+            yield _record([("WARC-Type", "continuation"), ("WARC-Record-ID", f"{name[:-1]}:{k}>"), ("WARC-Date", date),
+                           ("WARC-Segment-Origin-ID", name), ("WARC-Segment-Number", k),
+                           ("WARC-Segment-Total-Length", total if k == last else None)], part)
+
+
 def _records(batch, segment_bytes: int, date: str):
-    out = []
-    for row in batch.to_pylist():
-        payload = (row["html"] or "").encode("utf-8", "surrogatepass")
-        digest, page, url = row["digest"], row["page_id"], row["url"]
-        common = [("WARC-Date", date), ("WARC-Target-URI", _uri(url)), ("X-Page-Id", page),
-                  ("WARC-Payload-Digest", f"sha256:{digest}")]
-        name = record_id(page, url, digest)
-        if row["kind"] == "revisit":
-            to = record_id(row["to_id"], row["to_url"], digest)
-            out.append(_record([("WARC-Type", "revisit"), ("WARC-Record-ID", name), *common, ("WARC-Refers-To", to),
-                                ("WARC-Profile", PROFILE), ("Content-Type", "application/http; msgtype=response")],
-                               HTTP_HEAD))
-            continue
-        block = HTTP_HEAD + chunked(payload)
-        parts = [block[i:i + segment_bytes] for i in range(0, len(block), segment_bytes)]
-        many = len(parts) > 1
-        out.append(_record([("WARC-Type", "response"), ("WARC-Record-ID", name), *common,
-                            ("Content-Type", "application/http; msgtype=response"),
-                            ("WARC-Segment-Number", 1 if many else None)], parts[0]))
-        for k, part in enumerate(parts[1:], 2):
-            out.append(_record([("WARC-Type", "continuation"), ("WARC-Record-ID", f"{name[:-1]}:{k}>"), ("WARC-Date", date),
-                                ("WARC-Segment-Origin-ID", name), ("WARC-Segment-Number", k),
-                                ("WARC-Segment-Total-Length", len(block) if k == len(parts) else None)], part))
-    # one output batch for each few MB keeps the task's memory small
-    lo = size = 0
-    for i, r in enumerate(out):
-        size += len(r)
-        if size > 4 << 20 or i == len(out) - 1:
-            yield pa.RecordBatch.from_arrays([pa.array(out[lo:i + 1], pa.binary())], ["record"])
-            lo, size = i + 1, 0
+    held, size = [], 0           # an output batch for each few MB keeps the task's memory small
+    for i in range(batch.num_rows):
+        for r in _row_records({c: batch.column(c)[i].as_py() for c in batch.schema.names}, segment_bytes, date):
+            held.append(r)
+            size += len(r)
+            if size > 4 << 20:
+                yield pa.RecordBatch.from_arrays([pa.array(held, pa.binary())], ["record"])
+                held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(held, pa.binary())], ["record"])
 
 
 def write_archives(pages: DataFrame, path: str, segment_bytes: int = SEGMENT_BYTES, min_shared: int = MIN_SHARED_BYTES,
@@ -143,7 +168,7 @@ def write_archives(pages: DataFrame, path: str, segment_bytes: int = SEGMENT_BYT
                     F.col("to.page_id").alias("to_id"), F.col("to.url").alias("to_url"))
     records = rows.transform(in_tasks(_records, "record binary", segment_bytes, date))
     records.select(F.col("record").cast("string")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip") \
-        .option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+        .option("maxRecordsPerFile", max(1, FILE_BYTES // (segment_bytes + HEAD_BYTES))).text(path)
 
 
 def inflated(data):
@@ -223,7 +248,7 @@ def reassemble(records: DataFrame) -> DataFrame:
     Equal records (a repeated row) have equal identifiers; each segment number is kept once and the
     whole record is repeated as often as its first segment came.
     """
-    whole = records.filter("segment is null").select("record_id", "kind", "page_id", "refers_to", "digest", "block",
+    whole = records.filter("segment is null").select("record_id", "kind", "page_id", "refers_to", "digest", F.array("block").alias("blocks"),
                                                      F.lit("ok").alias("status"))
     parts = records.filter("segment is not null")
     one = parts.groupBy("origin", "segment").agg(
@@ -232,27 +257,25 @@ def reassemble(records: DataFrame) -> DataFrame:
     g = one.groupBy("origin").agg(
         F.sort_array(F.collect_list(F.struct("segment", "block"))).alias("parts"), F.max("total").alias("total"),
         F.max(F.when(F.col("segment") == 1, F.col("copies"))).alias("copies"), F.max("page_id").alias("page_id"),
-        F.max("digest").alias("digest"))
-    # binary parts joined in order; a record's segments together are as long as the record itself
-    joined = F.aggregate("parts", F.lit(b""), lambda a, x: F.concat(a, x["block"]))
-    g = g.withColumn("block", joined)
+        F.max("digest").alias("digest"), F.sum(F.octet_length("block").cast("long")).alias("found"))
+    # the parts stay an array, in order, and are joined once, where they are decoded
     status = F.when(F.element_at("parts", -1)["segment"] != F.size("parts"), "missing segment") \
         .when(F.col("copies").isNull() | F.col("total").isNull(), "missing segment") \
-        .when(F.octet_length("block") != F.col("total"), "wrong length").otherwise("ok")
+        .when(F.col("found") != F.col("total"), "wrong length").otherwise("ok")
     g = g.withColumn("status", status).withColumn("_n", F.explode(F.sequence(F.lit(1), F.coalesce("copies", F.lit(1)).cast("int"))))
     return whole.unionByName(g.select(F.col("origin").alias("record_id"), F.lit("response").alias("kind"), "page_id",
-                                      F.lit(None).cast("string").alias("refers_to"), "digest", "block", "status"))
+                                      F.lit(None).cast("string").alias("refers_to"), "digest", F.col("parts.block").alias("blocks"), "status"))
 
 
 def _decoded(batch):
     n = batch.num_rows
     payloads, status = [None] * n, batch.column("status").to_pylist()
-    for i, (kind, digest, block) in enumerate(zip(batch.column("kind").to_pylist(), batch.column("digest").to_pylist(),
-                                                  batch.column("block"))):
+    for i, (kind, digest, blocks) in enumerate(zip(batch.column("kind").to_pylist(), batch.column("digest").to_pylist(),
+                                                   batch.column("blocks"))):
         if kind != "response" or status[i] != "ok":
             continue
         try:
-            payloads[i] = payload_of(block.as_py())
+            payloads[i] = payload_of(b"".join(b.as_py() for b in blocks))
         except ValueError:
             status[i] = "bad framing"
             continue

@@ -3,6 +3,7 @@ import hashlib
 import random
 
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -97,3 +98,32 @@ def test_files_of_several_gzip_members(spark, monkeypatch):
     for broken in (one_each[:-4], one_each + b"x"):
         with pytest.raises(ValueError):
             list(warc.parse(broken))
+
+
+def test_framing_in_parts_is_the_whole_block():
+    for n in (0, 1, 99, 8191, 8192, 8193, 40_000, 100_000):
+        payload = bytes(range(256)) * (n // 256) + b"x" * (n % 256)
+        block = warc.HTTP_HEAD + warc.chunked(payload)
+        assert warc.framed_bytes(n) == len(block)
+        for size in (100, 8192, 32_768, 1 << 20):
+            parts = list(warc.framed(payload, size))
+            assert b"".join(parts) == block and all(len(p) == size for p in parts[:-1]) and 0 < len(parts[-1]) <= size
+
+
+def test_a_very_long_page_comes_back(spark, tmp_path):
+    page = "<p>é lorem</p>" * 3_000_000                 # 45 MB, about 1,400 segments
+    pq.write_table(pa.table({"page_id": [1, 2], "url": ["u", "v"], "html": [page, "s"]}), tmp_path / "pages.parquet")
+    df = spark.read.parquet(str(tmp_path / "pages.parquet"))
+    warc.write_archives(df, str(tmp_path / "a"))
+    got = {r["page_id"]: (r["payload_bytes"], r["status"]) for r in warc.read_archives(spark, str(tmp_path / "a")).drop("payload").collect()}
+    assert got == {"1": (len(page.encode()), "ok"), "2": (1, "ok")}
+
+
+def test_files_are_bounded_in_bytes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_BYTES", 300_000)
+    df = spark.range(1).select(warc.F.col("id").alias("page_id"), warc.F.lit("u").alias("url"), warc.F.repeat(warc.F.lit("lorem "), 400_000).alias("html"))
+    warc.write_archives(df, str(tmp_path / "a"))
+    import gzip
+    sizes = [len(gzip.decompress(p.read_bytes())) for p in (tmp_path / "a").glob("*.gz")]
+    assert len(sizes) > 5 and max(sizes) <= 300_000
+    assert warc.read_archives(spark, str(tmp_path / "a")).first()["payload_bytes"] == 2_400_000
