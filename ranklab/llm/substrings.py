@@ -4,8 +4,8 @@ A window is ``WINDOW`` consecutive words of one document; each word that lies in
 word sequence also starts in a document with a smaller id goes.
 
 First pass (count-min sketch). Consecutive windows that share their smallest inner
-run of ``INNER`` words form a *stretch* with that run's hash as key. Equal windows have equal
-keys, so the number of stretches with a window's key is never below the number of documents that
+run of ``INNER`` words form a *stretch* with that run's hash as key (of as many windows as can share a run, where equal runs
+follow each other). Equal windows have equal keys, so the number of stretches with a window's key is never below the number of documents that
 hold the window. Keys are counted in a count-min sketch that is split into shards by key: each
 task sends the sparse sketch of its rows (a cell once, with its count), each
 shard merges these by addition, and the estimate of a key is the least of its cells. The number of
@@ -15,8 +15,9 @@ too low, so none is lost.
 
 Second pass (exact). The windows of the stretches left are told apart by 128 bits of two
 independent hashes (the key and a hash of the whole window). Stretches meet by key: in a key's sorted
-run of stretches the smallest document of every window is found with array operations. Keys with an estimate over
-``HOT_KEY`` go a different way of equal result: their windows are grouped one by one with partial
+run of stretches the smallest document of every window is found with array operations. A stretch has a bounded number of
+windows, so an estimate bounds a key's windows. Keys with an estimate over
+``HOT_KEY`` go a different way of equal result: their windows (runs of equal ones as one row) are grouped with partial
 aggregation and joined back, so no task holds a whole hot key.
 
 Third pass: the removed word ranges meet their texts, and what is left is joined.
@@ -62,6 +63,9 @@ def stretches(s: Slice, window: int, inner: int):
     row = s.row_of_word()[:len(low)]
     new = ok.copy()
     new[1:] &= ~ok[:-1] | (low[1:] != low[:-1]) | (row[1:] != row[:-1])
+    # in a text that repeats itself neighbouring runs are equal, and a stretch could go on without end
+    place = np.arange(len(new))
+    new |= ok & ((place - np.maximum.accumulate(np.where(new, place, 0))) % (window - inner + 1) == 0)
     at = np.flatnonzero(new)
     n = np.add.reduceat(ok.astype(np.int64), at) if len(at) else at
     return at, n, low[at], _WINDOW_HASH.windows(codes, window)
@@ -263,12 +267,15 @@ def _by_key(batches):
 
 
 def _unpacked(batch):
+    """One row for each run of equal windows of a stretch."""
     n = np.array([len(b.as_py()) // 8 for b in batch.column("hashes")])
     owner = np.repeat(np.arange(len(n)), n)
     at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + batch.column("at").to_numpy()[owner]
     hashes = np.frombuffer(b"".join(b.as_py() for b in batch.column("hashes")), np.int64)
-    yield pa.RecordBatch.from_arrays([*[pa.array(batch.column(c).to_numpy()[owner]) for c in ("key", "row", "id")],
-                                      pa.array(at.astype(np.int32)), pa.array(hashes)], ["key", "row", "id", "at", "hash"])
+    new = np.flatnonzero(np.concatenate(([True], (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])))[:len(hashes)])
+    yield pa.RecordBatch.from_arrays([*[pa.array(batch.column(c).to_numpy()[owner[new]]) for c in ("key", "row", "id")],
+                                      pa.array(at[new].astype(np.int32)), pa.array(hashes[new]), pa.array(np.diff(np.append(new, len(hashes))).astype(np.int32))],
+                                     ["key", "row", "id", "at", "hash", "n"])
 
 
 def later_windows(keyed_docs: DataFrame, window: int = WINDOW, inner: int = INNER, hot_key: int = HOT_KEY,
@@ -282,10 +289,10 @@ def later_windows(keyed_docs: DataFrame, window: int = WINDOW, inner: int = INNE
     usual = hashed.filter(F.col("est") <= hot_key).drop("est").repartition(n, "key").sortWithinPartitions("key") \
         .mapInArrow(_by_key, "row long, id long, at int, n int")
     hot = hashed.filter(F.col("est") > hot_key).drop("est").transform(
-        in_tasks(_unpacked, "key long, row long, id long, at int, hash long"))
+        in_tasks(_unpacked, "key long, row long, id long, at int, hash long, n int"))
     least = hot.groupBy("key", "hash").agg(F.min("id").alias("least"))
     # a written table: both sides of the join are then shuffled, so that Spark can split a hot window's rows
-    hot = hot.join(cut_lineage(least), ["key", "hash"]).filter("id > least").select("row", "id", "at", F.lit(1).alias("n"))
+    hot = hot.join(cut_lineage(least), ["key", "hash"]).filter("id > least").select("row", "id", "at", "n")
     return usual.unionByName(hot)
 
 

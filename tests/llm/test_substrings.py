@@ -60,3 +60,26 @@ def test_without_repeats_keeps_columns_and_clean_texts(spark):
 
 def test_empty(spark):
     assert ss.deduplicated(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+@pytest.mark.parametrize("hot", [2000, 3])
+def test_texts_that_repeat_themselves(spark, hot):
+    rows = [(i, "same " * (400 + 7 * i)) for i in range(40)] + [(50, "a b " * 300), (51, "x " + "a b " * 300), (52, "b a " * 100 + "same " * 60)]
+    got = ss.deduplicated(spark.createDataFrame(rows, "doc_id long, text string"), hot_key=hot)
+    got = sorted(((r["id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got.collect()), key=str)
+    assert got == brute(rows, 50)
+
+
+def test_stretches_are_bounded():
+    import pyarrow as pa
+
+    from ranklab.llm.words import slices
+
+    s, = slices(pa.array(["same " * 100_000]), limit=1 << 20)
+    at, n, key, hashes = ss.stretches(s, 50, 16)
+    assert n.max() == 35 and n.sum() == 100_000 - 49 and len(set(key.tolist())) == 1
+
+
+def test_memory_of_equal_words_is_bounded():
+    """A usual key's windows: at most the threshold times a stretch, however long the texts are."""
+    assert ss.HOT_KEY * (ss.WINDOW - ss.INNER + 1) * 8 < 1 << 20
