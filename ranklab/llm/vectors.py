@@ -105,12 +105,11 @@ def _blocks(batch):
         ["label", "dim", "cell", "home", "first", "gs", "ns", "vs"])
 
 
-def _links(batch, threshold: float):
+def _links(batch, threshold: float, kind: str):
     out = []
     for r in batch.to_pylist():
         ga, gb, na, nb = (np.frombuffer(r[c], np.int64) for c in ("gs", "gs2", "ns", "ns2"))
-        kind = np.float32 if len(r["vs"]) == 4 * len(ga) * r["dim"] else np.float64
-        a, b = (normed(np.frombuffer(r[c], kind).reshape(-1, r["dim"])) for c in ("vs", "vs2"))
+        a, b = (normed(np.frombuffer(r[c], np.dtype(kind)).reshape(-1, r["dim"])) for c in ("vs", "vs2"))
         linked = a @ b.T >= threshold
         same = r["home"] and r["first"] == r["first2"]
         if same:
@@ -137,6 +136,9 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     """(vec_id, n_links, component_id, kept) per row."""
     spark = vectors.sparkSession
     v = vectors.select(F.col(id_col).alias("vec_id"), F.col(vector_col).alias("embedding"), F.col(label_col).cast("long").alias("label"))
+    single = v.schema["embedding"].dataType.simpleString() == "array<float>"
+    if not single:               # whole numbers, decimals: compared as doubles
+        v = v.withColumn("embedding", F.col("embedding").cast("array<double>"))
     ok = usable(F.col("embedding"), F.col("label"))
     one = v.filter(ok).groupBy("label", "embedding").agg(F.min("vec_id").alias("low"), F.count(F.lit(1)).alias("n"))
     one = cut_lineage(one.withColumn("g", F.monotonically_increasing_id()))
@@ -156,7 +158,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     right = blocks.filter("home").select("label", "dim", "cell", *[F.col(c).alias(f"{c}2") for c in ("first", "gs", "ns", "vs")])
     pairs = blocks.join(right, ["label", "dim", "cell"]).filter("not home or first <= first2")
     links = cut_lineage(pairs.repartition(shuffle_partitions(spark)).transform(
-        in_tasks(_links, "g long, links long, label long", threshold)))
+        in_tasks(_links, "g long, links long, label long", threshold, "<f4" if single else "<f8")))
     counts = links.groupBy("g").agg(F.sum("links").alias("links"))
     groups = components(links.select(F.col("g").alias("u"), F.col("label").alias("v")))
     linked = groups.join(one.select("g", "low"), groups["node"] == F.col("g")).select("g", "component", "low")

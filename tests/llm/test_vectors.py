@@ -54,3 +54,12 @@ def test_equals_brute_force(spark, seed, cells):
 
 def test_empty(spark):
     assert vx.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
+
+
+def test_vectors_of_whole_numbers(spark):
+    rows = [(1, 0, [-1, -2, -3]), (2, 0, [-2, -4, -6]), (3, 0, [3, -2, 1]), (4, 0, None), (5, 0, [0, 0, 0])]
+    want = [(1, 1, 1), (2, 1, 1), (3, 0, 3), (4, 0, 4), (5, 0, 5)]
+    for kind in ("int", "bigint", "float", "double", "decimal(10,2)"):
+        df = spark.createDataFrame(rows, "vec_id long, label int, v array<int>").selectExpr("vec_id", "label", f"cast(v as array<{kind}>) as embedding")
+        got = vx.near_duplicates(df).collect()
+        assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in got) == want, kind
