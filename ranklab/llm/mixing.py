@@ -15,10 +15,12 @@ names cannot clash.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import functools
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ranklab.llm.common import register, table
+from ranklab.llm.common import register, table, written
 from ranklab.operators.ordered import range_pieces, with_running_sums
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -69,6 +71,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"),
                          word_count(F.col(text_col)).alias("size"),
                          F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.lit(f"|{seed}"))).alias("_key"))
+    narrow = written(narrow, "sizes")            # the range sort samples its input: texts are read once
     targets = source_targets(narrow.groupBy("source").agg(F.sum("size").alias("source_size")), weights, max_epochs)
     t = targets.withColumnRenamed("source", "_source")
     rows = narrow.join(t, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
@@ -84,10 +87,27 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
                        (epochs * F.col("size") + last).cast("long").alias("taken"))
 
 
-def mixed_texts(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The mix itself: one row per document and epoch (doc_id, epoch, text), the last text cut at its words."""
-    take = mixed.filter("taken > 0").select(F.col("doc_id").alias("_id"), "size", "taken")
-    j = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(take, F.col("doc_id").eqNullSafe(F.col("_id")))
+def mixed_texts(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The mix itself: one row per document row and epoch (doc_id, epoch, text), the last text cut at its words.
+
+    A row is found by its id, source and size; rows that agree in all three share what the mix takes of them in the order of their texts,
+    so that each takes one of the amounts.
+    """
+    key = ["doc_id", "source", "size"]
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.col(text_col).alias("text"), word_count(F.col(text_col)).alias("size"))
+    # rows equal in text as well are counted, not numbered: they are interchangeable
+    rows = rows.groupBy(*key, "text").agg(F.count(F.lit(1)).alias("copies"))
+    place = Window.partitionBy(*key).orderBy("text")            # different texts of one id, source and size
+    rows = rows.withColumn("last", F.sum("copies").over(place.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.select(*key, "text", (F.col("last") - F.col("copies")).alias("before"), "last")
+    amounts = mixed.groupBy(*key, "taken").agg(F.count(F.lit(1)).alias("copies"))
+    taken = Window.partitionBy(*key).orderBy("taken")
+    amounts = amounts.withColumn("_last", F.sum("copies").over(taken.rowsBetween(Window.unboundedPreceding, 0)))
+    amounts = amounts.select(*[F.col(c).alias(f"_{c}") for c in key], "taken", (F.col("_last") - F.col("copies")).alias("_before"), "_last")
+    same = functools.reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in key])
+    j = rows.join(amounts, same & (F.col("before") < F.col("_last")) & (F.col("_before") < F.col("last")))
+    j = j.withColumn("_n", F.least("last", "_last") - F.greatest("before", "_before")).filter("taken > 0")
+    j = j.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))))
     j = j.withColumn("epoch", F.explode(F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")).cast("int"))))
     part = F.col("taken") - (F.col("epoch") - 1) * F.col("size")
     words = F.regexp_extract_all("text", F.lit(f"({WORD})"))

@@ -63,3 +63,21 @@ def test_mixed_texts_hold_the_taken_words(spark):
     for x in mx.mixed_texts(docs, mixed).collect():
         words[x["doc_id"]] = words.get(x["doc_id"], 0) + len(x["text"].split())
     assert words == {x["doc_id"]: x["taken"] for x in mixed.collect() if x["taken"]}
+
+
+def test_mixed_texts_with_repeated_ids(spark):
+    rows = [(1, "a b c", "s", None, None), (1, "d e f", "s", None, None), (1, "a b c", "s", None, None), (1, "x y", "t", None, None),
+            (None, "n m", "t", None, None), (2, None, "t", None, None)]
+    rows += [(10 + k, "w " * 9, "big", None, None) for k in range(5)]
+    docs = frame(spark, rows)
+    mixed = mx.mix(docs)
+    texts = mx.mixed_texts(docs, mixed).collect()
+    assert sum(len(x["text"].split()) for x in texts) == sum(x["taken"] for x in mixed.collect())
+    per_id = {}
+    for x in texts:
+        per_id[x["doc_id"]] = per_id.get(x["doc_id"], 0) + len(x["text"].split())
+    want = {}
+    for x in mixed.collect():
+        if x["taken"]:
+            want[x["doc_id"]] = want.get(x["doc_id"], 0) + x["taken"]
+    assert per_id == want
