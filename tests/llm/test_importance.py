@@ -30,9 +30,11 @@ def test_target_like_rows_are_drawn(spark):
 def test_counts_and_weights_match_the_definition(spark):
     d, _ = frames(spark)
     n = sum(max(0, 2 * len((r["text"] or "").split()) - 1) for r in d.collect())
-    assert im.gram_counts(d).agg({"n": "sum"}).first()[0] == n
-    model = im.log_model(im.gram_counts(d, 64), 64)
-    assert math.isclose(np.exp(model).sum(), 1)
+    assert im.counts_of(im.gram_counts(d)).sum() == n
+    raw, target = np.array([5, 3, 2, 0]), np.array([1, 0, 1, 0])
+    model = np.exp(im.log_ratio(target, raw)) * raw / raw.sum()      # the target model
+    assert math.isclose(model.sum(), 1, rel_tol=1e-6) and np.allclose(model, 0.5 * raw / 10 + 0.5 * target / 2)
+    assert (im.log_ratio(np.zeros(4), raw) == 0).all()
 
 
 def test_without_target_the_sample_is_uniform(spark):
@@ -69,11 +71,26 @@ def test_query_equals_plain_models(spark):
             if r["doc_id"] in good:
                 target[b] = target.get(b, 0) + 1
 
-    def log_p(model, b):
-        return math.log((model.get(b, 0) + im.SMOOTHING) / (sum(model.values()) + im.SMOOTHING * im.BUCKETS))
+    def ratio(b):
+        return math.log(0.5 * (target.get(b, 0) / sum(target.values())) / (raw[b] / sum(raw.values())) + 0.5)
     got = im.resample(d, y).collect()
-    want = sorted((r["doc_id"] or -1, len(grams(r["text"])), round(im.SHARPNESS * sum(log_p(target, b) - log_p(raw, b) for b in grams(r["text"])) / max(1, len(grams(r["text"]))), 6))
+    want = sorted((r["doc_id"] or -1, len(grams(r["text"])), round(sum(ratio(b) for b in grams(r["text"])), 3))
                   for r in docs)
-    assert sorted((r["doc_id"] or -1, r["n_grams"], round(r["log_weight"], 6)) for r in got) == want
+    assert sorted((r["doc_id"] or -1, r["n_grams"], round(r["log_weight"], 3)) for r in got) == want
     keys = sorted((r["gumbel_key"] for r in got), reverse=True)
     assert all(r["gumbel_key"] == keys[r["rank"] - 1] for r in got) and {r["selected"] for r in got if r["rank"] <= 202} == {True}
+
+
+def test_buckets_follow_the_corpus(spark):
+    d = spark.range(4000).selectExpr("id AS doc_id", "concat_ws(' ', transform(sequence(1, 50), x -> concat('w', id * 50 + x))) AS text").repartition(7)
+    n = 4000 * 99
+    assert abs(im.distinct_grams(d) - n) < 0.1 * n and im.bucket_count(d) == 1 << 19
+    assert im.bucket_count(d.limit(3)) == im.BUCKETS and im.bucket_count(d.limit(0)) == im.BUCKETS
+    assert im.counts_of(im.gram_counts(d, 1 << 19), 1 << 19).sum() == n
+
+
+def test_mean_a_gram_is_an_option(spark):
+    d, y = frames(spark)
+    total = {r["doc_id"]: (r["log_weight"], r["n_grams"]) for r in im.resample(d, y).collect()}
+    mean = {r["doc_id"]: r["log_weight"] for r in im.resample(d, y, per_gram=True, sharpness=2.0).collect()}
+    assert all(math.isclose(mean[i], 2 * w / max(1, n), abs_tol=1e-9) for i, (w, n) in total.items())
