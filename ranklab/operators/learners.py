@@ -1,6 +1,6 @@
-"""Learners on ``pyspark.ml``.
+"""Learners (M1-M10, M14, M17-M20, M22): boosted trees (``boosting``) and ``pyspark.ml``.
 
-Every fit runs distributed inside Spark ML. Feature building stays in the
+Every fit runs distributed. Feature building stays in the
 DataFrame API: ids that ALS needs as integers are indexed with an exact
 distributed prefix sum (no driver-side label array), low-cardinality
 categoricals go through StringIndexer, and user/item ids for tabular models
@@ -17,14 +17,15 @@ import numpy as np
 import pandas as pd
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import FMClassifier, GBTClassifier, LogisticRegression
+from pyspark.ml.classification import FMClassifier, LogisticRegression
 from pyspark.ml.feature import FeatureHasher, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.recommendation import ALS
-from pyspark.ml.regression import FMRegressor, GBTRegressor, LinearRegression
+from pyspark.ml.regression import FMRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ranklab.operators import boosting as bo
 from ranklab.operators.split import cumulative_before
 from ranklab.session import cut_lineage
 
@@ -78,11 +79,6 @@ def tabular_features(df: DataFrame, numeric: Sequence[str] = (), categorical: Se
     return Pipeline(stages=stages)
 
 
-def bins_for(features: PipelineModel, least: int = 32) -> int:
-    """Tree bins that hold every level of the fitted categorical indexers."""
-    return max([least, *(len(labels) + 1 for st in features.stages if hasattr(st, "labelsArray") for labels in st.labelsArray)])
-
-
 def positive_probability(pred: DataFrame, out: str = "score") -> DataFrame:
     """Probability of class 1 from a Spark ML classifier output."""
     return pred.withColumn(out, vector_to_array("probability")[1])
@@ -91,35 +87,33 @@ def positive_probability(pred: DataFrame, out: str = "score") -> DataFrame:
 # ----------------------------------------------------------------- M1, M2, M10: universal models
 
 
+def tree_params(params: dict | None) -> dict:
+    """Sizes of boosted trees from a method's parameters."""
+    p = dict(params or {})
+    return {"n_trees": int(p.get("n_estimators", 50)), "depth": int(p.get("max_depth", 4)), "rate": float(p.get("learning_rate", 0.1)),
+            "least_rows": int(p.get("min_child_rows", 1)), "l2": float(p.get("l2", bo.L2))}
+
+
 def fit_universal(train: DataFrame, numeric: Sequence[str], categorical: Sequence[str] = (),
                   family: str = "gbt", task: str = "classification", label: str = "OUTCOME",
                   params: dict | None = None, hashed: Sequence[str] = ("USER_ID", "ITEM_ID"),
-                  num_hash_features: int | None = None, seed: int = 42) -> PipelineModel:
+                  num_hash_features: int | None = None, seed: int = 42) -> bo.Boosted | PipelineModel:
     """One model over user ⊕ item ⊕ feature rows.
 
-    family 'gbt': GBTClassifier/GBTRegressor (maxIter = n_estimators,
-    maxDepth, stepSize = learning_rate). family 'fm': factorization machine
+    family 'gbt': boosted trees on binned features (``boosting``). family 'fm': factorization machine
     (FMClassifier/FMRegressor, factorSize = embedding_dim) - the second-order
     feature-interaction model that stands in for the neural families.
     """
-    p = dict(params or {})
-    feats = tabular_features(train, numeric, categorical, hashed if family == "fm" else (),
-                             num_hash_features)
-    # Feature stages fitted once; the assembled vectors are persisted for the
-    # estimator's many passes (each boosting round / SGD epoch re-reads them)
-    # instead of recomputing the joins behind ``train`` every time.
-    fe = feats.fit(train)
     if family == "gbt":
-        kw = dict(featuresCol="features", labelCol=label, maxIter=int(p.get("n_estimators", 50)),
-                  maxDepth=int(p.get("max_depth", 4)), stepSize=float(p.get("learning_rate", 0.1)), seed=seed,
-                  maxBins=int(p.get("max_bins", bins_for(fe))))
-        est = GBTClassifier(**kw) if task == "classification" else GBTRegressor(**kw)
-    elif family == "fm":
-        kw = dict(featuresCol="features", labelCol=label, factorSize=int(p.get("embedding_dim", 8)),
-                  maxIter=int(p.get("epochs", 5)) * 10, stepSize=float(p.get("learning_rate", 0.01)), seed=seed)
-        est = FMClassifier(**kw) if task == "classification" else FMRegressor(**kw)
-    else:
+        return bo.fit_boosted(train, numeric, categorical, [label], task == "classification", **tree_params(params))
+    if family != "fm":
         raise ValueError(f"unknown universal family {family!r}")
+    p = dict(params or {})
+    # Feature stages fitted once; the assembled vectors are persisted for the estimator's many passes
+    fe = tabular_features(train, numeric, categorical, hashed, num_hash_features).fit(train)
+    kw = dict(featuresCol="features", labelCol=label, factorSize=int(p.get("embedding_dim", 8)),
+              maxIter=int(p.get("epochs", 5)) * 10, stepSize=float(p.get("learning_rate", 0.01)), seed=seed)
+    est = FMClassifier(**kw) if task == "classification" else FMRegressor(**kw)
     vec = fe.transform(train).select("features", label).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         model = est.fit(vec)
@@ -128,8 +122,10 @@ def fit_universal(train: DataFrame, numeric: Sequence[str], categorical: Sequenc
     return PipelineModel(stages=[fe, model])
 
 
-def score_pairs(model: PipelineModel, pairs: DataFrame, task: str = "classification") -> DataFrame:
+def score_pairs(model: bo.Boosted | PipelineModel, pairs: DataFrame, task: str = "classification") -> DataFrame:
     """Score given (user, item, features) rows - a join-driven evaluation set, not a cross product."""
+    if isinstance(model, bo.Boosted):
+        return bo.score_boosted(model, pairs, "_scores").withColumn("score", F.col("_scores")[0]).drop("_scores")
     pred = model.transform(pairs)
     if task == "classification":
         return positive_probability(pred)
@@ -186,16 +182,15 @@ def independent_linear(train: DataFrame, feature: str, item_col: str = "ITEM_ID"
 
 
 def _newton():
-    """Newton step per row: solve (hessian + ridge) d = gradient for small systems given as flat arrays."""
+    """Newton steps: the systems (hessian + ridge) d = gradient of a batch of items, given as flat arrays, solved in one call."""
     @F.pandas_udf("array<double>")
     def step(beta: pd.Series, grad: pd.Series, hess: pd.Series) -> pd.Series:
-        out = []
-        for b, g, h in zip(beta, grad, hess):
-            b, g = np.array(b, float), np.array(g, float)
-            h = np.array(h, float).reshape(len(g), len(g)) + 1e-6 * np.eye(len(g))
-            d = np.linalg.solve(h, g)
-            out.append((b + d * min(1.0, 5.0 / max(1e-9, np.abs(d).max()))).tolist())
-        return pd.Series(out)
+        if not len(beta):
+            return pd.Series([], dtype=object)
+        b, g = np.stack(beta), np.stack(grad)
+        h = np.stack(hess).reshape(len(g), g.shape[1], g.shape[1]) + 1e-6 * np.eye(g.shape[1])
+        d = np.linalg.solve(h, g[..., None])[..., 0]
+        return pd.Series(list(b + d * np.minimum(1.0, 5.0 / np.maximum(1e-9, np.abs(d).max(1)))[:, None]))
     return step("beta", "grad", "hess")
 
 
@@ -261,119 +256,146 @@ def constant_targets(df: DataFrame, targets: Sequence[str]) -> dict:
 def fit_multioutput(df: DataFrame, targets: Sequence[str], numeric: Sequence[str], categorical: Sequence[str] = (),
                     task: str = "classification", params: dict | None = None, manifest: dict | None = None,
                     on_degenerate: str = "constant", seed: int = 42) -> dict:
-    """One head per ``ITEM_*`` target on one shared assembled vector (the feature
-    pipeline is fitted once and the vectors are persisted for all heads).
+    """One head per ``ITEM_*`` target; all heads grow together, a pass a level, on one binned matrix.
 
     Targets that never vary are found here (or given as ``manifest`` {target: constant}); ``on_degenerate`` 'constant' predicts
     their value, 'raise' refuses (M7).
     """
     if on_degenerate not in ("constant", "raise"):
         raise ValueError("on_degenerate must be 'constant' or 'raise'")
-    p = dict(params or {})
     constants = dict(manifest) if manifest is not None else constant_targets(df, targets)
     if constants and on_degenerate == "raise":
         raise ValueError(f"single-class targets: {sorted(constants)}")
-    fe = tabular_features(df, numeric, categorical, hashed=()).fit(df)
-    vec = fe.transform(df).select("features", *targets).persist(StorageLevel.MEMORY_AND_DISK)
-    heads = {}
-    try:
-        for i, t in enumerate(targets):
-            if t in constants:
-                heads[t] = ("constant", float(constants[t]))
-                continue
-            kw = dict(featuresCol="features", labelCol=t, maxIter=int(p.get("n_estimators", 20)), predictionCol=f"_p{i}",
-                      maxDepth=int(p.get("max_depth", 3)), maxBins=bins_for(fe), seed=seed)
-            est = (GBTClassifier(**kw).setRawPredictionCol(f"_r{i}").setProbabilityCol(f"_s{i}") if task == "classification"
-                   else GBTRegressor(**kw))
-            heads[t] = ("model", est.fit(vec.filter(F.col(t).isNotNull())))
-    finally:
-        vec.unpersist()
-    return {"features": fe, "heads": heads, "task": task}
+    live = [t for t in targets if t not in constants]
+    p = {"n_estimators": 20, "max_depth": 3} | dict(params or {})
+    model = bo.fit_boosted(df, numeric, categorical, live, task == "classification", **tree_params(p)) if live else None
+    return {"model": model, "constants": {t: float(v) for t, v in constants.items()}, "targets": list(targets), "task": task}
 
 
 def score_multioutput(fitted: dict, df: DataFrame, id_col: str = "USER_ID") -> DataFrame:
-    """Long scores (id, target, score) for every head: the heads run in one chain over one scan, then unpivot."""
-    d = fitted["features"].transform(df).select(id_col, "features")
-    pairs = []
-    for i, (t, (kind, m)) in enumerate(fitted["heads"].items()):
-        if kind == "constant":
-            pairs.append((t, F.lit(m)))
-            continue
-        d = m.transform(d)
-        names = {n: m.getOrDefault(n) for n in ("predictionCol", "probabilityCol") if m.hasParam(n)}
-        pairs.append((t, vector_to_array(names["probabilityCol"])[1] if fitted["task"] == "classification" else F.col(names["predictionCol"])))
-    rows = F.array(*[F.struct(F.lit(t).alias("target"), c.cast("double").alias("score")) for t, c in pairs])
+    """Long scores (id, target, score) for every head, all from one scan."""
+    model, constants = fitted["model"], fitted["constants"]
+    d = bo.score_boosted(model, df, "_scores") if model is not None else df
+    place = {t: i for i, t in enumerate(model.heads)} if model is not None else {}
+    rows = F.array(*[F.struct(F.lit(t).alias("target"), (F.col("_scores")[place[t]] if t in place else F.lit(constants[t])).cast("double").alias("score"))
+                     for t in fitted["targets"]])
     return d.select(id_col, F.explode(rows).alias("x")).select(id_col, "x.*")
 
 
 # ----------------------------------------------------------------- M18-M20: uplift
 
 
-def _lin(train, numeric, label):
-    fe = VectorAssembler(inputCols=list(numeric), outputCol="features", handleInvalid="keep")
-    return Pipeline(stages=[fe, LinearRegression(featuresCol="features", labelCol=label, regParam=0.01)]).fit(train)
+@dataclasses.dataclass
+class Uplift:
+    """A fitted effect learner: trees whose heads are (fold, arm); a row is scored by heads that did not see its fold."""
+    learner: str
+    folds: int
+    key: list[str]
+    outcome: bo.Boosted
+    effect: bo.Boosted | None = None       # X: imputed effects
+    propensity: bo.Boosted | None = None   # X
+
 
+TREATED = "_uplift_treated"
 
-def uplift_t_learner(df: DataFrame, numeric: Sequence[str], treatment: str, label: str = "OUTCOME") -> DataFrame:
-    """Two models (treated, control); effect = mu1(x) - mu0(x)."""
-    t = F.col(treatment).cast("boolean")
-    m1 = _lin(df.filter(t), numeric, label)
-    m0 = _lin(df.filter(~t), numeric, label)
-    p1 = m1.transform(df).withColumnRenamed("prediction", "mu1").drop("features")
-    p0 = m0.transform(p1).withColumnRenamed("prediction", "mu0").drop("features")
-    return p0.withColumn("uplift", F.col("mu1") - F.col("mu0"))
 
+def _fold(key: Sequence[str], folds: int):
+    return F.pmod(F.xxhash64(*[F.col(c) for c in key], F.lit("fold")), F.lit(folds))
 
-def fit_uplift(df: DataFrame, numeric: Sequence[str], treatment: str, label: str = "OUTCOME") -> tuple:
-    """The T-learner's two models (treated, control), to score other rows with ``score_uplift``."""
-    t = F.col(treatment).cast("boolean")
-    return _lin(df.filter(t), numeric, label), _lin(df.filter(~t), numeric, label)
 
+def _own(scores: str, folds: int, fold, arm: int = 0, arms: int = 1):
+    """The score of the row's own fold (and an arm) in an array ordered by fold, then arm."""
+    return F.element_at(F.col(scores), (fold * arms + arm + 1).cast("int"))
 
-def score_uplift(models: tuple, df: DataFrame) -> DataFrame:
-    p1 = models[0].transform(df).withColumnRenamed("prediction", "mu1").drop("features")
-    p0 = models[1].transform(p1).withColumnRenamed("prediction", "mu0").drop("features")
-    return p0.withColumn("score", F.col("mu1") - F.col("mu0"))
 
+def _folded_heads(df: DataFrame, label, fold, folds: int, arm=None, prefix: str = "_h") -> tuple[DataFrame, list[str]]:
+    """Label columns, one a (fold, arm): null for the rows of the fold itself and of the other arm."""
+    heads = {}
+    for k in range(folds):
+        for a in ((None,) if arm is None else (1, 0)):
+            mine = (fold != k) if folds > 1 else F.lit(True)
+            heads[f"{prefix}{k}_{a}"] = F.when(mine & (F.lit(True) if a is None else arm == bool(a)), label)
+    return df.withColumns(heads), list(heads)
 
-def uplift_s_learner(df: DataFrame, numeric: Sequence[str], treatment: str, label: str = "OUTCOME") -> DataFrame:
-    """One model with the treatment flag as a feature; score with the flag set to 1 and 0."""
-    d = df.withColumn("_t", F.col(treatment).cast("double"))
-    m = _lin(d, [*numeric, "_t"], label)
-    p1 = m.transform(d.withColumn("_t", F.lit(1.0))).withColumnRenamed("prediction", "mu1").drop("features")
-    p0 = m.transform(p1.withColumn("_t", F.lit(0.0))).withColumnRenamed("prediction", "mu0").drop("features", "_t")
-    return p0.withColumn("uplift", F.col("mu1") - F.col("mu0"))
 
+def fit_uplift(df: DataFrame, numeric: Sequence[str], treatment: str, label: str = "OUTCOME", learner: str = "t", folds: int = 2,
+               categorical: Sequence[str] = (), params: dict | None = None, key: Sequence[str] | None = None) -> Uplift:
+    """Cross-fitted effect learners on boosted trees, the folds and arms of each stage as heads of one fit.
 
-def uplift_x_learner(df: DataFrame, numeric: Sequence[str], treatment: str, label: str = "OUTCOME") -> DataFrame:
-    """X-learner (Kuenzel et al. 2019): imputed effects D1 = y - mu0(x) on treated,
-    D0 = mu1(x) - y on control, second-stage regressors tau1, tau0, and
-    tau = g(x) tau0 + (1-g(x)) tau1 with g = fitted propensity of treatment (logistic regression)."""
-    t = F.col(treatment).cast("boolean")
-    base = uplift_t_learner(df, numeric, treatment, label)
-    d1 = base.filter(t).withColumn("_d", F.col(label) - F.col("mu0"))
-    d0 = base.filter(~t).withColumn("_d", F.col("mu1") - F.col(label))
-    tau1 = _lin(d1.drop("features"), numeric, "_d")
-    tau0 = _lin(d0.drop("features"), numeric, "_d")
-    prop = Pipeline(stages=[VectorAssembler(inputCols=list(numeric), outputCol="features", handleInvalid="keep"), LogisticRegression(
-        featuresCol="features", labelCol="_t", regParam=0.01, predictionCol="_pp", probabilityCol="_pr", rawPredictionCol="_pw")]).fit(
-            df.withColumn("_t", t.cast("double")))
-    s = tau1.transform(base).withColumnRenamed("prediction", "tau1").drop("features")
-    s = tau0.transform(s).withColumnRenamed("prediction", "tau0").drop("features")
-    s = prop.transform(s).withColumn("propensity", vector_to_array("_pr")[1]).drop("features", "_pp", "_pr", "_pw")
-    return s.withColumn("uplift", F.col("propensity") * F.col("tau0") + (1 - F.col("propensity")) * F.col("tau1"))
+    't': outcome models of the treated and of the others. 's': one outcome model with the treatment as a feature, free to interact. 'x'
+    (Kuenzel et al. 2019): imputed effects D1 = y - mu0(x) on treated and D0 = mu1(x) - y on others, a model of each, weighed by a fitted
+    propensity. Rows of one key (the user, if there is one) share a fold, so no row's effect comes from models that saw it.
+    """
+    if learner not in ("t", "s", "x"):
+        raise ValueError("learner must be 't', 's' or 'x'")
+    key = list(key or (["USER_ID"] if "USER_ID" in df.columns else numeric))
+    p = tree_params({"n_estimators": 30, "max_depth": 3, "min_child_rows": 20} | dict(params or {}))
+    fold, t, y = _fold(key, folds), F.col(treatment).cast("boolean"), F.col(label).cast("double")
+    d = df.filter(t.isNotNull())
+    if learner == "s":
+        h, heads = _folded_heads(d.withColumn(TREATED, t.cast("double")), y, fold, folds)
+        return Uplift("s", folds, key, bo.fit_boosted(h, [*numeric, TREATED], categorical, heads, False, **p))
+    h, heads = _folded_heads(d, y, fold, folds, t)
+    m = Uplift(learner, folds, key, bo.fit_boosted(h, numeric, categorical, heads, False, **p))
+    if learner == "t":
+        return m
+    base = _with_means(m, d)
+    imputed = F.when(t, y - F.col("mu0")).otherwise(F.col("mu1") - y)
+    h, heads = _folded_heads(base, imputed, fold, folds, t)
+    m.effect = bo.fit_boosted(h, numeric, categorical, heads, False, **p)
+    h, heads = _folded_heads(d, t.cast("double"), fold, folds)
+    m.propensity = bo.fit_boosted(h, numeric, categorical, heads, True, **p)
+    return m
+
+
+def _with_means(m: Uplift, df: DataFrame) -> DataFrame:
+    """+ mu1, mu0: the outcome expected with and without treatment."""
+    fold = _fold(m.key, m.folds)
+    if m.learner == "s":
+        for name, flag in (("mu1", 1.0), ("mu0", 0.0)):
+            s = bo.score_boosted(m.outcome, df.withColumn(TREATED, F.lit(flag)), "_s")
+            df = s.withColumn(name, _own("_s", m.folds, fold)).drop("_s", TREATED)
+        return df
+    s = bo.score_boosted(m.outcome, df, "_s")
+    return s.withColumns({"mu1": _own("_s", m.folds, fold, 0, 2), "mu0": _own("_s", m.folds, fold, 1, 2)}).drop("_s")
+
+
+def score_uplift(m: Uplift, df: DataFrame) -> DataFrame:
+    """``df`` with mu1, mu0 and the effect as ``uplift`` and ``score``; for 'x' also tau1, tau0 and propensity."""
+    fold = _fold(m.key, m.folds)
+    d = _with_means(m, df)
+    effect = F.col("mu1") - F.col("mu0")
+    if m.learner == "x":
+        d = bo.score_boosted(m.effect, d, "_s").withColumns({"tau1": _own("_s", m.folds, fold, 0, 2), "tau0": _own("_s", m.folds, fold, 1, 2)}).drop("_s")
+        d = bo.score_boosted(m.propensity, d, "_s").withColumn("propensity", _own("_s", m.folds, fold)).drop("_s")
+        effect = F.col("propensity") * F.col("tau0") + (1 - F.col("propensity")) * F.col("tau1")
+    return d.withColumn("uplift", effect).withColumn("score", F.col("uplift"))
+
+
+def uplift_t_learner(df: DataFrame, numeric: Sequence[str], treatment: str, label: str = "OUTCOME", **kw) -> DataFrame:
+    """Two outcome models (treated, others), cross-fitted; effect = mu1(x) - mu0(x)."""
+    return score_uplift(fit_uplift(df, numeric, treatment, label, "t", **kw), df)
+
+
+def uplift_s_learner(df: DataFrame, numeric: Sequence[str], treatment: str, label: str = "OUTCOME", **kw) -> DataFrame:
+    """One model with the treatment flag as a feature, scored with the flag set to 1 and 0."""
+    return score_uplift(fit_uplift(df, numeric, treatment, label, "s", **kw), df)
+
+
+def uplift_x_learner(df: DataFrame, numeric: Sequence[str], treatment: str, label: str = "OUTCOME", **kw) -> DataFrame:
+    """Imputed effects, a model of each arm's, weighed by the fitted propensity."""
+    return score_uplift(fit_uplift(df, numeric, treatment, label, "x", **kw), df)
 
 
 # ----------------------------------------------------------------- M22: goal-conditioned
 
 
 def fit_goal_conditioned(train: DataFrame, numeric: Sequence[str], goal_cols: Sequence[str], label: str = "OUTCOME",
-                         params: dict | None = None) -> PipelineModel:
+                         params: dict | None = None, categorical: Sequence[str] = ()) -> bo.Boosted:
     """GCSL-style: the extra rewards are input features at fit time."""
-    return fit_universal(train, [*numeric, *goal_cols], family="gbt", label=label, params=params)
+    return fit_universal(train, [*numeric, *goal_cols], categorical, family="gbt", label=label, params=params)
 
 
-def score_with_goals(model: PipelineModel, df: DataFrame, goals: dict) -> DataFrame:
+def score_with_goals(model: bo.Boosted, df: DataFrame, goals: dict) -> DataFrame:
     """At inference every goal column is set to its goal value (mean / percentile / predefined)."""
-    d = df.withColumns({c: F.lit(float(v)) for c, v in goals.items()})
-    return positive_probability(model.transform(d))
+    return score_pairs(model, df.withColumns({c: F.lit(float(v)) for c, v in goals.items()}))
