@@ -8,13 +8,24 @@ evaluation joins logged rows to it on the item alone.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ranklab.functions.columns import seeded_hash
-from ranklab.operators.ordered import with_neighbors
+from ranklab.operators.ordered import range_pieces, with_neighbors, with_running_sums
+from ranklab.session import materialize
+
+# task functions travel with their code, so executors need no copy of this module
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+DOT_DIGITS = 9     # dot products are compared by so many decimals, so that the order of summation makes no ties or breaks them
+
 
 def item_mean_scores(train: DataFrame, item_col: str = "ITEM_ID", outcome_col: str = "OUTCOME") -> DataFrame:
     """Mean outcome per item (the reward model / popularity-by-rate baseline)."""
@@ -140,3 +151,159 @@ def epsilon_greedy(topk: DataFrame, epsilon: float, seed: int, user_col: str = "
         .otherwise(F.lit(float(epsilon)) / F.col("_k"))
     return chosen.select(user_col, item_col, F.col(rank_col).alias("chosen_rank"),
                          explore.alias("explored"), prop.alias("propensity"))
+
+
+# ----------------------------------------------------------------- M12, M13: contexts of several events
+
+
+def context_counts(seq_long: DataFrame, order: int, user_col: str = "USER_ID", item_col: str = "ITEM_ID",
+                   order_cols: Sequence[str] = ("TIMESTAMP",)) -> DataFrame:
+    """(depth, context, next_item, n): how often an item followed each run of 0 to ``order`` events; the context's newest event is last.
+
+    The events before each event come from range pieces, so a hot user spans many tasks.
+    """
+    back, seen = item_col, []
+    s = range_pieces(seq_long.select(user_col, item_col, *order_cols).filter(F.col(item_col).isNotNull()), [user_col], list(order_cols))
+    for m in range(1, order + 1):
+        s = with_neighbors(s, [user_col], list(order_cols), [back], "prev", prefix="_b", pieces=s)
+        s = s.withColumnRenamed("_b" + back, f"_p{m}")
+        back = f"_p{m}"
+        seen.insert(0, back)
+    ctx = [F.struct(F.lit(m).alias("depth"), F.array(*[F.col(c) for c in seen[order - m:]]).cast("array<string>").alias("context"),
+                    (F.col(f"_p{m}").isNotNull() if m else F.lit(True)).alias("_all")) for m in range(order + 1)]
+    e = s.select(F.col(item_col).alias("next_item"), F.explode(F.array(*ctx)).alias("c")).filter("c._all")
+    return e.groupBy("c.depth", "c.context", "next_item").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _context_totals(counts: DataFrame) -> DataFrame:
+    """(context, total, kinds) by partial aggregation: a popular context's successors never meet in one task."""
+    return counts.groupBy(F.col("context").alias("_ctx")).agg(F.sum("n").alias("_total"), F.count(F.lit(1)).alias("_kinds"))
+
+
+def _backed_off(rows: DataFrame, counts: DataFrame, order: int) -> DataFrame:
+    """``rows`` (context, next_item) with ``prob``, interpolated from the empty context up (Witten and Bell 1991):
+    P(x | c) = (n(c, x) + kinds(c) * P(x | c without its oldest event)) / (total(c) + kinds(c)). A context never seen leaves the shorter one's."""
+    zero = counts.filter("depth = 0").select(F.col("next_item").alias("_x"), F.col("n").alias("_n"))
+    n_all = zero.agg(F.sum("_n").cast("double").alias("_whole"))
+    d = rows.join(zero, F.col("next_item") == F.col("_x"), "left").crossJoin(F.broadcast(n_all))      # one row
+    d = d.withColumn("prob", F.coalesce("_n", F.lit(0)) / F.col("_whole")).drop("_x", "_n", "_whole")
+    totals = _context_totals(counts.filter("depth > 0"))
+    for m in range(1, order + 1):
+        c = counts.filter(F.col("depth") == m).select(F.col("context").alias("_c"), F.col("next_item").alias("_x"), F.col("n").alias("_n"))
+        t = totals.filter(F.size("_ctx") == m)
+        own = F.when(F.size("context") >= m, F.slice("context", -m, m))
+        d = d.withColumn("_own", own).join(t, F.col("_own") == F.col("_ctx"), "left").join(
+            c, (F.col("_own") == F.col("_c")) & (F.col("next_item") == F.col("_x")), "left")
+        p = (F.coalesce("_n", F.lit(0)) + F.col("_kinds") * F.col("prob")) / (F.col("_total") + F.col("_kinds"))
+        d = d.withColumn("prob", F.coalesce(p, F.col("prob"))).drop("_own", "_ctx", "_total", "_kinds", "_c", "_x", "_n")
+    return d
+
+
+def context_scores(counts: DataFrame, order: int) -> DataFrame:
+    """(context, next_item, n, prob) of every observed run of ``order`` events and what followed it."""
+    return _backed_off(counts.filter(F.col("depth") == order).select("context", "next_item", "n"), counts, order)
+
+
+def next_items_by_context(histories: DataFrame, counts: DataFrame, order: int, k: int, user_col: str = "USER_ID", item_col: str = "ITEM_ID",
+                          order_cols: Sequence[str] = ("TIMESTAMP",)) -> DataFrame:
+    """Top-k next items per user from its last ``order`` events: (user, item, score, rank).
+
+    Scores belong to contexts, so each distinct context is scored once. Candidates are what ever followed the newest event, and the k
+    most frequent items: any other item has a smaller share of the same back-off than all of those k.
+    """
+    newest = Window.partitionBy(user_col).orderBy(*[F.col(c).desc() for c in order_cols], F.col(item_col).desc())   # pruned to ``order`` rows a task
+    last = histories.filter(F.col(item_col).isNotNull()).withColumn("_r", F.row_number().over(newest)).filter(F.col("_r") <= order)
+    last = last.groupBy(user_col).agg(F.transform(F.sort_array(F.collect_list(F.struct(-F.col("_r"), F.col(item_col).alias("x")))), lambda e: e["x"].cast("string")).alias("context"))
+    contexts = last.select("context").distinct()
+    follows = counts.filter("depth = 1").select(F.col("context")[0].alias("_c"), "next_item")
+    top = counts.filter("depth = 0").orderBy(F.col("n").desc(), "next_item").limit(k).select("next_item")
+    cand = contexts.join(follows, F.element_at("context", -1) == F.col("_c")).select("context", "next_item") \
+        .unionByName(contexts.crossJoin(F.broadcast(top))).distinct()     # k rows
+    scored = _backed_off(cand, counts, order)
+    best = Window.partitionBy("context").orderBy(F.col("prob").desc(), "next_item")
+    best = scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    return last.join(best, "context").select(user_col, F.col("next_item").alias(item_col), F.col("prob").alias("score"), "rank")
+
+
+# ----------------------------------------------------------------- M11, M16: the whole catalogue
+
+
+def _vector_blocks(batches, size: int):
+    """(ids, vectors) blocks of up to ``size`` rows."""
+    ids, parts, n = [], [], 0
+
+    def block():
+        return pa.RecordBatch.from_arrays([pa.array([ids], pa.list_(pa.int64())), pa.array([np.concatenate(parts).tobytes()], pa.binary())], ["ids", "vectors"])
+    for batch in batches:
+        at = 0
+        while at < batch.num_rows:
+            part = batch.slice(at, size - n)
+            v = part.column("v").flatten().to_numpy(zero_copy_only=False).astype("<f8")
+            parts.append(v)
+            ids += part.column("id").to_pylist()
+            at, n = at + part.num_rows, n + part.num_rows
+            if n == size:
+                yield block()
+                ids, parts, n = [], [], 0
+    if n:
+        yield block()
+
+
+def _best_of_blocks(batches, k: int, same: bool):
+    """For each block of queries against a block of items: the best k of the block for every query."""
+    for batch in batches:
+        for qi, qv, ii, iv in zip(*(batch.column(c) for c in ("ids", "vectors", "_ids", "_vectors"))):
+            qi, ii = np.array(qi.as_py()), np.array(ii.as_py())
+            q, v = np.frombuffer(qv.as_py(), "<f8").reshape(len(qi), -1), np.frombuffer(iv.as_py(), "<f8").reshape(len(ii), -1)
+            s = np.round(q @ v.T, DOT_DIGITS)
+            if not same:
+                s[qi[:, None] == ii[None, :]] = -np.inf
+            least = np.partition(s, max(0, s.shape[1] - k), axis=1)[:, max(0, s.shape[1] - k)]
+            row, col = np.nonzero((s >= least[:, None]) & (s > -np.inf))
+            order = np.lexsort((ii[col], -s[row, col], row))
+            row, col = row[order], col[order]
+            nth = np.arange(len(row)) - np.searchsorted(row, row)
+            row, col = row[nth < k], col[nth < k]
+            yield pa.RecordBatch.from_arrays([pa.array(qi[row]), pa.array(ii[col]), pa.array(s[row, col])], ["query", "item", "score"])
+
+
+def catalogue_top_k(queries: DataFrame, items: DataFrame, k: int, query_id: str = "USER_ID", item_id: str = "ITEM_ID", vector: str = "embedding",
+                    block: int = 2048, same: bool = True) -> DataFrame:
+    """(query id, item id, score, rank): the k items of the whole catalogue with the highest dot product, for every query; equal
+    scores go by item id. Ids are whole numbers; ``same=False`` leaves out an item with the query's own id. Rows without a vector take no part.
+
+    Queries and items are packed into blocks; each block of queries meets each block of items by a join on the items' lot, a matrix
+    product scores the pair, and k items a query leave it. Those are merged by query with a group limit. Nothing is broadcast.
+    """
+    def blocks(df, id_col):
+        d = df.filter(F.size(vector) > 0).select(F.col(id_col).cast("long").alias("id"), F.transform(vector, lambda x: x.cast("double")).alias("v"))
+        return materialize(d.mapInArrow(lambda b: _vector_blocks(b, block), "ids array<bigint>, vectors binary"), "vector-blocks")
+    q, i = blocks(queries, query_id), blocks(items, item_id)
+    lots = max(1, min(i.count(), int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    i = i.select(F.pmod(F.xxhash64("ids"), F.lit(lots)).alias("_lot"), F.col("ids").alias("_ids"), F.col("vectors").alias("_vectors"))
+    q = q.withColumn("_lot", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(lots - 1).cast("long"))))
+    part = q.join(i, "_lot").mapInArrow(lambda b: _best_of_blocks(b, k, same), "query bigint, item bigint, score double")
+    return top_k_per_user(part, k, "query", "item").select(F.col("query").alias(query_id), F.col("item").alias(item_id), "score", "rank")
+
+
+# ----------------------------------------------------------------- M18-M21: uplift curve
+
+
+def qini_curve(df: DataFrame, score_col: str, treatment_col: str, outcome_col: str = "OUTCOME", buckets: int = 10, tie_cols: Sequence[str] = ()) -> DataFrame:
+    """(bucket, n, qini, random): extra outcomes among the rows of highest score, bucket by bucket, and what a random order would give.
+
+    qini = outcomes of the treated minus those of the others, scaled to as many rows. Rows are ranked by a range sort and per-piece sums.
+    """
+    t = F.col(treatment_col).cast("boolean")
+    y = F.col(outcome_col).cast("double")
+    d = df.filter(t.isNotNull()).select((-F.col(score_col)).alias("_s"), *[F.col(c).alias(f"_k{i}") for i, c in enumerate(tie_cols)], F.lit(0).alias("_g"),
+                                        F.lit(1).alias("_1"), t.cast("int").alias("_t"), F.when(t, y).otherwise(0.0).alias("_yt"), F.when(t, 0.0).otherwise(y).alias("_yc"))
+    order = ["_s", *[f"_k{i}" for i in range(len(tie_cols))]]
+    p = range_pieces(d, ["_g"], order)
+    total = p.count()
+    r = with_running_sums(p, ["_g"], order, {"n": "_1", "nt": "_t", "yt": "_yt", "yc": "_yc"})
+    ends = sorted({-(-total * b // buckets) for b in range(1, buckets + 1)} - {0})
+    r = r.filter(F.col("n").isin(ends)).select(F.floor(F.col("n") * buckets / F.lit(max(1, total))).cast("int").alias("bucket"), F.col("n").cast("long").alias("n"),
+                                               (F.col("yt") - F.coalesce(F.col("yc") * F.col("nt") / F.nullif(F.col("n") - F.col("nt"), F.lit(0)), F.lit(0.0))).alias("qini"))
+    whole = r.agg(F.max_by("qini", "n").alias("_q"))     # at most one row a bucket
+    return r.crossJoin(F.broadcast(whole)).select("bucket", "n", "qini", (F.col("_q") * F.col("n") / F.lit(float(max(1, total)))).alias("random"))

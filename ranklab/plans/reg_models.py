@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ranklab.operators import boosting as bo
 from ranklab.operators import learners as ln
 from ranklab.operators import metrics as mt
 from ranklab.operators import profile as pf
@@ -15,6 +16,7 @@ from ranklab.plans import sql_views as V
 from ranklab.plans.registering import r6, registry, temporal_parts
 from ranklab.plans import methods as me
 from ranklab.plans import sweep as sw
+from ranklab.session import materialize
 from ranklab.sources import tables as T
 
 QUERIES, ORACLE, register = registry()
@@ -25,6 +27,7 @@ def _features(df, spark, sf):
     return df.join(T.users(spark, sf), "USER_ID", "left").join(T.items(spark, sf), "ITEM_ID", "left")
 
 
+PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]     # fixed values: order priorities of the shared tables
 NUMERIC = ["nation", "acctbal", "size", "retailprice"]
 CATEGORICAL = ["segment", "brand"]
 
@@ -128,7 +131,7 @@ def q_gbt_reg(spark, sf):
     """M2: GBT regressor on the continuous revenue outcome."""
     train, valid = temporal_parts(spark, sf)
     m = ln.fit_universal(_features(train, spark, sf), NUMERIC, CATEGORICAL, "gbt", "regression",
-                         label="OUTCOME_revenue", params={"n_estimators": 20, "max_depth": 4})
+                         label="OUTCOME_revenue", params={"n_estimators": 50, "max_depth": 4})
     scored = ln.score_pairs(m, _features(valid, spark, sf), "regression")
     return mt.regression_metrics(scored, "OUTCOME_revenue", "score").select(r6("rmse"), r6("mae"), "n")
 
@@ -157,7 +160,7 @@ def q_multiclass(spark, sf):
 def q_multioutput(spark, sf):
     """M5: one head per ITEM_* target on a shared vector; per-target AUC."""
     fit, lab = _held_out(T.labelled_docs(spark, sf))
-    fitted = ln.fit_multioutput(fit, ["ITEM_quality", "ITEM_toxic"], ["n_chars"], ["lang"])
+    fitted = ln.fit_multioutput(fit, ["ITEM_quality", "ITEM_toxic"], ["n_chars"], ["lang"], params={"n_estimators": 50, "max_depth": 4})
     scores = ln.score_multioutput(fitted, lab)
     truth = lab.unpivot(["USER_ID"], ["ITEM_quality", "ITEM_toxic"], "target", "label")
     j = scores.join(truth, ["USER_ID", "target"])
@@ -165,16 +168,52 @@ def q_multioutput(spark, sf):
         "target", r6("roc_auc"), r6("pr_auc"), "n_pos", "n_neg")
 
 
+@register("multioutput_spend_regression")
+def q_multioutput_regression(spark, sf):
+    """M6: a continuous head an order priority (what a customer spends on it), all heads in the same passes; error on held-out customers."""
+    wide = T.table(spark, sf, "orders").groupBy(F.col("o_custkey").cast("string").alias("USER_ID")).agg(
+        *[F.sum(F.when(F.col("o_orderpriority") == p, F.col("o_totalprice").cast("double"))).alias(f"ITEM_{p[0]}") for p in PRIORITIES])
+    targets = [f"ITEM_{p[0]}" for p in PRIORITIES]
+    fit, held = _held_out(wide.join(T.users(spark, sf), "USER_ID"))
+    fitted = ln.fit_multioutput(fit, targets, ["nation", "acctbal"], ["segment"], "regression", {"n_estimators": 50, "max_depth": 4})
+    truth = held.unpivot(["USER_ID"], targets, "target", "truth").filter("truth is not null")
+    j = ln.score_multioutput(fitted, held).join(truth, ["USER_ID", "target"])
+    e = F.col("score") - F.col("truth")
+    return j.groupBy("target").agg(F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae"), F.count(F.lit(1)).alias("n")) \
+        .select("target", r6("rmse"), r6("mae"), "n")
+
+
+@register("independent_trees_priorities")
+def q_independent_trees(spark, sf):
+    """M3: separate boosted trees for every order priority; per-item AUC of the big-order flag on held-out customers."""
+    fit, held = _held_out(T.priorities(spark, sf).join(T.users(spark, sf), "USER_ID"))
+    fitted = bo.fit_by_item(fit, ["acctbal", "nation"], categorical=["segment"], n_trees=50, depth=4)
+    return mt.classification_metrics(bo.score_by_item(fitted, held), "OUTCOME", "score", ["ITEM_ID"]).select("ITEM_ID", r6("roc_auc"), "n_pos", "n_neg")
+
+
+def _large_quantity(spark, sf):
+    j = T.interactions(spark, sf).join(T.users(spark, sf), "USER_ID")
+    return j.withColumn("t", F.col("l_quantity") >= 25)
+
+
 @register("uplift_learners_segments")
 def q_uplift_learners(spark, sf):
-    """T-, S- and X-learner effect of a large quantity on returns, mean per segment."""
-    j = T.interactions(spark, sf).join(T.users(spark, sf), "USER_ID").withColumn("t", F.col("l_quantity") >= 25)
-    feats = ["acctbal", "nation"]
-    t = ln.uplift_t_learner(j, feats, "t").groupBy("segment").agg(F.avg("uplift").alias("t_learner"))
-    s = ln.uplift_s_learner(j, feats, "t").groupBy("segment").agg(F.avg("uplift").alias("s_learner"))
-    x = ln.uplift_x_learner(j, feats, "t").groupBy("segment").agg(F.avg("uplift").alias("x_learner"))
-    return t.join(s, "segment").join(x, "segment").select("segment", r6("t_learner"), r6("s_learner"),
-                                                          r6("x_learner"))
+    """T-, S- and X-learner effect of a large quantity on returns, mean per segment; every row is scored by models that did not see its user."""
+    j = materialize(_large_quantity(spark, sf), "treated")
+    out = None
+    for name in ("t", "s", "x"):
+        m = ln.fit_uplift(j, ["acctbal", "nation"], "t", learner=name)
+        g = ln.score_uplift(m, j).groupBy("segment").agg(F.avg("uplift").alias(f"{name}_learner"), F.stddev("uplift").alias(f"{name}_spread"))
+        out = g if out is None else out.join(g, "segment")
+    return out.select("segment", *[r6(f"{name}_{v}") for name in ("t", "s", "x") for v in ("learner", "spread")])
+
+
+@register("uplift_qini_returns")
+def q_qini(spark, sf):
+    """Qini curve of the cross-fitted T-learner over tenths of the rows, best effects first."""
+    j = materialize(_large_quantity(spark, sf), "treated")
+    s = ln.score_uplift(ln.fit_uplift(j, ["acctbal", "nation"], "t"), j)
+    return sc.qini_curve(s, "score", "t", "OUTCOME", tie_cols=T.INTER_TIEBREAK).select("bucket", "n", r6("qini"), r6("random"))
 
 
 @register("goal_conditioned_scores")
@@ -182,7 +221,7 @@ def q_gcsl(spark, sf):
     """Revenue as a goal feature at fit time; scored at the 90th-percentile goal."""
     train, valid = temporal_parts(spark, sf)
     ft = _features(train, spark, sf)
-    m = ln.fit_goal_conditioned(ft, NUMERIC, ["OUTCOME_revenue"], params={"n_estimators": 5, "max_depth": 3})
+    m = ln.fit_goal_conditioned(ft, NUMERIC, ["OUTCOME_revenue"], params={"n_estimators": 50, "max_depth": 4}, categorical=CATEGORICAL)
     goal = st.goal_values(train, ["OUTCOME_revenue"], "percentile_value", p=0.9)
     scored = ln.score_with_goals(m, _features(valid, spark, sf), goal)
     return mt.classification_metrics(scored, "OUTCOME", "score").select(r6("roc_auc"), "n_pos", "n_neg")
@@ -210,9 +249,9 @@ def q_sweep(spark, sf):
     it can score - no user x item product)."""
     train, valid = temporal_parts(spark, sf)
     requested = me.resolve("long_interactions", [
-        {"short_name": "gbt_universal", "estimator": "gbt", "params": {"n_estimators": 10, "max_depth": 3}},
+        {"short_name": "gbt_universal", "estimator": "gbt", "params": {"n_estimators": 50, "max_depth": 4}},
         {"short_name": "als_universal", "estimator_type": "embedding", "estimator": "als",
-         "params": {"n_factors": 8, "epochs": 5}},
+         "params": {"n_factors": 16, "epochs": 5}},
         {"short_name": "fm_universal", "estimator_type": "embedding", "estimator": "fm",
          "params": {"embedding_dim": 4, "epochs": 2}},
     ])

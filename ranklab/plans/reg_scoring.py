@@ -20,6 +20,7 @@ from ranklab.operators import stats as st
 from ranklab.plans import sql_views as V
 from ranklab.plans.registering import r6, registry, temporal_parts
 from ranklab.session import cut_lineage
+from ranklab.session import materialize
 from ranklab.sources import tables as T
 
 QUERIES, ORACLE, register = registry()
@@ -345,6 +346,36 @@ def q_transitions(spark, sf):
     return t.select("prev_item", "next_item", "n", r6("prob"))
 
 
+@register("transitions_order2_events", f"""
+WITH {V.EV},
+r AS (SELECT ITEM_ID AS x, lag(ITEM_ID) OVER w AS p1, lag(ITEM_ID, 2) OVER w AS p2 FROM ev WHERE ITEM_ID IS NOT NULL
+      WINDOW w AS (PARTITION BY USER_ID ORDER BY "TIMESTAMP", event_id)),
+c0 AS (SELECT x, count(*) AS n, count(*) / sum(count(*)) OVER () AS p FROM r GROUP BY x),
+c1 AS (SELECT p1, x, count(*) AS n, sum(count(*)) OVER (PARTITION BY p1) AS t, count(*) OVER (PARTITION BY p1) AS d FROM r WHERE p1 IS NOT NULL GROUP BY p1, x),
+c2 AS (SELECT p2, p1, x, count(*) AS n, sum(count(*)) OVER (PARTITION BY p2, p1) AS t, count(*) OVER (PARTITION BY p2, p1) AS d
+       FROM r WHERE p2 IS NOT NULL GROUP BY p2, p1, x)
+SELECT c2.p2 AS prev_prev_item, c2.p1 AS prev_item, c2.x AS next_item, CAST(c2.n AS BIGINT) AS n,
+       round((c2.n + c2.d * ((c1.n + c1.d * c0.p) / (c1.t + c1.d))) / (c2.t + c2.d), 6) AS prob
+FROM c2 JOIN c1 ON c1.p1 = c2.p1 AND c1.x = c2.x JOIN c0 ON c0.x = c2.x""")
+def q_transitions_order2(spark, sf):
+    """What follows two events, interpolated with what follows one and none."""
+    counts = materialize(sc.context_counts(T.events(spark, sf), 2, order_cols=("TIMESTAMP", "event_id")), "contexts")
+    s = sc.context_scores(counts, 2)
+    return s.select(F.col("context")[0].alias("prev_prev_item"), F.col("context")[1].alias("prev_item"), "next_item", "n", r6("prob"))
+
+
+@register("embedding_catalogue_top5", """
+WITH s AS (SELECT q.vec_id AS query_id, v.vec_id AS vec_id, round(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 9) AS score
+           FROM embeddings q JOIN embeddings v ON q.vec_id <> v.vec_id AND len(q.embedding) > 0 AND len(v.embedding) > 0)
+SELECT query_id, vec_id, round(score, 6) AS score, rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5""")
+def q_catalogue(spark, sf):
+    """The five vectors of the whole table with the highest dot product, for every vector."""
+    e = T.table(spark, sf, "embeddings")
+    top = sc.catalogue_top_k(e.withColumnRenamed("vec_id", "query_id"), e, 5, "query_id", "vec_id", same=False)
+    return top.select("query_id", "vec_id", r6("score"), F.col("rank").cast("long").alias("rank"))
+
+
 @register("session_transitions_events", f"""
 WITH {V.EV},
 s1 AS (SELECT *, CASE WHEN "TIMESTAMP" - lag("TIMESTAMP") OVER (PARTITION BY USER_ID ORDER BY "TIMESTAMP", event_id)
