@@ -13,8 +13,7 @@ from ranklab.plans import evaluate as ev
 from ranklab.plans import methods as me
 from ranklab.plans import sweep as sw
 from ranklab.plans.bundle import Bundle
-from ranklab.plans.train import Trained, histories, train
-from ranklab.sources import registry
+from ranklab.plans.train import Trained, histories, save_trained, train
 
 SEQUENCE_CONTRACTS = ("prebuilt_sequences", "sessions")
 
@@ -31,11 +30,12 @@ def evaluate_trained(handle: Trained, frame: DataFrame, contract: str, metrics:
                      per_label: bool | None = False) -> dict:
     """{metric@k or metric: value} of a trained method on an evaluation slice.
 
-    Sequence methods rank next items, so they answer the ranking metrics; on sequence contracts each user's last event is what they predict.
+    Sequence methods rank next items, so they answer the ranking metrics and refuse others; on sequence contracts each user's last event is
+    what they predict.
     """
     scorer = handle.config.get("scorer_type")
-    if handle.kind == "transitions":
-        metrics = [m for m in metrics if m in ev.RANKING_METRICS]
+    if handle.kind == "transitions" and (other := [m for m in metrics if m not in ev.RANKING_METRICS]):
+        raise ValueError(f"{handle.model_id} ranks next items and has no scores for {', '.join(other)}; ask for {', '.join(sorted(ev.RANKING_METRICS))}")
     if contract in SEQUENCE_CONTRACTS:
         frame, logged = last_events(frame)
         logged = logged.select(F.col("USER_ID").alias("INSTANCE"), "USER_ID", "ITEM_ID", F.lit(1.0).alias("REWARD"))
@@ -86,10 +86,7 @@ def sweep_bundle(bundle: Bundle, request="auto", primary_metric: str = "NDCG@10"
         return handle.metrics, handle
 
     def save(row, handle):
-        if models_root is None or handle.kind not in ("pipeline", "als", "multiclass"):
-            return None
-        values = {k: float(v) for k, v in handle.metrics.items() if v is not None}
-        return registry.save_model(spark, models_root, row["model_id"], handle.model, handle.kind, handle.config, values)
+        return None if models_root is None else save_trained(spark, models_root, row["model_id"], handle)
 
     rows = sw.sweep(methods, fit_eval, name, primary_metric, cache, max_workers, keep_top_k, save=save) if methods else []
     if failures_path and any(r["status"] == "error" for r in rows):

@@ -7,18 +7,21 @@ them, dispatches on recommender and scorer type, and returns a ``Trained`` handl
 from __future__ import annotations
 
 import dataclasses
+import json
 import time
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ranklab.operators import boosting as bo
 from ranklab.operators import learners as ln
 from ranklab.operators import scoring as sc
 from ranklab.plans.bundle import Bundle, join_item_features, join_user_features
 from ranklab.plans.evaluate import Scores, check_scorer_config
 from ranklab.plans.methods import AUTO_SWEEPS
 from ranklab.session import materialize
+from ranklab.sources import registry
 
 KEYS = ("USER_ID", "ITEM_ID", "OUTCOME", "TIMESTAMP", "PROPENSITY")
 
@@ -68,7 +71,8 @@ class Trained:
             raise ValueError("sequence models rank next items; use top_k")
         rows = with_features(frame, self.bundle)
         if kind == "independent":
-            rows = ln.score_independent(m, rows, self.numeric).filter("score is not null")
+            rows = bo.score_by_item(m, rows) if isinstance(m, tuple) else ln.score_independent(m, rows, self.numeric)
+            rows = rows.filter("score is not null")
         elif kind == "uplift":
             rows = ln.score_uplift(m, rows)
         elif kind == "goal":
@@ -82,7 +86,9 @@ class Trained:
         if self.kind == "als":
             return ln.als_top_k(self.model, frame, k)
         if self.kind == "transitions":
-            return sc.next_items(histories(frame, self.config), self.model, k, order_cols=("TIMESTAMP",))
+            order = int(self.config.get("params", {}).get("order", 1))
+            h = histories(frame, self.config)
+            return sc.next_items_by_context(h, self.model, order, k) if order > 1 else sc.next_items(h, self.model, k, order_cols=("TIMESTAMP",))
         s = self.pair_scores(frame)
         if candidates is not None:
             s = sc.restrict_candidates(s, candidates, scorer_type=self.config.get("scorer_type", "universal"))
@@ -124,8 +130,10 @@ def train(bundle: Bundle, method: dict | None = None, scorer_config: dict | None
     if scorer in ("sequential", "hierarchical"):
         h = histories(rows, method)
         session = "SESSION_ID" if "SESSION_ID" in h.columns else None
-        kind = "transitions"
-        model = materialize(sc.transition_scores(h, session_col=session, max_len=params.get("max_len"),
+        kind, order = "transitions", int(params.get("order", 1))
+        if order > 1 and session:
+            raise ValueError("contexts of several events and sessions do not go together")
+        model = materialize(sc.context_counts(h, order), "contexts") if order > 1 else materialize(sc.transition_scores(h, session_col=session, max_len=params.get("max_len"),
                                                  across_weight=params.get("across_weight", 0.3) if session else 0.0), "transitions")
     elif est == "als":
         kind, model = "als", ln.fit_als(rows, rank=int(params.get("n_factors", 16)), max_iter=int(params.get("epochs", 5)), reg=float(params.get("reg", 0.1)))
@@ -140,13 +148,31 @@ def train(bundle: Bundle, method: dict | None = None, scorer_config: dict | None
             kind, model = "multiclass", ln.fit_multiclass(rows, numeric, categorical)
         elif recommender == "uplift":
             control = params.get("control_item_id", "control")
-            kind, model = "uplift", ln.fit_uplift(rows.withColumn("_treated", F.col("ITEM_ID") != F.lit(str(control))), numeric, "_treated")
+            kind, model = "uplift", ln.fit_uplift(rows.withColumn("_treated", F.col("ITEM_ID") != F.lit(str(control))), numeric, "_treated",
+                                                  learner=params.get("learner", "t"), categorical=categorical, params=params)
         elif recommender == "gcsl":
             goals = [c for c in rows.columns if c.startswith("OUTCOME_")]
             from ranklab.operators import stats as st
-            kind, model = "goal", {"model": ln.fit_goal_conditioned(rows, numeric, goals, params=params), "goals": st.goal_values(rows, goals, "mean_scalarization") if goals else {}}
+            kind, model = "goal", {"model": ln.fit_goal_conditioned(rows, numeric, goals, params=params, categorical=categorical), "goals": st.goal_values(rows, goals, "mean_scalarization") if goals else {}}
         elif scorer == "independent":
-            kind, model = "independent", ln.independent_classifiers(rows, numeric)
+            kind = "independent"       # boosted trees, or logistic regressions, of every item
+            model = bo.fit_by_item(rows, numeric, categorical=categorical, logistic=task == "classification", **ln.tree_params(params)) if est == "gbt" \
+                else ln.independent_classifiers(rows, numeric)
         else:
             kind, model = "pipeline", ln.fit_universal(rows, numeric, categorical, est, task, params=params)
     return Trained(method.get("short_name", est), method, kind, model, bundle, numeric, categorical, time.time() - t0)
+
+
+def save_trained(spark, root: str, name: str, handle: Trained, tags=()) -> str:
+    """A trained method of any kind, with its config, metrics and the columns it scores with."""
+    values = {k: float(v) for k, v in handle.metrics.items() if v is not None}
+    return registry.save_model(spark, root, name, handle.model, handle.kind, handle.config, values, tags,
+                               {"numeric": handle.numeric, "categorical": handle.categorical})
+
+
+def load_trained(spark, root: str, name: str, bundle: Bundle) -> Trained:
+    """A saved method as a handle that scores frames of ``bundle``'s contract."""
+    model, meta = registry.load_model(spark, root, name)
+    cols = json.loads(meta["features"])
+    return Trained(name, json.loads(meta["config"]), meta["kind"], model, bundle, cols.get("numeric", []), cols.get("categorical", []),
+                   metrics=dict(meta["metrics"] or {}))

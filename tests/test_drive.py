@@ -8,7 +8,8 @@ from ranklab.operators import audit as au
 from ranklab.operators import split as sp
 from ranklab.plans import evaluate as ev
 from ranklab.plans.bundle import create_bundle
-from ranklab.plans.drive import sweep_bundle
+from ranklab.plans.drive import evaluate_trained, sweep_bundle
+from ranklab.plans.train import train
 from ranklab.sources import registry as rg
 
 SMALL = {"n_estimators": 2, "max_depth": 2}
@@ -32,7 +33,7 @@ def test_sweep_over_a_bundle(spark, bundle):
     assert out["scored_slice"] == "valid" and [r["status"] for r in out["rows"]] == ["ok", "ok", "ok", "error"]
     values = [r["metrics"]["recall@3"] for r in out["rows"][:3]]
     assert values == sorted(values, reverse=True) and set(out["rows"][0]["metrics"]) == {"recall@1", "recall@3", "ndcg@1", "ndcg@3"}
-    assert sorted(r["name"] for r in rg.list_models(spark, f"{root}/models").collect()) == ["als", "gbt"]
+    assert sorted(r["name"] for r in rg.list_models(spark, f"{root}/models").collect()) == ["als", "gbt", "markov_sequential"]
     loaded, _ = rg.load_model(spark, f"{root}/models", "als")
     assert set(loaded.extras) == {"umap", "imap"} and os.path.isdir(f"{root}/failures")
     assert au.last_failure_per_model(spark.read.parquet(f"{root}/failures")).first()["model_id"] == "broken"
@@ -51,8 +52,13 @@ def test_guards_and_advice(spark, bundle):
 
 def test_sequences(spark, bundle):
     s = bundle.interactions.groupBy("USER_ID").agg(F.transform(F.array_sort(F.collect_list(F.struct("TIMESTAMP", "ITEM_ID"))), lambda x: x["ITEM_ID"]).alias("ITEM_SEQUENCE"))
-    out = sweep_bundle(create_bundle(s), k_values=[2], primary_metric="recall@2")
+    root = tempfile.mkdtemp(prefix="ranklab-sweep-")
+    out = sweep_bundle(create_bundle(s), k_values=[2], primary_metric="recall@2", keep_top_k=1, models_root=root)
     assert out["scored_slice"] == "train" and 0 <= out["rows"][0]["metrics"]["recall@2"] <= 1
+    assert [r["kind"] for r in rg.list_models(spark, root).collect()] == ["transitions"]
+    b = create_bundle(s)
+    with pytest.raises(ValueError, match="no scores for roc_auc"):      # refused, not dropped
+        evaluate_trained(train(b), b.interactions, b.contract, ["recall_at_k", "roc_auc"], [2])
 
 
 def test_evaluate_guards(spark):

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ranklab.plans import evaluate as ev
 from ranklab.plans import methods as me
 from ranklab.plans.bundle import create_bundle
-from ranklab.plans.train import train
+from ranklab.plans.train import load_trained, save_trained, train
 from ranklab.sources import registry as rg
 
 
@@ -79,4 +79,48 @@ def test_als_saves_its_id_maps(spark, rows):
     from ranklab.operators import learners as ln
     a = sorted((r["USER_ID"], r["ITEM_ID"]) for r in ln.als_top_k(h.model, rows, 2).collect())
     assert a == sorted((r["USER_ID"], r["ITEM_ID"]) for r in ln.als_top_k(loaded, rows, 2).collect()) and len(a) == 60
-    assert os.path.isdir(os.path.join(root, "als1", "umap"))
+    assert os.path.isdir(os.path.join(root, "als1", "model", "table_umap"))
+
+
+def wide_of(rows):
+    w = rows.groupBy("USER_ID").agg(F.max("OUTCOME").alias("ITEM_a"), F.max(F.when(F.col("ITEM_ID") == "i2", F.col("OUTCOME"))).alias("ITEM_b"))
+    return w.fillna(0.0).withColumn("ITEM_a", (F.crc32("USER_ID") % 2).cast("double")).withColumn("ITEM_dead", F.lit(1.0))
+
+
+KINDS = {
+    "boosted": ("long", {"short_name": "m", "params": SMALL}),
+    "fm": ("long", {"short_name": "m", "estimator": "fm", "estimator_type": "embedding", "params": {"embedding_dim": 2, "epochs": 1}}),
+    "als": ("long", {"short_name": "m", "estimator": "als", "estimator_type": "embedding", "params": {"n_factors": 4, "epochs": 2}}),
+    "item_trees": ("long", {"short_name": "m", "scorer_type": "independent", "params": SMALL}),
+    "item_logistic": ("long", {"short_name": "m", "scorer_type": "independent", "estimator": "logistic"}),
+    "uplift_x": ("long", {"short_name": "m", "recommender_type": "uplift", "params": SMALL | {"control_item_id": "i0", "learner": "x"}}),
+    "goals": ("long", {"short_name": "m", "recommender_type": "gcsl", "params": SMALL}),
+    "heads": ("wide", None),
+    "classes": ("classes", None),
+    "transitions": ("sequences", None),
+    "contexts": ("sequences", {"short_name": "m", "recommender_type": "sequential", "scorer_type": "sequential", "estimator_type": "sequential",
+                               "estimator": "markov", "params": {"order": 2}}),
+}
+
+
+@pytest.mark.parametrize("kind", KINDS)
+def test_every_kind_is_saved_and_scores_alike(spark, rows, users, kind):
+    shape, method = KINDS[kind]
+    frame = {"long": lambda: rows, "wide": lambda: wide_of(rows), "classes": lambda: rows.groupBy("USER_ID").agg(F.max("ITEM_ID").alias("ITEM_ID")).join(users, "USER_ID"),
+             "sequences": lambda: rows.groupBy("USER_ID").agg(F.transform(F.array_sort(F.collect_list(F.struct("TIMESTAMP", "ITEM_ID"))), lambda x: x["ITEM_ID"]).alias("ITEM_SEQUENCE"))}[shape]()
+    bundle = create_bundle(frame) if shape in ("classes", "sequences") else create_bundle(frame, users=users)
+    if shape == "wide":
+        method = dict(me.AUTO_SWEEPS["wide_multioutput"][0], params=SMALL)
+    if shape == "long" and "scorer_type" not in method:
+        method = me.resolve(bundle.contract, method)[0]
+    handle = train(bundle, method)
+    handle.metrics = {"auc": 0.5}
+    root = tempfile.mkdtemp(prefix="ranklab-models-")
+    save_trained(spark, root, "m1", handle, ["a", "a", "b"])
+    again = load_trained(spark, root, "m1", bundle)
+    assert again.kind == handle.kind and again.config == handle.config and again.metrics == {"auc": 0.5}
+    a, b = (sorted((r["USER_ID"], r["ITEM_ID"], r["rank"], round(r["score"], 6)) for r in h.top_k(bundle.interactions, 3).collect()) for h in (handle, again))
+    assert a == b and a
+    with pytest.raises(rg.RegistryError, match="exists"):
+        save_trained(spark, root, "m1", handle)
+    assert rg.list_models(spark, root, ["b"]).first()["tags"] == ["a", "b"]
