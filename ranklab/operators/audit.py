@@ -17,7 +17,13 @@ URL_PATTERN = r"https?://\S+"
 
 # Fenced python block languages and common bare aliases.
 FENCE_PATTERN = r"(?is)```(?:python|py|py3|ipython|jupyter)?\s*\n(.*?)```"
-IMPORT_PATTERN = r"(?m)^\s*(?:import|from)\s+([A-Za-z_][A-Za-z0-9_]*)"
+# a statement begins a line or follows ; or : - "import" takes a list, "from" one module
+IMPORT_PATTERN = r"(?m)(?:^|[;:])[ \t]*import[ \t]+([^\n;#]+)"
+FROM_PATTERN = r"(?m)(?:^|[;:])[ \t]*from[ \t]+([A-Za-z_][A-Za-z0-9_]*)"
+MODULE_PATTERN = r"^\s*([A-Za-z_][A-Za-z0-9_]*)"
+# Cell magics whose cells hold Python.
+PYTHON_MAGICS = "time|timeit|capture|prun|python|python3|py"
+OTHER_MAGIC_PATTERN = rf"^\s*%%(?!(?:{PYTHON_MAGICS})\b)"
 COMMON_ALIASES = {"pd": "pandas", "np": "numpy", "plt": "matplotlib", "sns": "seaborn", "tf": "tensorflow",
                   "xgb": "xgboost", "lgb": "lightgbm", "jnp": "jax", "torch": "torch", "sklearn": "sklearn"}
 DEFAULT_TRUSTED = ("ranklab", "pyspark")
@@ -59,13 +65,15 @@ def novel_url_counts(conv: DataFrame, assistant_role: str = "assistant") -> Data
 def foreign_references(conv: DataFrame, trusted: Sequence[str] = DEFAULT_TRUSTED,
                        text_col: str = "text") -> DataFrame:
     """D5 (regex re-aim): package roots referenced in fenced Python blocks that are
-    neither standard library nor trusted. Imports come from ``import x`` /
-    ``from x`` lines; bare aliases from ``alias.`` uses (``pd.`` -> pandas).
+    neither standard library nor trusted. Imports come from ``import x, y as z`` lists and
+    ``from x`` statements, also after ``;`` and ``:``; bare aliases from ``alias.`` uses (``pd.`` -> pandas). Blocks that a cell magic
+    gives to another language (``%%bash``, ``%%html``) are not Python and are left out.
     Output (conv_id, turn, package)."""
     blocks = conv.select("conv_id", "turn", F.explode(F.regexp_extract_all(text_col, F.lit(FENCE_PATTERN), 1))
-                         .alias("block"))
-    imports = blocks.select("conv_id", "turn",
-                            F.explode(F.regexp_extract_all("block", F.lit(IMPORT_PATTERN), 1)).alias("package"))
+                         .alias("block")).filter(~F.col("block").rlike(OTHER_MAGIC_PATTERN))
+    listed = F.flatten(F.transform(F.regexp_extract_all("block", F.lit(IMPORT_PATTERN), 1), lambda x: F.split(x, ",")))
+    names = F.concat(F.transform(listed, lambda x: F.regexp_extract(x, MODULE_PATTERN, 1)), F.regexp_extract_all("block", F.lit(FROM_PATTERN), 1))
+    imports = blocks.select("conv_id", "turn", F.explode(names).alias("package")).filter("package <> ''")
     alias_rx = r"(?:^|[^A-Za-z0-9_.])(" + "|".join(COMMON_ALIASES) + r")\."
     alias_map = F.create_map(*[x for kv in COMMON_ALIASES.items() for x in (F.lit(kv[0]), F.lit(kv[1]))])
     aliases = blocks.select("conv_id", "turn",

@@ -209,3 +209,49 @@ def q_code(spark, sf):
     """D5 on messages that hold fenced code: imports and aliases outside the standard library and the trusted packages."""
     c = T.table(spark, sf, "conversations").withColumn("text", F.expr(_CODE))
     return au.foreign_reference_counts(c)
+
+
+_LISTS = """concat(text, chr(10), '```python', chr(10), CASE conv_id % 6 WHEN 0 THEN 'import os, requests as r, json' WHEN 1 THEN 'x = 1; import torch.nn, yaml'
+    WHEN 2 THEN concat('%%bash', chr(10), 'import torch') WHEN 3 THEN 'if x: import yaml, numpy.linalg, sys' WHEN 4 THEN concat('%%time', chr(10), 'from scipy import stats')
+    ELSE 'import json, ranklab.plans, pyspark' END, chr(10), '```')"""
+
+
+@register("planted_import_lists_conversations", """
+SELECT conv_id, count(*) AS n_code_messages, CAST(CASE conv_id % 6 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 0 WHEN 3 THEN 2 WHEN 4 THEN 1 ELSE 0 END AS BIGINT) AS n_foreign_packages
+FROM conversations GROUP BY conv_id""")
+def q_import_lists(spark, sf):
+    """Import lists, imports after ; and :, blocks of other languages."""
+    return au.foreign_reference_counts(T.table(spark, sf, "conversations").withColumn("text", F.expr(_LISTS)))
+
+
+# Texts of this engine's and Spark's errors, and their category.
+_CLASS_CASES = (
+    ("single-class targets: ITEM_a", "multioutput_single_class_target"),
+    ("fewer than 2 surviving targets after dropping single-class ones", "multioutput_all_targets_degenerate"),
+    ("targets must be binary numeric 0/1 - ITEM_x", "multioutput_non_binary_target"),
+    ("candidate restriction is not supported for multi-output scorers", "multioutput_item_subset_unsupported"),
+    ("item features cannot join wide data", "multioutput_users_dataframe_rejected"),
+    ("per_label=True applies to classification/regression metrics, not ranking metrics", "wide_bundle_eval_unsupported"),
+    ("logged rewards must be binary 0/1; 4 are not", "non_binary_logged_rewards"),
+    ("REWARD must be binary 0/1", "non_binary_target"),
+    ("scorer_type=universal does not accept scorer_config keys [a]", "invalid_scorer_config_key"),
+    ("Data type string of column c is not supported.", "object_dtype_features"),
+    ("Encountered null while assembling a row with handleInvalid = error", "nan_in_features"),
+    ("[CANNOT_MERGE_SCHEMAS] Failed merging schemas", "dtype_mismatch_across_files"),
+    ("requirement failed: the number of features does not match", "data_shape_mismatch"),
+    ("the logged items and rewards have different lengths; logged items of the same size are needed", "logged_items_shape_mismatch"),
+    ("constant columns: f1", "degenerate_target_or_features"),
+    ("java.lang.OutOfMemoryError: Java heap space", "oom"),
+    ("ExecutorLostFailure (executor 3 exited)", "executor_lost"),
+    ("something new", "unknown"),
+)
+
+
+@register("failure_classes_orders", "SELECT CASE o_orderkey % " + str(len(_CLASS_CASES)) + " "
+          + " ".join(f"WHEN {i} THEN '{c}'" for i, (_, c) in enumerate(_CLASS_CASES)) + """ END AS category, count(*) AS n, CAST(min(o_custkey) AS BIGINT) AS first_customer
+FROM orders GROUP BY 1""")
+def q_failure_classes(spark, sf):
+    """A log with every class of failure."""
+    texts = F.array(*[F.lit(t) for t, _ in _CLASS_CASES])
+    log = T.table(spark, sf, "orders").select("o_custkey", texts[(F.col("o_orderkey") % len(_CLASS_CASES)).cast("int")].alias("message"))
+    return dg.classify_failures(log, type_col=None).groupBy("category").agg(F.count(F.lit(1)).alias("n"), F.min("o_custkey").cast("long").alias("first_customer"))
