@@ -155,14 +155,16 @@ def positional_segments(df: DataFrame, order_cols: Sequence[str], bucket: Column
     n = before
     cuts = [int(c) for c in cuts_fn(int(n))]
     located = [next((c, bk, bf, cnt) for bk, bf, cnt in hist if bf <= c < bf + cnt) for c in cuts if 0 < c < n]
-    d = df.withColumns({"_bk": bucket, "_tie": _content(df)})
-    names = [*order_cols, "_tie"]
-    fields = [d.schema[c] for c in names]
-    key = F.struct(*[F.col(c) for c in names])
     edge, first = [], {}
     for bk in sorted({bk for c, bk, bf, _ in located if c > bf}):
         first[bk] = sum(cnt for b, _, cnt in hist if b in edge)  # first position of the bucket among the edge rows
         edge.append(bk)
+    # a row's content is hashed only where a cut falls into its bucket
+    tie = F.when(F.col("_bk").isin(edge), _content(df)) if edge else F.lit(None).cast("long")
+    d = df.withColumn("_bk", bucket).withColumn("_tie", tie)
+    names = [*order_cols, "_tie"]
+    fields = [d.schema[c] for c in names]
+    key = F.struct(*[F.col(c) for c in names])
     thresholds = {}  # cut -> (key at the cut, rows of the same key before the cut)
     if edge:
         pos = cumulative_before(d.filter(F.col("_bk").isin(edge)).select("_bk", *names), ["_bk", *names], out="_p")
@@ -189,7 +191,7 @@ def positional_segments(df: DataFrame, order_cols: Sequence[str], bucket: Column
         extra = F.lit(0)
         for values, aheads in split_keys.items():
             eq = key == _literal(values, fields)
-            same = same | eq
+            same = same | F.coalesce(eq, F.lit(False))
             extra = extra + F.when(eq, sum((F.col("_copy") >= a).cast("int") for a in aheads)).otherwise(0)
         equal = _numbered_copies(d.filter(same)).withColumn(out, F.col(out) + extra).drop("_copy")
         d = d.filter(~same).unionByName(equal)
