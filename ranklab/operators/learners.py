@@ -292,8 +292,7 @@ class Uplift:
     folds: int
     key: list[str]
     outcome: bo.Boosted
-    effect: bo.Boosted | None = None       # X: imputed effects
-    propensity: bo.Boosted | None = None   # X
+    effect: bo.Boosted | None = None       # X: imputed effects by (fold, arm), then propensities by fold
 
 
 TREATED = "_uplift_treated"
@@ -341,10 +340,9 @@ def fit_uplift(df: DataFrame, numeric: Sequence[str], treatment: str, label: str
         return m
     base = _with_means(m, d)
     imputed = F.when(t, y - F.col("mu0")).otherwise(F.col("mu1") - y)
-    h, heads = _folded_heads(base, imputed, fold, folds, t)
-    m.effect = bo.fit_boosted(h, numeric, categorical, heads, False, **p)
-    h, heads = _folded_heads(d, t.cast("double"), fold, folds)
-    m.propensity = bo.fit_boosted(h, numeric, categorical, heads, True, **p)
+    h, effects = _folded_heads(base, imputed, fold, folds, t)
+    h, treated = _folded_heads(h, t.cast("double"), fold, folds, prefix="_p")
+    m.effect = bo.fit_boosted(h, numeric, categorical, [*effects, *treated], [False] * len(effects) + [True] * len(treated), **p)
     return m
 
 
@@ -366,8 +364,9 @@ def score_uplift(m: Uplift, df: DataFrame) -> DataFrame:
     d = _with_means(m, df)
     effect = F.col("mu1") - F.col("mu0")
     if m.learner == "x":
-        d = bo.score_boosted(m.effect, d, "_s").withColumns({"tau1": _own("_s", m.folds, fold, 0, 2), "tau0": _own("_s", m.folds, fold, 1, 2)}).drop("_s")
-        d = bo.score_boosted(m.propensity, d, "_s").withColumn("propensity", _own("_s", m.folds, fold)).drop("_s")
+        d = bo.score_boosted(m.effect, d, "_s").withColumns({
+            "tau1": _own("_s", m.folds, fold, 0, 2), "tau0": _own("_s", m.folds, fold, 1, 2),
+            "propensity": F.element_at("_s", (fold + 2 * m.folds + 1).cast("int"))}).drop("_s")
         effect = F.col("propensity") * F.col("tau0") + (1 - F.col("propensity")) * F.col("tau1")
     return d.withColumn("uplift", effect).withColumn("score", F.col("uplift"))
 

@@ -200,12 +200,12 @@ def _large_quantity(spark, sf):
 def q_uplift_learners(spark, sf):
     """T-, S- and X-learner effect of a large quantity on returns, mean per segment; every row is scored by models that did not see its user."""
     j = materialize(_large_quantity(spark, sf), "treated")
-    out = None
-    for name in ("t", "s", "x"):
-        m = ln.fit_uplift(j, ["acctbal", "nation"], "t", learner=name)
-        g = ln.score_uplift(m, j).groupBy("segment").agg(F.avg("uplift").alias(f"{name}_learner"), F.stddev("uplift").alias(f"{name}_spread"))
-        out = g if out is None else out.join(g, "segment")
-    return out.select("segment", *[r6(f"{name}_{v}") for name in ("t", "s", "x") for v in ("learner", "spread")])
+    # the X-learner's first stage is the T-learner
+    x = ln.score_uplift(ln.fit_uplift(j, ["acctbal", "nation"], "t", learner="x"), j).groupBy("segment").agg(
+        *[f(c).alias(f"{n}_{v}") for n, c in (("t", F.col("mu1") - F.col("mu0")), ("x", F.col("uplift"))) for v, f in (("learner", F.avg), ("spread", F.stddev))])
+    s = ln.score_uplift(ln.fit_uplift(j, ["acctbal", "nation"], "t", learner="s"), j).groupBy("segment").agg(
+        F.avg("uplift").alias("s_learner"), F.stddev("uplift").alias("s_spread"))
+    return x.join(s, "segment").select("segment", *[r6(f"{n}_{v}") for n in ("t", "s", "x") for v in ("learner", "spread")])
 
 
 @register("uplift_qini_returns")

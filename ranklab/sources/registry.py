@@ -67,7 +67,7 @@ def to_parts(model) -> tuple[dict, dict, dict]:
         return {"type": "boosted", "model": trees(model, "model")}, tables, stages
     if isinstance(model, Uplift):
         return {"type": "uplift", "learner": model.learner, "folds": model.folds, "key": model.key,
-                **{part: trees(getattr(model, part), part) for part in ("outcome", "effect", "propensity")}}, tables, stages
+                **{part: trees(getattr(model, part), part) for part in ("outcome", "effect")}}, tables, stages
     if isinstance(model, DataFrame):
         tables["rows"] = model
         return {"type": "table"}, tables, stages
@@ -99,7 +99,7 @@ def from_parts(text: dict, table, stage):
     if kind == "boosted":
         return trees(text["model"], "model")
     if kind == "uplift":
-        return Uplift(text["learner"], text["folds"], text["key"], *[trees(text[part], part) for part in ("outcome", "effect", "propensity")])
+        return Uplift(text["learner"], text["folds"], text["key"], *[trees(text[part], part) for part in ("outcome", "effect")])
     if kind == "table":
         return table("rows")
     if kind == "item_trees":
