@@ -88,15 +88,30 @@ def materialize(df: DataFrame, name: str, partition_by: tuple = ()) -> DataFrame
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.parquet(path)
-    _WRITTEN.append(path)
+    drop_later(path)
     return df.sparkSession.read.parquet(path)
 
 
 _WRITTEN: list[str] = []
 
 
+def drop_later(path: str) -> str:
+    """Have ``path`` deleted by ``drop_materialized``, which also runs when the process ends with its session still open."""
+    if not _WRITTEN:
+        atexit.unregister(_drop_at_exit)
+        atexit.register(_drop_at_exit)
+    _WRITTEN.append(path)
+    return path
+
+
+def _drop_at_exit() -> None:
+    spark = SparkSession.getActiveSession()
+    if spark is not None and spark.sparkContext._jsc is not None:
+        drop_materialized(spark)
+
+
 def drop_materialized(spark: SparkSession) -> int:
-    """Delete the tables that ``materialize`` wrote in this process, through Hadoop's FileSystem; returns their number."""
+    """Delete the working tables that this process wrote, through Hadoop's FileSystem; returns their number."""
     n = len(_WRITTEN)
     while _WRITTEN:
         p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
