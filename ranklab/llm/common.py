@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ranklab.session import cut_lineage, ensure_checkpoint_dir
+from ranklab.session import cut_lineage, drop_later, ensure_checkpoint_dir
 
 QUERIES: dict[str, Callable] = {}
 ORACLE: dict[str, str] = {}
@@ -36,8 +36,8 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as Parquet to the shared folder and read back: later passes read it, columns and filters are pushed down,
-    and a lost executor costs a read."""
-    path = shared_path(df.sparkSession, name)
+    and a lost executor costs a read. It is deleted when the process ends."""
+    path = drop_later(shared_path(df.sparkSession, name))
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
 
