@@ -1,4 +1,4 @@
-"""Learners (M1-M10, M14, M17-M20, M22): boosted trees (``boosting``) and ``pyspark.ml``.
+"""Learners (M1-M10, M14, M17-M20, M22): boosted trees (``boosting``), factorization machines (``factorization``) and ``pyspark.ml``.
 
 Every fit runs distributed. Feature building stays in the
 DataFrame API: ids that ALS needs as integers are indexed with an exact
@@ -15,17 +15,16 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import FMClassifier, LogisticRegression
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import FeatureHasher, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.recommendation import ALS
-from pyspark.ml.regression import FMRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ranklab.operators import boosting as bo
+from ranklab.operators import factorization as fz
 from ranklab.operators.split import cumulative_before
 from ranklab.session import cut_lineage
 
@@ -97,35 +96,27 @@ def tree_params(params: dict | None) -> dict:
 def fit_universal(train: DataFrame, numeric: Sequence[str], categorical: Sequence[str] = (),
                   family: str = "gbt", task: str = "classification", label: str = "OUTCOME",
                   params: dict | None = None, hashed: Sequence[str] = ("USER_ID", "ITEM_ID"),
-                  num_hash_features: int | None = None, seed: int = 42) -> bo.Boosted | PipelineModel:
+                  seed: int = 42) -> bo.Boosted | fz.Factorization:
     """One model over user ⊕ item ⊕ feature rows.
 
-    family 'gbt': boosted trees on binned features (``boosting``). family 'fm': factorization machine
-    (FMClassifier/FMRegressor, factorSize = embedding_dim) - the second-order
-    feature-interaction model that stands in for the neural families.
+    family 'gbt': boosted trees on binned features (``boosting``). family 'fm': factorization machine over the ids of ``hashed`` and all
+    features (``factorization``; k = embedding_dim, sweeps = epochs) - the second-order feature-interaction model that stands in for the neural families.
     """
     if family == "gbt":
         return bo.fit_boosted(train, numeric, categorical, [label], task == "classification", **tree_params(params))
     if family != "fm":
         raise ValueError(f"unknown universal family {family!r}")
     p = dict(params or {})
-    # Feature stages fitted once; the assembled vectors are persisted for the estimator's many passes
-    fe = tabular_features(train, numeric, categorical, hashed, num_hash_features).fit(train)
-    kw = dict(featuresCol="features", labelCol=label, factorSize=int(p.get("embedding_dim", 8)),
-              maxIter=int(p.get("epochs", 5)) * 10, stepSize=float(p.get("learning_rate", 0.01)), seed=seed)
-    est = FMClassifier(**kw) if task == "classification" else FMRegressor(**kw)
-    vec = fe.transform(train).select("features", label).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        model = est.fit(vec)
-    finally:
-        vec.unpersist()
-    return PipelineModel(stages=[fe, model])
-
-
-def score_pairs(model: bo.Boosted | PipelineModel, pairs: DataFrame, task: str = "classification") -> DataFrame:
+    return fz.fit_factorization(train, [*hashed, *categorical], numeric, label, task == "classification", k=int(p.get("embedding_dim", 8)),
+                                sweeps=int(p.get("epochs", 3)), l2=float(p.get("l2", fz.L2)), seed=seed)
+
+
+def score_pairs(model: bo.Boosted | fz.Factorization | PipelineModel, pairs: DataFrame, task: str = "classification") -> DataFrame:
     """Score given (user, item, features) rows - a join-driven evaluation set, not a cross product."""
     if isinstance(model, bo.Boosted):
         return bo.score_boosted(model, pairs, "_scores").withColumn("score", F.col("_scores")[0]).drop("_scores")
+    if isinstance(model, fz.Factorization):
+        return fz.score_factorization(model, pairs)
     pred = model.transform(pairs)
     if task == "classification":
         return positive_probability(pred)

@@ -138,10 +138,10 @@ def q_gbt_reg(spark, sf):
 
 @register("fm_universal_auc")
 def q_fm(spark, sf):
-    """Factorization machine on hashed user/item ids plus features."""
+    """Factorization machine over user and item ids, segment, brand and numbers; parameters in tables."""
     train, valid = temporal_parts(spark, sf)
-    m = ln.fit_universal(_features(train, spark, sf), ["acctbal", "retailprice"], [], "fm",
-                         params={"embedding_dim": 4, "epochs": 2})
+    m = ln.fit_universal(_features(train, spark, sf), ["acctbal", "retailprice"], CATEGORICAL, "fm",
+                         params={"embedding_dim": 8, "epochs": 3})
     scored = ln.score_pairs(m, _features(valid, spark, sf))
     return mt.classification_metrics(scored, "OUTCOME", "score").select(r6("roc_auc"), r6("pr_auc"), "n_pos", "n_neg")
 

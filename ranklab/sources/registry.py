@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ranklab.operators import boosting as bo
+from ranklab.operators import factorization as fz
 from ranklab.operators.learners import ModelHandle, Uplift
 from ranklab.session import path_exists
 
@@ -65,6 +66,9 @@ def to_parts(model) -> tuple[dict, dict, dict]:
 
     if isinstance(model, bo.Boosted):
         return {"type": "boosted", "model": trees(model, "model")}, tables, stages
+    if isinstance(model, fz.Factorization):
+        tables.update({f"field_{i}": t for i, t in enumerate(model.tables)})
+        return {"type": "factorization", "model": fz.describe(model)}, tables, stages
     if isinstance(model, Uplift):
         return {"type": "uplift", "learner": model.learner, "folds": model.folds, "key": model.key,
                 **{part: trees(getattr(model, part), part) for part in ("outcome", "effect")}}, tables, stages
@@ -98,6 +102,9 @@ def from_parts(text: dict, table, stage):
     kind = text["type"]
     if kind == "boosted":
         return trees(text["model"], "model")
+    if kind == "factorization":
+        d = text["model"]
+        return fz.Factorization(**d, tables=[table(f"field_{i}") for i in range(len(d["categorical"]) + len(d["numeric"]))])
     if kind == "uplift":
         return Uplift(text["learner"], text["folds"], text["key"], *[trees(text[part], part) for part in ("outcome", "effect")])
     if kind == "table":
