@@ -13,7 +13,7 @@ from ranklab.plans import evaluate as ev
 from ranklab.plans import methods as me
 from ranklab.plans import sweep as sw
 from ranklab.plans.bundle import Bundle
-from ranklab.plans.train import Trained, histories, save_trained, train
+from ranklab.plans.train import RANKERS, Trained, histories, save_trained, train
 
 SEQUENCE_CONTRACTS = ("prebuilt_sequences", "sessions")
 
@@ -34,7 +34,7 @@ def evaluate_trained(handle: Trained, frame: DataFrame, contract: str, metrics:
     what they predict.
     """
     scorer = handle.config.get("scorer_type")
-    if handle.kind == "transitions" and (other := [m for m in metrics if m not in ev.RANKING_METRICS]):
+    if handle.kind in RANKERS and (other := [m for m in metrics if m not in ev.RANKING_METRICS]):
         raise ValueError(f"{handle.model_id} ranks next items and has no scores for {', '.join(other)}; ask for {', '.join(sorted(ev.RANKING_METRICS))}")
     if contract in SEQUENCE_CONTRACTS:
         frame, logged = last_events(frame)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ranklab.functions.columns import epoch_seconds
 from ranklab.operators import profile as pf
 from ranklab.operators import reshape as rs
+from ranklab.operators import sparse as spw
 from ranklab.operators import split as sp
 from ranklab.operators import validate as vd
 from ranklab.plans import bundle as bd
@@ -166,6 +167,41 @@ def q_pivot(spark, sf):
                             order_cols=["TIMESTAMP", "o_orderkey"])
 
 
+@register("pivot_parts_sparse", f"""
+WITH {V.INTER},
+c AS (SELECT USER_ID, 'ITEM_' || ITEM_ID AS t, max(OUTCOME) AS v FROM inter GROUP BY ALL),
+m AS (SELECT USER_ID, count(*) AS n_targets, string_agg(t || ':' || CAST(CAST(v AS INTEGER) AS VARCHAR), ',' ORDER BY t) AS targets FROM c GROUP BY USER_ID),
+f AS (SELECT USER_ID, arg_min("TIMESTAMP", ("TIMESTAMP", l_orderkey, l_linenumber)) AS first_seen,
+             arg_min(l_orderkey, ("TIMESTAMP", l_orderkey, l_linenumber)) AS first_order FROM inter GROUP BY USER_ID)
+SELECT USER_ID, n_targets, targets, first_seen, first_order FROM m JOIN f USING (USER_ID)""")
+def q_pivot_sparse(spark, sf):
+    """A target a part, thousands of them, kept as cells."""
+    d = T.interactions(spark, sf).select("USER_ID", "ITEM_ID", "OUTCOME", "TIMESTAMP", "l_orderkey", "l_linenumber")
+    w = spw.user_rows(spw.pivot_sparse(d, order_cols=["TIMESTAMP", "l_orderkey", "l_linenumber"]))
+    cells = F.transform(F.map_entries("TARGETS"), lambda e: F.concat(e["key"], F.lit(":"), e["value"].cast("int").cast("string")))
+    return w.select("USER_ID", F.size("TARGETS").cast("long").alias("n_targets"), F.array_join(cells, ",").alias("targets"),
+                    F.col("TIMESTAMP").alias("first_seen"), F.col("l_orderkey").alias("first_order"))
+
+
+@register("target_manifest_parts", f"""
+WITH {V.INTER},
+c AS (SELECT USER_ID, 'ITEM_' || ITEM_ID AS t, max(CASE WHEN l_linenumber >= 7 THEN l_quantity ELSE OUTCOME END) AS v FROM inter GROUP BY ALL),
+u AS (SELECT count(DISTINCT USER_ID) AS n FROM inter),
+a AS (SELECT t, n, count(*) AS k, count(DISTINCT v) AS d, min(v) AS lo, bool_or(v = 0) AS zero, count(*) FILTER (v NOT IN (0, 1)) AS bad FROM c, u GROUP BY t, n),
+b AS (SELECT *, d + CASE WHEN k < n AND NOT zero THEN 1 ELSE 0 END AS nd FROM a),
+s AS (SELECT t, string_agg(CAST(CAST(v AS INTEGER) AS VARCHAR), ',' ORDER BY v) AS samples
+      FROM (SELECT DISTINCT t, v, dense_rank() OVER (PARTITION BY t ORDER BY v) AS r FROM c WHERE v NOT IN (0, 1)) WHERE r <= 5 GROUP BY t)
+SELECT t AS "column", CASE WHEN bad > 0 THEN 'bad_non_binary' WHEN nd < 2 THEN 'degenerate' ELSE 'ok' END AS status,
+       CASE WHEN bad = 0 AND nd < 2 THEN lo END AS value_seen, CASE WHEN bad > 0 THEN samples END AS samples,
+       n AS n_nonnull, CAST(nd AS BIGINT) AS n_distinct
+FROM b LEFT JOIN s USING (t)""")
+def q_manifest_sparse(spark, sf):
+    """R9 over a target a part; the last line of an order holds its quantity in place of the flag."""
+    v = F.when(F.col("l_linenumber") >= 7, F.col("l_quantity")).otherwise(F.col("OUTCOME"))
+    m = spw.cell_manifest(spw.pivot_sparse(T.interactions(spark, sf).select("USER_ID", "ITEM_ID", v.alias("OUTCOME"))))
+    return m.withColumn("samples", F.array_join(F.transform("samples", lambda x: x.cast("double").cast("int").cast("string")), ","))
+
+
 @register("melt_labels_long", f"""
 WITH {V.LAB}
 SELECT USER_ID, lang, n_chars, 'ITEM_quality' AS ITEM_ID, ITEM_quality AS OUTCOME FROM lab

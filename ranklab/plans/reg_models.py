@@ -10,6 +10,7 @@ from ranklab.operators import learners as ln
 from ranklab.operators import metrics as mt
 from ranklab.operators import profile as pf
 from ranklab.operators import scoring as sc
+from ranklab.operators import sparse as spw
 from ranklab.operators import split as sp
 from ranklab.operators import stats as st
 from ranklab.plans import sql_views as V
@@ -47,6 +48,47 @@ def q_independent(spark, sf):
     return m.select("ITEM_ID", r6("slope"), r6("intercept"), F.col("n").cast("long").alias("n"))
 
 
+@register("linear_heads_parts", f"""
+WITH {V.INTER}, {V.USERS},
+c AS (SELECT USER_ID, ITEM_ID, max(OUTCOME) AS v FROM inter GROUP BY ALL),
+x AS (SELECT USER_ID, acctbal / 1000 AS x FROM users WHERE USER_ID IN (SELECT USER_ID FROM inter)),
+g AS (SELECT count(*) AS n, sum(x) AS sx, sum(x * x) AS sxx FROM x),
+s AS (SELECT ITEM_ID, sum(v) AS sy, sum(v * x) AS sxy FROM c JOIN x USING (USER_ID) GROUP BY ITEM_ID),
+b AS (SELECT ITEM_ID, n, sx, sy, (n * sxy - sx * sy) / (n * sxx - sx * sx) AS slope FROM s, g)
+SELECT 'ITEM_' || ITEM_ID AS ITEM_ID, round(slope, 6) + 0.0 AS slope, round((sy - slope * sx) / n, 6) + 0.0 AS intercept FROM b""")
+def q_linear_heads(spark, sf):
+    """M5, M6 with a target a part: least squares of each on the customers' balance, customers without the part counting as 0."""
+    d = T.interactions(spark, sf).select("USER_ID", "ITEM_ID", "OUTCOME")
+    u = T.users(spark, sf).select("USER_ID", (F.col("acctbal") / 1000).alias("balance"))
+    h = spw.linear_heads(spw.pivot_sparse(d.join(u, "USER_ID")), ["balance"])
+    return h.select("ITEM_ID", (F.round(F.col("beta")[1], 6) + 0.0).alias("slope"), (F.round(F.col("beta")[0], 6) + 0.0).alias("intercept"))
+
+
+def _lines(spark, sf):
+    """Order lines with the part as the class of what was ordered."""
+    t = T.table(spark, sf, "lineitem")
+    return t.select((F.col("l_orderkey") * 16 + F.col("l_linenumber")).cast("string").alias("USER_ID"), F.col("l_partkey").alias("ITEM_ID"),
+                    F.col("l_quantity").cast("double").alias("quantity"), (F.col("l_extendedprice").cast("double") / 1000).alias("price"))
+
+
+@register("discriminant_parts", """
+WITH d AS (SELECT l_partkey AS c, CAST(l_quantity AS DOUBLE) AS q, CAST(l_extendedprice AS DOUBLE) / 1000 AS p FROM lineitem),
+t AS (SELECT count(*) AS n, avg(q) AS q0, avg(p) AS p0 FROM d),
+m AS (SELECT c, count(*) AS n, avg(q) AS mq, avg(p) AS mp FROM d GROUP BY c),
+w AS (SELECT sum((q - mq) * (q - mq)) AS qq, sum((q - mq) * (p - mp)) AS qp, sum((p - mp) * (p - mp)) AS pp FROM d JOIN m USING (c)),
+k AS (SELECT w.qq / (t.n - (SELECT count(*) FROM m)) AS qq, w.qp / (t.n - (SELECT count(*) FROM m)) AS qp, w.pp / (t.n - (SELECT count(*) FROM m)) AS pp,
+             t.n AS total, q0, p0 FROM w, t),
+i AS (SELECT total, q0, p0, 1.001 / (1.001 * 1.001 - qp * qp / (qq * pp)) / qq AS a, 1.001 / (1.001 * 1.001 - qp * qp / (qq * pp)) / pp AS b,
+             -(qp / (qq * pp)) / (1.001 * 1.001 - qp * qp / (qq * pp)) AS o FROM k),
+s AS (SELECT c, n, total, q0, p0, mq - q0 AS dq, mp - p0 AS dp, a * (mq - q0) + o * (mp - p0) AS sq, o * (mq - q0) + b * (mp - p0) AS sp FROM m, i)
+SELECT c AS ITEM_ID, round(ln(n / total) - (sq * dq + sp * dp) / 2 - sq * q0 - sp * p0, 6) + 0.0 AS intercept,
+       round(sq, 6) + 0.0 AS quantity, round(sp, 6) + 0.0 AS price FROM s""")
+def q_discriminant(spark, sf):
+    """M4 with a class a part: the linear score of every class on quantity and price of an order line."""
+    m = spw.fit_discriminant(_lines(spark, sf), ["quantity", "price"])
+    return m.select("ITEM_ID", *[(F.round(F.col("beta")[j], 6) + 0.0).alias(n) for j, n in enumerate(("intercept", "quantity", "price"))])
+
+
 _METHODS = ("gbt_universal", "als_universal", "fm_universal", "markov_sequential")
 
 
@@ -156,6 +198,17 @@ def q_multiclass(spark, sf):
                     F.count(F.lit(1)).alias("n")).select(r6("accuracy"), "n")
 
 
+@register("discriminant_parts_metrics")
+def q_discriminant_metrics(spark, sf):
+    """M4 with a class a part, held-out order lines: how often the true part is among the ten best classes, and its mean reciprocal rank."""
+    fit, held = _held_out(_lines(spark, sf))
+    m = spw.fit_discriminant(fit, ["quantity", "price"])
+    top = spw.discriminant_top_k(m, held, ["quantity", "price"], 10).withColumnRenamed("ITEM_ID", "_guess")
+    hit = held.join(top, (held["USER_ID"] == top["USER_ID"]) & (held["ITEM_ID"] == top["_guess"]), "left")
+    return hit.agg(F.avg(F.col("rank").isNotNull().cast("double")).alias("recall_10"), F.avg(F.coalesce(1 / F.col("rank"), F.lit(0.0))).alias("mrr_10"),
+                   F.count(F.lit(1)).alias("n")).select(r6("recall_10"), r6("mrr_10"), "n")
+
+
 @register("multioutput_labels")
 def q_multioutput(spark, sf):
     """M5: one head per ITEM_* target on a shared vector; per-target AUC."""

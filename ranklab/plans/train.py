@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from ranklab.operators import boosting as bo
 from ranklab.operators import learners as ln
 from ranklab.operators import scoring as sc
+from ranklab.operators import sparse as spw
 from ranklab.plans.bundle import Bundle, join_item_features, join_user_features
 from ranklab.plans.evaluate import Scores, check_scorer_config
 from ranklab.plans.methods import AUTO_SWEEPS
@@ -24,6 +25,8 @@ from ranklab.session import materialize
 from ranklab.sources import registry
 
 KEYS = ("USER_ID", "ITEM_ID", "OUTCOME", "TIMESTAMP", "PROPENSITY")
+#: Kinds that rank items and give no score of a pair.
+RANKERS = ("transitions", "discriminant")
 
 
 def with_features(frame: DataFrame, bundle: Bundle) -> DataFrame:
@@ -67,8 +70,8 @@ class Trained:
             classes = m.stages[0].labels
             p = m.transform(frame).select("USER_ID", F.posexplode(ln.vector_to_array("probability")).alias("_c", "score"))
             return p.select("USER_ID", F.array(*[F.lit(c) for c in classes])[F.col("_c")].alias("ITEM_ID"), "score")
-        if kind == "transitions":
-            raise ValueError("sequence models rank next items; use top_k")
+        if kind in RANKERS:
+            raise ValueError("sequence models and discriminants rank items; use top_k")
         rows = with_features(frame, self.bundle)
         if kind == "independent":
             rows = bo.score_by_item(m, rows) if isinstance(m, tuple) else ln.score_independent(m, rows, self.numeric)
@@ -89,6 +92,9 @@ class Trained:
             order = int(self.config.get("params", {}).get("order", 1))
             h = histories(frame, self.config)
             return sc.next_items_by_context(h, self.model, order, k) if order > 1 else sc.next_items(h, self.model, k, order_cols=("TIMESTAMP",))
+        if self.kind == "discriminant":
+            model = self.model if candidates is None else sc.restrict_candidates(self.model, candidates, scorer_type="multiclass")
+            return spw.discriminant_top_k(model, with_features(frame, self.bundle), self.numeric, k)
         s = self.pair_scores(frame)
         if candidates is not None:
             s = sc.restrict_candidates(s, candidates, scorer_type=self.config.get("scorer_type", "universal"))
@@ -96,7 +102,7 @@ class Trained:
 
     def scores(self, frame: DataFrame, k: int = 10) -> Scores:
         """What the evaluation driver needs for a slice; pair scores only where the model scores pairs."""
-        pairs = None if self.kind == "transitions" else self.pair_scores(frame)
+        pairs = None if self.kind in RANKERS else self.pair_scores(frame)
         return Scores(topk=self.top_k(frame, k), pair_scores=pairs)
 
 
@@ -144,6 +150,8 @@ def train(bundle: Bundle, method: dict | None = None, scorer_config: dict | None
             targets = [c for c in rows.columns if c.startswith("ITEM_") and c != "ITEM_ID"]
             kind, model = "multioutput", ln.fit_multioutput(rows, targets, numeric, categorical, task, params,
                                                             on_degenerate=(scorer_config or {}).get("on_degenerate_target", "constant"))
+        elif scorer == "multiclass" and est == "discriminant":
+            kind, model = "discriminant", materialize(spw.fit_discriminant(rows, numeric), "discriminant")
         elif scorer == "multiclass":
             kind, model = "multiclass", ln.fit_multiclass(rows, numeric, categorical)
         elif recommender == "uplift":

@@ -97,6 +97,8 @@ KINDS = {
     "goals": ("long", {"short_name": "m", "recommender_type": "gcsl", "params": SMALL}),
     "heads": ("wide", None),
     "classes": ("classes", None),
+    "discriminant": ("classes", {"short_name": "m", "recommender_type": "ranking", "scorer_type": "multiclass", "estimator_type": "tabular",
+                                 "estimator": "discriminant"}),
     "transitions": ("sequences", None),
     "contexts": ("sequences", {"short_name": "m", "recommender_type": "sequential", "scorer_type": "sequential", "estimator_type": "sequential",
                                "estimator": "markov", "params": {"order": 2}}),
