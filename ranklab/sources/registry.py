@@ -104,7 +104,7 @@ def from_parts(text: dict, table, stage):
         return trees(text["model"], "model")
     if kind == "factorization":
         d = text["model"]
-        return fz.Factorization(**d, tables=[table(f"field_{i}") for i in range(len(d["categorical"]) + len(d["numeric"]))])
+        return fz.Factorization(**d, tables=[table(f"field_{i}") for i in range(len(d["categorical"]))])
     if kind == "uplift":
         return Uplift(text["learner"], text["folds"], text["key"], *[trees(text[part], part) for part in ("outcome", "effect")])
     if kind == "table":
