@@ -12,7 +12,7 @@ from ranklab.operators import split as sp
 from ranklab.operators import validate as vd
 from ranklab.plans import bundle as bd
 from ranklab.plans import sql_views as V
-from ranklab.plans.registering import r6, registry
+from ranklab.plans.registering import r6, registry, written_interactions
 from ranklab.plans.transform import transform
 from ranklab.sources import tables as T
 
@@ -380,7 +380,7 @@ SELECT split, count(*) AS n_rows, min("TIMESTAMP") AS min_ts, max("TIMESTAMP") A
        CAST(sum(l_orderkey) AS BIGINT) AS sum_orderkey, CAST(sum(l_partkey) AS BIGINT) AS sum_partkey
 FROM sp GROUP BY split""")
 def q_split_temporal(spark, sf):
-    s = sp.temporal_split(T.interactions(spark, sf), 0.1, 0.1, "TIMESTAMP", T.INTER_TIEBREAK)
+    s = sp.temporal_split(written_interactions(spark, sf, ["TIMESTAMP", *T.INTER_TIEBREAK]), 0.1, 0.1, "TIMESTAMP", T.INTER_TIEBREAK)
     return s.groupBy("split").agg(F.count(F.lit(1)).alias("n_rows"), F.min("TIMESTAMP").alias("min_ts"),
                                   F.max("TIMESTAMP").alias("max_ts"), F.sum("l_orderkey").alias("sum_orderkey"),
                                   F.sum("l_partkey").alias("sum_partkey"))
@@ -392,7 +392,7 @@ SELECT split, count(*) AS n_rows, count(DISTINCT USER_ID) AS n_users,
        CAST(sum(l_orderkey) AS BIGINT) AS sum_orderkey, CAST(sum(l_partkey) AS BIGINT) AS sum_partkey
 FROM sp GROUP BY split""")
 def q_split_temporal_uneven(spark, sf):
-    return _split_summary(sp.temporal_split(T.interactions(spark, sf), 0.07, 0.23, "TIMESTAMP", T.INTER_TIEBREAK))
+    return _split_summary(sp.temporal_split(written_interactions(spark, sf, ["USER_ID", "TIMESTAMP", *T.INTER_TIEBREAK]), 0.07, 0.23, "TIMESTAMP", T.INTER_TIEBREAK))
 
 
 @register("split_leave_last_events", f"""

@@ -167,7 +167,7 @@ UNION ALL
 SELECT 'expected_reward', round(avg(coalesce(pi.pi, 0) * v.OUTCOME), 6) FROM v LEFT JOIN pi USING (ITEM_ID)""")
 def q_rewards(spark, sf):
     train, valid = temporal_parts(spark, sf)
-    pop = sc.item_mean_scores(train)
+    pop = materialize(sc.item_mean_scores(train), "item-means")
     logged = mt.logged_per_row(valid, T.INTER_TIEBREAK)
     a = mt.average_reward_at_k(logged, sc.top_k_global(pop, 10), [5, 10])
     e = mt.expected_reward_global(logged, pop)
@@ -197,7 +197,7 @@ UNION ALL SELECT 'DR', round(dr, 6) FROM a
 UNION ALL SELECT 'policy_weighted', round(pw, 6) FROM a""")
 def q_offpolicy(spark, sf):
     train, valid = temporal_parts(spark, sf)
-    q = sc.item_mean_scores(train).withColumnRenamed("score", "q")
+    q = materialize(sc.item_mean_scores(train), "item-means").withColumnRenamed("score", "q")
     logged = op.empirical_propensity(mt.logged_per_row(valid, T.INTER_TIEBREAK))
     res = op.off_policy_estimates(logged, q, epsilon=0.1)  # greedy on q, ties by item id
     return res.select("metric", r6("value"))
@@ -564,7 +564,7 @@ def q_eval_driver(spark, sf):
     """E13-E15, E23 through the evaluation driver: one long result table keyed name@k."""
     from ranklab.plans import evaluate as ev
     train, valid = temporal_parts(spark, sf)
-    pop = sc.item_mean_scores(train)
+    pop = materialize(sc.item_mean_scores(train), "item-means")
     logged = mt.logged_per_row(valid, T.INTER_TIEBREAK)
     pairs = valid.select("USER_ID", "ITEM_ID").distinct().join(pop, "ITEM_ID")  # scores of the logged pairs only
     res = ev.evaluate("popularity", ev.Scores(topk=sc.top_k_global(pop, 10), pair_scores=pairs, item_scores=pop),
