@@ -93,3 +93,16 @@ def test_qini_curve(spark):
     assert [x[:2] for x in got] == [x[:2] for x in want] and [x[2] for x in got] == pytest.approx([x[2] for x in want])
     assert got[-1][3] == pytest.approx(got[-1][2]) and got[0][3] == pytest.approx(got[-1][2] * 100 / 997)
     assert sc.qini_curve(df.limit(0), "score", "t").count() == 0
+
+
+def test_a_task_keeps_k_items_a_query_over_all_its_blocks(spark):
+    """What leaves a task does not grow with the number of item blocks it met."""
+    import pyarrow as pa
+    r = np.random.default_rng(1)
+    v = r.integers(-3, 4, (60, 3)).astype(float)
+    ids = [list(range(a, a + 10)) for a in range(0, 60, 10)]
+    pair = [(ids[0], v[:10].tobytes(), one, v[one].tobytes()) for one in ids]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*pair), (pa.list_(pa.int64()), pa.binary()) * 2)], ["ids", "vectors", "_ids", "_vectors"])
+    got = [x for b in sc._best_of_blocks([batch], 4, False) for x in zip(*(c.to_pylist() for c in b.columns))]
+    s = v @ v.T
+    assert sorted((q, -x, i) for q, i, x in got) == [(q, -s[q, i], i) for q in range(10) for i in sorted((i for i in range(60) if i != q), key=lambda i: (-s[q, i], i))[:4]]
