@@ -196,9 +196,9 @@ UNION ALL SELECT 'direct_method', round(dmv, 6) FROM a
 UNION ALL SELECT 'DR', round(dr, 6) FROM a
 UNION ALL SELECT 'policy_weighted', round(pw, 6) FROM a""")
 def q_offpolicy(spark, sf):
-    train, valid = temporal_parts(spark, sf)
+    train, valid = temporal_parts(spark, sf, cols=["USER_ID", "ITEM_ID", "OUTCOME"])
     q = materialize(sc.item_mean_scores(train), "item-means").withColumnRenamed("score", "q")
-    logged = op.empirical_propensity(mt.logged_per_row(valid, T.INTER_TIEBREAK))
+    logged = op.empirical_propensity(mt.logged_per_row(valid, None))
     res = op.off_policy_estimates(logged, q, epsilon=0.1)  # greedy on q, ties by item id
     return res.select("metric", r6("value"))
 
