@@ -12,7 +12,6 @@ from ranklab.operators import metrics as mt
 from ranklab.operators import scoring as sc
 from ranklab.plans.registering import temporal_parts
 from ranklab.session import materialize
-from ranklab.sources import tables
 
 
 def baseline_results(spark: SparkSession, sf_dir: str, k: int = 10, valid_fraction: float = 0.1,
@@ -20,12 +19,12 @@ def baseline_results(spark: SparkSession, sf_dir: str, k: int = 10, valid_fracti
     """Two user-independent scorers from ONE aggregation over train (mean outcome
     and interaction count per item), evaluated together in ONE pass over the
     validation rows."""
-    train, valid = temporal_parts(spark, sf_dir, valid_fraction, test_fraction)
+    train, valid = temporal_parts(spark, sf_dir, valid_fraction, test_fraction, ["USER_ID", "ITEM_ID", "OUTCOME"])
     stats = materialize(train.groupBy("ITEM_ID").agg(F.avg("OUTCOME").alias("popularity"),
                                                      F.count(F.lit(1)).cast("double").alias("most_interacted")), "item-means")
     tops = {m: sc.top_k_global(stats.select("ITEM_ID", F.col(m).alias("score")), k)
             for m in ("popularity", "most_interacted")}
-    logged = mt.logged_per_row(valid, tables.INTER_TIEBREAK)
+    logged = mt.logged_per_row(valid, None)
     return mt.ranking_metrics_by_model(logged, tops, [k])
 
 
