@@ -145,7 +145,7 @@ SELECT round(sqrt(avg((score - OUTCOME_revenue) * (score - OUTCOME_revenue))), 6
        (SELECT count(*) FROM sp WHERE split = 'valid') AS n_logged
 FROM sp v JOIN m USING (ITEM_ID) WHERE v.split = 'valid'""")
 def q_regression(spark, sf):
-    train, valid = temporal_parts(spark, sf)
+    train, valid = temporal_parts(spark, sf, cols=["ITEM_ID", "OUTCOME_revenue"])
     m = train.groupBy("ITEM_ID").agg(F.avg("OUTCOME_revenue").alias("score"))
     r = mt.regression_metrics(valid.join(m, "ITEM_ID"), "OUTCOME_revenue", "score")
     return r.select(r6("rmse"), r6("mae"), "n", F.lit(valid.count()).cast("long").alias("n_logged"))
