@@ -31,6 +31,10 @@ _SP = f"{V.INTER},\n{V.temporal_split_sql('inter', V.INTER_ORDER)}"
 _POP = "pop AS (SELECT ITEM_ID, avg(OUTCOME) AS score FROM sp WHERE split = 'train' GROUP BY ITEM_ID)"
 
 
+# What the metrics over logged rows read, where a row's key names its instance.
+_LOGGED = ["USER_ID", "ITEM_ID", "OUTCOME", *T.INTER_TIEBREAK]
+
+
 # ------------------------------------------------------------------ ranking metrics, per-user regime
 
 @register("ranking_metrics_per_user", f"""
@@ -61,7 +65,7 @@ UNION ALL SELECT 'map', k, round(map, 6) FROM agg
 UNION ALL SELECT 'ndcg', k, round(ndcg, 6) FROM agg
 UNION ALL SELECT 'mrr', k, round(mrr, 6) FROM agg""")
 def q_rank_per_user(spark, sf):
-    train, valid = temporal_parts(spark, sf)
+    train, valid = temporal_parts(spark, sf, cols=["USER_ID", "ITEM_ID", "OUTCOME"])
     top = sc.top_k_global(sc.item_mean_scores(train), 20)
     res = mt.ranking_metrics(mt.logged_per_user(valid), top, [5, 10, 20])
     return res.select("metric", "k", r6("value"))
@@ -95,7 +99,7 @@ scored AS (SELECT v.OUTCOME AS label, p.score FROM sp v JOIN pop p USING (ITEM_I
 a AS ({_auc_sql(None)})
 SELECT a.*, (SELECT count(*) FROM sp WHERE split = 'valid') AS n_logged FROM a""")
 def q_auc(spark, sf):
-    train, valid = temporal_parts(spark, sf)
+    train, valid = temporal_parts(spark, sf, cols=["ITEM_ID", "OUTCOME"])
     scored = valid.join(sc.item_mean_scores(train), "ITEM_ID")
     m = mt.classification_metrics(scored, "OUTCOME", "score")
     # n_logged beside n_pos + n_neg tells how many logged rows have no score (cold items)
@@ -166,7 +170,7 @@ SELECT 'average_reward@10', round(sum(CASE WHEN rank <= 10 THEN reward / 10 ELSE
 UNION ALL
 SELECT 'expected_reward', round(avg(coalesce(pi.pi, 0) * v.OUTCOME), 6) FROM v LEFT JOIN pi USING (ITEM_ID)""")
 def q_rewards(spark, sf):
-    train, valid = temporal_parts(spark, sf)
+    train, valid = temporal_parts(spark, sf, cols=_LOGGED)
     pop = materialize(sc.item_mean_scores(train), "item-means")
     logged = mt.logged_per_row(valid, T.INTER_TIEBREAK)
     a = mt.average_reward_at_k(logged, sc.top_k_global(pop, 10), [5, 10])
@@ -228,7 +232,7 @@ j AS (SELECT d.metric, d.k, d.dm, b.prop, g.rank IS NOT NULL AS shown,
 def q_offpolicy_at_k(spark, sf):
     """E16-E21 through the evaluation driver: every estimator at two ks."""
     from ranklab.plans import evaluate as ev
-    train, valid = temporal_parts(spark, sf)
+    train, valid = temporal_parts(spark, sf, cols=_LOGGED)
     pop = cut_lineage(sc.item_mean_scores(train))
     logged = cut_lineage(op.empirical_propensity(mt.logged_per_row(valid, T.INTER_TIEBREAK)))
     scores = ev.Scores(topk=sc.top_k_global(pop, 200), item_scores=pop)
@@ -283,7 +287,7 @@ FROM j, (SELECT unnest([10, 500]) AS d) GROUP BY d""")
 def q_eval_depths(spark, sf):
     """Two evaluations of one model through one cache; the deeper list is not served from the shorter one."""
     from ranklab.plans import evaluate as ev
-    train, valid = temporal_parts(spark, sf)
+    train, valid = temporal_parts(spark, sf, cols=_LOGGED)
     pop = cut_lineage(sc.item_mean_scores(train))
     logged = cut_lineage(mt.logged_per_row(valid, T.INTER_TIEBREAK))
     with ev.ScoreCache() as cache:
@@ -563,7 +567,7 @@ UNION ALL SELECT 'popularity', 'expected_reward', round(avg(coalesce(pi.pi, 0) *
 def q_eval_driver(spark, sf):
     """E13-E15, E23 through the evaluation driver: one long result table keyed name@k."""
     from ranklab.plans import evaluate as ev
-    train, valid = temporal_parts(spark, sf)
+    train, valid = temporal_parts(spark, sf, cols=_LOGGED)
     pop = materialize(sc.item_mean_scores(train), "item-means")
     logged = mt.logged_per_row(valid, T.INTER_TIEBREAK)
     pairs = valid.select("USER_ID", "ITEM_ID").distinct().join(pop, "ITEM_ID")  # scores of the logged pairs only
