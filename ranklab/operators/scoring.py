@@ -227,94 +227,242 @@ def next_items_by_context(histories: DataFrame, counts: DataFrame, order: int, k
 
 # ----------------------------------------------------------------- M11, M16: the whole catalogue
 
+#: Bytes of vectors in one row of a block table, and of the items that a task reads at once.
+ROW_BYTES, TASK_BYTES = 1 << 22, 1 << 26
+#: Queries that are put in order of nearness at a time, and groups of near queries that travel together.
+CHUNK, GROUPS = 1 << 17, 16
+#: Items looked at first to learn what the others must reach, and at once after them.
+FIRST, STEP = 256, 2048
 
-def _vector_blocks(batches, size: int):
-    """(ids, vectors) blocks of up to ``size`` rows."""
-    ids, parts, n = [], [], 0
 
-    def block():
-        return pa.RecordBatch.from_arrays([pa.array([ids], pa.list_(pa.int64())), pa.array([np.concatenate(parts).tobytes()], pa.binary())], ["ids", "vectors"])
+def _chunks(batches, size: int):
+    """(ids, vectors) of up to ``size`` rows."""
+    ids, parts, n = [], [], 0
     for batch in batches:
         at = 0
         while at < batch.num_rows:
             part = batch.slice(at, size - n)
-            v = part.column("v").flatten().to_numpy(zero_copy_only=False).astype("<f8")
-            parts.append(v)
-            ids += part.column("id").to_pylist()
+            ids.append(part.column("id").to_numpy(zero_copy_only=False))
+            parts.append(part.column("v").flatten().to_numpy(zero_copy_only=False).astype("<f8").reshape(part.num_rows, -1))
             at, n = at + part.num_rows, n + part.num_rows
             if n == size:
-                yield block()
+                yield np.concatenate(ids), np.concatenate(parts)
                 ids, parts, n = [], [], 0
     if n:
-        yield block()
+        yield np.concatenate(ids), np.concatenate(parts)
+
+
+def _lengths(v: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore", invalid="ignore"):
+        return np.sqrt((v * v).sum(1))
+
+
+def _scale(q: np.ndarray, unit: bool) -> np.ndarray:
+    """What queries are divided by before they are compared with each other: a query's best items do not depend on its length."""
+    return np.where((size := _lengths(q)) > 0, size, 1.0) if unit else np.ones(len(q))
+
+
+def _near_groups(v: np.ndarray, size: int) -> list[np.ndarray]:
+    """Row numbers in groups of up to ``size`` vectors near each other: halves by the coordinate that varies most, until they are small."""
+    todo, groups = [np.arange(len(v))], []
+    while todo:
+        rows = todo.pop()
+        if len(rows) <= size:
+            groups.append(rows)
+            continue
+        x = v[rows]
+        half = len(rows) // 2
+        order = np.argpartition(x[:, x.std(0).argmax()], half)
+        todo += [rows[order[half:]], rows[order[:half]]]
+    return groups
+
+
+def _packed(batches, rows: int, size: int, weight: np.ndarray | None, unit: bool):
+    """Rows of a block table: up to ``rows`` vectors, and with ``weight`` (what each coordinate counts) in groups of up to ``size`` near ones that end at ``ends``."""
+    for ids, v in _chunks(batches, rows if weight is None else max(rows, min(CHUNK, ROW_BYTES * GROUPS // (8 * max(1, len(weight)))))):
+        if weight is None:
+            groups = [np.arange(len(v))]
+        else:
+            ok = np.isfinite(_lengths(v))
+            good, bad = np.flatnonzero(ok), np.flatnonzero(~ok)
+            groups = [good[g] for g in _near_groups(v[good] / _scale(v[good], unit)[:, None] * weight, size)] + [bad[at:at + size] for at in range(0, len(bad), size)]
+            groups = [g for g in groups if len(g)]
+        most = max(1, min(GROUPS, rows // size)) if weight is not None else 1
+        for at in range(0, len(groups), most):
+            some = np.concatenate(groups[at:at + most])
+            ends = np.cumsum([len(g) for g in groups[at:at + most]])
+            yield pa.RecordBatch.from_arrays([pa.array([ids[some]], pa.list_(pa.int64())), pa.array([v[some].tobytes()], pa.binary()), pa.array([ends], pa.list_(pa.int32()))],
+                                             ["ids", "vectors", "ends"])
+
+
+def _coordinate_sums(batches, unit: bool):
+    """One row: number, sums, squares and extremes of a task's finite vectors by coordinate."""
+    total = None
+    for _, v in _chunks(batches, 1 << 14):
+        v = v[np.isfinite(_lengths(v))]
+        if len(v):
+            v = v / _scale(v, unit)[:, None]
+            x = len(v), v.sum(0), (v * v).sum(0), v.min(0), v.max(0)
+            total = x if total is None else (total[0] + x[0], total[1] + x[1], total[2] + x[2], np.minimum(total[3], x[3]), np.maximum(total[4], x[4]))
+    if total is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([total[0]]), *[pa.array([x], pa.list_(pa.float64())) for x in total[1:]]], ["n", "s", "ss", "lo", "hi"])
+
+
+def _coordinates(df: DataFrame, unit: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(mean, standard deviation, whether it is one number other than 0) of each coordinate of a table of vectors; a row a task reaches the driver."""
+    some = df.select(F.size("v").alias("d")).first()
+    d = some["d"] if some else 0
+    r = df.mapInArrow(lambda b: _coordinate_sums(b, unit), "n long, s array<double>, ss array<double>, lo array<double>, hi array<double>").collect()
+    if not r:
+        return np.zeros(d), np.zeros(d), np.zeros(d, bool)
+    n, s, ss = (np.sum([x[c] for x in r], axis=0) for c in ("n", "s", "ss"))
+    lo, hi = np.min([x["lo"] for x in r], axis=0), np.max([x["hi"] for x in r], axis=0)
+    return s / n, np.sqrt(np.maximum(ss / n - (s / n) ** 2, 0.0)), (lo == hi) & (lo != 0)
 
 
 def _near_products(q: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """All dot products in single precision, and by how much those of each query may be off, rounding to ``DOT_DIGITS`` included."""
     with np.errstate(over="ignore", invalid="ignore"):
-        size = np.sqrt((q * q).sum(1)) * np.sqrt((v * v).sum(1)).max()
+        size = _lengths(q) * _lengths(v).max()
         if np.isfinite(size).all() and size.max() < 1e30:
             return q.astype("<f4") @ v.astype("<f4").T, 4 * (q.shape[1] + 4) * 2.0 ** -23 * size + 2 * 10.0 ** -DOT_DIGITS
-        return q @ v.T, 1e-12 * size + 2 * 10.0 ** -DOT_DIGITS
-
-
-def _best_of_blocks(batches, k: int, same: bool):
-    """The best k items of a task's item blocks for every query of its query blocks.
-
-    Each query keeps its best so far; of a further block only the pairs that reach the k-th of them are looked at again.
-    """
-    best = {}
+        return q @ v.T, np.where(np.isfinite(size), 1e-12 * size + 2 * 10.0 ** -DOT_DIGITS, np.inf)
+
+
+class _Near:
+    """Queries near each other, the best items of each so far, and the box and the ball that all of them lie in."""
+
+    def __init__(self, ids: np.ndarray, q: np.ndarray, k: int, mean: np.ndarray, unit: bool):
+        self.ids, self.q, self.k, n = ids, q, k, len(q)
+        self.score, self.item, self.count, self.least = np.zeros((n, k)), np.zeros((n, k), np.int64), np.zeros(n, np.int64), np.full(n, -np.inf)
+        self.finite = bool(np.isfinite(_lengths(q)).all())
+        self.by = _scale(q, unit) if self.finite else np.ones(n)
+        u = q / self.by[:, None] if self.finite else np.zeros_like(q)
+        lo, hi = u.min(0), u.max(0)
+        self.middle, self.half, self.centre = (lo + hi) / 2, (hi - lo) / 2, u.mean(0)
+        self.radius, self.size = _lengths(u - self.centre).max(), np.sqrt((np.maximum(abs(lo), abs(hi)) ** 2).sum())
+        self.shift = q @ mean if self.finite else np.zeros(n)
+
+    def floor(self) -> float:
+        """What the bound of an item must reach for it to be among the best of any of the queries."""
+        return ((self.least - self.shift - 2 * 10.0 ** -DOT_DIGITS) / self.by).min() if self.finite else -np.inf
+
+    def add(self, ids: np.ndarray, v: np.ndarray, same: bool) -> None:
+        s, slack = _near_products(self.q, v)
+        least, new = np.where(np.isinf(slack), -np.inf, self.least - np.where(np.isinf(slack), 0.0, slack)), np.flatnonzero(self.count < self.k)
+        if len(new) and s.shape[1] > self.k + 1 and s.dtype == np.float32:      # one more, as an item may be the query itself
+            least[new] = np.maximum(least[new], np.partition(s[new], s.shape[1] - self.k - 1, axis=1)[:, s.shape[1] - self.k - 1] - slack[new])
+        least = least.astype(s.dtype)
+        rows = np.flatnonzero((s.max(1) if s.dtype == np.float32 else np.fmax.reduce(s, axis=1)) >= least)
+        if not len(rows):
+            return
+        row, col = np.divmod(np.flatnonzero(s[rows] >= least[rows, None]), s.shape[1])
+        row = rows[row]
+        with np.errstate(over="ignore", invalid="ignore"):
+            item, score = ids[col], np.round((self.q[row] * v[col]).sum(1), DOT_DIGITS)
+        good = (score >= self.least[row]) & (True if same else self.ids[row] != item)
+        row, item, score = row[good], item[good], score[good]
+        hit = np.unique(row)
+        held = np.arange(self.k) < self.count[hit][:, None]
+        row, item, score = np.concatenate((np.repeat(hit, self.count[hit]), row)), np.concatenate((self.item[hit][held], item)), np.concatenate((self.score[hit][held], score))
+        order = np.lexsort((item, -score, row))
+        row, item, score = row[order], item[order], score[order]
+        nth = np.arange(len(row)) - np.searchsorted(row, row)
+        best = nth < self.k
+        self.score[row[best], nth[best]], self.item[row[best], nth[best]] = score[best], item[best]
+        self.count[hit] = np.minimum(self.k, np.searchsorted(row, hit, "right") - np.searchsorted(row, hit))
+        self.least[hit] = np.where(self.count[hit] == self.k, self.score[hit, self.k - 1], -np.inf)
+
+
+def _offer(near: list[_Near], ids: np.ndarray, v: np.ndarray, same: bool, mean: np.ndarray) -> None:
+    """Show a block of items to groups of queries. Only items whose bound (the highest product with any point of a group's box and ball) reaches what
+    some query of it already has are multiplied; products are compared less the items' mean, which changes no query's order."""
+    ok = np.isfinite(_lengths(v))
+    if not ok.all():
+        for g in near:
+            g.add(ids[~ok], v[~ok], same)
+        ids, v = ids[ok], v[ok]
+    if not len(v):
+        return
+    w = v - mean
+    length = _lengths(w)
+    table = lambda name: np.array([getattr(g, name) for g in near])      # noqa: E731
+    bounds = np.minimum(table("middle") @ w.T + table("half") @ np.abs(w).T, table("centre") @ w.T + table("radius")[:, None] * length)
+    bounds += (1e-11 * (length.max() + 2 * _lengths(mean[None])[0]) * (1 + table("size")))[:, None]
+    for g, bound in zip(near, bounds):
+        take = np.flatnonzero(bound >= g.floor()) if g.finite else np.arange(len(v))
+        if len(take) > FIRST and g.finite:
+            take = take[np.argsort(-bound[take])]
+        at, step = 0, FIRST
+        while at < len(take):
+            part = take[at:at + step]
+            g.add(ids[part], v[part], same)
+            at, step = at + step, STEP
+            if g.finite and at < len(take):
+                take = take[:np.searchsorted(-bound[take], -g.floor(), "right")]
+
+
+def _best_of_blocks(batches, k: int, same: bool, mean: np.ndarray, unit: bool):
+    """The best k items of a task's item blocks for every query of its query blocks, whose pairs come one query block after the other."""
+    name, near = None, []
+
+    def found():
+        for g in near:
+            held = np.arange(k) < g.count[:, None]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(g.ids, g.count)), pa.array(g.item[held]), pa.array(g.score[held])], ["query", "item", "score"])
     for batch in batches:
-        for qi, qv, ii, iv in zip(*(batch.column(c) for c in ("ids", "vectors", "_ids", "_vectors"))):
-            qi, ii = qi.values.to_numpy(zero_copy_only=False), ii.values.to_numpy(zero_copy_only=False)
-            q, v = np.frombuffer(qv.as_py(), "<f8").reshape(len(qi), -1), np.frombuffer(iv.as_py(), "<f8").reshape(len(ii), -1)
-            s, slack = _near_products(q, v)
-            old = best.get(key := qi.tobytes())
-            if old is None:
-                least = np.partition(s, max(0, s.shape[1] - k - 1), axis=1)[:, max(0, s.shape[1] - k - 1)]     # one more, as an item may be the query itself
-                old = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
-            else:
-                least = old[3]
-            row, col = np.nonzero(s >= (least - slack)[:, None].astype(s.dtype))
-            if not same:
-                other = qi[row] != ii[col]
-                row, col = row[other], col[other]
-            row, item, score = np.concatenate((old[0], row)), np.concatenate((old[1], ii[col])), np.concatenate((old[2], np.round((q[row] * v[col]).sum(1), DOT_DIGITS)))
-            order = np.lexsort((item, -score, row))
-            row, item, score = row[order], item[order], score[order]
-            nth = np.arange(len(row)) - np.searchsorted(row, row)
-            row, item, score, nth = row[nth < k], item[nth < k], score[nth < k], nth[nth < k]
-            least = np.full(len(qi), -np.inf)
-            least[row[nth == k - 1]] = score[nth == k - 1]
-            best[key] = (row, item, score, least)
-    for key, (row, item, score, _) in best.items():
-        yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(key, np.int64)[row]), pa.array(item), pa.array(score)], ["query", "item", "score"])
+        lot, qi, qv, ends, ii, iv = (batch.column(c) for c in ("lot", "ids", "vectors", "ends", "_ids", "_vectors"))
+        for r in range(batch.num_rows):
+            if lot[r].as_py() != name:
+                yield from found()
+                ids, at = qi[r].values.to_numpy(zero_copy_only=False), 0
+                name, near, q = lot[r].as_py(), [], np.frombuffer(qv[r].as_py(), "<f8").reshape(len(ids), -1)
+                for end in ends[r].as_py():
+                    near.append(_Near(ids[at:end], q[at:end], k, mean, unit))
+                    at = end
+            ids = ii[r].values.to_numpy(zero_copy_only=False)
+            _offer(near, ids, np.frombuffer(iv[r].as_buffer(), "<f8").reshape(len(ids), -1), same, mean)
+    yield from found()
 
 
 def catalogue_top_k(queries: DataFrame, items: DataFrame, k: int, query_id: str = "USER_ID", item_id: str = "ITEM_ID", vector: str = "embedding",
-                    block: int = 2048, same: bool = True) -> DataFrame:
+                    block: int = 1024, same: bool = True) -> DataFrame:
     """(query id, item id, score, rank): the k items of the whole catalogue with the highest dot product, for every query; equal
     scores go by item id. Ids are whole numbers; ``same=False`` leaves out an item with the query's own id. Rows without a vector take no part.
 
-    Queries and items are packed into blocks, and blocks dealt into lots; each lot of queries meets each lot of items in one task, so a block
-    travels as often as the other side has lots (about the root of the tasks), and k items a query leave the task. Those are merged by query
-    with a group limit. Nothing is broadcast.
+    Queries are dealt into groups near each other (a range shuffle by the coordinate that decides most, then halves), items into plain blocks, and both
+    written. Each task reads some query blocks and a part of the item blocks as they were written, so blocks are neither shuffled nor broadcast; for a
+    group it multiplies only the items that a bound over the group cannot rule out. The result is exact: with vectors that lie without any order all
+    pairs are multiplied. k items a query and part of the items leave the tasks and are merged by query with a group limit.
     """
-    def blocks(df, id_col):
-        d = df.filter(F.size(vector) > 0).select(F.col(id_col).cast("long").alias("id"), F.transform(vector, lambda x: x.cast("double")).alias("v"))
-        return materialize(d.mapInArrow(lambda b: _vector_blocks(b, block), "ids array<bigint>, vectors binary"), "vector-blocks")
-    q, i = blocks(queries, query_id), blocks(items, item_id)
-    n_q, n_i, tasks = q.count(), i.count(), int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # lots of equal size on both sides, as many pairs of lots as tasks
-    q_lots = max(1, min(n_q, round((tasks * max(1, n_q) / max(1, n_i)) ** 0.5)))
-    i_lots = max(1, min(n_i, -(-tasks // q_lots)))
-
-    def dealt(df, name, lots, other, others):
-        mine = F.pmod(F.xxhash64("ids"), F.lit(lots)).alias(name)
-        return df.select("*", mine, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(others - 1).cast("long"))).alias(other))
-    q = dealt(q, "_a", q_lots, "_b", i_lots)
-    i = dealt(i, "_b", i_lots, "_a", q_lots).select("_a", "_b", F.col("ids").alias("_ids"), F.col("vectors").alias("_vectors"))
-    part = q.join(i, ["_a", "_b"]).select("ids", "vectors", "_ids", "_vectors").mapInArrow(lambda b: _best_of_blocks(b, k, same), "query bigint, item bigint, score double")
+    def rows(df, id_col):
+        return materialize(df.filter(F.size(vector) > 0).select(F.col(id_col).cast("long").alias("id"), F.transform(vector, lambda x: x.cast("double")).alias("v")), "vectors")
+
+    def packed(df, weight=None, size=block * 8):
+        t = df.mapInArrow(lambda b: _packed(b, most(size * GROUPS if weight is not None else size), size, weight, unit), "ids array<bigint>, vectors binary, ends array<int>")
+        return materialize(t.withColumn("lot", F.monotonically_increasing_id()), "vector-blocks")
+    q, i = rows(queries, query_id), rows(items, item_id)
+    n_q, cores = q.count(), max(1, q.sparkSession.sparkContext.defaultParallelism)
+    mean, spread, _ = _coordinates(i)
+    unit, d = not _coordinates(q)[2].any(), max(1, len(mean))       # a coordinate that never varies (an intercept): the queries are scaled already
+
+    def most(size):
+        return max(1, min(size, ROW_BYTES // (8 * d)))
+    size = most(block)
+    if len(mean) and n_q:
+        scaled = _coordinates(q, unit)[1] * spread
+        key, tasks = F.element_at("v", int(scaled.argmax()) + 1), max(cores, -(-n_q // CHUNK))
+        if unit:
+            key = key / F.sqrt(F.aggregate("v", F.lit(1e-300), lambda a, x: a + x * x))
+        q = q.repartitionByRange(tasks, key)
+        q, i = packed(q, spread + 1e-300, max(1, min(size, n_q // (4 * cores)))), packed(i)
+    else:
+        q, i = packed(q), packed(i)
+    n_lots, n_blocks = q.count(), i.count()
+    parts = min(max(1, n_blocks), max(-(-n_blocks * most(block * 8) * 8 * d // TASK_BYTES), -(-cores // max(1, n_lots))))
+    q = q.repartition(max(1, min(n_lots, 4 * cores)), "lot").select("lot", "ids", "vectors", "ends")
+    i = i.repartition(parts).select(F.col("ids").alias("_ids"), F.col("vectors").alias("_vectors"))
+    part = q.crossJoin(i.hint("shuffle_replicate_nl")).mapInArrow(lambda b: _best_of_blocks(b, k, same, mean, unit), "query bigint, item bigint, score double")
     return top_k_per_user(part, k, "query", "item").select(F.col("query").alias(query_id), F.col("item").alias(item_id), "score", "rank")
 
 

@@ -29,6 +29,49 @@ def test_catalogue_top_k_equals_brute_force(spark, block):
     assert sc.catalogue_top_k(df.withColumnRenamed("id", "USER_ID"), few, 5).count() == 100
 
 
+def plain_top(q, v, k):
+    with np.errstate(all="ignore"):
+        s = np.round((q[:, None, :] * v[None]).sum(2), sc.DOT_DIGITS)
+    out = {}
+    for a in range(len(q)):
+        known = np.flatnonzero(~np.isnan(s[a]))
+        out[a] = [(n + 1, int(i), float(s[a, i])) for n, i in enumerate(known[np.lexsort((known, -s[a, known]))[:k]])]
+    return {a: t for a, t in out.items() if t}
+
+
+@pytest.mark.parametrize("kind", ["intercept", "popular", "not finite"])
+def test_catalogue_top_k_leaves_no_item_out(spark, kind):
+    r = np.random.default_rng(3)
+    q, v = r.normal(size=(400, 4)), r.normal(size=(700, 4)) * r.gamma(0.5, size=(700, 1))
+    if kind == "intercept":
+        q[:, 0] = 1.0
+    if kind == "not finite":        # such vectors take no other vector of their block with them
+        q[3], q[4, 1], q[8], q[9] = np.nan, np.inf, 0.0, 1e200
+        v[5], v[6, 0], v[9] = np.nan, np.inf, 1e200
+    a, b = (spark.createDataFrame(list(enumerate(x.tolist())), f"{n} long, embedding array<double>").repartition(3) for x, n in ((q, "USER_ID"), (v, "ITEM_ID")))
+    got = {}
+    for x in sc.catalogue_top_k(a, b, 6, block=32).collect():
+        got.setdefault(x["USER_ID"], []).append((x["rank"], x["ITEM_ID"], x["score"]))
+    assert {u: sorted(t) for u, t in got.items()} == plain_top(q, v, 6)
+
+
+def test_near_queries_multiply_few_items(monkeypatch):
+    r = np.random.default_rng(4)
+    q = np.column_stack([np.ones(4096), r.uniform(0, 50, 4096), r.uniform(0, 100, 4096)])
+    v = np.column_stack([-r.uniform(10, 20, 20_000), r.normal(size=(20_000, 2)) / 10])
+    mean, near, pairs = v.mean(0), [], []
+    for rows in sc._near_groups(q * v.std(0), 64):
+        near.append(sc._Near(rows, q[rows], 10, mean, False))
+    plain = sc._near_products
+    monkeypatch.setattr(sc, "_near_products", lambda a, b: pairs.append(len(a) * len(b)) or plain(a, b))
+    for at in range(0, len(v), 5000):
+        sc._offer(near, np.arange(at, at + 5000), v[at:at + 5000], True, mean)
+    assert sum(pairs) < len(q) * len(v) / 10
+    want = plain_top(q[:50], v, 10)
+    got = {int(i): [(n + 1, int(x), float(s)) for n, (x, s) in enumerate(zip(g.item[j], g.score[j]))] for g in near for j, i in enumerate(g.ids) if i < 50}
+    assert got == want
+
+
 def histories(r, users=40):
     out = []
     for u in range(users):
