@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -97,3 +98,13 @@ def test_independent_classifiers_match_spark_ml(spark, inter):
     want = sorted(r["probability"][1] for r in m.transform(part).collect())
     got = sorted(r["score"] for r in scored.filter(F.col("ITEM_ID") == item).collect())
     assert got == pytest.approx(want, abs=0.02)
+
+
+def test_als_pairs_serve_several_fits(spark, inter):
+    pairs = ln.als_pairs(inter)
+    assert pairs[0].columns == ["u", "i", "r"] and pairs[0].count() == inter.count()
+    for rank in (2, 3):
+        a, b = ln.fit_als(inter, rank=rank, max_iter=2, seed=1), ln.fit_als(inter, rank=rank, max_iter=2, seed=1, pairs=pairs)
+        for x in ("userFactors", "itemFactors"):
+            p, q = (dict(getattr(h.model, x).rdd.map(lambda r: (r["id"], list(r["features"]))).collect()) for h in (a, b))
+            assert p.keys() == q.keys() and all(np.allclose(p[i], q[i], atol=1e-4) for i in p)
