@@ -108,3 +108,10 @@ def test_als_pairs_serve_several_fits(spark, inter):
         for x in ("userFactors", "itemFactors"):
             p, q = (dict(getattr(h.model, x).rdd.map(lambda r: (r["id"], list(r["features"]))).collect()) for h in (a, b))
             assert p.keys() == q.keys() and all(np.allclose(p[i], q[i], atol=1e-4) for i in p)
+
+
+def test_large_models_send_their_factors_to_fewer_blocks():
+    assert ln._als_blocks(15_000, 20_000, 480_000, 16) == ln._als_blocks(900_000, 1_200_000, 28_800_000, 16) == 10
+    few = ln._als_blocks(5_400_000, 7_200_000, 173_000_000, 16)
+    assert 3 <= few and few * (5_400_000 + 7_200_000) * 64 < 3e9                 # bytes a step sends
+    assert ln._als_blocks(5_400_000, 7_200_000, 600_000_000, 16) * ln.BLOCK_RATINGS >= 600_000_000
