@@ -340,24 +340,32 @@ class _Near:
         u = q / self.by[:, None] if self.finite else np.zeros_like(q)
         lo, hi = u.min(0), u.max(0)
         self.middle, self.half, self.centre = (lo + hi) / 2, (hi - lo) / 2, u.mean(0)
-        self.radius, self.size = _lengths(u - self.centre).max(), np.sqrt((np.maximum(abs(lo), abs(hi)) ** 2).sum())
+        self.lengths, self.radius = _lengths(u), _lengths(u - self.centre).max()
+        self.size, self.most = np.sqrt((np.maximum(abs(lo), abs(hi)) ** 2).sum()), self.lengths.max()
         self.shift = q @ mean if self.finite else np.zeros(n)
 
-    def floor(self) -> float:
-        """What the bound of an item must reach for it to be among the best of any of the queries."""
-        return ((self.least - self.shift - 2 * 10.0 ** -DOT_DIGITS) / self.by).min() if self.finite else -np.inf
+    def floors(self) -> np.ndarray:
+        """What the bound of an item must reach for it to be among the best of each query."""
+        return (self.least - self.shift - 2 * 10.0 ** -DOT_DIGITS) / self.by if self.finite else np.full(len(self.q), -np.inf)
 
-    def add(self, ids: np.ndarray, v: np.ndarray, same: bool) -> None:
-        s, slack = _near_products(self.q, v)
-        least, new = np.where(np.isinf(slack), -np.inf, self.least - np.where(np.isinf(slack), 0.0, slack)), np.flatnonzero(self.count < self.k)
+    def add(self, ids: np.ndarray, v: np.ndarray, same: bool, longest: float = np.inf) -> None:
+        """Items that may be among the best; none is longer than ``longest``, so they are multiplied only with queries that such an item can be good for."""
+        some = np.flatnonzero(self.floors() <= self.lengths * longest) if self.finite and longest < np.inf else np.arange(len(self.q))
+        if len(some):
+            self._add(some, ids, v, same)
+
+    def _add(self, some: np.ndarray, ids: np.ndarray, v: np.ndarray, same: bool) -> None:
+        q, floor, count = (x if len(some) == len(self.q) else x[some] for x in (self.q, self.least, self.count))
+        s, slack = _near_products(q, v)
+        least, new = np.where(np.isinf(slack), -np.inf, floor - np.where(np.isinf(slack), 0.0, slack)), np.flatnonzero(count < self.k)
         if len(new) and s.shape[1] > self.k + 1 and s.dtype == np.float32:      # one more, as an item may be the query itself
             least[new] = np.maximum(least[new], np.partition(s[new], s.shape[1] - self.k - 1, axis=1)[:, s.shape[1] - self.k - 1] - slack[new])
         least = least.astype(s.dtype)
         rows = np.flatnonzero((s.max(1) if s.dtype == np.float32 else np.fmax.reduce(s, axis=1)) >= least)
         if not len(rows):
             return
-        row, col = np.divmod(np.flatnonzero(s[rows] >= least[rows, None]), s.shape[1])
-        row = rows[row]
+        row, col = np.divmod(np.flatnonzero((s if len(rows) == len(s) else s[rows]) >= least[rows, None]), s.shape[1])
+        row = some[rows[row]]
         with np.errstate(over="ignore", invalid="ignore"):
             item, score = ids[col], np.round((self.q[row] * v[col]).sum(1), DOT_DIGITS)
         good = (score >= self.least[row]) & (True if same else self.ids[row] != item)
@@ -376,7 +384,7 @@ class _Near:
 
 def _offer(near: list[_Near], ids: np.ndarray, v: np.ndarray, same: bool, mean: np.ndarray) -> None:
     """Show a block of items to groups of queries. Only items whose bound (the highest product with any point of a group's box and ball) reaches what
-    some query of it already has are multiplied; products are compared less the items' mean, which changes no query's order."""
+    some query of it already has are multiplied; products are compared less the items' mean, which changes no query's order. Long items come first, so that little of the rest is left."""
     ok = np.isfinite(_lengths(v))
     if not ok.all():
         for g in near:
@@ -388,18 +396,19 @@ def _offer(near: list[_Near], ids: np.ndarray, v: np.ndarray, same: bool, mean:
     length = _lengths(w)
     table = lambda name: np.array([getattr(g, name) for g in near])      # noqa: E731
     bounds = np.minimum(table("middle") @ w.T + table("half") @ np.abs(w).T, table("centre") @ w.T + table("radius")[:, None] * length)
-    bounds += (1e-11 * (length.max() + 2 * _lengths(mean[None])[0]) * (1 + table("size")))[:, None]
+    margin = 1e-11 * (length.max() + 2 * _lengths(mean[None])[0])
+    bounds = np.minimum(bounds, table("most")[:, None] * length) + (margin * (1 + table("size")))[:, None]
     for g, bound in zip(near, bounds):
-        take = np.flatnonzero(bound >= g.floor()) if g.finite else np.arange(len(v))
+        take = np.flatnonzero(bound >= g.floors().min()) if g.finite else np.arange(len(v))
         if len(take) > FIRST and g.finite:
             take = take[np.argsort(-bound[take])]
         at, step = 0, FIRST
         while at < len(take):
             part = take[at:at + step]
-            g.add(ids[part], v[part], same)
+            g.add(ids[part], v[part], same, length[part].max() * (1 + 1e-9) + margin)
             at, step = at + step, STEP
             if g.finite and at < len(take):
-                take = take[:np.searchsorted(-bound[take], -g.floor(), "right")]
+                take = take[:np.searchsorted(-bound[take], -g.floors().min(), "right")]
 
 
 def _best_of_blocks(batches, k: int, same: bool, mean: np.ndarray, unit: bool):
@@ -441,6 +450,9 @@ def catalogue_top_k(queries: DataFrame, items: DataFrame, k: int, query_id: str
     def packed(df, weight=None, size=block * 8):
         t = df.mapInArrow(lambda b: _packed(b, most(size * GROUPS if weight is not None else size), size, weight, unit), "ids array<bigint>, vectors binary, ends array<int>")
         return materialize(t.withColumn("lot", F.monotonically_increasing_id()), "vector-blocks")
+    def long_first(df):
+        far = F.aggregate(F.zip_with("v", F.array(*[F.lit(float(x)) for x in mean]), lambda x, m: (x - m) * (x - m)), F.lit(0.0), lambda a, x: a + x)
+        return df.withColumn("_far", far).repartitionByRange(max(cores, -(-df.count() // CHUNK)), F.desc("_far")).sortWithinPartitions(F.desc("_far")).drop("_far")
     q, i = rows(queries, query_id), rows(items, item_id)
     n_q, cores = q.count(), max(1, q.sparkSession.sparkContext.defaultParallelism)
     mean, spread, _ = _coordinates(i)
@@ -455,13 +467,14 @@ def catalogue_top_k(queries: DataFrame, items: DataFrame, k: int, query_id: str
         if unit:
             key = key / F.sqrt(F.aggregate("v", F.lit(1e-300), lambda a, x: a + x * x))
         q = q.repartitionByRange(tasks, key)
-        q, i = packed(q, spread + 1e-300, max(1, min(size, n_q // (4 * cores)))), packed(i)
+        q, i = packed(q, spread + 1e-300, max(1, min(size, n_q // (4 * cores)))), packed(long_first(i))
     else:
         q, i = packed(q), packed(i)
     n_lots, n_blocks = q.count(), i.count()
     parts = min(max(1, n_blocks), max(-(-n_blocks * most(block * 8) * 8 * d // TASK_BYTES), -(-cores // max(1, n_lots))))
     q = q.repartition(max(1, min(n_lots, 4 * cores)), "lot").select("lot", "ids", "vectors", "ends")
-    i = i.repartition(parts).select(F.col("ids").alias("_ids"), F.col("vectors").alias("_vectors"))
+    # row numbers rise with the tables' order, so that each part gets its long items first
+    i = i.repartition(parts).sortWithinPartitions("lot").select(F.col("ids").alias("_ids"), F.col("vectors").alias("_vectors"))
     part = q.crossJoin(i.hint("shuffle_replicate_nl")).mapInArrow(lambda b: _best_of_blocks(b, k, same, mean, unit), "query bigint, item bigint, score double")
     return top_k_per_user(part, k, "query", "item").select(F.col("query").alias(query_id), F.col("item").alias(item_id), "score", "rank")
 
