@@ -411,8 +411,11 @@ def _offer(near: list[_Near], ids: np.ndarray, v: np.ndarray, same: bool, mean:
                 take = take[:np.searchsorted(-bound[take], -g.floors().min(), "right")]
 
 
-def _best_of_blocks(batches, k: int, same: bool, mean: np.ndarray, unit: bool):
-    """The best k items of a task's item blocks for every query of its query blocks, whose pairs come one query block after the other."""
+def _best_of_blocks(batches, k: int, same: bool, mean: np.ndarray | float = 0.0, unit: bool = True):
+    """The best k items of a task's item blocks for every query of its query blocks, whose pairs come one query block after the other.
+
+    ``lot`` names a query block and ``ends`` its groups; without them its ids name it, and it is one group.
+    """
     name, near = None, []
 
     def found():
@@ -420,17 +423,19 @@ def _best_of_blocks(batches, k: int, same: bool, mean: np.ndarray, unit: bool):
             held = np.arange(k) < g.count[:, None]
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(g.ids, g.count)), pa.array(g.item[held]), pa.array(g.score[held])], ["query", "item", "score"])
     for batch in batches:
-        lot, qi, qv, ends, ii, iv = (batch.column(c) for c in ("lot", "ids", "vectors", "ends", "_ids", "_vectors"))
+        qi, qv, ii, iv = (batch.column(c) for c in ("ids", "vectors", "_ids", "_vectors"))
+        lot, ends = (batch.column(c) if c in batch.schema.names else other for c, other in (("lot", qi), ("ends", None)))
         for r in range(batch.num_rows):
             if lot[r].as_py() != name:
                 yield from found()
                 ids, at = qi[r].values.to_numpy(zero_copy_only=False), 0
                 name, near, q = lot[r].as_py(), [], np.frombuffer(qv[r].as_py(), "<f8").reshape(len(ids), -1)
-                for end in ends[r].as_py():
-                    near.append(_Near(ids[at:end], q[at:end], k, mean, unit))
+                middle = np.broadcast_to(mean, q.shape[1:])
+                for end in [len(ids)] if ends is None else ends[r].as_py():
+                    near.append(_Near(ids[at:end], q[at:end], k, middle, unit))
                     at = end
             ids = ii[r].values.to_numpy(zero_copy_only=False)
-            _offer(near, ids, np.frombuffer(iv[r].as_buffer(), "<f8").reshape(len(ids), -1), same, mean)
+            _offer(near, ids, np.frombuffer(iv[r].as_buffer(), "<f8").reshape(len(ids), -1), same, middle)
     yield from found()
 
 
